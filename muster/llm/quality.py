@@ -35,7 +35,7 @@ _ZERO_BIN = -10_000
 #: Documents that a group needs for thresholds of its own.
 MIN_GROUP = 200
 #: Ratio: (least distance of the fences from the quartiles, fenced below too).
-RATIOS = {"word_length": (3.0, True), "symbols": (0.1, False), "dup_lines": (0.2, False), "repeats": (0.15, False)}
+RATIOS = {"word_length": (4.0, True), "symbols": (0.1, False), "dup_lines": (0.4, False), "repeats": (0.15, False)}
 #: Fences stand at so many times the distance from median to quartile.
 REACH = 6.0
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
