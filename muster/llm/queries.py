@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, exact_dedup, html_text, jaccard, mixing, quality, sharding, token_counts
-from muster.llm.store import shared_dir, table
+from muster.llm import bpe, exact_dedup, html_text, jaccard, mixing, quality, sharding, suffixes, token_counts, warc
+from muster.llm.store import shared_dir, stored, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,39 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def capture_log(pages: DataFrame) -> DataFrame:
+    """A log of captures made of ``pages``: every page is fetched in the order of
+    its id, and asked for again 500 fetches later, when the answer is 304.
+
+    Of those answers one in seven has the tag of another page, one in eleven has
+    no tag but the date, and one in thirteen no validator at all.
+    """
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    date = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss")
+    i = F.col("page_id")
+    first = pages.select(
+        (2 * i).alias("record_id"), F.lit("response").alias("kind"), "url", (2 * i).alias("at"),
+        F.create_map(F.lit("etag"), tag, F.lit("last-modified"), date, F.lit("content-type"), F.lit("text/html"),
+                     F.lit("content-length"), F.octet_length("html").cast("string"), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
+        F.sha2("html", 256).alias("digest"), "page_id",
+    )
+    plain = F.create_map(F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-length"), F.lit("0"), F.lit("x-cache"), F.lit("hit"))
+    tagged = F.when(i % 13 == 5, F.create_map().cast("map<string,string>")).when(i % 11 == 4, F.create_map(F.lit("last-modified"), date)).when(
+        i % 7 == 3, F.create_map(F.lit("etag"), F.lit('"other"'))).otherwise(F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag)))
+    again = pages.select(
+        (2 * i + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", (2 * i + 1001).alias("at"),
+        F.map_concat(plain, tagged).alias("headers"), F.lit(None).cast("string").alias("digest"), "page_id",
+    )
+    return first.unionByName(again)
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = stored(capture_log(table(spark, sf_dir, "pages")), "log")
+    out = warc.resolve_revisits(log)
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return out.select("page_id", "url", (F.col("response_id") / 2).cast("long").alias("response_page_id"), "verdict", F.array_join(lines, "\n").alias("headers"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -47,6 +80,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"), least=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -58,4 +95,31 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, CAST(count(*) OVER (PARTITION BY t) AS BIGINT) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
             FROM d""",
+        "op3_warc_revisits": r"""
+            WITH p AS (
+                SELECT *, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['host', 'path', 'query']) AS u,
+                       '"' || md5(html) || '"' AS tag, strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%S') AS date
+                FROM pages),
+            k AS (
+                SELECT *, list_sort(list_filter(string_split(u.query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS q
+                FROM p),
+            c AS (
+                SELECT *, regexp_replace(regexp_replace(lower(u.host), '^([^@]*@)?(www\.|m\.)?', ''), ':(80|443)?$', '')
+                       || regexp_replace(u.path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key
+                FROM k),
+            v AS (
+                SELECT page_id, url, key, 2 * page_id + 1001 AS at,
+                       CASE WHEN page_id % 13 = 5 OR page_id % 11 = 4 THEN NULL WHEN page_id % 7 = 3 THEN '"other"' ELSE tag END AS etag,
+                       CASE WHEN page_id % 13 <> 5 AND page_id % 11 = 4 THEN date END AS modified
+                FROM c),
+            j AS (
+                SELECT v.page_id, v.url, v.etag, v.modified, r.page_id AS rid, r.tag, r.date, strlen(r.html) AS size,
+                       CASE WHEN r.page_id IS NULL THEN 'no_response' WHEN v.etag IS NOT NULL THEN CASE WHEN v.etag = r.tag THEN 'resolved' ELSE 'mismatch' END
+                            WHEN v.modified IS NOT NULL THEN CASE WHEN v.modified = r.date THEN 'resolved' ELSE 'mismatch' END ELSE 'no_validator' END AS verdict
+                FROM v ASOF LEFT JOIN (SELECT *, 2 * page_id AS at FROM c) r ON v.key = r.key AND v.at > r.at)
+            SELECT page_id, url, rid AS response_page_id, verdict,
+                   CASE WHEN verdict = 'resolved' THEN
+                       'cache-control: max-age=600' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
+                       || 'etag: ' || CASE WHEN etag IS NULL THEN tag ELSE 'W/' || etag END || chr(10) || 'last-modified: ' || date || chr(10) || 'x-cache: hit' END AS headers
+            FROM j""",
     }

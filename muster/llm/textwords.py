@@ -71,7 +71,13 @@ def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def hashed_docs(col: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """(row in the array, hashes of its words in order) for every row.
+    """(row in the array, hashes of its words in order) for every row; see ``split_docs``."""
+    for i, h, _, _ in split_docs(col, lower):
+        yield i, h
+
+
+def split_docs(col: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row in the array, hashes, first bytes and end bytes of its words) for every row.
 
     ``col`` is a binary array; null counts as empty.  Long texts are taken in
     pieces that end at white space, so memory beside the result stays bounded.
@@ -83,7 +89,7 @@ def hashed_docs(col: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
         if n > STEP:
             yield from _group(group, lower)
             group, size = [], 0
-            yield i, _long(np.frombuffer(b, np.uint8), lower)
+            yield i, *_long(np.frombuffer(b, np.uint8), lower)
             continue
         group.append((i, b))
         size += n
@@ -93,7 +99,7 @@ def hashed_docs(col: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
     yield from _group(group, lower)
 
 
-def _group(group: list, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
+def _group(group: list, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     if not group:
         return
     sizes = np.array([b.size if b is not None else 0 for _, b in group])
@@ -105,10 +111,11 @@ def _group(group: list, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
     h = _hashes(buf, starts, ends)
     cut = np.searchsorted(starts, at)
     for k, (i, _) in enumerate(group):
-        yield i, h[cut[k] : cut[k + 1]]
+        own = slice(cut[k], cut[k + 1])
+        yield i, h[own], starts[own] - at[k], ends[own] - at[k]
 
 
-def _long(buf: np.ndarray, lower: bool) -> np.ndarray:
+def _long(buf: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts, lo = [], 0
     none = np.zeros(0, np.int64)
     while lo < len(buf):
@@ -118,9 +125,9 @@ def _long(buf: np.ndarray, lower: bool) -> np.ndarray:
             hi = hi + int(more[0]) if len(more) else min(len(buf), hi + STEP)
         piece = LOWER[buf[lo:hi]] if lower else buf[lo:hi]
         starts, ends = word_spans(piece, none)
-        parts.append(_hashes(piece, starts, ends))
+        parts.append((_hashes(piece, starts, ends), starts + lo, ends + lo))
         lo = hi
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
