@@ -19,6 +19,7 @@ each.  The tokenizer's file must be at the same path on every machine.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +33,10 @@ from tokenizers import Tokenizer, processors
 from muster.llm.store import stored, with_row_id
 
 HUGE, CHUNK, OVERLAP, MARGIN = 65_536, 32_768, 512, 64
-REMEMBERED, LONGEST = 400_000, 64
+#: Pieces in each of the two generations that a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 200_000, 64
+# a task has one core; the library's own threads would cost memory and time
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -44,25 +48,30 @@ def _tokenizer(path: str, offsets: bool) -> Tokenizer:
     return t
 
 
-class _Pieces(dict):
-    """piece -> number of its tokens."""
+class _Pieces:
+    """Numbers of tokens of pieces, the lately used ones remembered."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = _tokenizer(path, False)
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def count(self, pieces: list[str]) -> int:
-        fresh = list({p for p in pieces if p not in self})
-        extra = {}
-        if fresh:
-            if len(self) > REMEMBERED:
-                extra = {p: self[p] for p in set(pieces) if p in self}
-                self.clear()
-            for p, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                (self if len(p) <= LONGEST else extra)[p] = len(e.ids)
-        if extra:
-            return sum(self[p] if p in self else extra[p] for p in pieces)
-        return sum(map(self.__getitem__, pieces))
+        young, old = self.young, self.old
+        fresh = []
+        for p in {p for p in pieces if p not in young}:
+            if (n := old.get(p)) is not None:
+                young[p] = n
+            else:
+                fresh.append(p)
+        for k in range(0, len(fresh), 1024):
+            part = fresh[k : k + 1024]
+            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                young[p] = len(e)
+        total = sum(map(young.__getitem__, pieces))
+        if len(young) > REMEMBERED:
+            self.old, self.young = {p: n for p, n in young.items() if len(p) <= LONGEST}, {}
+        return total
 
 
 @lru_cache(maxsize=4)
