@@ -170,3 +170,19 @@ def test_request_player(spark):
     rows = {r["puuid"]: r for r in crawl.request_player(q, "a", now).collect()}
     assert rows["a"]["priority"] == 1 and rows["a"]["requested_at"] is not None and rows["b"]["requested_at"] is None
     assert {r["puuid"] for r in crawl.request_player(q, "z", now).collect()} == {"a", "b", "z"}
+
+
+def test_build_selection_is_greedy(spark):
+    from muster.operators import builds
+
+    rng = random.Random(11)
+    rows = [(f"C{c}", slot, item, rng.randrange(1, 6)) for c in range(4) for slot in range(1, 7) for item in rng.sample(range(9), 6)]
+    got = builds.build_selection(spark.createDataFrame(rows, "champion string, slot int, item_id int, games long")).collect()
+    want = []
+    for c in range(4):
+        taken = set()
+        for slot in range(1, 7):
+            here = sorted((-g, i) for n, s, i, g in rows if n == f"C{c}" and s == slot and i not in taken)[:3]
+            want += [(f"C{c}", slot, k + 1, i, -g) for k, (g, i) in enumerate(here)]
+            taken |= {i for _, i in here[:1]}
+    assert sorted(tuple(r) for r in got) == sorted(want)
