@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from muster.llm.store import free_name, stored, with_row_id
 
 #: Documents in a block of the first level, and blocks that meet in one of the next.
-BLOCK_ROWS, FAN_IN = 20_000, 32
+BLOCK_ROWS, FAN_IN = 2_000, 32
 _TINY = 1e-12
 _OUT = "row long, doc_id long, source string, size long, source_size long, target double, copies long, fraction double, block long"
 
