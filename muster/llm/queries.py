@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, exact_dedup, html_text, jaccard, mixing, quality, sharding, suffixes, token_counts, warc
+from muster.llm import bpe, exact_dedup, html_text, jaccard, mixing, oracle, quality, sharding, suffixes, token_counts, warc
 from muster.llm.store import shared_dir, stored, table
 
 
@@ -89,37 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """SQL where it can express the operator; the others are tested against brute force."""
     return {
-        "op1_exact_dedup": """
-            WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
-            SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, CAST(count(*) OVER (PARTITION BY t) AS BIGINT) AS group_size,
-                   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
-            FROM d""",
-        "op3_warc_revisits": r"""
-            WITH p AS (
-                SELECT *, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['host', 'path', 'query']) AS u,
-                       '"' || md5(html) || '"' AS tag, strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%S') AS date
-                FROM pages),
-            k AS (
-                SELECT *, list_sort(list_filter(string_split(u.query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS q
-                FROM p),
-            c AS (
-                SELECT *, regexp_replace(regexp_replace(lower(u.host), '^([^@]*@)?(www\.|m\.)?', ''), ':(80|443)?$', '')
-                       || regexp_replace(u.path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key
-                FROM k),
-            v AS (
-                SELECT page_id, url, key, 2 * page_id + 1001 AS at,
-                       CASE WHEN page_id % 13 = 5 OR page_id % 11 = 4 THEN NULL WHEN page_id % 7 = 3 THEN '"other"' ELSE tag END AS etag,
-                       CASE WHEN page_id % 13 <> 5 AND page_id % 11 = 4 THEN date END AS modified
-                FROM c),
-            j AS (
-                SELECT v.page_id, v.url, v.etag, v.modified, r.page_id AS rid, r.tag, r.date, strlen(r.html) AS size,
-                       CASE WHEN r.page_id IS NULL THEN 'no_response' WHEN v.etag IS NOT NULL THEN CASE WHEN v.etag = r.tag THEN 'resolved' ELSE 'mismatch' END
-                            WHEN v.modified IS NOT NULL THEN CASE WHEN v.modified = r.date THEN 'resolved' ELSE 'mismatch' END ELSE 'no_validator' END AS verdict
-                FROM v ASOF LEFT JOIN (SELECT *, 2 * page_id AS at FROM c) r ON v.key = r.key AND v.at > r.at)
-            SELECT page_id, url, rid AS response_page_id, verdict,
-                   CASE WHEN verdict = 'resolved' THEN
-                       'cache-control: max-age=600' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
-                       || 'etag: ' || CASE WHEN etag IS NULL THEN tag ELSE 'W/' || etag END || chr(10) || 'last-modified: ' || date || chr(10) || 'x-cache: hit' END AS headers
-            FROM j""",
-    }
+        "op1_exact_dedup": oracle.DEDUP, "op3_warc_revisits": oracle.WARC, "op5_quality_rules": oracle.QUALITY,
+        "op9_jaccard_join": oracle.JACCARD, "op10_suffix_array": oracle.SUFFIXES,
+    }
