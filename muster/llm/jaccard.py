@@ -10,17 +10,26 @@ component.
     shingle: a point belongs to the cells of its n - ceil(t n) + 1 first
     shingles in one global order, rare ones first.  Two linked points always
     share a cell.  (The order comes from counts of all shingles in a table of
-    fixed size; whatever its counts, any order is exact.)
+    fixed size; whatever its counts, any order is exact.)  Cells are cut again
+    by the size of the sets, into classes so wide that linked sets are in one or
+    in neighbouring classes; a point is in its own and the next.
 3.  Each cell elects a pivot, a plain minimum that needs no cell gathered, and
     exact distances to the pivot are computed, once for a point and pivot
-    however many cells they share.  Points within eps of it are linked to it.
-4.  The triangle inequality divides a cell: partners of a point within eps of a
-    pivot are within 2 eps of it, so the pivot's Voronoi region is the points
-    within eps and, as replicated boundary, those up to 2 eps; points beyond
-    eps of every pivot are joined among themselves.  Regions whose points are
-    connected already are closed.  The others are divided again with more
-    pivots, or compared pair by pair once they hold at most ``leaf`` points.
-5.  Cells that pivots fail to divide are compared block by block.
+    however many cells they share, unless the points' signatures (counts of
+    shingles by class) prove that it is far.  Points within eps are linked to it.
+4.  By the triangle inequality, partners of a point within eps of a pivot are
+    within 2 eps of it.  So the Voronoi regions of the pivots, each widened to
+    2 eps by its boundary points, hold every linked pair but those of points
+    beyond eps of their cell's pivot.  Regions that share points are one region,
+    so that no point is sent twice however many pivots a tight group has.
+5.  Points beyond eps are joined again in their cells, if these reach over
+    several regions: cells of at most ``leaf`` points become pairs across
+    regions, larger ones elect more pivots, which may grow and join regions.  A
+    cell that its pivots do not halve is joined block against block.
+6.  Last, regions are joined inside: closed at once where all points are
+    connected already, in one task where they fit, else block against block.
+    There pivots of the block bound the distances of pairs, and only pairs that
+    are not connected yet are compared.
 
 Sets hold 64-bit hashes of shingles and points are known by 64-bit hashes of
 their sets.  Documents travel as text, which is smaller than its set.
@@ -34,24 +43,27 @@ that is not null.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.graph import components
-from muster.llm.store import free_name, stored, with_row_id
+from muster.llm.store import free_name, small_batches, stored, with_row_id
 from muster.llm.textwords import hashed_docs, shingle_set
 
 #: Cells of the table of shingle counts: 2 ** CELL_BITS.
 CELL_BITS = 16
 #: Points that are compared with one pivot in one task.
 GROUP = 2000
-#: Points in a block of a cell that pivots fail to divide.
+#: Points that a region may have to be joined in one task, and those of a block of larger ones.
 BLOCK = 500
+#: Rows of a few numbers up to which a counted side is broadcast to texts instead of shuffling these (some 10 MB).
+SMALL = 200_000
 _I64 = pa.int64()
 
 
@@ -85,13 +97,13 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """shingle, key for the first shingles of every point; equal points once a task."""
+    """shingle, key, n for the first shingles of every point, and its key, n and signature; equal points once a task."""
     table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = table.value, set()
         for batch in batches:
-            parts, keys, lengths = [], [], []
+            parts, keys, sizes, lengths, signs = [], [], [], [], []
             for _, words in hashed_docs(batch.column("text"), lower=True):
                 s = shingle_set(words, n)
                 if not len(s) or (k := int(_key(s))) in seen:
@@ -101,11 +113,75 @@ def _postings(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
                 first = len(s) + 1 - -(-percent * len(s) // 100)
                 parts.append(s[np.lexsort((s, rank[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[:first]])
                 keys.append(k)
+                sizes.append(len(s))
                 lengths.append(first)
+                signs.append(signature(s))
             if parts:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(parts)), pa.array(np.repeat(np.array(keys, np.int64), lengths))], ["shingle", "key"])
+                total = int(sum(lengths))
+                columns = [_signed(np.concatenate(parts)), *(pa.array(np.repeat(np.array(x, np.int64), lengths)) for x in (keys, sizes)), pa.nulls(total, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                columns = [pa.nulls(len(keys), _I64), pa.array(keys, _I64), pa.array(sizes, _I64), pa.array(signs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("text").mapInArrow(run, "shingle long, key long")
+    names = ["shingle", "key", "n", "signature"]
+    return docs.select("text").mapInArrow(run, "shingle long, key long, n long, signature binary")
+
+
+def signature(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of K classes by hash, in half a byte each; K is a power of two, n / 2 < K <= n, 8 at least."""
+    bits = max(3, len(s).bit_length() - 1)
+    c = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (c[::2] | (c[1::2] << 4)).tobytes()
+
+
+def distance_bound(a: bytes, b: bytes, n: int, m: int) -> float:
+    """A lower bound of the distance of two sets of n and m shingles: every class
+    where the counts differ has shingles that only one of them has."""
+    x, y = (np.frombuffer(z, np.uint8) for z in (a, b))
+    x, y = (np.stack([z & 15, z >> 4], 1).ravel().astype(np.int64) for z in (x, y))
+    if x.max() == 15 or y.max() == 15:  # counts end there
+        return 0.0
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[::2] + x[1::2]
+        else:
+            y = y[::2] + y[1::2]
+    apart = int(np.abs(x - y).sum())
+    return 1 - (n + m - apart) / (n + m + apart)
+
+
+def _bound(a: Column, b: Column, n: Column, m: Column) -> Column:
+    @F.arrow_udf("double")
+    def bound(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for cols in batches:
+            yield pa.array([distance_bound(*row) for row in zip(*(c.to_pylist() for c in cols))], pa.float64())
+
+    return bound(a, b, n, m)
+
+
+def _within(assign: DataFrame, signs: DataFrame, reach: float) -> DataFrame:
+    """The pairs of ``assign`` whose distance may be ``reach`` or less."""
+    if reach >= 1:
+        return assign.distinct()
+    both = assign.distinct().join(signs.select("key", F.col("n").alias("n0"), F.col("signature").alias("s0")), "key")
+    both = both.join(signs.select(F.col("key").alias("pivot"), F.col("n").alias("n1"), F.col("signature").alias("s1")), "pivot")
+    ratio = F.least("n0", "n1") / F.greatest("n0", "n1")
+    both = both.where(ratio >= 1 - reach - 1e-9)
+    return both.where(_bound(F.col("s0"), F.col("s1"), F.col("n0"), F.col("n1")) <= reach + 1e-9).select("key", "pivot")
+
+
+def _members(postings: DataFrame, percent: int) -> DataFrame:
+    """cell, key, pivot of all cells of two points or more; the pivot is the least point."""
+
+    def shared(rows: DataFrame, by: str) -> DataFrame:
+        cells = rows.groupBy(by).agg(F.min("key").alias("pivot"), F.max("key").alias("hi"))
+        return cells.where("pivot < hi").select(by, "pivot")
+
+    rows = stored(postings.join(shared(postings, "shingle").drop("pivot"), "shingle"), "shared")
+    width = math.log(100 / percent) + 1e-9 if percent < 100 else 1e-9
+    size = F.floor(F.log("n") / width)
+    rows = rows.select("key", F.explode(F.array(F.xxhash64("shingle", size), F.xxhash64("shingle", size + 1))).alias("cell")).distinct()
+    return stored(rows.join(shared(rows, "cell"), "cell").select("cell", "key", "pivot"), "members")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -116,13 +192,18 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
+def _with_texts(rows: DataFrame, texts: DataFrame, by: str) -> DataFrame:
+    """The stored narrow ``rows`` joined with ``texts``, which stay where they are if the rows are few."""
+    return texts.join(F.broadcast(rows) if rows.count() <= SMALL else rows, by)
+
+
 def _distances(assign: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """key, pivot, distance, close (linked) for the pairs of ``assign`` (key, pivot)."""
+    """key, pivot, common, union, distance for the pairs of ``assign`` (key, pivot)."""
     assign = stored(assign.distinct(), "assign")
     salts = assign.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     points = assign.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), "key", F.lit(1).alias("role"))
     heads = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("key"), F.lit(0).alias("role"))
-    rows = points.unionByName(heads).join(texts, "key")
+    rows = _with_texts(stored(points.unionByName(heads), "heads"), texts, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, at = np.zeros(0, np.uint64), None
@@ -152,14 +233,14 @@ def _close(percent: int) -> F.Column:
 
 
 def _live(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cells with points of two components at least, one of cells with equal points; with label and size."""
+    """Cells (cell, key, parent) with points of two components at least, one of cells with equal points; with label and size."""
     named = cells.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     seen = named.groupBy("cell").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"),
         F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("x"), F.min("key").alias("k0"), F.max("key").alias("k1"),
     ).where("lo < hi")
     one = seen.groupBy("size", "x", "k0", "k1").agg(F.min("cell").alias("cell")).select("cell", "size")
-    return stored(named.join(one, "cell").select("cell", "key", "label", "size"), "live")
+    return stored(named.join(one, "cell").select("cell", "key", "label", "size", "parent"), "live")
 
 
 def _pairs(live: DataFrame) -> DataFrame:
@@ -174,80 +255,85 @@ def _elect(live: DataFrame, pivots: int, level: int) -> DataFrame:
     return live.groupBy("cell", F.pmod(k, F.lit(pivots)).alias("class")).agg(F.min_by("key", k).alias("pivot")).select("cell", "pivot")
 
 
-def _divide(live: DataFrame, elected: DataFrame, distances: DataFrame, eps: float) -> DataFrame:
-    """cell, key of the regions around the pivots and of what lies beyond them all."""
-    seen = live.select("cell", "key").join(elected, "cell").join(distances.select("key", "pivot", "distance"), ["key", "pivot"], "left")
-    seen = seen.withColumn("distance", F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0))))
-    slack = 1e-9
-    near = seen.where((F.col("distance") <= 2 * eps + slack) & (F.col("key") != F.col("pivot")))
-    near = near.select(F.xxhash64("cell", "pivot").alias("cell"), "key")
-    least = seen.groupBy("cell", "key").agg(F.min("distance").alias("d")).where(F.col("d") > eps - slack)
-    return stored(near.unionByName(least.select(F.xxhash64("cell", F.lit(0)).alias("cell"), "key")), "cells")
+def _beyond(cells: DataFrame, elected: DataFrame, distances: DataFrame, eps: float) -> DataFrame:
+    """cell, key, parent of the points of ``cells`` (cell, key, size) that no pivot of their cell links."""
+    seen = cells.select("cell", "key", "size").join(elected, "cell").join(distances.select("key", "pivot", "distance"), ["key", "pivot"], "left")
+    d = F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0)))
+    far = seen.groupBy("cell", "key").agg(F.min(d).alias("d"), F.max("size").alias("parent")).where(F.col("d") > eps - 1e-9)
+    return stored(far.select("cell", "key", "parent"), "beyond")
+
+
+def _task_links(sets: list[np.ndarray], labels: np.ndarray, blocks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what can be connected; of two blocks only pairs across them."""
+    n, eps = len(sets), 1 - percent / 100 + 1e-9
+    if n < 2 or (labels == labels[0]).all():
+        return []
+    sizes, labels, across = np.array([len(s) for s in sets]), labels.copy(), bool((blocks != blocks[0]).any())
+    heads = sorted({0, n // 3, 2 * n // 3, n - 1})
+    common = np.array([[_common(s, sets[h]) for h in heads] for s in sets])
+    distance = 1 - common / (sizes[:, None] + sizes[heads] - common)
+    out = []
+    for i in range(1, n):
+        may = (np.abs(distance[:i] - distance[i]) <= eps).all(1) & (labels[:i] != labels[i])
+        may &= (100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])) & ((blocks[:i] != blocks[i]) | (not across))
+        for j in np.flatnonzero(may).tolist():
+            if labels[j] != labels[i]:
+                c = _common(sets[i], sets[j])
+                if 100 * c >= percent * (sizes[i] + sizes[j] - c):
+                    out.append((i, j))
+                    labels[labels == labels[j]] = labels[i]
+    return out
 
 
 def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links that span the linked points of undivided cells, block against block."""
+    """a, b: links that connect the points of regions, whole ones or block against block."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    spread = live.select("cell", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    spread = spread.select("cell", "key", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"))
-
-    def links(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        index: dict[int, list[int]] = {}
-        parent = list(range(len(keys)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        out = []
-        for i, s in enumerate(sets):
-            tried = set()
-            for h in s[: len(s) + 1 - -(-percent * len(s) // 100)].tolist():
-                for j in index.setdefault(h, []):
-                    if j not in tried and root(i) != root(j):
-                        tried.add(j)
-                        c = _common(s, sets[j])
-                        if 100 * c >= percent * (len(s) + len(sets[j]) - c):
-                            parent[root(i)] = root(j)
-                            out.append((keys[i], keys[j]))
-                index[h].append(i)
-        return out
+    spread = live.select("cell", "key", "label", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    spread = spread.select("cell", "key", "label", "mine", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, sets = None, [], []
+        at, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            keys, labels, own, sets = zip(*rows) if rows else ((), (), (), ())
+            found = _task_links(list(sets), np.array(labels), np.array(own), percent)
+            return pa.RecordBatch.from_arrays([pa.array([keys[x[k]] for x in found], _I64) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
             place = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "b0", "b1"))))
-            key = batch.column("key").to_pylist()
-            out = []
+            key, label, own = (batch.column(c).to_pylist() for c in ("key", "label", "mine"))
             for i, words in hashed_docs(batch.column("text"), lower=True):
                 if place[i] != at:
-                    out += links(keys, sets)
-                    at, keys, sets = place[i], [], []
-                keys.append(key[i])
-                sets.append(shingle_set(words, n))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], _I64) for k in (0, 1)], ["a", "b"])
-        out = links(keys, sets)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], _I64) for k in (0, 1)], ["a", "b"])
+                    yield done()
+                    at, rows = place[i], []
+                rows.append((key[i], label[i], own[i], shingle_set(words, n)))
+        yield done()
 
-    placed = spread.join(texts, "key").repartition("cell", "b0", "b1").sortWithinPartitions("cell", "b0", "b1").select("cell", "b0", "b1", "key", "text")
-    return placed.mapInArrow(run, "a long, b long")
+    columns = ["cell", "b0", "b1", "mine", "key", "label", "text"]
+    placed = _with_texts(stored(spread, "spread"), texts, "key").repartition("cell", "b0", "b1").sortWithinPartitions("cell", "b0", "b1").select(*columns)
+    return stored(placed.mapInArrow(run, "a long, b long"), "links")
 
 
-def _labels(edges: list[DataFrame]) -> DataFrame:
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    return stored(components(every).select(F.col("v").alias("key"), F.col("component").alias("label")), "labels")
+def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """key, label of all points with links, after new ``edges`` (a, b)."""
+    if labels is None:
+        return stored(components(edges).select(F.col("v").alias("key"), F.col("component").alias("label")), "labels")
+    for c in ("a", "b"):
+        edges = edges.join(labels.select(F.col("key").alias(c), F.col("label").alias(f"{c}_")), c, "left").withColumn(c, F.coalesce(f"{c}_", c)).drop(f"{c}_")
+    merged = stored(components(edges).select(F.col("v").alias("label"), F.col("component").alias("to")), "merged")
+    old = labels.join(merged, "label", "left").select("key", F.coalesce("to", "label").alias("label"))
+    new = merged.select(F.col("label").alias("key"), F.col("to").alias("label")).join(labels.select("key"), "key", "left_anti")
+    return stored(old.unionByName(new), "labels")
 
 
-def join_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int = 64, pivots: int = 8, rounds: int = 4) -> DataFrame:
+def join_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int = 16, pivots: int = 8, rounds: int = 4) -> DataFrame:
     """row, doc_id, n_shingles, component_id of every row of ``docs`` (a stored table).
 
     ``row`` is the row id that ``with_row_id`` gives ``docs``.
     """
     eps = 1 - percent / 100
+    small_batches(docs.sparkSession)
     texts_of = with_row_id(docs.select("doc_id", "text"), "row").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     profile = stored(_profile(texts_of, n), "profile")
     rows = profile.where("cell IS NULL").select("row", "doc_id", "n", "key")
@@ -255,33 +341,43 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int =
     for c, k in profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("count")).collect():  # 2 ** CELL_BITS rows at most
         counts[c] = k
 
-    postings = stored(_postings(texts_of, n, percent, counts), "postings")
-    shared = postings.groupBy("shingle").agg(F.min("key").alias("pivot"), F.max("key").alias("hi")).where("pivot < hi").select("shingle", "pivot")
-    members = stored(postings.join(shared, "shingle").select(F.col("shingle").alias("cell"), "key", "pivot").distinct(), "members")
+    posted = stored(_postings(texts_of, n, percent, counts), "postings")
+    signs = posted.where("shingle IS NULL").groupBy("key").agg(F.max("n").alias("n"), F.max("signature").alias("signature"))
+    members = _members(posted.where("shingle IS NOT NULL").select("shingle", "key", "n"), percent)
+    signs = stored(signs.join(members.select("key").distinct(), "key", "left_semi"), "signs")
     chosen = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row")).join(members.select("key").distinct(), "key", "left_semi")
-    texts = stored(texts_of.select("row", "text").join(chosen, "row").select("key", "text"), "texts")
-
-    distances = _distances(members.where("key != pivot").select("key", "pivot"), texts, n)
-    link = lambda d: d.where(_close(percent)).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-    edges = [link(distances)]
-    labels = _labels(edges)
-    cells, elected = members.select("cell", "key"), members.select("cell", "pivot").distinct()
-    live = _live(cells, labels)
-    for level in range(rounds):
-        if live.isEmpty():
-            break
-        cells = _divide(live, elected, distances, eps)
-        live = _live(cells, labels)
-        small, large = live.where(F.col("size") <= leaf), live.where(F.col("size") > leaf)
+    texts = stored(_with_texts(stored(chosen, "chosen"), texts_of.select("row", "text"), "row").select("key", "text"), "texts")
+
+    pairs = lambda d, keep: d.where(keep).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    near = F.col("distance") <= 2 * eps + 1e-9
+    distances = _distances(_within(members.where("key != pivot").select("key", "pivot"), signs, 2 * eps), texts, n)
+    links = [pairs(distances, _close(percent))]
+    regions = _relabel(None, pairs(distances, near))
+    cells = _beyond(members.withColumn("size", F.lit(0)), members.select("cell", "pivot").distinct(), distances, eps)
+    level = 0
+    while not (live := _live(cells, regions)).isEmpty():
+        small, rest = live.where(F.col("size") <= leaf), live.where(F.col("size") > leaf)
+        again = ((2 * F.col("size") <= F.col("parent")) | F.lit(level == 0)) & F.lit(level < rounds)
+        whole, large = rest.where(~again), rest.where(again)
         elected = stored(_elect(large, pivots, level), "elected")
         trial = large.select("cell", "key").join(elected, "cell").where("key != pivot").select("key", "pivot")
-        distances = _distances(_pairs(small).unionByName(trial), texts, n)
-        edges.append(link(distances))
-        labels = _labels(edges)
-        live = _live(large.select("cell", "key"), labels)
-    if not live.isEmpty():
-        edges.append(stored(_block_links(live, texts, n, percent), "blocks"))
-        labels = _labels(edges)
+        distances = _distances(_within(_pairs(small), signs, eps).unionByName(_within(trial, signs, 2 * eps)), texts, n)
+        links.append(pairs(distances, _close(percent)))
+        fresh = pairs(distances, near)
+        if not whole.isEmpty():
+            links.append(_block_links(whole, texts, n, percent))
+            fresh = fresh.unionByName(links[-1])
+        regions = _relabel(regions, fresh)
+        cells = _beyond(large, elected, distances, eps)
+        level += 1
+
+    every = links[0]
+    for e in links[1:]:
+        every = every.unionByName(e)
+    labels = _relabel(None, every)
+    inside = _live(regions.select(F.col("label").alias("cell"), "key", F.lit(0).alias("parent")), labels)
+    if not inside.isEmpty():
+        labels = _relabel(labels, _block_links(inside, texts, n, percent))
 
     named = rows.join(labels, "key", "left").withColumn("point", F.when(F.col("n") > 0, F.coalesce("label", "key")))
     named = stored(named.select("row", "doc_id", "n", "point"), "named")
