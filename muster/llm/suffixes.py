@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.store import free_name, stored, with_row_id
+from muster.llm.store import free_name, small_batches, stored, with_row_id
 from muster.llm.textwords import hashed_docs, mix, ngrams, split_docs
 
 GRAM = 8
 #: Suffixes of one gram that are compared in one task.
-GROUP = 4096
-#: Sorted suffixes whose windows are compared at once, at least.
-BATCH = 4096
+GROUP = 8192
+#: Sorted suffixes that are compared at once: whole grams, up to this many where one gram has no more.
+BATCH = 2048
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _I64 = pa.int64()
@@ -153,10 +153,8 @@ def _compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
     reach = least - GRAM
 
     def settle(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        col = lambda c: t.column(c).combine_chunks() if t.num_rows else t.column(c).cast(t.schema.field(c).type).combine_chunks()
-        rows, at, salts, grams = (col(c).to_numpy(zero_copy_only=False) for c in ("row", "at", "salts", "gram"))
-        words, there = _matrix(col("left"), col("right"), reach, least)
+        rows, at, salts, grams = (t.column(c).to_numpy() for c in ("row", "at", "salts", "gram"))
+        words, there = _matrix(*(pa.concat_arrays(t.column(c).chunks) for c in ("left", "right")), reach, least)
         found = _neighbours(words, there, rows, reach, least)
         hashes, whole = _window_hashes(words, there, least)
         # windows that no neighbour repeats, of grams with a third suffix, and all of shared grams
@@ -198,22 +196,27 @@ def _compare(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         return pa.RecordBatch.from_arrays([pa.array(t_rows), pa.array(t_start), pa.array(t_end), *(pa.array(x, mask=mask) for x in (t_h, t_lo, t_hi))], names)
 
     names = ["row", "start", "end", "window", "lo", "hi"]
+    for t in _whole_grams(batches):
+        yield settle(t)
+
+
+def _whole_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted suffixes in tables of about BATCH rows that part no gram's share of this task."""
     held: list[pa.RecordBatch] = []
-    size = 0
     for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size < BATCH:
-            continue
-        t = pa.Table.from_batches(held)
-        key = t.column("gram").to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))  # the last gram may go on in the next batch
-        if cut:
-            yield settle(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-            size = t.num_rows - cut
-    if size:
-        yield settle(pa.Table.from_batches(held))
+        for lo in range(0, batch.num_rows, BATCH):
+            held.append(batch.slice(lo, BATCH))
+            if sum(b.num_rows for b in held) < BATCH:
+                continue
+            t = pa.Table.from_batches(held)
+            gram, salt = t.column("gram").to_numpy(), t.column("salt").to_numpy()
+            last = (gram == gram[-1]) & (salt == salt[-1])  # may go on in the next batch
+            cut = int(np.argmax(last))
+            if cut:
+                yield t.slice(0, cut)
+                held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -228,53 +231,22 @@ def _merged(spans: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
     """row, start, end for ``docs`` (row, text binary; stored): words that stand in
     passages of ``least`` words which another row repeats."""
+    small_batches(docs.sparkSession)
     places = stored(_suffixes(docs, least), "suffixes")
     shared = places.groupBy("gram").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.ceil(F.count(F.lit(1)) / GROUP).alias("salts")).where("lo < hi")
     wanted = places.join(shared.select("gram", "salts"), "gram").groupBy("row").agg(F.collect_list(F.struct("at", "gram", "salts")).alias("places"))
     around = _with_context(docs.select("row", "text").join(wanted, "row").select("row", "text", "places"), least)
-    salt = F.pmod(F.xxhash64("row"), F.col("salts"))
-    ordered = around.repartition("gram", salt).withColumn("salt", salt).sortWithinPartitions("salt", "gram", "right")
-    # with the salt first, the grams of one salt ascend; each is whole in its run
-    ordered = ordered.select("gram", "salts", "row", "at", "left", "right")
-    found = stored(ordered.mapInArrow(lambda it: _compare_runs(it, least), "row long, start long, end long, window long, lo long, hi long"), "found")
+    # equal surroundings go together, unless they are so many themselves
+    salt = F.pmod(F.xxhash64("left", "right") + F.pmod(F.xxhash64("row"), F.ceil(F.col("salts") / 4)), F.col("salts"))
+    ordered = around.repartition("gram", salt).withColumn("salt", salt).sortWithinPartitions("gram", "salt", "right")
+    ordered = ordered.select("gram", "salt", "salts", "row", "at", "left", "right")
+    found = stored(ordered.mapInArrow(lambda it: _compare(it, least), "row long, start long, end long, window long, lo long, hi long"), "found")
     windows = found.where("window IS NOT NULL")
     across = windows.groupBy("window").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("window")
     late = windows.where("lo = hi").join(across, "window").select("row", "start", "end")
     return _merged(found.where("window IS NULL").select("row", "start", "end").unionByName(late))
 
 
-def _compare_runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """``_compare`` for each ascending run of grams."""
-    last: int | None = None
-    run: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column("gram").to_numpy()
-        falls = (np.flatnonzero(key[1:] < key[:-1]) + 1).tolist()
-        edges = ([0] if last is not None and key[0] < last else []) + falls
-        lo = 0
-        for e in edges:
-            if e > lo:
-                run.append(batch.slice(lo, e - lo))
-            yield from _compare(iter(run), least)
-            run, lo = [], e
-        run.append(batch.slice(lo))
-        last = int(key[-1])
-        if sum(b.num_rows for b in run) >= 4 * BATCH and (head := _whole_grams(run)):
-            yield from _compare(iter(head[0]), least)
-            run = head[1]
-    if run:
-        yield from _compare(iter(run), least)
-
-
-def _whole_grams(run: list[pa.RecordBatch]) -> tuple[list, list] | None:
-    t = pa.Table.from_batches(run)
-    key = t.column("gram").to_numpy()
-    cut = int(np.searchsorted(key, key[-1]))
-    return (t.slice(0, cut).to_batches(), t.slice(cut).to_batches()) if cut else None
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     return with_row_id(docs.select("doc_id", "text"), "row").select("row", "doc_id", F.col("text").cast("binary").alias("text"))
 

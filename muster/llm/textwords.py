@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# workers hold large batches briefly; this pool gives their memory back at once
+pa.set_memory_pool(pa.system_memory_pool())
+
 U = np.uint64
 WHITE = b" \t\n\x0b\x0c\r"
 IS_WHITE = np.zeros(256, bool)
@@ -18,7 +21,7 @@ IS_WHITE[list(WHITE)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are worked on at once.
-STEP = 2 << 20
+STEP = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _COEFF = [U(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _tables: list[np.ndarray] = []
