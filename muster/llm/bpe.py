@@ -17,6 +17,7 @@ import base64
 import hashlib
 import heapq
 import itertools
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,8 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+from muster.llm.store import small_batches
+
+#: Pre-tokens in each of the two generations whose ids a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 150_000, 64
 #: Characters of a text up to which its pre-tokens are listed at once.
 LISTED = 1 << 20
 _MASK = (1 << 64) - 1
@@ -131,16 +134,21 @@ class Vocabulary:
 
 
 class Memory(dict):
-    """pre-token -> ids as little-endian unsigned 32-bit integers."""
+    """pre-token -> ids as little-endian unsigned 32-bit integers, the lately used ones."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, token: str) -> bytes:
-        out = np.array(self.vocabulary.ids(token), "<u4").tobytes()
+        out = self.old.get(token)
+        if out is None:
+            ids = self.vocabulary.ids(token)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(token) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[token] = out
         return out
@@ -172,8 +180,9 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = encoder(path, pattern)
         for col in batches:
-            rows = [np.frombuffer(b"".join(run(t or "")), "<u4").astype(np.int32) for t in col.to_pylist()]
-            yield pa.array(rows, pa.list_(pa.int32()))
+            rows = [b"".join(run(t.as_py() or "")) for t in col]
+            ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
 
     return encode(text)
 
@@ -214,10 +223,12 @@ def digests(text: Column, path: str, pattern: str) -> Column:
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", digests(F.col("text"), path, pattern).alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with ``input_ids`` and ``n_tokens``; columns of those names are replaced."""
+    small_batches(docs.sparkSession)
     out = docs.withColumn("input_ids", encoded(F.col("text"), path, pattern))
     return out.withColumn("n_tokens", F.size("input_ids").cast("long"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.llm.store import small_batches
+
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     """a an and are as at be been but by can could do for from had has have he her his how i if in into is it its more my no not of on or
@@ -251,5 +253,6 @@ def extracted(page: Column) -> Column:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    small_batches(pages.sparkSession)
     out = pages.select("page_id", "url", extracted(F.col("html")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.store import free_name, stored
+from muster.llm.store import free_name, small_batches, stored
 from muster.llm.textwords import WHITE, hashed_docs, ngrams
 
 WINDOW = 5
@@ -143,12 +143,14 @@ def verdicts(measured: DataFrame, m: str) -> DataFrame:
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     measured = stored(docs.select("doc_id", "lang", "source", counts(F.col("text")).alias("m")), "counts")
     return verdicts(measured, "m").select("doc_id", *[F.col(f"m.{c}").alias(c) for c in _COUNTS], "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay.  Texts are measured twice, not shuffled or stored."""
+    small_batches(docs.sparkSession)
     m = free_name(docs, "m")
     measured = docs.withColumn(m, counts(F.col("text")))
     names = [F.col(f"`{c}`") for c in docs.columns]

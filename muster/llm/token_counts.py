@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, processors
 
-from muster.llm.store import stored, with_row_id
+from muster.llm.store import small_batches, stored, with_row_id
 
 HUGE, CHUNK, OVERLAP, MARGIN = 65_536, 32_768, 512, 64
 #: Pieces in each of the two generations that a worker remembers, and the longest of them.
@@ -161,6 +161,7 @@ def huge_counts(docs: DataFrame, path: str) -> DataFrame:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for ``docs`` (a stored table)."""
+    small_batches(docs.sparkSession)
     rows = with_row_id(docs.select("doc_id", "text"), "row")
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     huge = F.length("text") > HUGE
