@@ -11,9 +11,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bits of a row id that number the rows of one file.
+FILE_BITS = 40
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's checkpoint folder."""
@@ -47,10 +51,23 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Adds a row number that is the same whenever a stored table is read again.
 
-    ``df`` must come straight from a stored table (no shuffle above the scan):
-    then a row's file split and place in it do not change between two reads.
+    The number is made of the place of the row's file among the files of the
+    table, sorted by path, and the row's place in it.  So it does not depend on
+    how a read packs files into partitions, which changes with the cores that are
+    registered when a job is planned.  What is not read from files gets its
+    numbers in a copy that is written once.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    path, at = free_name(df, "_path"), free_name(df, "_at")
+    try:
+        file = df.metadataColumn("_metadata")
+        placed = df.select("*", file["file_path"].alias(path), file["row_index"].alias(at))
+        placed.schema  # not every scan has a row index
+    except AnalysisException:
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    # a row for each file
+    files = stored(placed.select(path).distinct().select(path, (F.row_number().over(Window.orderBy(path)) - 1).cast("long").alias(name)), "files")
+    numbered = placed.join(F.broadcast(files), path)
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft(name, FILE_BITS) + F.col(at)).alias(name))
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
