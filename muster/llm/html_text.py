@@ -9,7 +9,9 @@ its own container, else of those in its section; good wins between equally
 near ones.  Where a page marks its article, blocks outside it do not reach in.
 
 Defined results: a null or empty page, or one without good blocks, gives the
-empty string.  Unclosed tags are closed by the next block or by their parent.
+empty string.  Unclosed tags are closed by the next block or by their parent; a
+head also by ``<body>``, text or a tag that cannot stand in it, and a drawing
+(svg, math) by any tag of the page's text.
 Repeated pages are extracted each.
 """
 
@@ -41,10 +43,20 @@ LONG, SHORT, MANY_STOP, FEW_STOP, LINKED = 120, 60, 0.25, 0.10, 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(script|style|template|noscript|svg|iframe|object|math|canvas|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|"
+    r"<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|"
     r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+#: Elements whose content is no text of the page.
+_SILENT = frozenset("head template noscript svg iframe object math canvas".split())
+_SILENT_END = re.compile(r"</(template|noscript|svg|iframe|object|math|canvas)\b", re.I)
+#: What may stand in a head, and what ends an open svg or math element.
+_IN_HEAD = frozenset("html head title base basefont bgsound link meta noframes noscript script style template".split())
+_ENDS_DRAWING = frozenset(
+    """b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small
+    span strong strike sub sup table tt u ul var article section main header footer nav aside form figure""".split()
+)
+_HTML_IN_DRAWING = frozenset("foreignobject desc title annotation-xml".split())
 _BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td textarea
@@ -107,7 +119,8 @@ def blocks_of(page: str) -> list[Block]:
     """Non-empty blocks in page order; section counts articles, 0 outside them."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int, int]] = []  # tag, bad, section, box
-    bad, section, box, boxes, articles, links = False, 0, 0, 0, 0, 0
+    bad, section, box, boxes, articles, links, silent = False, 0, 0, 0, 0, 0, 0
+    lasts: dict[str, int] | None = None
     block = Block(False, 0)
 
     def close() -> None:
@@ -119,13 +132,38 @@ def blocks_of(page: str) -> list[Block]:
         block = Block(bad, section, box)
 
     def pop() -> str:
-        nonlocal bad, section, box, links
+        nonlocal bad, section, box, links, silent
         tag = stack.pop()[0]
         bad, section, box = stack[-1][1:] if stack else (False, 0, 0)
         links -= tag == "a"
+        silent -= tag in _SILENT
         return tag
 
+    def never_ends(tag: str, at: int) -> bool:
+        nonlocal lasts
+        if lasts is None:
+            lasts = {m[1].lower(): m.start() for m in _SILENT_END.finditer(page)}
+        return lasts.get(tag, -1) < at
+
+    def leave(tag: str, at: int) -> None:
+        """Ends the outermost silent element if the start of ``tag`` cannot stand in it."""
+        i = next(k for k, e in enumerate(stack) if e[0] in _SILENT)
+        outer, inner = stack[i][0], [e[0] for e in stack[i + 1 :]]
+        if outer == "head":
+            held = any(t in ("noscript", "template") and not never_ends(t, at) for t in inner)
+            ends = tag == "body" or tag not in _IN_HEAD and not held
+        elif outer in ("svg", "math"):
+            ends = tag in _ENDS_DRAWING and (never_ends(outer, at) or not _HTML_IN_DRAWING.intersection(inner))
+        else:
+            ends = tag in _BLOCK and never_ends(outer, at)
+        while ends and len(stack) > i:
+            pop()
+
     def add(text: str) -> None:
+        if silent:
+            if not (stack[-1][0] == "head" and text.strip()):
+                return
+            pop()  # text cannot stand in a head
         if text:
             block.parts.append(text)
             if links:
@@ -137,12 +175,26 @@ def blocks_of(page: str) -> list[Block]:
         end = m.end()
         tag = m[3]
         if tag is None:
-            if m[1] and m[1].lower() == "head":
-                close()
-            elif m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA["):
                 add(html.escape(m[0][9:-3]))
             continue
         tag = tag.lower()
+        if silent and not m[2]:
+            leave(tag, end)
+        if silent:
+            inner = next(k for k, e in enumerate(stack) if e[0] in _SILENT) + 1
+            if not m[2]:
+                if tag not in _VOID and not m[4].rstrip().endswith("/") and tag not in ("html", "head"):
+                    stack.append((tag, bad, section, box))
+                    links += tag == "a"
+                    silent += tag in _SILENT
+                continue
+            if any(t == tag for t, *_ in stack[inner:]):
+                while pop() != tag:
+                    pass
+                continue
+            if tag not in [t for t, *_ in stack]:
+                continue
         if m[2]:
             if tag in _BLOCK:
                 close()
@@ -169,7 +221,15 @@ def blocks_of(page: str) -> list[Block]:
                     pop()
             while stack and stack[-1][0] in _ENDS.get(tag, ()):
                 pop()
-        if tag in _VOID or m[4].rstrip().endswith("/") and tag not in _BLOCK:
+        if tag in _VOID or m[4].rstrip().endswith("/") and tag not in _BLOCK and (tag not in _SILENT or tag in ("svg", "math") or never_ends(tag, end)):
+            continue
+        if tag in _SILENT:
+            if tag == "head":
+                if any(t != "html" for t, *_ in stack):
+                    continue  # a head inside the body is no head
+                close()
+            stack.append((tag, bad, section, box))
+            silent += 1
             continue
         wrong = bad or _is_bad(tag, m[4], section > 0)
         inside = section

@@ -25,6 +25,21 @@ def test_broken_pages():
     assert main_text("<nav>only</nav>") == ""
 
 
+def test_unclosed_elements():
+    for head in ("<head><title>T</title>", "<head><title>T", "<head><meta charset=utf-8><noscript><link href=x></noscript><title>T</title>", "<head><noscript><title>T</title>", "<head/><title>T</title>"):
+        for body in ("<body><article><p>", "<article><p>"):
+            assert main_text(f"<html>{head}{body}{GOOD}") == GOOD, (head, body)
+    assert main_text(f"<head><title>T</title>{GOOD}") == GOOD == main_text(f"<html><head><title>T</title></head><body><head><p>{GOOD}")
+    page = "<article><p>{g} First {icon}second</p><p>{g} third</p></article><div><p>x"
+    for icon in ("<svg class=i />", "<svg><title>no</title><g><path d='M0'/></g></svg>", "<math/>", "<svg><path d=x>", "<iframe src=x></iframe>", "<iframe src=x />", "<noscript><div><p>no</p></div></noscript>",
+                 "<object data=x><p>no</p></object>", "<canvas>no</canvas>", "<template><li>no<li>no</template>", "<svg><foreignObject><div><p>no</p></div></foreignObject></svg>"):
+        lines = main_text(page.format(g=GOOD, icon=icon)).split("\n")
+        assert lines[1] == f"{GOOD} third" and lines[0].startswith(f"{GOOD} First") and "no" not in lines[0].split(), icon
+        assert lines[0].endswith("second") or icon == "<svg><path d=x>", icon
+    for tag in ("svg", "math", "iframe", "object", "canvas", "template", "noscript"):
+        assert main_text(f"<article><p>{GOOD}</p><{tag}><p>{GOOD} third</article>").split("\n") == [GOOD, f"{GOOD} third"], tag
+
+
 def test_table(spark):
     rows = [(1, "u", f"<article><p>{GOOD}</p></article>"), (1, "u", f"<article><p>{GOOD}</p></article>"), (2, None, None), (None, "v", ""), (3, "w", f"<article><p>{GOOD} " + "words of the text " * 50_000 + "</p></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
