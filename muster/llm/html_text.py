@@ -6,7 +6,9 @@ is one made of links; long blocks with many stop words are good, long ones
 without are bad; the rest is ambiguous.  Second pass: an ambiguous block takes
 the label of the nearest decided blocks, first of those judged by their text in
 its own container, else of those in its section; good wins between equally
-near ones.  Where a page marks its article, blocks outside it do not reach in.
+near ones.  An article that a page marks is preferred if it holds most of the
+good text: then blocks outside it stay only if they are long and good by text
+themselves, and blocks in it that have few stop words count as ambiguous.
 
 Defined results: a null or empty page, or one without good blocks, gives the
 empty string.  Unclosed tags are closed by the next block or by their parent; a
@@ -253,19 +255,33 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def _ruled_out(b: Block) -> bool:
+    return b.bad or b.link_chars > LINKED * len(b.text)
+
+
 def _decide(b: Block) -> bool | None:
-    if b.bad:
+    if _ruled_out(b):
         return False
     n = len(b.text)
-    if b.link_chars > LINKED * n:
-        return False
     if b.heading or n < SHORT:
         return None
     words = _WORD.findall(b.text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if density >= MANY_STOP or n >= LONG and density >= FEW_STOP:
         return True
-    return False if n >= LONG and not b.section else None
+    return False if n >= LONG else None
+
+
+def _article_preferred(blocks: list[Block]) -> bool:
+    """Whether the marked article holds most of the good text of labelled ``blocks``.
+
+    One without good text, as in a language whose stop words are not known, is
+    weighed by its long blocks.
+    """
+    inside = sum(len(b.text) for b in blocks if b.section and b.label)
+    outside = sum(len(b.text) for b in blocks if not b.section and b.label)
+    inside = inside or sum(len(b.text) for b in blocks if b.section and len(b.text) >= LONG and not _ruled_out(b))
+    return inside > outside or not outside and any(b.section and not b.bad for b in blocks)
 
 
 def _nearest(labels: list[bool | None], groups: list[int]) -> list[bool | None]:
@@ -285,11 +301,16 @@ def _nearest(labels: list[bool | None], groups: list[int]) -> list[bool | None]:
 
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
-    if any(b.section and not b.bad for b in blocks):  # the page marks its article
-        for b in blocks:
-            b.bad = b.bad or not b.section
     for b in blocks:
         b.label = _decide(b)
+    preferred = _article_preferred(blocks)
+    if preferred:
+        for b in blocks:
+            if not b.section:
+                b.label = b.label is True and len(b.text) >= LONG
+                b.bad = not b.label
+            elif not b.label and not _ruled_out(b):
+                b.label = None
     by_text = [None if b.bad else b.label for b in blocks]
     in_box = _nearest(by_text, [b.box for b in blocks])
     # inside an article, what its containers rule out says nothing about the text beside it
@@ -298,7 +319,7 @@ def main_text(page: str) -> str:
         if b.label is None:
             b.label = in_box[i] if in_box[i] is not None else in_section[i]
             if b.label is None:  # an article of short blocks only is still an article
-                b.label = b.section > 0
+                b.label = preferred and b.section > 0
     return "\n".join(b.text for b in blocks if b.label)
 
 

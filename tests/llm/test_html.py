@@ -40,6 +40,20 @@ def test_unclosed_elements():
         assert main_text(f"<article><p>{GOOD}</p><{tag}><p>{GOOD} third</article>").split("\n") == [GOOD, f"{GOOD} third"], tag
 
 
+def test_article_is_one_feature():
+    long = [f"{GOOD} This is the part of it that has the number {i}." for i in range(6)]
+    plain = "<div>" + "".join(f"<p>{x}</p>" for x in long) + "</div>"
+    card = "<article><p>This is a quote of the one who is in the story and more of it.</p></article>"
+    assert main_text(f"<body>{card}{plain}").split("\n")[-6:] == long
+    junk = "<p>" + "Zkr Blo Mnx Wqe " * 20 + "</p>"
+    assert main_text(f"<body><article>{junk}</article><div>{'<p>' + 5 * GOOD + '</p>'}</div>").split("\n") == [5 * GOOD]
+    # an article with most of the good text: outside it only what is long and good stays
+    page = f"<body><p>This is the one for you and me, and it is in the shop.</p><p>{GOOD} extra of the page</p><article>{plain}{junk}</article><p>Short.</p>{junk}"
+    assert main_text(page).split("\n") == [f"{GOOD} extra of the page", *long, ("Zkr Blo Mnx Wqe " * 20).strip()]
+    other = "Это длинный текст статьи на языке без списка частых слов. " * 6  # longer than the notice in a known language
+    assert main_text(f"<div><p>{GOOD} cookies in use</p></div><article><p>{other}</p></article>").split("\n")[-1] == other.strip()
+
+
 def test_table(spark):
     rows = [(1, "u", f"<article><p>{GOOD}</p></article>"), (1, "u", f"<article><p>{GOOD}</p></article>"), (2, None, None), (None, "v", ""), (3, "w", f"<article><p>{GOOD} " + "words of the text " * 50_000 + "</p></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
