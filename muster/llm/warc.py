@@ -11,8 +11,10 @@ Defined results: without an earlier response the verdict is ``no_response``;
 with a validator that differs ``mismatch``; where no validator is on both sides
 ``no_validator``; else ``resolved``.  Only a resolved revisit gets headers.  Of
 responses at one time the one with the largest id counts as latest.  A null URL
-or time never matches.  Repeated revisits are resolved each.  Columns other
-than those named are carried along.  Empty tables give empty results.
+or time never matches.  Repeated revisits are resolved each and stay as many as
+they were.  Of responses with one id, URL and time the one with the largest
+digest, then the largest sorted headers, counts (null is smallest).  Columns
+other than those named are carried along.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -64,8 +66,17 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
+def _responses(records: DataFrame, *more: str) -> DataFrame:
+    """response_id, _key, response_at, _digest, _kept and ``more``: one row for each id, URL and time."""
+    entries = F.array_sort(F.map_entries("headers"))
+    best = F.max(F.struct(F.col("digest").alias("_digest"), entries.alias("_kept"), *more)).alias("best")
+    out = records.where("kind = 'response' AND at IS NOT NULL").groupBy(
+        F.col("record_id").alias("response_id"), canonical_url(F.col("url")).alias("_key"), F.col("at").alias("response_at")).agg(best)
+    return out.select("response_id", "_key", "response_at", "best._digest", F.map_from_entries("best._kept").alias("_kept"), *[f"best.{c}" for c in more])
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Every revisit of ``records`` with response_id, verdict and merged headers.
+    """Every revisit of ``records`` with response_id, response_at, verdict and merged headers.
 
     ``records`` (stored): record_id, kind (``response`` or ``revisit``), url,
     at (long, any unit), headers (map, names in lower case), digest.
@@ -82,11 +93,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     ends = stored(ends.withColumn("far", F.max("end").over(earlier)).where("far IS NOT NULL").select("key", "piece", "far"), "ends")
     here = here.drop("kind").join(ends, ["key", "piece"], "left")
-    found = here.select("record_id", F.coalesce("near.record_id", "far.record_id").alias("response_id"))
+    # rows that share all three have the same response
+    found = here.groupBy("record_id", F.col("key").alias("_key"), "at").agg(F.max(F.coalesce("near", "far")).alias("response"))
+    found = found.select("record_id", "_key", "at", F.col("response.record_id").alias("response_id"), F.col("response.at").alias("response_at"))
 
-    responses = records.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("_kept"), F.col("digest").alias("_digest"))
-    names = [c for c in records.columns if c not in ("kind", "headers", "response_id", "verdict")]
-    out = records.where("kind = 'revisit'").join(found, "record_id", "left").join(responses, "response_id", "left")
+    names = [c for c in records.columns if c not in ("kind", "headers", "response_id", "response_at", "verdict")]
+    revisits = records.where("kind = 'revisit'").select(*[F.col(f"`{c}`") for c in names], "headers", canonical_url(F.col("url")).alias("_key"))
+    out = revisits.join(found, ["record_id", "_key", "at"], "left").join(_responses(records), ["response_id", "_key", "response_at"], "left")
     same = F.coalesce(
         _compare(_weak(F.col("headers")["etag"]), _weak(F.col("_kept")["etag"])),
         _compare(F.col("headers")["last-modified"], F.col("_kept")["last-modified"]),
@@ -94,14 +107,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     )
     verdict = F.when(F.col("response_id").isNull(), "no_response").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("mismatch")
     return out.withColumn("verdict", verdict).select(
-        *names, "response_id", "verdict", F.when(F.col("verdict") == "resolved", merged_headers(F.col("_kept"), F.col("headers"))).alias("headers")
+        *[F.col(f"`{c}`") for c in names], "response_id", "response_at", "verdict", F.when(F.col("verdict") == "resolved", merged_headers(F.col("_kept"), F.col("headers"))).alias("headers")
     )
 
 
 def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
     """``resolved`` with the ``body`` of each resolved revisit's response."""
-    bodies = records.where("kind = 'response'").select(F.col("record_id").alias("response_id"), "body")
-    return resolved.join(bodies, "response_id", "left").withColumn("body", F.when(F.col("verdict") == "resolved", F.col("body")))
+    columns = [F.col(f"`{c}`") for c in resolved.columns if c != "body"]
+    bodies = _responses(records, "body").drop("_digest", "_kept")
+    out = resolved.select(*columns, canonical_url(F.col("url")).alias("_key")).join(bodies, ["response_id", "_key", "response_at"], "left")
+    return out.select(*columns, F.when(F.col("verdict") == "resolved", F.col("body")).alias("body"))
 
 
 def warc_bytes(record: dict) -> bytes:

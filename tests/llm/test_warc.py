@@ -46,6 +46,27 @@ def test_resolution_by_hand(spark, tmp_path, monkeypatch):
     assert warc.resolve_revisits(spark.read.parquet(path).limit(0)).count() == 0
 
 
+def test_repeated_rows(spark, tmp_path):
+    tag = lambda t: {"etag": t}
+    rows = [
+        (1, "response", "http://a/", 10, tag('"1"'), "d", b"one"), (1, "response", "http://a/x", 30, tag('"9"'), "d", b"other URL"), (1, "response", "http://a/", 20, tag('"2"'), "d", b"two"),
+        (7, "revisit", "http://a/", 15, tag('"1"'), None, None), (7, "revisit", "http://a/", 25, tag('"2"'), None, None), (7, "revisit", "http://a/x", 25, tag('"9"'), None, None),
+        (8, "revisit", "http://a/x", 35, tag('"9"'), None, None), (9, "revisit", None, 25, tag('"2"'), None, None),
+    ]
+    want = [(7, 15, 1, 10, "resolved", b"one"), (7, 25, None, None, "no_response", None), (7, 25, 1, 20, "resolved", b"two"), (8, 35, 1, 30, "resolved", b"other URL"), (9, 25, None, None, "no_response", None)]
+    for times in (1, 2, 3):
+        path = f"{tmp_path}/log{times}"
+        spark.createDataFrame(rows * times, SCHEMA + ", body binary").repartition(3).write.parquet(path)
+        log = spark.read.parquet(path)
+        out = warc.with_bodies(warc.resolve_revisits(log.drop("body")), log).collect()
+        got = [(r["record_id"], r["at"], r["response_id"], r["response_at"], r["verdict"], r["body"] and bytes(r["body"])) for r in out]
+        assert sorted(got, key=repr) == sorted(want * times, key=repr)
+    # of unequal rows with one id, URL and time the largest digest and headers count
+    rows = [(1, "response", "http://a/", 10, {"x": x}, d) for x, d in (("a", "d"), ("b", "d"), ("z", "c"), ("y", None))] + [(2, "revisit", "http://a/", 15, None, "d")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/ties")
+    assert [r["headers"] for r in warc.resolve_revisits(spark.read.parquet(f"{tmp_path}/ties")).collect()] == [{"x": "b"}]
+
+
 def test_files_round_trip(spark, tmp_path):
     records = [
         {"record_id": "urn:1", "kind": "response", "url": "http://a/", "date": "2026-01-01T00:00:00Z", "headers": {"ETag": '"1"'}, "body": b"x\r\n\r\nWARC/1.1\r\n" * 3, "digest": "sha1:A"},
