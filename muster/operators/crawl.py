@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pieces of time into which a key's events fall, so that no key is one task's work.
+PIECES = 256
+
 
 def match_participants(details: DataFrame) -> DataFrame:
     """Participants of match documents (match_id, participants array<struct>), with
@@ -133,18 +140,46 @@ def admitted(events: DataFrame, key: str, most: int = 5, seconds: int = 120) ->
     """``events`` (event_id, key, ts) with whether each is let in: at most ``most`` of a key
     in ``seconds``, where refused ones do not count.
 
-    The state is the times of the last admissions, so a key's events fold inside
-    one expression, in order of time.
+    Events are cut into sessions, which start after a gap of ``seconds`` or more, as
+    no admission is remembered there.  Sessions are found in pieces of time, so no
+    key is one task's work; each is then a stream in order of time that holds the
+    times of the last ``most`` admissions only.  Events without a time are let in.
     """
     micros = seconds * 1_000_000
-    e = events.select(key, F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id").alias("e"))
-    rows = e.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    start = F.struct(F.array().cast("array<bigint>").alias("inside"), F.array().cast("array<bigint>").alias("let_in"))
-
-    def step(acc, x):
-        recent = F.filter(acc["inside"], lambda t: t > x["t"] - micros)
-        ok = F.size(recent) < most
-        return F.struct(F.when(ok, F.array_append(recent, x["t"])).otherwise(recent).alias("inside"), F.when(ok, F.array_append(acc["let_in"], x["event_id"])).otherwise(acc["let_in"]).alias("let_in"))
-
-    done = rows.withColumn("let_in", F.aggregate("es", start, step, lambda acc: acc["let_in"]))
-    return done.select(key, F.explode("es").alias("e"), "let_in").select(key, "e.event_id", F.array_contains("let_in", F.col("e.event_id")).alias("admitted"))
+    e = events.select(F.col(key).alias("k"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    lo, hi = e.agg(F.min("t"), F.max("t")).first()
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // PIECES))
+    e = e.withColumn("piece", F.floor((F.col("t") - F.lit(lo or 0)) / width).cast("int"))
+    inside = Window.partitionBy("k", "piece").orderBy("t", "event_id")
+    earlier = Window.partitionBy("k").orderBy("piece")  # a row for each piece of a key
+
+    # where sessions start: after a gap inside a piece, or between a piece and the one before
+    spans = e.groupBy("k", "piece").agg(F.min("t").alias("first"), F.max("t").alias("last")).withColumn("before", F.lag("last").over(earlier))
+    gap = lambda at, before: F.when(before.isNull() | (at - before >= micros), at)
+    step = e.withColumn("start", F.when(F.col("t") - F.lag("t").over(inside) >= micros, F.col("t")))
+    own = step.groupBy("k", "piece").agg(F.max("start").alias("late"))
+    heads = spans.join(own.select(F.col("k").alias("k_"), F.col("piece").alias("piece_"), "late"), F.col("k").eqNullSafe(F.col("k_")) & F.col("piece").eqNullSafe(F.col("piece_")))
+    heads = heads.withColumn("head", gap(F.col("first"), F.col("before")))
+    heads = heads.withColumn("carried", F.max(F.coalesce("late", "head")).over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
+    heads = heads.select("k_", "piece_", F.coalesce("head", "carried").alias("open"))
+    so_far = F.max("start").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    e = step.withColumn("so_far", so_far).join(heads, F.col("k").eqNullSafe(F.col("k_")) & F.col("piece").eqNullSafe(F.col("piece_")))
+    e = e.select("k", F.coalesce("so_far", "open").alias("session"), "t", "event_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, deque(maxlen=most)
+        for batch in batches:
+            out = []
+            for k, session, t in zip(*(batch.column(c).to_pylist() for c in ("k", "session", "t"))):
+                if (k, session) != at:
+                    at = k, session
+                    last.clear()
+                ok = t is None or most > 0 and (len(last) < most or last[0] <= t - micros)
+                if ok and t is not None:
+                    last.append(t)
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("event_id"), pa.array(out, pa.bool_())], [key, "event_id", "admitted"])
+
+    types = dict(events.dtypes)
+    placed = e.repartition("k", "session").sortWithinPartitions("k", "session", "t", "event_id")
+    return placed.mapInArrow(run, f"`{key}` {types[key]}, event_id {types['event_id']}, admitted boolean")

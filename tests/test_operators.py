@@ -95,6 +95,25 @@ def test_admission(spark):
         inside[u] = recent + [t] if len(recent) < 5 else recent
 
 
+def test_admission_in_sessions_and_pieces(spark, monkeypatch):
+    rng = random.Random(16)
+    for pieces, most, spread in ((1, 3, 9000), (7, 2, 60_000), (400, 3, 9000)):
+        monkeypatch.setattr(crawl, "PIECES", pieces)
+        rows = [(i, rng.choice([1, 1, 1, 1, 2, None]), rng.randrange(spread) if i % 60 else None) for i in range(600)] + [(1000 + i, 3, 120 * i) for i in range(9)]
+        df = spark.createDataFrame(rows, "event_id long, user_id long, t long").select("event_id", "user_id", F.timestamp_seconds("t").alias("ts"))
+        out = crawl.admitted(df, "user_id", most)
+        plan = out._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "MapInArrow" in plan  # no array of all events of a user
+        got = {r["event_id"]: (r["user_id"], r["admitted"]) for r in out.collect()}
+        assert len(got) == len(rows)
+        inside = {}
+        for i, u, t in sorted(rows, key=lambda r: (r[2] is not None, r[2], r[0])):
+            recent = [x for x in inside.get(u, []) if t is not None and x > t - 120]
+            assert got[i] == (u, t is None or len(recent) < most)
+            if t is not None:
+                inside[u] = recent + [t] if len(recent) < most else recent
+
+
 def test_rating_update_agrees_with_replay(spark):
     rng = random.Random(7)
     rows, packs = [], []
