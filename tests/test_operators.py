@@ -152,6 +152,40 @@ def test_replay_recovers_skill_whatever_the_order_of_rows(spark):
     assert np.corrcoef([skill[p] for p in a], [a[p] for p in a])[0, 1] > 0.8
 
 
+def test_replay_is_a_stream_of_matches(spark):
+    rng = random.Random(18)
+    packs = []
+    for m in range(240):
+        people = rng.sample(range(30), 6)
+        pool = "ABC"[m % 3]
+        packs.append((f"{pool}_{m:04}", m // 2, [p + 100 * (m % 3) for p in people], [k // 2 for k in range(6)], [rng.randrange(1, 5) for _ in range(3) for _ in range(2)]))
+    packs.append(("D_1", 5, [900], [0], [1]))  # no opponents
+    schema = "match_id string, game_creation long, players array<int>, subteams array<int>, placements array<int>"
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "7")
+    try:
+        out = ratings.replay(spark.createDataFrame(packs, schema))
+        assert "InPandas" not in out._jdf.queryExecution().toString()  # no pool in one frame
+        got = {r["player_id"]: tuple(r)[1:] for r in out.collect()}
+    finally:
+        spark.conf.unset(key)
+    mu, games, wins = {}, {}, {}
+    for k in range(ratings.PASSES):
+        sigma = {}
+        for _, _, players, teams, places in sorted(packs, key=lambda r: (r[1], r[0])):
+            if len(players) < 2:
+                continue
+            sides = [[p for p, t in zip(players, teams) if t == x] for x in range(3)]
+            place = [places[2 * x] for x in range(3)]
+            after = ratings.rate([[(mu.get(p, ratings.MU), sigma.get(p, ratings.SIGMA)) for p in s] for s in sides], place)
+            for side, values, q in zip(sides, after, place):
+                for p, (m, s) in zip(side, values):
+                    mu[p], sigma[p] = m, s
+                    if k == 0:
+                        games[p], wins[p] = games.get(p, 0) + 1, wins.get(p, 0) + (q == 1)
+    assert {p: v[:4] for p, v in got.items()} == {p: (mu[p], sigma[p], games[p], wins[p]) for p in mu}
+
+
 def snapshot(spark, docs):
     import json
 
