@@ -11,10 +11,10 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, CAST(count(*) OVER
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d"""
 
-_MARGINS = {"word_length": 4.0, "symbols": 0.1, "dup_lines": 0.4, "repeats": 0.15}
-_LEVELS = " UNION ALL ".join(f"SELECT {k} AS level, {keys}, ratio, bin, sum(n) AS n FROM b GROUP BY ALL" for k, keys in (
-    (0, "lang, source"), (1, "lang, NULL AS source"), (2, "NULL AS lang, NULL AS source")))
-_GOOD = " AND ".join(f"(r_{n} <= h_{n}{' AND r_word_length >= l_word_length' if n == 'word_length' else ''})" for n in _MARGINS)
+#: ratio: (count, total, unit), as in the quality rules
+_RATIOS = {"symbols": ("n_symbols", "n_words", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 10)}
+_NAMES = ["word_length", *_RATIOS]
+_GOOD = " AND ".join(f"{c} <= f_{n} * {t} + 3 * sqrt({u} * (f_{n} * {t}) + {u * u})" for n, (c, t, u) in _RATIOS.items())
 QUALITY = f"""
 WITH w AS (
     SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws,
@@ -28,30 +28,38 @@ m AS (
            CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
            CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
     FROM w LEFT JOIN covered c USING (doc_id)),
+k AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 r AS (
     SELECT *, word_chars / n_words AS r_word_length, n_symbols / n_words AS r_symbols, n_dup_lines / n_lines AS r_dup_lines, n_repeat_words / n_words AS r_repeats
-    FROM m WHERE n_words > 0),
-p AS (SELECT lang, source, unnest([{', '.join(f"'{n}'" for n in _MARGINS)}]) AS ratio, unnest([{', '.join(f'r_{n}' for n in _MARGINS)}]) AS x FROM r),
+    FROM k WHERE NOT base_failed),
+p AS (SELECT lang, source, unnest([{', '.join(f"'{n}'" for n in _NAMES)}]) AS ratio, unnest([{', '.join(f'r_{n}' for n in _NAMES)}]) AS x FROM r),
 b AS (SELECT lang, source, ratio, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln(1.02)) AS INTEGER) ELSE -10000 END AS bin, count(*) AS n FROM p GROUP BY ALL),
-l AS ({_LEVELS}),
+grp AS (SELECT DISTINCT lang, source FROM b),
+bl AS (SELECT lang, ratio, bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(sum(n)) OVER (PARTITION BY lang, ratio) AS BIGINT) AS total FROM b GROUP BY lang, ratio, bin),
+ba AS (SELECT ratio, bin, CAST(sum(n) * 100000 AS BIGINT) // CAST(sum(sum(n)) OVER (PARTITION BY ratio) AS BIGINT) AS n FROM b GROUP BY ratio, bin),
+wide AS (
+    SELECT lang, ratio, bin, n * 100000 // (total + 100) AS n FROM bl
+    UNION ALL SELECT lang, ratio, bin, n * 100 // (total + 100) FROM (SELECT DISTINCT lang, total FROM bl), ba),
+pool AS (
+    SELECT lang, source, ratio, bin, sum(n) AS n FROM (
+        SELECT lang, source, ratio, bin, n * 1000 AS n FROM b
+        UNION ALL SELECT g.lang, g.source, ratio, bin, n FROM grp g JOIN wide w ON w.lang IS NOT DISTINCT FROM g.lang) GROUP BY ALL),
 c AS (
-    SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bin) AS upto,
+    SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio) AS total, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bin) AS upto,
            CASE WHEN bin = -10000 THEN 0 ELSE pow(1.02, bin) * (2 / 2.02) END AS v
-    FROM l),
+    FROM pool),
 q AS (
-    SELECT level, lang, source, ratio, max(total) AS total, min(v) FILTER (upto >= total * 0.25) AS q1, min(v) FILTER (upto >= total * 0.5) AS q2, min(v) FILTER (upto >= total * 0.75) AS q3
+    SELECT lang, source, ratio, min(v) FILTER (upto >= total * 0.25) AS q1, min(v) FILTER (upto >= total * 0.5) AS q2,
+           min(v) FILTER (upto >= total * 0.75) AS q3, min(v) FILTER (upto >= total * 0.9) AS high
     FROM c GROUP BY ALL),
-f AS (
-    SELECT a.lang, a.source, a.ratio, CASE WHEN a.total >= 200 THEN a ELSE CASE WHEN b.total >= 200 THEN b ELSE z END END AS s
-    FROM q a JOIN q b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM a.lang AND b.ratio = a.ratio JOIN q z ON z.level = 2 AND z.ratio = a.ratio WHERE a.level = 0),
 t AS (
-    SELECT lang, source, {', '.join(f"max(s.q3 + greatest(6 * (s.q3 - s.q2), {v})) FILTER (ratio = '{n}') AS h_{n}" for n, v in _MARGINS.items())},
-           max(s.q1 - greatest(6 * (s.q2 - s.q1), 4.0)) FILTER (ratio = 'word_length') AS l_word_length
-    FROM f GROUP BY ALL)
-SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_lines, m.n_dup_lines, m.n_repeat_words,
-       m.n_words < 10 OR 100 * m.n_repeat_words > 20 * m.n_words AS base_failed,
-       NOT (m.n_words < 10 OR 100 * m.n_repeat_words > 20 * m.n_words) AND coalesce({_GOOD}, false) AS kept
-FROM m LEFT JOIN r USING (doc_id) LEFT JOIN t ON t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source"""
+    SELECT lang, source, max(q1 / pow(greatest(1.03, q2 / q1, q3 / q2), 6)) FILTER (ratio = 'word_length') AS low,
+           max(q3 * pow(greatest(1.03, q2 / q1, q3 / q2), 6)) FILTER (ratio = 'word_length') AS high,
+           {', '.join(f"max(high + 3 * (high - q2)) FILTER (ratio = '{n}') AS f_{n}" for n in _RATIOS)}
+    FROM q GROUP BY ALL)
+SELECT k.doc_id, k.n_words, k.word_chars, k.n_symbols, k.n_lines, k.n_dup_lines, k.n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(word_chars / n_words >= low AND word_chars / n_words <= high AND {_GOOD}, false) AS kept
+FROM k LEFT JOIN t ON t.lang IS NOT DISTINCT FROM k.lang AND t.source IS NOT DISTINCT FROM k.source"""
 
 JACCARD = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ALPHABET}), {_WORDS}) AS ws FROM documents),

@@ -1,16 +1,25 @@
 """Quality rules whose thresholds follow each language and source.
 
 Every document gets counts of words, symbols, repeated lines and repeated
-five-word windows.  Ratios of these counts go into quantile sketches, one for
-each (language, source): counts in logarithmic bins, whose quantiles are right
-to one percent of the value.  Sketches of equal bins merge by adding, so they
-are an ordinary grouped sum; a group too small to judge uses the sketch of its
-language, or of everything.  Thresholds are fences around the middle half, and
-documents are filtered by a join with them.
+five-word windows.  Ratios of these counts, of documents that pass the base
+rule, go into quantile sketches, one for each (language, source): counts in
+logarithmic bins, whose quantiles are right to one percent of the value.
+Sketches of equal bins merge by adding, so they are an ordinary grouped sum.
+Each group's sketch is pooled with that of its language, which weighs as much as
+PRIOR documents, and a language's with that of everything, so that a group of few
+documents follows the wider ones and a large group its own, without a size at
+which that changes.
+
+Thresholds are fences: for the mean length of words, a ratio of quartiles to a
+power beyond the quartiles on both sides; for the other ratios, upper quantiles
+with the distance from the median added, and what chance adds to the counts of
+one document (a standard deviation of clumps of ``unit``, SLACK times).
+Documents are filtered by a join with the fences.
 
 Defined results: a null or empty text has no words, so the base rule rejects
 it.  Null languages and sources are groups of their own.  Each repeated row is
-judged alike.  An empty table gives an empty result.
+judged alike.  Extra columns are carried along whatever their names.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +41,16 @@ _NOT_CHARS = WHITE + bytes(range(0x80, 0xC0))
 _GAMMA = 1.02
 #: Bin of the value 0, below that of any ratio that occurs.
 _ZERO_BIN = -10_000
-#: Documents that a group needs for thresholds of its own.
-MIN_GROUP = 200
-#: Ratio: (least distance of the fences from the quartiles, fenced below too).
-RATIOS = {"word_length": (4.0, True), "symbols": (0.1, False), "dup_lines": (0.4, False), "repeats": (0.15, False)}
-#: Fences stand at so many times the distance from median to quartile.
-REACH = 6.0
+#: Documents that the wider sketch counts for in a narrower one.
+PRIOR = 100
+#: Sketch counts are whole numbers of 1 / SCALE documents.
+SCALE = 1000
+#: The low and high fence of a word's mean length: the quartile ratio, SPREAD at least, to this power beyond the quartiles.
+REACH, SPREAD = 6.0, 1.03
+#: The other ratios: (count, total, unit: how much of the count comes at once).
+RATIOS = {"symbols": ("n_symbols", "n_words", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 2 * WINDOW)}
+#: Their fence: the UPPER quantile, and so many times its distance from the median; and standard deviations of one document's counts.
+UPPER, STRETCH, SLACK = 0.9, 3.0, 3.0
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
@@ -77,81 +90,86 @@ def counts(text: F.Column) -> F.Column:
     return measure(text.cast("binary"))
 
 
-def _ratios(m: F.Column) -> dict[str, F.Column]:
-    over = lambda a, b: F.when(m[b] > 0, m[a] / m[b]).otherwise(0.0)
-    return {"word_length": over("word_chars", "n_words"), "symbols": over("n_symbols", "n_words"),
-            "dup_lines": over("n_dup_lines", "n_lines"), "repeats": over("n_repeat_words", "n_words")}
+def base_failed(m: F.Column) -> F.Column:
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
 def sketches(measured: DataFrame, m: str) -> DataFrame:
-    """lang, source, ratio, bin, n: the mergeable sketches of documents with words."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("x")) for k, v in _ratios(F.col(m)).items()])
-    rows = measured.where(F.col(m)["n_words"] > 0).select("lang", "source", F.explode(pairs).alias("p"))
+    """lang, source, ratio, bin, n: the mergeable sketches of documents that pass the base rule."""
+    c = F.col(m)
+    over = lambda a, b: F.when(c[b] > 0, c[a] / c[b]).otherwise(0.0)
+    ratios = {"word_length": ("word_chars", "n_words"), **{k: (a, b) for k, (a, b, _) in RATIOS.items()}}
+    pairs = F.array(*[F.struct(F.lit(k).alias("ratio"), over(a, b).alias("x")) for k, (a, b) in ratios.items()])
+    rows = measured.where(~base_failed(c)).select("lang", "source", F.explode(pairs).alias("p"))
     bin_ = F.when(F.col("p.x") > 0, F.ceil(F.log("p.x") / math.log(_GAMMA))).otherwise(_ZERO_BIN).cast("int")
     return rows.groupBy("lang", "source", F.col("p.ratio").alias("ratio"), bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """q1, q2, q3 and total of each group of merged sketches."""
+def quantiles(sketch: DataFrame, keys: list[str], ps: dict[str, float]) -> DataFrame:
+    """Quantiles ``ps`` (by name) of each group of merged sketches."""
     merged = sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "ratio")
     merged = merged.withColumn("total", F.sum("n").over(group)).withColumn("upto", F.sum("n").over(group.orderBy("bin")))
     value = F.when(F.col("bin") == _ZERO_BIN, 0.0).otherwise(F.pow(F.lit(_GAMMA), F.col("bin")) * (2 / (1 + _GAMMA)))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("v")))
-    return merged.withColumn("v", value).groupBy(*keys, "ratio").agg(
-        F.max("total").alias("total"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3")
-    )
-
-
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row for each (lang, source): the fences of every ratio as low_x and high_x."""
-    stages = [["lang", "source"], ["lang"], []]
-    groups = sketch.select("lang", "source", "ratio").distinct()
-    for k, keys in enumerate(stages):
-        q = _quartiles(sketch, keys).select(
-            *[F.col(c).alias(f"_{c}") for c in keys], F.col("ratio").alias("_ratio"),
-            F.struct("total", "q1", "q2", "q3").alias(f"s{k}"),
-        )
-        same = F.col("ratio") == F.col("_ratio")
-        for c in keys:
-            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        groups = groups.join(q, same, "left").drop("_ratio", *[f"_{c}" for c in keys])
-    q = F.when(F.col("s0.total") >= min_group, F.col("s0")).when(F.col("s1.total") >= min_group, F.col("s1")).otherwise(F.col("s2"))
-    groups = groups.withColumn("q", q)
-    aggs = []
-    for name, (margin, below) in RATIOS.items():
-        q1, q2, q3 = (F.max(F.when(F.col("ratio") == name, F.col(f"q.{x}"))) for x in ("q1", "q2", "q3"))
-        aggs.append((q3 + F.greatest(REACH * (q3 - q2), F.lit(margin))).alias(f"high_{name}"))
-        if below:
-            aggs.append((q1 - F.greatest(REACH * (q2 - q1), F.lit(margin))).alias(f"low_{name}"))
-    return groups.groupBy("lang", "source").agg(*aggs)
-
-
-def verdicts(measured: DataFrame, m: str) -> DataFrame:
-    """``measured`` with base_failed and kept."""
-    fences = stored(thresholds(sketches(measured, m)), "fences")
-    fences = fences.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[c for c in fences.columns if c not in ("lang", "source")])
-    c = F.col(m)
-    base = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
-    good = F.lit(True)
-    for name, x in _ratios(c).items():
-        good = good & (x <= F.col(f"high_{name}"))
-        if RATIOS[name][1]:
-            good = good & (x >= F.col(f"low_{name}"))
-    joined = measured.join(fences, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    return joined.withColumn("base_failed", base).withColumn("kept", ~base & F.coalesce(good, F.lit(False)))
+    return merged.withColumn("v", value).groupBy(*keys, "ratio").agg(*[at(q).alias(name) for name, q in ps.items()])
+
+
+def pooled(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """``sketch`` in 1 / SCALE documents, each group with PRIOR documents more of its
+    language's distribution, which is pooled with everything's in the same way."""
+    of_lang = sketch.groupBy("lang", "ratio", "bin").agg(F.sum("n").alias("n"))
+    of_lang = of_lang.withColumn("total", F.sum("n").over(Window.partitionBy("lang", "ratio")))
+    of_all = sketch.groupBy("ratio", "bin").agg(F.sum("n").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("ratio")))
+    of_all = of_all.select("ratio", "bin", F.expr(f"n * {prior * SCALE} div total").alias("n"))
+    langs = of_lang.select("lang", "total").distinct()
+    # a sketch has some 2,000 bins a ratio at most, however many documents it is of
+    far = langs.crossJoin(of_all).select("lang", "ratio", "bin", F.expr(f"n * {prior} div (total + {prior})").alias("n"))
+    near = of_lang.select("lang", "ratio", "bin", F.expr(f"n * {prior * SCALE} div (total + {prior})").alias("n"))
+    wide = near.unionByName(far).withColumnRenamed("lang", "lang_")
+    groups = sketch.select("lang", "source").distinct()
+    given = groups.join(wide, F.col("lang").eqNullSafe(F.col("lang_"))).drop("lang_")
+    return given.unionByName(sketch.select("lang", "source", "ratio", "bin", (F.col("n") * SCALE).alias("n")))
+
+
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source and one struct of fences for each group."""
+    q = quantiles(pooled(sketch, prior), ["lang", "source"], {"q1": 0.25, "q2": 0.5, "q3": 0.75, "high": UPPER})
+    of = lambda name: {x: F.max(F.when(F.col("ratio") == name, F.col(x))) for x in ("q1", "q2", "q3", "high")}
+    w = of("word_length")
+    reach = F.pow(F.greatest(F.lit(SPREAD), w["q2"] / w["q1"], w["q3"] / w["q2"]), F.lit(REACH))
+    fences = [(w["q1"] / reach).alias("low_word_length"), (w["q3"] * reach).alias("high_word_length")]
+    for name in RATIOS:
+        r = of(name)
+        fences.append((r["high"] + STRETCH * (r["high"] - r["q2"])).alias(name))
+    return q.groupBy("lang", "source").agg(*fences).select("lang", "source", F.struct(*[x for x in ("low_word_length", "high_word_length", *RATIOS)]).alias("fences"))
+
+
+def verdicts(measured: DataFrame, m: str, name: str) -> DataFrame:
+    """``measured`` (stored) with the struct ``name`` of base_failed and kept."""
+    lang, source, fences = (free_name(measured, x) for x in ("_lang", "_source", "_fences"))
+    found = stored(thresholds(stored(sketches(measured, m), "sketches")), "fences").toDF(lang, source, fences)
+    joined = measured.join(found, F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)), "left")
+    c, f = F.col(m), F.col(fences)
+    length = F.try_divide(c["word_chars"], c["n_words"])
+    good = (length >= f["low_word_length"]) & (length <= f["high_word_length"])
+    for ratio, (count, total, unit) in RATIOS.items():
+        usual = f[ratio] * c[total]
+        good = good & (c[count] <= usual + SLACK * F.sqrt(unit * usual + unit * unit))
+    base = base_failed(c)
+    return joined.withColumn(name, F.struct(base.alias("base_failed"), (~base & F.coalesce(good, F.lit(False))).alias("kept"))).drop(lang, source, fences)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     measured = stored(docs.select("doc_id", "lang", "source", counts(F.col("text")).alias("m")), "counts")
-    return verdicts(measured, "m").select("doc_id", *[F.col(f"m.{c}").alias(c) for c in _COUNTS], "base_failed", "kept")
+    return verdicts(measured, "m", "v").select("doc_id", *[F.col(f"m.{c}").alias(c) for c in _COUNTS], "v.base_failed", "v.kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay.  Texts are measured twice, not shuffled or stored."""
+    """The rows of ``docs`` that stay.  They are written once with their counts, so no text is measured twice or shuffled."""
     small_batches(docs.sparkSession)
     m = free_name(docs, "m")
-    measured = docs.withColumn(m, counts(F.col("text")))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return verdicts(measured, m).where("kept").select(*names)
+    measured = stored(docs.withColumn(m, counts(F.col("text"))), "measured")
+    v = free_name(measured, "v")
+    return verdicts(measured, m, v).where(F.col(v)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
