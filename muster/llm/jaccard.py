@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.graph import components
-from muster.llm.store import free_name, small_batches, stored, with_row_id
+from muster.llm.store import free_name, if_small, small_batches, stored, with_row_id
 from muster.llm.textwords import hashed_docs, shingle_set
 
 #: Cells of the table of shingle counts: 2 ** CELL_BITS.
@@ -62,8 +62,6 @@ CELL_BITS = 16
 GROUP = 2000
 #: Points that a region may have to be joined in one task, and those of a block of larger ones.
 BLOCK = 500
-#: Rows of a few numbers up to which a counted side of a join is broadcast (some 10 MB).
-SMALL = 200_000
 _I64 = pa.int64()
 
 
@@ -192,13 +190,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
-def _if_small(rows: DataFrame) -> DataFrame:
-    """The stored narrow ``rows``, broadcast in a join if they are few; else the other side is shuffled as well."""
-    return F.broadcast(rows) if rows.count() <= SMALL else rows
-
-
 def _with_texts(rows: DataFrame, texts: DataFrame, by: str) -> DataFrame:
-    return texts.join(_if_small(rows), by)
+    return texts.join(if_small(rows), by)
 
 
 def _distances(assign: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -238,7 +231,7 @@ def _close(percent: int) -> F.Column:
 
 def _live(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Cells (cell, key, parent) with points of two components at least, one of cells with equal points; with label and size."""
-    named = cells.join(_if_small(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = cells.join(if_small(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
     seen = named.groupBy("cell").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"),
         F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("x"), F.min("key").alias("k0"), F.max("key").alias("k1"),
@@ -261,7 +254,7 @@ def _elect(live: DataFrame, pivots: int, level: int) -> DataFrame:
 
 def _beyond(cells: DataFrame, elected: DataFrame, distances: DataFrame, eps: float) -> DataFrame:
     """cell, key, parent of the points of ``cells`` (cell, key, size) that no pivot of their cell links."""
-    seen = cells.select("cell", "key", "size").join(elected, "cell").join(_if_small(distances.select("key", "pivot", "distance")), ["key", "pivot"], "left")
+    seen = cells.select("cell", "key", "size").join(elected, "cell").join(if_small(distances.select("key", "pivot", "distance")), ["key", "pivot"], "left")
     d = F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0)))
     far = seen.groupBy("cell", "key").agg(F.min(d).alias("d"), F.max("size").alias("parent")).where(F.col("d") > eps - 1e-9)
     return stored(far.select("cell", "key", "parent"), "beyond")

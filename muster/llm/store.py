@@ -2,8 +2,9 @@
 
 Lineage is cut by writing Parquet to the shared folder named in
 ``spark.checkpoint.dir``, so a lost executor costs no recomputation of what
-has been written.  Only when the session names no folder (as in tests) is one
-made for it.
+has been written.  Only a session of one machine that names no folder (as in
+tests) gets one made; on a cluster that is an error.  Results read what is
+written here, so it stays until the owner of the folder clears it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ from pyspark.sql import functions as F
 
 #: Bits of a row id that number the rows of one file.
 FILE_BITS = 40
+#: Rows of a few numbers, or of one path, up to which a counted side of a join is broadcast (some 10 MB).
+SMALL = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/muster-{uuid.uuid4().hex}"
@@ -64,12 +69,16 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
         placed.schema  # not every scan has a row index
     except AnalysisException:
         return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
-    # a row for each file
     files = stored(placed.select(path).distinct().select(path, (F.row_number().over(Window.orderBy(path)) - 1).cast("long").alias(name)), "files")
-    numbered = placed.join(F.broadcast(files), path)
+    numbered = placed.join(if_small(files), path)
     return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft(name, FILE_BITS) + F.col(at)).alias(name))
 
 
+def if_small(rows: DataFrame) -> DataFrame:
+    """The stored narrow ``rows``, broadcast in a join if they are few; else the other side is shuffled as well."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores where ``df`` has that column already."""
     taken = {c.lower() for c in df.columns}
