@@ -18,12 +18,15 @@ from __future__ import annotations
 import string
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm.store import free_name, shared_dir, stored, with_row_id
 
 _LEAST = -(2**63)
+#: Digests for which a bucket is made, and the fewest buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 64
 
 
 def normalised(text) -> F.Column:
@@ -36,35 +39,85 @@ def normalised(text) -> F.Column:
     return F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, string.ascii_uppercase, string.ascii_lowercase))
 
 
+_ROW = "digest BINARY, keep_id BIGINT, keep_row BIGINT, group_size BIGINT, batch STRING"
+_LOG = "generation INT, folder STRING, buckets INT"
+
+
 class DigestIndex:
     """Digests seen so far: (digest, keep_id, keep_row, group_size, batch).
 
-    Opening the same path with the same number of buckets in a later session
-    continues the index.
+    A folder below ``path`` holds the table, bucketed and sorted by digest.  The
+    last row of ``log`` names that folder and its number of buckets, so opening
+    the same path later continues the index.  Where each bucket is one file, as
+    after the first batch and after ``compact``, the index side of a join is
+    neither shuffled nor sorted; files that later batches add are sorted bucket
+    by bucket.  A new index gets its buckets from the size of the first batch
+    unless they are given, and an index that outgrows them is compacted into more.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        # the order of buckets of one file is trusted
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.wanted, self.name, self.generation, self.buckets = buckets, None, -1, buckets
+        try:
+            last = spark.read.schema(_LOG).parquet(f"{self.path}/log").orderBy(F.desc("generation")).first()
+        except AnalysisException:
+            last = None
+        if last:
+            if buckets not in (None, last["buckets"]):
+                raise ValueError(f"the index at {path} has {last['buckets']} buckets, not {buckets}; compact() changes them")
+            self._attach(last["generation"], last["folder"], last["buckets"])
+
+    def _attach(self, generation: int, folder: str, buckets: int) -> None:
+        self.close()
+        self.generation, self.folder, self.buckets = generation, folder, buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, keep_row BIGINT, group_size BIGINT, batch STRING) "
-            f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
-        )
+        self.spark.sql(f"CREATE TABLE {self.name} ({_ROW}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{folder}'")
+
+    def _commit(self, generation: int, folder: str, buckets: int) -> None:
+        self.spark.createDataFrame([(generation, folder, buckets)], _LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def _write(self, rows: DataFrame) -> None:
+        """Appends ``rows``; one file for each bucket."""
+        (rows.select("digest", "keep_id", "keep_row", "group_size", "batch").repartition(self.buckets, "digest").write.mode("append").format("parquet")
+         .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+        self.spark.catalog.refreshTable(self.name)
+
+    def ready(self, coming: int) -> None:
+        """Makes the table, or gives it more buckets, for ``coming`` more rows."""
+        need = max(LEAST_BUCKETS, -(-coming // BUCKET_ROWS))
+        if self.name is None:
+            self.buckets = self.wanted or need
+            self._attach(0, f"{self.path}/data0", self.buckets)
+            self._commit(0, self.folder, self.buckets)
+        elif self.rows().count() + coming > 8 * BUCKET_ROWS * self.buckets:
+            self.compact(4 * self.buckets)
+
+    def compact(self, buckets: int | None = None) -> None:
+        """Rewrites the index as one sorted file for each bucket."""
+        rows, generation = self.unbucketed(), self.generation + 1
+        self._attach(generation, f"{self.path}/data{generation}-{uuid.uuid4().hex[:8]}", buckets or self.buckets)
+        self._write(rows)
+        self._commit(generation, self.folder, self.buckets)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def append(self, groups: DataFrame, batch: str) -> None:
-        """Adds the digests that the index lacks; one file for each bucket."""
+        """Adds the digests that the index lacks."""
         fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        fresh = fresh.withColumn("batch", F.lit(batch)).select("digest", "keep_id", "keep_row", "group_size", "batch")
-        (fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet")
-         .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
-        self.spark.catalog.refreshTable(self.name)
+        self._write(fresh.withColumn("batch", F.lit(batch)))
 
     def unbucketed(self) -> DataFrame:
         """The same rows as plain files, so that a join may split hot digests."""
-        return self.spark.read.schema(self.rows().schema).parquet(self.path)
+        return self.spark.read.schema(_ROW).parquet(self.folder)
+
+    def close(self) -> None:
+        """Takes the table out of the catalog; its files stay."""
+        if self.name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            self.name = None
 
 
 def decisions(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -77,6 +130,7 @@ def decisions(docs: DataFrame, index: DigestIndex) -> DataFrame:
         "digests",
     )
     batch = uuid.uuid4().hex
+    index.ready(rows.count())
     groups = rows.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"), F.max_by("row", F.coalesce("doc_id", F.lit(_LEAST))).alias("keep_row"), F.count(F.lit(1)).alias("group_size")
     )
@@ -90,7 +144,9 @@ def decisions(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` (a stored table) that stay, with their columns."""
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, f"{shared_dir(spark)}/index")
+    own = index or DigestIndex(spark, f"{shared_dir(spark)}/index")
     row = free_name(docs, "row")
-    kept = decisions(docs, index).where("kept").select(F.col("row").alias(row))
+    kept = decisions(docs, own).where("kept").select(F.col("row").alias(row))
+    if index is None:
+        own.close()
     return with_row_id(docs, row).join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,6 +15,7 @@ from muster.llm.store import shared_dir, stored, table
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"{shared_dir(spark)}/index")
     rows = exact_dedup.decisions(table(spark, sf_dir, "documents"), index)
+    index.close()
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
