@@ -12,7 +12,9 @@ miss its target by less than one document.
 Defined results: a null or empty text has size 0 and takes 0 words; null is a
 source of its own, last in the order; rows that are equal are rounded as
 separate documents; a source without words has target 0.  An empty table gives
-an empty result.  Results depend on rows and seed only.
+an empty result.  Results depend on the stored table (rows and their places in
+its files) and the seed, not on how it is read.  One row for each source has to
+fit in a task.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from muster.llm.store import free_name, stored, with_row_id
 
 #: Documents in a block of the first level, and blocks that meet in one of the next.
-BLOCK_ROWS, FAN_IN = 2_000, 32
+BLOCK_ROWS, FAN_IN = 500, 32
 _TINY = 1e-12
 _OUT = "row long, doc_id long, source string, size long, source_size long, target double, copies long, fraction double, block long"
 
@@ -126,7 +128,7 @@ def copies(sized: DataFrame, seed: int = 4, **kw) -> DataFrame:
     share = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
     n = sized.count()
     blocks = max(1, n // BLOCK_ROWS)
-    order = F.xxhash64(F.lit(seed), "doc_id", "size")
+    order = F.xxhash64(F.lit(seed), "row")  # equal rows are spread too
     rows = rows.select("row", "doc_id", "source", "size", "source_size", "target", F.floor(share).alias("copies"),
                        (share - F.floor(share)).alias("fraction"), F.pmod(order, F.lit(blocks)).alias("block"))
     parts, level = [], 0
@@ -134,7 +136,7 @@ def copies(sized: DataFrame, seed: int = 4, **kw) -> DataFrame:
         last = blocks == 1
         salt = seed + level
         done = stored(
-            rows.repartition("block", "source").sortWithinPartitions("block", "source", order, "row")
+            rows.repartition("block", "source").sortWithinPartitions("block", "source", order)
             .mapInArrow(lambda it, s=salt, z=last: _round_blocks(it, s, z), _OUT),
             f"level{level}",
         )
