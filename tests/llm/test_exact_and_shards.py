@@ -2,6 +2,7 @@ import collections
 import hashlib
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from muster.llm import exact_dedup, mixing, sharding
@@ -37,6 +38,44 @@ def test_index_persists_and_grows(spark, stored_docs):
     assert [r["doc_id"] for r in exact_dedup.dedup(second, later).collect()] == [3]
     assert later.unbucketed().count() == 3
     assert exact_dedup.dedup(stored_docs([(7, "B", "", "")]), later).count() == 0
+    assert exact_dedup.DigestIndex(spark, path).buckets == 4
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, path, 8)
+    later.compact(6)
+    later.close()
+    grown = exact_dedup.DigestIndex(spark, path, 6)
+    assert grown.rows().count() == 3 and exact_dedup.dedup(stored_docs([(8, "C", "", ""), (9, "d", "", "")]), grown).collect()[0]["doc_id"] == 9
+
+
+def test_compacted_index_is_neither_shuffled_nor_sorted(spark, stored_docs):
+    own = index(spark)
+    for i in range(3):
+        exact_dedup.dedup(stored_docs([(10 * i + k, f"t{10 * i + k}", "", "") for k in range(10)]), own).count()
+    own.compact()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        batch = spark.range(5).select(F.unhex(F.sha2(F.concat(F.lit("t"), "id").cast("string"), 256)).alias("digest"))
+        joined = batch.join(own.rows().select("digest").hint("merge"), "digest", "left_anti")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("Sort [") == 1 and "SortMergeJoin" in plan and joined.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    own.close()
+
+
+def test_hot_rows_are_spread(spark, stored_docs, monkeypatch):
+    docs = stored_docs([(None, "same words here", "en", "a")] * 4000 + [(i, "x y", "en", "b") for i in range(50)])
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 100)
+    seen = []
+    real = mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name="t": (out := real(df, name), seen.append((name, out)))[0])
+    taken = mixing.mix_report(docs).agg(F.sum("taken")).first()[0]
+    first = next(df for name, df in seen if name == "level0")
+    assert taken and max(r["count"] for r in first.groupBy("block", "source").count().collect()) < 200
+    shards = sharding.shard_documents(docs)
+    plan = shards._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert {r["count"] for r in shards.groupBy("shard").count().collect()} <= {101, 102}
 
 
 def test_no_python_and_a_merge_join(spark, stored_docs):
@@ -53,7 +92,10 @@ def test_dedup_keeps_columns_with_clashing_names(spark, stored_docs, edge):
 
 def test_shards(spark, stored_docs, edge):
     docs = stored_docs(edge + [(100 + i, f"t{i % 50}", "en", "s") for i in range(990)])
-    a, b = (sharding.shard_documents(d).collect() for d in (docs, docs.repartition(7)))
+    a = sharding.shard_documents(docs).collect()
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "7")
+    b = sharding.shard_documents(docs).collect()
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
     assert sorted(a, key=repr) == sorted(b, key=repr)
     sizes = collections.Counter(r["shard"] for r in a)
     assert set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 1
@@ -74,12 +116,18 @@ def test_matrix_has_the_margins():
 
 def test_shuffle_looks_uniform(spark):
     df = spark.range(8000)
-    rows = sharding.shuffle_to_shards(df, 8, 5).collect()
+    rows = sharding.shuffle_to_shards(df, "id", 8, 5).collect()
     for k in range(8):
         ids = [r["id"] for r in rows if r["shard"] == k]
         assert abs(sum(ids) / len(ids) - 4000) < 350
         first = [r["id"] for r in rows if r["shard"] == k and r["slot"] < 500]
         assert abs(sum(first) / len(first) - 4000) < 500
+    # rows by stretch of 1000 ids and shard, and pairs that keep their order, as in a uniform shuffle
+    cells = collections.Counter((r["id"] // 1000, r["shard"]) for r in rows)
+    assert sum((cells[i, k] - 125) ** 2 / 125 for i in range(8) for k in range(8)) < 90  # 49 degrees of freedom
+    place = {r["id"]: (r["shard"], r["slot"]) for r in rows}
+    assert abs(sum(place[i] < place[i + 1] for i in range(7999)) / 7999 - 0.5) < 0.03
+    assert abs(sum(place[i][0] == place[i + 1][0] for i in range(7999)) / 7999 - 0.125) < 0.02
 
 
 def water_fill(sizes, weights, total):
