@@ -33,6 +33,8 @@ from tokenizers import Tokenizer, processors
 from muster.llm.store import small_batches, stored, with_row_id
 
 HUGE, CHUNK, OVERLAP, MARGIN = 65_536, 32_768, 512, 64
+#: Chunks in one task.
+CHUNKS = 4
 #: Pieces in each of the two generations that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 200_000, 64
 # a task has one core; the library's own threads would cost memory and time
@@ -43,6 +45,10 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 @lru_cache(maxsize=4)
 def _tokenizer(path: str, offsets: bool) -> Tokenizer:
     t = Tokenizer.from_file(path)
+    if "ByteLevel" not in repr(t.pre_tokenizer):
+        raise ValueError(f"{path} has no byte-level pre-tokenizer, for which the places of cuts are proven")
+    t.no_truncation()
+    t.no_padding()
     if offsets:  # else a pre-token's offset leaves out its leading space
         t.post_processor = processors.ByteLevel(trim_offsets=False)
     return t
@@ -127,11 +133,12 @@ def huge_counts(docs: DataFrame, path: str) -> DataFrame:
     todo = docs
     while True:
         n = F.length("text")
+        tasks = 1 + todo.agg(F.coalesce(F.sum(F.ceil(n / CHUNK)), F.lit(0))).first()[0] // CHUNKS
         chunks = todo.select("row", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).alias("k"))
         at = F.col("k") * CHUNK
         piece = F.substring("text", at + 1, F.lit(CHUNK + overlap))
         edges = stored(
-            chunks.select("row", "k", at.cast("long").alias("at"), piece.alias("piece")).repartition(F.col("row"), F.col("k"))
+            chunks.select("row", "k", at.cast("long").alias("at"), piece.alias("piece")).repartition(tasks, F.col("row"), F.col("k"))
             .select("row", "k", chunk_edges(F.col("piece"), F.col("at"), F.lit(overlap).cast("long"), path).alias("e")),
             "edges",
         )
