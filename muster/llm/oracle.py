@@ -96,7 +96,7 @@ WARC = r"""
                        || regexp_replace(u.path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key
                 FROM k),
             v AS (
-                SELECT page_id, url, key, 2 * page_id + 1001 AS at,
+                SELECT page_id, url, key, CASE WHEN page_id % 17 = 3 THEN 2 * page_id ELSE 2 * page_id + 2 * (37 * page_id % 101) - 99 END AS at,
                        CASE WHEN page_id % 13 = 5 OR page_id % 11 = 4 THEN NULL WHEN page_id % 7 = 3 THEN '"other"' ELSE tag END AS etag,
                        CASE WHEN page_id % 13 <> 5 AND page_id % 11 = 4 THEN date END AS modified
                 FROM c),

@@ -24,36 +24,40 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
-    """A log of captures made of ``pages``: every page is fetched in the order of
-    its id, and asked for again 500 fetches later, when the answer is 304.
+    """A log of captures made of ``pages``, as ``warc.read_warc`` gives it: every page is
+    fetched in the order of its id, one each two seconds, and the answer is 304 when it
+    is asked for up to 100 seconds before or after that, or at the same time.
 
     Of those answers one in seven has the tag of another page, one in eleven has
     no tag but the date, and one in thirteen no validator at all.
     """
     tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
-    date = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss")
+    modified = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss")
     i = F.col("page_id")
+    date = lambda seconds: F.concat(F.date_format(F.timestamp_seconds(F.lit(1_750_000_000) + seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     first = pages.select(
-        (2 * i).alias("record_id"), F.lit("response").alias("kind"), "url", (2 * i).alias("at"),
-        F.create_map(F.lit("etag"), tag, F.lit("last-modified"), date, F.lit("content-type"), F.lit("text/html"),
+        F.concat(F.lit("urn:page:"), i).alias("record_id"), F.lit("response").alias("kind"), "url", date(2 * i).alias("date"), F.sha2("html", 256).alias("digest"), F.lit("200 OK").alias("status"),
+        F.create_map(F.lit("etag"), tag, F.lit("last-modified"), modified, F.lit("content-type"), F.lit("text/html"),
                      F.lit("content-length"), F.octet_length("html").cast("string"), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
-        F.sha2("html", 256).alias("digest"), "page_id",
+        F.col("html").cast("binary").alias("body"),
     )
     plain = F.create_map(F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-length"), F.lit("0"), F.lit("x-cache"), F.lit("hit"))
-    tagged = F.when(i % 13 == 5, F.create_map().cast("map<string,string>")).when(i % 11 == 4, F.create_map(F.lit("last-modified"), date)).when(
+    tagged = F.when(i % 13 == 5, F.create_map().cast("map<string,string>")).when(i % 11 == 4, F.create_map(F.lit("last-modified"), modified)).when(
         i % 7 == 3, F.create_map(F.lit("etag"), F.lit('"other"'))).otherwise(F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag)))
+    when = F.when(i % 17 == 3, 2 * i).otherwise(2 * i + 2 * (37 * i % 101) - 99)
     again = pages.select(
-        (2 * i + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", (2 * i + 1001).alias("at"),
-        F.map_concat(plain, tagged).alias("headers"), F.lit(None).cast("string").alias("digest"), "page_id",
+        F.concat(F.lit("urn:again:"), i).alias("record_id"), F.lit("revisit").alias("kind"), "url", date(when).alias("date"), F.lit(None).cast("string").alias("digest"),
+        F.lit("304 Not Modified").alias("status"), F.map_concat(plain, tagged).alias("headers"), F.lit(None).cast("binary").alias("body"),
     )
     return first.unionByName(again)
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = stored(capture_log(table(spark, sf_dir, "pages")), "log")
-    out = warc.resolve_revisits(log)
+    log = stored(warc.timed(capture_log(table(spark, sf_dir, "pages"))), "log")
+    out = warc.resolve_revisits(log.drop("body"))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return out.select("page_id", "url", (F.col("response_id") / 2).cast("long").alias("response_page_id"), "verdict", F.array_join(lines, "\n").alias("headers"))
+    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return out.select(number("record_id").alias("page_id"), "url", number("response_id").alias("response_page_id"), "verdict", F.array_join(lines, "\n").alias("headers"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

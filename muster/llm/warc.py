@@ -10,11 +10,14 @@ that a cache may take over.
 Defined results: without an earlier response the verdict is ``no_response``;
 with a validator that differs ``mismatch``; where no validator is on both sides
 ``no_validator``; else ``resolved``.  Only a resolved revisit gets headers.  Of
-responses at one time the one with the largest id counts as latest.  A null URL
-or time never matches.  Repeated revisits are resolved each and stay as many as
-they were.  Of responses with one id, URL and time the one with the largest
-digest, then the largest sorted headers, counts (null is smallest).  Columns
-other than those named are carried along.  Empty tables give empty results.
+responses at one time the one with the largest id (null is smallest) counts as
+latest.  A null URL or time never matches; a null id is an id like others.
+Repeated revisits are resolved each and stay as many as they were.  Of responses
+with one id, URL and time the one with the largest digest, then the largest
+sorted headers, counts (null is smallest).  Columns other than those of the
+result are carried along whatever their names; those named as a column of the
+result (response_id, response_at, verdict, headers) are replaced.  Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from muster.llm.store import stored
+from muster.llm.store import free_name, stored, with_row_id
 
 #: Headers of a 304 that never replace stored ones (RFC 9110, RFC 9111).
 NOT_MERGED = (
@@ -66,57 +69,61 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
-def _responses(records: DataFrame, *more: str) -> DataFrame:
-    """response_id, _key, response_at, _digest, _kept and ``more``: one row for each id, URL and time."""
-    entries = F.array_sort(F.map_entries("headers"))
-    best = F.max(F.struct(F.col("digest").alias("_digest"), entries.alias("_kept"), *more)).alias("best")
-    out = records.where("kind = 'response' AND at IS NOT NULL").groupBy(
-        F.col("record_id").alias("response_id"), canonical_url(F.col("url")).alias("_key"), F.col("at").alias("response_at")).agg(best)
-    return out.select("response_id", "_key", "response_at", "best._digest", F.map_from_entries("best._kept").alias("_kept"), *[f"best.{c}" for c in more])
-
+def timed(records: DataFrame) -> DataFrame:
+    """Records of ``read_warc`` with ``at``, the microseconds of their date; null where there is none."""
+    return records.withColumn("at", F.unix_micros(F.try_to_timestamp("date")))
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Every revisit of ``records`` with response_id, response_at, verdict and merged headers.
 
-    ``records`` (stored): record_id, kind (``response`` or ``revisit``), url,
-    at (long, any unit), headers (map, names in lower case), digest.
-    """
-    told = records.where(F.col("at").isNotNull()).select("record_id", "kind", "at", canonical_url(F.col("url")).alias("key")).where("key IS NOT NULL")
+def _answers(told: DataFrame) -> DataFrame:
+    """row, response_row of the revisits in ``told`` (row, kind, id, at, key) that a response precedes."""
     lo, hi = told.agg(F.min("at"), F.max("at")).first()
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // PIECES))
-    told = stored(told.select("record_id", "kind", "at", "key", F.floor((F.col("at") - F.lit(lo or 0)) / width).cast("int").alias("piece")), "told")
-    mark = F.when(F.col("kind") == "response", F.struct("at", "record_id"))
+    told = stored(told.withColumn("piece", F.floor((F.col("at") - F.lit(lo or 0)) / width).cast("int")), "told")
+    mark = F.when(F.col("kind") == "response", F.struct("at", "id", "row"))
     inside = Window.partitionBy("key", "piece").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     here = told.withColumn("near", F.max(mark).over(inside)).where("kind = 'revisit'")
     # the latest response of earlier pieces: one row for each URL and piece
     ends = told.groupBy("key", "piece").agg(F.max(mark).alias("end"))
     earlier = Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     ends = stored(ends.withColumn("far", F.max("end").over(earlier)).where("far IS NOT NULL").select("key", "piece", "far"), "ends")
-    here = here.drop("kind").join(ends, ["key", "piece"], "left")
-    # rows that share all three have the same response
-    found = here.groupBy("record_id", F.col("key").alias("_key"), "at").agg(F.max(F.coalesce("near", "far")).alias("response"))
-    found = found.select("record_id", "_key", "at", F.col("response.record_id").alias("response_id"), F.col("response.at").alias("response_at"))
-
-    names = [c for c in records.columns if c not in ("kind", "headers", "response_id", "response_at", "verdict")]
-    revisits = records.where("kind = 'revisit'").select(*[F.col(f"`{c}`") for c in names], "headers", canonical_url(F.col("url")).alias("_key"))
-    out = revisits.join(found, ["record_id", "_key", "at"], "left").join(_responses(records), ["response_id", "_key", "response_at"], "left")
+    found = here.join(ends, ["key", "piece"], "left").select("row", F.coalesce("near", "far")["row"].alias("response_row"))
+    return found.where("response_row IS NOT NULL")
+
+
+def resolve_revisits(records: DataFrame, bodies: bool = False) -> DataFrame:
+    """Every revisit of ``records`` with response_id, response_at, verdict and merged headers,
+    and with ``bodies`` the body of the response of each resolved one.
+
+    ``records`` (stored): record_id, kind (``response`` or ``revisit``), url,
+    at (long, any unit), headers (map, names in lower case), digest, and body if asked for.
+    """
+    row = free_name(records, "row")
+    rows = with_row_id(records, row)
+    made = ["headers", "response_id", "response_at", "verdict", *(["body"] if bodies else [])]
+    names = [c for c in records.columns if c.lower() not in ("kind", *made)]
+    col = lambda c: F.col(f"`{c}`")
+
+    placed = rows.where("kind IN ('response', 'revisit') AND at IS NOT NULL").select(
+        col(row).alias("row"), "kind", F.col("record_id").alias("id"), "at", canonical_url(F.col("url")).alias("key"), "digest", "headers").where("key IS NOT NULL")
+    entries = F.array_sort(F.map_entries("headers"))
+    best = placed.where("kind = 'response'").groupBy("id", "key", "at").agg(F.max_by("row", F.struct("digest", entries)).alias("row"))
+    best = best.select("row", F.lit("response").alias("kind"), "id", "at", "key")
+    told = stored(placed.where("kind = 'revisit'").select("row", "kind", "id", "at", "key").unionByName(best), "captures")
+    found = _answers(told)
+
+    revisits = rows.where("kind = 'revisit'").select(col(row).alias("row"), F.struct(*[col(c) for c in names]).alias("own"), F.col("headers").alias("new"), F.col("digest").alias("new_digest"))
+    answers = rows.where("kind = 'response'").select(
+        col(row).alias("response_row"), F.col("record_id").alias("response_id"), F.col("at").alias("response_at"),
+        F.struct("headers", "digest", *(["body"] if bodies else [])).alias("old"))
+    out = revisits.join(found, "row", "left").join(answers, "response_row", "left")
+    new, old = F.col("new"), F.col("old")["headers"]
     same = F.coalesce(
-        _compare(_weak(F.col("headers")["etag"]), _weak(F.col("_kept")["etag"])),
-        _compare(F.col("headers")["last-modified"], F.col("_kept")["last-modified"]),
-        _compare(F.col("digest"), F.col("_digest")),
-    )
-    verdict = F.when(F.col("response_id").isNull(), "no_response").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("mismatch")
-    return out.withColumn("verdict", verdict).select(
-        *[F.col(f"`{c}`") for c in names], "response_id", "response_at", "verdict", F.when(F.col("verdict") == "resolved", merged_headers(F.col("_kept"), F.col("headers"))).alias("headers")
-    )
-
-
-def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
-    """``resolved`` with the ``body`` of each resolved revisit's response."""
-    columns = [F.col(f"`{c}`") for c in resolved.columns if c != "body"]
-    bodies = _responses(records, "body").drop("_digest", "_kept")
-    out = resolved.select(*columns, canonical_url(F.col("url")).alias("_key")).join(bodies, ["response_id", "_key", "response_at"], "left")
-    return out.select(*columns, F.when(F.col("verdict") == "resolved", F.col("body")).alias("body"))
+        _compare(_weak(new["etag"]), _weak(old["etag"])), _compare(new["last-modified"], old["last-modified"]), _compare(F.col("new_digest"), F.col("old")["digest"]))
+    verdict = F.when(F.col("response_row").isNull(), "no_response").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("mismatch")
+    out = out.withColumn("verdict", verdict)
+    resolved = lambda c: F.when(F.col("verdict") == "resolved", c)
+    result = ["response_id", "response_at", "verdict", resolved(merged_headers(old, new)).alias("headers"), *([resolved(F.col("old")["body"]).alias("body")] if bodies else [])]
+    return out.select("own", F.struct(*result).alias("made")).select("own.*", "made.*")
 
 
 def warc_bytes(record: dict) -> bytes:

@@ -58,7 +58,7 @@ def test_repeated_rows(spark, tmp_path):
         path = f"{tmp_path}/log{times}"
         spark.createDataFrame(rows * times, SCHEMA + ", body binary").repartition(3).write.parquet(path)
         log = spark.read.parquet(path)
-        out = warc.with_bodies(warc.resolve_revisits(log.drop("body")), log).collect()
+        out = warc.resolve_revisits(log, bodies=True).collect()
         got = [(r["record_id"], r["at"], r["response_id"], r["response_at"], r["verdict"], r["body"] and bytes(r["body"])) for r in out]
         assert sorted(got, key=repr) == sorted(want * times, key=repr)
     # of unequal rows with one id, URL and time the largest digest and headers count
@@ -67,6 +67,32 @@ def test_repeated_rows(spark, tmp_path):
     assert [r["headers"] for r in warc.resolve_revisits(spark.read.parquet(f"{tmp_path}/ties")).collect()] == [{"x": "b"}]
 
 
+def test_null_ids_and_clashing_names(spark, tmp_path):
+    tag = {"etag": '"1"'}
+    rows = [(None, "response", "http://a/", 10, tag, "d"), (None, "revisit", "http://a/", 15, tag, None), (None, "revisit", "http://a/", 5, tag, None), (3, "request", "http://a/", 12, tag, "d")]
+    log = spark.createDataFrame(rows, SCHEMA)
+    names = ("row", "own", "old", "new", "id", "key", "piece", "_kept", "_digest", "response_row", "best", "verdict", "response_id")
+    for n in names:
+        log = log.withColumn(n, F.lit("mine"))
+    log.write.parquet(f"{tmp_path}/log")
+    out = warc.resolve_revisits(spark.read.parquet(f"{tmp_path}/log"))
+    got = {r["at"]: r for r in out.collect()}
+    assert (got[15]["verdict"], got[15]["response_at"], got[15]["response_id"], got[5]["verdict"]) == ("resolved", 10, None, "no_response")
+    assert all(got[t][n] == "mine" for t in got for n in names[:-2]) and len(out.columns) == len(set(out.columns))
+
+
+def test_records_of_files_are_resolved(spark, tmp_path):
+    records = [
+        {"record_id": "urn:1", "kind": "response", "url": "http://a/x", "date": "2026-01-01T00:00:00Z", "headers": {"ETag": '"1"', "X": "old"}, "body": b"the page", "digest": "sha1:A"},
+        {"record_id": "urn:2", "kind": "revisit", "url": "https://www.a/x/", "date": "2026-01-02T00:00:00Z", "headers": {"ETag": 'W/"1"', "X": "new"}},
+        {"record_id": "urn:3", "kind": "revisit", "url": "http://a/x", "date": "no date", "headers": {"ETag": '"1"'}},
+    ]
+    for k, r in enumerate(records):
+        (tmp_path / f"{k}.warc.gz").write_bytes(warc.warc_bytes(r))
+    got = {r["record_id"]: r for r in warc.resolve_revisits(warc.timed(warc.read_warc(spark, f"{tmp_path}/*.warc.gz")), bodies=True).collect()}
+    assert bytes(got["urn:2"]["body"]) == b"the page" and got["urn:2"]["headers"] == {"etag": 'W/"1"', "x": "new"} and got["urn:3"]["verdict"] == "no_response"
+
+
 def test_files_round_trip(spark, tmp_path):
     records = [
         {"record_id": "urn:1", "kind": "response", "url": "http://a/", "date": "2026-01-01T00:00:00Z", "headers": {"ETag": '"1"'}, "body": b"x\r\n\r\nWARC/1.1\r\n" * 3, "digest": "sha1:A"},
