@@ -18,18 +18,20 @@ component.
     however many cells they share, unless the points' signatures (counts of
     shingles by class) prove that it is far.  Points within eps are linked to it.
 4.  By the triangle inequality, partners of a point within eps of a pivot are
-    within 2 eps of it.  So the Voronoi regions of the pivots, each widened to
-    2 eps by its boundary points, hold every linked pair but those of points
-    beyond eps of their cell's pivot.  Regions that share points are one region,
-    so that no point is sent twice however many pivots a tight group has.
-5.  Points beyond eps are joined again in their cells, if these reach over
-    several regions: cells of at most ``leaf`` points become pairs across
-    regions, larger ones elect more pivots, which may grow and join regions.  A
-    cell that its pivots do not halve is joined block against block.
-6.  Last, regions are joined inside: closed at once where all points are
-    connected already, in one task where they fit, else block against block.
-    There pivots of the block bound the distances of pairs, and only pairs that
-    are not connected yet are compared.
+    within 2 eps of it.  So the pivot's region is made of the points within eps,
+    its core, which are connected already, and of the boundary points beyond
+    eps but within 2 eps, which are copied to it.  Only boundary points that are
+    not connected with the core yet are compared with it.
+5.  All points of a cell that are not in its pivot's core are joined again
+    without it: cells of at most ``leaf`` points become pairs, larger ones elect
+    more pivots.  There a point is in the core of its nearest pivot only, its
+    Voronoi region, if that is within eps, and in the boundary of all other
+    pivots within 2 eps; and so on with what is left.  Cells whose points are
+    all connected end the recursion.
+6.  What pivots do not divide, regions and cells that they do not halve, is
+    joined block against block: signatures first tell which points may have a
+    partner in the other block, then only those are compared.  Pairs that are
+    connected already are left out, and pivots of the block bound the others.
 
 Sets hold 64-bit hashes of shingles and points are known by 64-bit hashes of
 their sets.  Documents travel as text, which is smaller than its set.
@@ -59,8 +61,8 @@ from muster.llm.textwords import hashed_docs, shingle_set
 #: Cells of the table of shingle counts: 2 ** CELL_BITS.
 CELL_BITS = 16
 #: Points that are compared with one pivot in one task.
-GROUP = 2000
-#: Points that a region may have to be joined in one task, and those of a block of larger ones.
+GROUP = 200
+#: Points of a block of what is joined block against block.
 BLOCK = 500
 _I64 = pa.int64()
 
@@ -229,9 +231,13 @@ def _close(percent: int) -> F.Column:
     return 100 * F.col("common") >= percent * F.col("union")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(if_small(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
 def _live(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Cells (cell, key, parent) with points of two components at least, one of cells with equal points; with label and size."""
-    named = cells.join(if_small(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = _labelled(cells, labels)
     seen = named.groupBy("cell").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"),
         F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("x"), F.min("key").alias("k0"), F.max("key").alias("k1"),
@@ -240,6 +246,19 @@ def _live(cells: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(named.join(one, "cell").select("cell", "key", "label", "size", "parent"), "live")
 
 
+def _live_regions(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of regions (cell, key, core): boundary points that are not connected with their core, and the cores of
+    regions that have some; with label, and the numbers of both."""
+    named = stored(_labelled(regions, labels), "regions")
+    home = named.where("core").groupBy("cell").agg(F.min("label").alias("home"), F.count(F.lit(1)).alias("cores"))
+    border = named.where("NOT core").join(home, "cell").where("label != home")
+    border = stored(border.groupBy("cell", "key").agg(F.min("label").alias("label"), F.max("cores").alias("cores")), "border")
+    sizes = stored(border.groupBy("cell").agg(F.max("cores").alias("cores"), F.count(F.lit(1)).alias("borders")), "sizes")
+    cores = named.where("core").select("cell", "key", "label").join(if_small(sizes), "cell").withColumn("side", F.lit(0))
+    borders = border.drop("cores").join(if_small(sizes), "cell").withColumn("side", F.lit(1))
+    return cores.unionByName(borders)
+
+
 def _pairs(live: DataFrame) -> DataFrame:
     """The pairs of small cells that are not connected yet."""
     other = live.select("cell", F.col("key").alias("pivot"), F.col("label").alias("other"))
@@ -252,12 +271,19 @@ def _elect(live: DataFrame, pivots: int, level: int) -> DataFrame:
     return live.groupBy("cell", F.pmod(k, F.lit(pivots)).alias("class")).agg(F.min_by("key", k).alias("pivot")).select("cell", "pivot")
 
 
-def _beyond(cells: DataFrame, elected: DataFrame, distances: DataFrame, eps: float) -> DataFrame:
-    """cell, key, parent of the points of ``cells`` (cell, key, size) that no pivot of their cell links."""
-    seen = cells.select("cell", "key", "size").join(elected, "cell").join(if_small(distances.select("key", "pivot", "distance")), ["key", "pivot"], "left")
-    d = F.when(F.col("key") == F.col("pivot"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0)))
-    far = seen.groupBy("cell", "key").agg(F.min(d).alias("d"), F.max("size").alias("parent")).where(F.col("d") > eps - 1e-9)
-    return stored(far.select("cell", "key", "parent"), "beyond")
+def _split(cells: DataFrame, elected: DataFrame, distances: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Cells (cell, key, size) by their pivots: what no pivot links (cell, key, parent),
+    and the pivots' regions (cell, key, core).  Distances beyond 2 eps may be missing."""
+    known = distances.select("key", "pivot", "distance", _close(percent).alias("close"))
+    seen = cells.select("cell", "key", "size").join(elected, "cell").join(if_small(known), ["key", "pivot"], "left")
+    self_ = F.col("key") == F.col("pivot")
+    seen = stored(seen.select("cell", "key", "size", "pivot", F.when(self_, 0.0).otherwise(F.col("distance")).alias("d"), (self_ | F.coalesce("close", F.lit(False))).alias("close")), "seen")
+    own = seen.groupBy("cell", "key").agg(F.max("size").alias("parent"), F.min(F.when(F.col("close"), F.struct("d", "pivot")))["pivot"].alias("own"))
+    own = stored(own, "own")
+    rest = own.where("own IS NULL").select("cell", "key", "parent")
+    within = seen.where(F.col("d") <= 2 * (1 - percent / 100) + 1e-9).join(own.select("cell", "key", "own"), ["cell", "key"])
+    regions = within.select(F.xxhash64("cell", "pivot").alias("cell"), "key", F.col("pivot").eqNullSafe(F.col("own")).alias("core"))
+    return rest, regions
 
 
 def _task_links(sets: list[np.ndarray], labels: np.ndarray, blocks: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -282,34 +308,92 @@ def _task_links(sets: list[np.ndarray], labels: np.ndarray, blocks: np.ndarray,
     return out
 
 
-def _block_links(live: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links that connect the points of regions, whole ones or block against block."""
+def _may_link(signs: list[bytes], sizes: np.ndarray, labels: np.ndarray, blocks: np.ndarray, percent: int) -> np.ndarray:
+    """Which points may have a partner of another component, of two blocks one of the other block, by their signatures."""
+    counts = [np.frombuffer(z, np.uint8) for z in signs]
+    counts = [np.stack([z & 15, z >> 4], 1).ravel().astype(np.int32) for z in counts]
+    full = np.array([c.max() == 15 for c in counts])
+    least = min(len(c) for c in counts)
+    table = np.stack([c.reshape(least, -1).sum(1) for c in counts])
+    across = bool((blocks != blocks[0]).any())
+    out = np.zeros(len(signs), bool)
+    for i in range(1, len(signs)):
+        both = sizes[:i] + sizes[i]
+        apart = np.where(full[:i] | full[i], 0, np.abs(table[:i] - table[i]).sum(1))
+        may = (1 - (both - apart) / (both + apart) <= 1 - percent / 100 + 1e-9) & (labels[:i] != labels[i])
+        may &= (100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])) & ((blocks[:i] != blocks[i]) | (not across))
+        if may.any():
+            out[i] = True
+            out[:i] |= may
+    return out
+
+
+_PLACE = ["cell", "b0", "b1"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (cell, b0, b1) of sorted rows."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        place = list(zip(*(batch.column(c).to_pylist() for c in _PLACE)))
+        cuts = [0] + [i for i in range(1, len(place)) if place[i] != place[i - 1]] + [len(place)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if held and place[lo] != at:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            at = place[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _block_links(spread: DataFrame, signs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: links that connect the points of ``spread`` (cell, b0, b1, mine, key, label), block against block.
+
+    A group of one (cell, b0, b1) has at most two blocks.
+    """
+    column = lambda t, c: t.column(c).to_numpy()
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            keep = np.flatnonzero(_may_link(t.column("signature").to_pylist(), column(t, "n"), column(t, "label"), column(t, "mine"), percent))
+            yield from t.select(columns).take(pa.array(keep)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            sets: list = [None] * t.num_rows
+            for i, words in hashed_docs(t.column("text").combine_chunks(), lower=True):
+                sets[i] = shingle_set(words, n)
+            keys = column(t, "key")
+            found = np.array(_task_links(sets, column(t, "label"), column(t, "mine"), percent), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[found[:, k]]) for k in (0, 1)], ["a", "b"])
+
+    columns = [*_PLACE, "mine", "key", "label"]
+    placed = lambda rows, more: rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE).select(*columns, *more)
+    signed = placed(spread.select(*columns).join(signs, "key"), ["n", "signature"])
+    may = stored(signed.mapInArrow(sieve, "cell long, b0 int, b1 int, mine int, key long, label long"), "may")
+    return stored(placed(_with_texts(may, texts, "key"), ["text"]).mapInArrow(run, "a long, b long"), "links")
+
+
+def _cell_blocks(live: DataFrame) -> DataFrame:
+    """Whole cells, each block against each."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
     spread = live.select("cell", "key", "label", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    spread = spread.select("cell", "key", "label", "mine", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
+    return spread.select("cell", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "mine", "key", "label")
 
-        def done() -> pa.RecordBatch:
-            keys, labels, own, sets = zip(*rows) if rows else ((), (), (), ())
-            found = _task_links(list(sets), np.array(labels), np.array(own), percent)
-            return pa.RecordBatch.from_arrays([pa.array([keys[x[k]] for x in found], _I64) for k in (0, 1)], ["a", "b"])
 
-        for batch in batches:
-            place = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "b0", "b1"))))
-            key, label, own = (batch.column(c).to_pylist() for c in ("key", "label", "mine"))
-            for i, words in hashed_docs(batch.column("text"), lower=True):
-                if place[i] != at:
-                    yield done()
-                    at, rows = place[i], []
-                rows.append((key[i], label[i], own[i], shingle_set(words, n)))
-        yield done()
-
-    columns = ["cell", "b0", "b1", "mine", "key", "label", "text"]
-    placed = _with_texts(stored(spread, "spread"), texts, "key").repartition("cell", "b0", "b1").sortWithinPartitions("cell", "b0", "b1").select(*columns)
-    return stored(placed.mapInArrow(run, "a long, b long"), "links")
+def _region_blocks(regions: DataFrame) -> DataFrame:
+    """Regions, each block of the core against each of the boundary."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    core = F.col("side") == 0
+    mine = F.pmod(F.xxhash64("key"), F.when(core, blocks("cores")).otherwise(blocks("borders"))).cast("int")
+    spread = regions.select("cell", "key", "label", "side", mine.alias("block"), F.explode(F.sequence(F.lit(0), F.when(core, blocks("borders")).otherwise(blocks("cores")) - 1)).alias("other"))
+    pick = lambda a, b: F.when(F.col("side") == 0, F.col(a)).otherwise(F.col(b))
+    return spread.select("cell", pick("block", "other").alias("b0"), pick("other", "block").alias("b1"), F.col("side").cast("int").alias("mine"), "key", "label")
 
 
 def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -345,37 +429,41 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int =
     chosen = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row")).join(members.select("key").distinct(), "key", "left_semi")
     texts = stored(_with_texts(stored(chosen, "chosen"), texts_of.select("row", "text"), "row").select("key", "text"), "texts")
 
-    pairs = lambda d, keep: d.where(keep).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-    near = F.col("distance") <= 2 * eps + 1e-9
+    pairs = lambda d: d.where(_close(percent)).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     distances = _distances(_within(members.where("key != pivot").select("key", "pivot"), signs, 2 * eps), texts, n)
-    links = [pairs(distances, _close(percent))]
-    regions = _relabel(None, pairs(distances, near))
-    cells = _beyond(members.withColumn("size", F.lit(0)), members.select("cell", "pivot").distinct(), distances, eps)
+    labels = _relabel(None, pairs(distances))
+    # in a cell of one pivot every point within eps of it is in its core, and all cells of a pivot have one region
+    within = distances.where(F.col("distance") <= 2 * eps + 1e-9).select(F.col("pivot").alias("cell"), "key", _close(percent).alias("core"))
+    heads = within.select("cell", F.col("cell").alias("key"), F.lit(True).alias("core")).distinct()
+    regions = within.unionByName(heads)
+    linked = distances.where(_close(percent)).select("key", "pivot")
+    cells = members.where("key != pivot").join(if_small(linked), ["key", "pivot"], "left_anti").select("cell", "key", F.lit(0).alias("parent"))
     level = 0
-    while not (live := _live(cells, regions)).isEmpty():
+    while True:
+        close_by = stored(_live_regions(regions, labels), "close")
+        live = _live(cells, labels)
+        todo, links = [not x.isEmpty() for x in (close_by, live)], []
+        if not any(todo):
+            break
+        if todo[0]:
+            links.append(_block_links(_region_blocks(close_by), signs, texts, n, percent))
         small, rest = live.where(F.col("size") <= leaf), live.where(F.col("size") > leaf)
         again = ((2 * F.col("size") <= F.col("parent")) | F.lit(level == 0)) & F.lit(level < rounds)
         whole, large = rest.where(~again), rest.where(again)
-        elected = stored(_elect(large, pivots, level), "elected")
-        trial = large.select("cell", "key").join(elected, "cell").where("key != pivot").select("key", "pivot")
-        distances = _distances(_within(_pairs(small), signs, eps).unionByName(_within(trial, signs, 2 * eps)), texts, n)
-        links.append(pairs(distances, _close(percent)))
-        fresh = pairs(distances, near)
         if not whole.isEmpty():
-            links.append(_block_links(whole, texts, n, percent))
-            fresh = fresh.unionByName(links[-1])
-        regions = _relabel(regions, fresh)
-        cells = _beyond(large, elected, distances, eps)
+            links.append(_block_links(_cell_blocks(whole), signs, texts, n, percent))
+        elected = stored(_elect(large, pivots, level), "elected")
+        if todo[1]:
+            trial = large.select("cell", "key").join(elected, "cell").where("key != pivot").select("key", "pivot")
+            distances = _distances(_within(_pairs(small), signs, eps).unionByName(_within(trial, signs, 2 * eps)), texts, n)
+            links.append(pairs(distances))
+        every = links[0]
+        for e in links[1:]:
+            every = every.unionByName(e)
+        labels = _relabel(labels, every)
+        cells, regions = _split(large, elected, distances, percent)
         level += 1
 
-    every = links[0]
-    for e in links[1:]:
-        every = every.unionByName(e)
-    labels = _relabel(None, every)
-    inside = _live(regions.select(F.col("label").alias("cell"), "key", F.lit(0).alias("parent")), labels)
-    if not inside.isEmpty():
-        labels = _relabel(labels, _block_links(inside, texts, n, percent))
-
     named = rows.join(labels, "key", "left").withColumn("point", F.when(F.col("n") > 0, F.coalesce("label", "key")))
     named = stored(named.select("row", "doc_id", "n", "point"), "named")
     least = named.where("point IS NOT NULL").groupBy("point").agg(F.min("doc_id").alias("least"))

@@ -45,6 +45,49 @@ def test_components(stored_docs, monkeypatch, n, percent, leaf, block, seed):
     assert got == dict(enumerate(brute(texts, n, percent)))
 
 
+def test_a_chain_is_no_region(stored_docs, monkeypatch):
+    words = [f"w{i * 7919 % 10_007}" for i in range(1000)]
+    texts = [" ".join(words[3 * i : 3 * i + 60]) for i in range(300)]
+    sizes, real = [], jaccard.stored
+
+    def seen(df, name="t"):
+        out = real(df, name)
+        if name in ("members", "regions", "seen"):
+            sizes.append(out.groupBy("cell").agg(F.countDistinct("key").alias("n")).agg(F.max("n")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", seen)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(stored_docs([(i, t, "en", "s") for i, t in enumerate(texts)]), 3, 90).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute(texts, 3, 90))} and set(got.values()) == {0} and max(sizes) < 60
+
+
+@pytest.mark.parametrize("leaf,rounds", [(4, 0), (4, 3), (16, 4)])
+def test_dense_and_far_cells(stored_docs, monkeypatch, leaf, rounds):
+    rng = random.Random(leaf + rounds)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    common = [f"c{i}" for i in range(90)]
+    texts = [" ".join([*common, *(f"x{rng.randrange(10**6)}" for _ in range(9))]) for _ in range(40)]  # all at some 0.18 from one another
+    texts += [" ".join([*common, *(f"y{j}" for j in range(k))]) for k in range(12)]  # the first are linked, and with some of the next
+    texts += [" ".join(["rare words here", *(f"z{rng.randrange(10**6)}" for _ in range(30))]) for _ in range(40)]  # far from one another
+    texts += [t + " more" for t in texts[::9]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(stored_docs([(i, t, "en", "s") for i, t in enumerate(texts)]), 3, 90, leaf=leaf, pivots=3, rounds=rounds).collect()}
+    assert got == dict(enumerate(brute(texts, 3, 90)))
+
+
+def test_sieve_keeps_all_partners():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 90).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(pool, rng.integers(60, 200))) for _ in range(60)]
+    labels, blocks = np.arange(60) // 2, np.arange(60) % 2
+    for own in (blocks, 0 * blocks):
+        may = jaccard._may_link([jaccard.signature(s) for s in sets], np.array([len(s) for s in sets]), labels, own, 80)
+        for i in range(60):
+            for j in range(i):
+                c = len(np.intersect1d(sets[i], sets[j]))
+                if labels[i] != labels[j] and (own[i] != own[j] or not own.any()) and 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c):
+                    assert may[i] and may[j]
+
+
 def test_one_of_each(stored_docs, edge):
     docs = stored_docs(edge, [("row", F.lit(0)), ("point", F.lit(1))])
     out = jaccard.one_of_each(docs)
