@@ -43,12 +43,10 @@ STOP_WORDS = frozenset(
 )
 LONG, SHORT, MANY_STOP, FEW_STOP, LINKED = 120, 60, 0.25, 0.10, 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|"
-    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: For pages where a quote in a tag has no end.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 #: Elements whose content is no text of the page.
 _SILENT = frozenset("head template noscript svg iframe object math canvas".split())
 _SILENT_END = re.compile(r"</(template|noscript|svg|iframe|object|math|canvas)\b", re.I)
@@ -117,11 +115,57 @@ def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str, int]]:
+    """(text before, tag, whether it ends, attributes, place after it) of every tag, and last the text at the end.
+
+    A character is looked at a fixed number of times, whatever the markup: what
+    has no end is searched for once.
+    """
+    last, tag_pattern, at, end = page.rfind(">"), _TAG, 0, 0
+    parts: list[str] = []
+    while 0 <= (lt := page.find("<", at)) < last:
+        mark = page[lt + 1]
+        if mark in "!?":
+            if page.startswith("<!--", lt):
+                stop = page.find("-->", lt + 4)
+                stop = len(page) if stop < 0 else stop + 3
+            elif page.startswith("<![CDATA[", lt):
+                stop = page.find("]]>", lt + 9)
+                inner, stop = (page[lt + 9 :], len(page)) if stop < 0 else (page[lt + 9 : stop], stop + 3)
+                parts += [page[end:lt], html.escape(inner)]
+                at = end = stop
+                continue
+            else:
+                stop = page.find(">", lt + 2) + 1
+            parts.append(page[end:lt])
+            at = end = stop
+            continue
+        m = tag_pattern.match(page, lt) if mark == "/" or mark.isalpha() else None
+        if m is None:
+            if tag_pattern is _TAG and (mark.isalpha() or mark == "/" and page[lt + 2 : lt + 3].isalpha()):
+                tag_pattern = _PLAIN_TAG  # the rest is read without quotes
+            else:
+                at = lt + 1
+            continue
+        parts.append(page[end:lt])
+        tag, at = m[2].lower(), m.end()
+        if tag in _RAW_END and not m[1]:
+            raw = _RAW_END[tag].search(page, at)
+            at = end = raw.end() if raw else len(page)
+            continue
+        end = at
+        yield "".join(parts), tag, bool(m[1]), m[3], at
+        parts = []
+    yield "".join([*parts, page[end:]]), "", False, "", len(page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Non-empty blocks in page order; section counts articles, 0 outside them."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int, int]] = []  # tag, bad, section, box
-    bad, section, box, boxes, articles, links, silent = False, 0, 0, 0, 0, 0, 0
+    places: dict[str, list[tuple[int, int]]] = {}  # of open tags: place in the stack, block elements below
+    bad, section, box, boxes, articles, links, silent, deep = False, 0, 0, 0, 0, 0, 0, 0
+    outer, before = 0, 0  # the outermost silent element, and tags of _HTML_IN_DRAWING that were open then
     lasts: dict[str, int] | None = None
     block = Block(False, 0)
 
@@ -133,14 +177,33 @@ def blocks_of(page: str) -> list[Block]:
             out.append(block)
         block = Block(bad, section, box)
 
+    def push(tag: str, *state) -> None:
+        nonlocal links, silent, deep, outer, before
+        if tag in _SILENT:
+            if not silent:
+                outer, before = len(stack), drawn()
+            silent += 1
+        places.setdefault(tag, []).append((len(stack), deep))
+        stack.append((tag, *state))
+        links += tag == "a"
+        deep += tag in _BLOCK
+
     def pop() -> str:
-        nonlocal bad, section, box, links, silent
+        nonlocal bad, section, box, links, silent, deep
         tag = stack.pop()[0]
+        places[tag].pop()
         bad, section, box = stack[-1][1:] if stack else (False, 0, 0)
         links -= tag == "a"
         silent -= tag in _SILENT
+        deep -= tag in _BLOCK
         return tag
 
+    def is_open(tag: str) -> bool:
+        return bool(places.get(tag))
+
+    def drawn() -> int:
+        return sum(len(places.get(t, ())) for t in _HTML_IN_DRAWING)
+
     def never_ends(tag: str, at: int) -> bool:
         nonlocal lasts
         if lasts is None:
@@ -149,16 +212,15 @@ def blocks_of(page: str) -> list[Block]:
 
     def leave(tag: str, at: int) -> None:
         """Ends the outermost silent element if the start of ``tag`` cannot stand in it."""
-        i = next(k for k, e in enumerate(stack) if e[0] in _SILENT)
-        outer, inner = stack[i][0], [e[0] for e in stack[i + 1 :]]
-        if outer == "head":
-            held = any(t in ("noscript", "template") and not never_ends(t, at) for t in inner)
+        kind = stack[outer][0]
+        if kind == "head":
+            held = any(is_open(t) and not never_ends(t, at) for t in ("noscript", "template"))
             ends = tag == "body" or tag not in _IN_HEAD and not held
-        elif outer in ("svg", "math"):
-            ends = tag in _ENDS_DRAWING and (never_ends(outer, at) or not _HTML_IN_DRAWING.intersection(inner))
+        elif kind in ("svg", "math"):
+            ends = tag in _ENDS_DRAWING and (never_ends(kind, at) or drawn() == before)
         else:
-            ends = tag in _BLOCK and never_ends(outer, at)
-        while ends and len(stack) > i:
+            ends = tag in _BLOCK and never_ends(kind, at)
+        while ends and len(stack) > outer:
             pop()
 
     def add(text: str) -> None:
@@ -171,40 +233,29 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 block.link_chars += len(text.strip())
 
-    end = 0
-    for m in _TOKEN.finditer(page):
-        add(page[end : m.start()])
-        end = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:-3]))
+    for text, tag, ending, attrs, end in tokens(page):
+        add(text)
+        if not tag:
             continue
-        tag = tag.lower()
-        if silent and not m[2]:
+        if silent and not ending:
             leave(tag, end)
         if silent:
-            inner = next(k for k, e in enumerate(stack) if e[0] in _SILENT) + 1
-            if not m[2]:
-                if tag not in _VOID and not m[4].rstrip().endswith("/") and tag not in ("html", "head"):
-                    stack.append((tag, bad, section, box))
-                    links += tag == "a"
-                    silent += tag in _SILENT
+            if not ending:
+                if tag not in _VOID and not attrs.rstrip().endswith("/") and tag not in ("html", "head"):
+                    push(tag, bad, section, box)
                 continue
-            if any(t == tag for t, *_ in stack[inner:]):
+            if is_open(tag) and places[tag][-1][0] > outer:
                 while pop() != tag:
                     pass
                 continue
-            if tag not in [t for t, *_ in stack]:
+            if not is_open(tag):
                 continue
-        if m[2]:
+        if ending:
             if tag in _BLOCK:
                 close()
-                if tag == "p" and "p" not in [t for t, *_ in stack]:
-                    continue
-            if any(t == tag for t, *_ in stack):
-                if tag in _INLINE and any(t in _BLOCK for t, *_ in stack[len(stack) - 1 - [t for t, *_ in reversed(stack)].index(tag) :]):
-                    continue
+            if is_open(tag):
+                if tag in _INLINE and places[tag][-1][1] < deep:
+                    continue  # it was opened outside an open block
                 while pop() != tag:
                     pass
                 if not block.parts:
@@ -223,19 +274,18 @@ def blocks_of(page: str) -> list[Block]:
                     pop()
             while stack and stack[-1][0] in _ENDS.get(tag, ()):
                 pop()
-        if tag in _VOID or m[4].rstrip().endswith("/") and tag not in _BLOCK and (tag not in _SILENT or tag in ("svg", "math") or never_ends(tag, end)):
+        if tag in _VOID or attrs.rstrip().endswith("/") and tag not in _BLOCK and (tag not in _SILENT or tag in ("svg", "math") or never_ends(tag, end)):
             continue
         if tag in _SILENT:
             if tag == "head":
-                if any(t != "html" for t, *_ in stack):
+                if len(stack) > len(places.get("html", ())):
                     continue  # a head inside the body is no head
                 close()
-            stack.append((tag, bad, section, box))
-            silent += 1
+            push(tag, bad, section, box)
             continue
-        wrong = bad or _is_bad(tag, m[4], section > 0)
+        wrong = bad or _is_bad(tag, attrs, section > 0)
         inside = section
-        if tag in ("article", "main") or 'role="main"' in m[4]:
+        if tag in ("article", "main") or 'role="main"' in attrs:
             if not section and not wrong:
                 articles += 1
                 inside = articles
@@ -243,14 +293,12 @@ def blocks_of(page: str) -> list[Block]:
         if tag in _BOXES:
             boxes += 1
             own = boxes
-        stack.append((tag, wrong, inside, own))
+        push(tag, wrong, inside, own)
         if tag in _BLOCK or wrong != bad:
             if tag not in _BLOCK and wrong:
                 close()
             bad, section, box = wrong, inside, own
             block.bad, block.section, block.box, block.heading = bad, section, box, tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        links += tag == "a"
-    add(page[end:])
     close()
     return out
 
@@ -284,6 +332,18 @@ def _article_preferred(blocks: list[Block]) -> bool:
     return inside > outside or not outside and any(b.section and not b.bad for b in blocks)
 
 
+def _best_box(blocks: list[Block]) -> None:
+    """Where no text is good for sure, that of the container with the most of it counts as good."""
+    size: dict[int, int] = {}
+    for b in blocks:
+        if not _ruled_out(b):
+            size[b.box] = size.get(b.box, 0) + len(b.text)
+    best = max(size, key=lambda k: (size[k], -k), default=None)
+    for b in blocks:
+        if b.box == best and not _ruled_out(b):
+            b.label = True
+
+
 def _nearest(labels: list[bool | None], groups: list[int]) -> list[bool | None]:
     """For each place the label of the nearest decided place of its group, true among equally near ones."""
     n = len(labels)
@@ -311,12 +371,19 @@ def main_text(page: str) -> str:
                 b.bad = not b.label
             elif not b.label and not _ruled_out(b):
                 b.label = None
+    if not any(b.label for b in blocks):
+        _best_box(blocks)
+    # long text of few stop words is bad unless what is judged by text beside it, in its own container, is good
+    weak = [b.label is False and not _ruled_out(b) for b in blocks]
+    beside = _nearest([None if b.bad or w else b.label for b, w in zip(blocks, weak)], [b.box for b in blocks])
     by_text = [None if b.bad else b.label for b in blocks]
-    in_box = _nearest(by_text, [b.box for b in blocks])
+    in_box = _nearest([beside[i] if weak[i] and beside[i] else x for i, x in enumerate(by_text)], [b.box for b in blocks])
     # inside an article, what its containers rule out says nothing about the text beside it
     in_section = _nearest([by_text[i] if b.section else b.label for i, b in enumerate(blocks)], [b.section for b in blocks])
     for i, b in enumerate(blocks):
-        if b.label is None:
+        if weak[i]:
+            b.label = bool(beside[i])
+        elif b.label is None:
             b.label = in_box[i] if in_box[i] is not None else in_section[i]
             if b.label is None:  # an article of short blocks only is still an article
                 b.label = preferred and b.section > 0

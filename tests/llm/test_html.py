@@ -1,6 +1,12 @@
+import random
+import re
+import time
+
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
-from muster.llm.html_text import extract_pages, main_text
+from muster.llm.html_text import _nearest, extract_pages, main_text
 
 GOOD = "This is the first paragraph of the text and it is long enough to be good, in the view of the rules that are used here."
 
@@ -60,3 +66,54 @@ def test_table(spark):
     got = extract_pages(df.drop("text")).collect()
     assert sorted(r["n_chars"] for r in got)[:4] == [0, 0, len(GOOD), len(GOOD)] and all(r["n_chars"] == len(r["text"]) for r in got)
     assert extract_pages(df).columns == ["page_id", "url", "text", "n_chars"] and extract_pages(df.limit(0)).count() == 0
+
+
+def bare(page):
+    return re.sub(r"(?i)(</?)(article|main)\b", r"\1div", page)
+
+
+def test_text_decides_without_article_tags():
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()
+    same = sum(main_text(p) == main_text(bare(p)) for p in pages)
+    assert len(pages) >= 20 and same >= 0.95 * len(pages)
+
+
+def test_dense_text_decides_in_containers():
+    junk = "Zkr Blo Mnx Wqe " * 20
+    side = f"<div><p>{junk}</p><p>{junk}</p></div>"
+    page = f"<body><div><p>{GOOD}</p><p>{junk}</p><p>{GOOD} And more of it.</p></div>{side}"
+    # few stop words between good text of one container are part of it, alone they are not
+    assert main_text(page).split("\n") == [GOOD, junk.strip(), f"{GOOD} And more of it."]
+    assert main_text(f"<nav>{GOOD}</nav><div><p>Zkr blo.</p><p>Mnx | wqe | rty</p></div><div><p><a href=x>Yy</a></p></div>").split("\n") == ["Zkr blo.", "Mnx | wqe | rty"]
+
+
+def nearest_by_hand(labels, groups):
+    out = []
+    for i, x in enumerate(labels):
+        near = [(abs(i - j), not y, y) for j, y in enumerate(labels) if y is not None and groups[j] == groups[i]]
+        out.append(x if x is not None else min(near)[2] if near else None)
+    return out
+
+
+def test_second_pass_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randrange(1, 30)
+        labels, groups = [rng.choice([None, None, True, False]) for _ in range(n)], [rng.randrange(3) for _ in range(n)]
+        assert _nearest(labels, groups) == nearest_by_hand(labels, groups)
+
+
+@pytest.mark.parametrize("page", [
+    "<script " * 4000, "<div>" * 4000 + "</span>" * 4000, "<a " * 9000, "<a>" + "<div>" * 4000 + "</a>" * 4000, '<a "' * 9000 + ">", "<a '\">" * 9000, "<div>" * 4000 + "<head>" * 4000,
+    "<svg>" + "<g>" * 4000 + "<x>" * 4000, "<svg>" * 4000 + "<p>" * 4000, "<" * 30_000 + ">", "<!--" * 9000, "<head>" + "<noscript>" * 4000 + "<title>" * 4000, "<![CDATA[" * 4000 + ">", "<a x=\"" * 4000 + "'>" * 10,
+])
+def test_time_grows_with_the_page(page):
+    def seconds(text):
+        best = 9.0
+        for _ in range(3):
+            start = time.process_time()
+            main_text(text)
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert seconds(page * 8) < 24 * seconds(page) + 0.2
