@@ -37,7 +37,7 @@ from muster.llm.textwords import hashed_docs, mix, ngrams, split_docs
 
 GRAM = 8
 #: Suffixes of one gram that are compared in one task.
-GROUP = 8192
+GROUP = 2048
 #: Places from which on a gram's are not shuffled to find out that it is shared.
 HOT = 1000
 #: Sorted suffixes that are compared at once: whole grams, up to this many where one gram has no more.
