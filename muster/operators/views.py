@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.functions.ladder import skill_bucket
 from muster.functions.patches import patch_key
 from muster.sources.fixtures import AFK_ITEMS, Season
 
@@ -17,9 +16,8 @@ def afk_teams(participants: DataFrame) -> DataFrame:
 
 
 def participants_clean(s: Season) -> DataFrame:
-    bucket = s.ratings.select(F.col("id").alias("player_id"), skill_bucket(F.col("tier")).alias("skill_bucket"))
-    rows = s.participants.join(bucket, "player_id", "left").fillna(0, ["skill_bucket"])
-    return rows.join(afk_teams(s.participants), ["match_id", "subteam_id"], "left_anti")
+    """Participations of the teams that nobody left; the written season marks the others."""
+    return s.participants.where("NOT team_left").drop("team_left")
 
 
 def patch_options(s: Season, min_matches: int = 5) -> DataFrame:
@@ -39,7 +37,7 @@ def participants_published(s: Season, min_matches: int = 5) -> DataFrame:
 
 
 def patch_rows(s: Season, patch: str) -> DataFrame:
-    """Clean rows of one patch, whether published or archived; the patch filter reaches the matches."""
+    """Clean rows of one patch, whether published or archived; only that patch is read."""
     return participants_clean(s).where(F.col("patch") == patch)
 
 

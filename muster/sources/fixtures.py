@@ -2,18 +2,22 @@
 
 The rules are those of FIXTURES.md: eighteen consecutive orders are one match,
 an order is a participation, its line items are the purchases.
+
+The season is derived once and written to the shared folder, participations by
+patch, so that a query about one patch reads that patch and the columns it needs.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.functions.arrays import ordered_by_first
-from muster.functions.ladder import ladder_tier
-
+from muster.functions.ladder import ladder_tier, positions, skill_bucket
 
 PATCHES = ("16.8", "16.9", "16.18", "16.19")
 AFK_ITEMS = (220008, 220009, 220010, 220011)
@@ -24,7 +28,10 @@ ROLES = ("Assassin", "Fighter", "Mage", "Marksman", "Support", "Tank")
 
 @dataclass(frozen=True)
 class Season:
-    """The relations that every operator starts from."""
+    """The relations that every operator starts from.
+
+    ``participants`` has the player's skill_bucket, and ``team_left``: whether a member of the team left.
+    """
 
     matches: DataFrame
     participants: DataFrame
@@ -63,7 +70,8 @@ def ref_champions(spark: SparkSession) -> DataFrame:
     return spark.range(48).select(F.when(F.col("id") % 2 == 0, F.lower(name)).otherwise(name).alias("id"), name.alias("name"), role.alias("role"))
 
 
-def load(spark: SparkSession, sf_dir: str) -> Season:
+def derive(spark: SparkSession, sf_dir: str) -> Season:
+    """The season as lazy relations over the driver's tables."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -110,13 +118,74 @@ def load(spark: SparkSession, sf_dir: str) -> Season:
     rid = F.when(F.col("id") % 10 != 9, F.concat(F.lit("Player "), F.col("id"), F.lit("#EUW")))
     players = played.select("id", puuid.alias("puuid"), rid.alias("riot_id"), "games")
     mu = 25 + (3.5 - F.col("placement_sum") / F.col("games"))
-    # one row for each player of the ladder
-    ladder = played.withColumn("mu", mu).withColumn("rank_position", F.row_number().over(Window.orderBy(F.desc("mu"), F.desc("games"), "id")))
-    ladder = ladder.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    ladder = positions(played.withColumn("mu", mu), "mu", [F.desc("games"), F.asc("id")])
     ratings = ladder.select("id", puuid.alias("puuid"), F.coalesce(rid, puuid).alias("riot_id"), "games", "top1_wins", "top3_wins", "placement_sum", "mu",
                             "rank_position", ladder_tier(F.col("rank_position"), F.col("size")).alias("tier"))
     return Season(matches, participants, players, ratings, ref_items(spark), ref_augments(spark), ref_champions(spark))
 
 
+def with_skill(participants: DataFrame, ratings: DataFrame) -> DataFrame:
+    """``participants`` with skill_bucket (0 for the unrated) and ``team_left``."""
+    bucket = ratings.select(F.col("id").alias("player_id"), skill_bucket(F.col("tier")).alias("skill_bucket"))
+    gone = F.arrays_overlap("items", F.array(*map(F.lit, AFK_ITEMS)))
+    rows = participants.join(bucket, "player_id", "left").fillna(0, ["skill_bucket"])
+    return rows.withColumn("team_left", F.coalesce(F.max(gone).over(Window.partitionBy("match_id", "subteam_id")), F.lit(False)))
+
+
+#: Where seasons have been written: (application, folder, its files' times) -> folder.
+_written: dict[tuple, str] = {}
+
 
+def _times(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the tables that a season is made of were last changed."""
+    out = []
+    for name in ("orders", "lineitem"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((status.getModificationTime(), status.getLen()))
+    return tuple(out)
 
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def refresh(spark: SparkSession, sf_dir: str) -> str:
+    """Derives the season of ``sf_dir`` and writes it to a new shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    root = f"{base.rstrip('/')}/season-{uuid.uuid4().hex}"
+    s = derive(spark, sf_dir)
+    for name in ("players", "ratings", "matches"):
+        getattr(s, name).write.parquet(f"{root}/{name}")
+    ratings = spark.read.parquet(f"{root}/ratings")
+    rows = with_skill(s.participants, ratings)
+    # stretches of match ids of one patch to a file
+    rows.repartitionByRange("patch", "match_id").write.partitionBy("patch").parquet(f"{root}/participants")
+    _written[spark.sparkContext.applicationId, sf_dir, _times(spark, sf_dir)] = root
+    return root
+
+
+def load(spark: SparkSession, sf_dir: str) -> Season:
+    """The written season of ``sf_dir``; it is derived first unless this application has done so since the tables changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, _times(spark, sf_dir))
+    root = _written.get(key)
+    if root is None or not _exists(spark, f"{root}/participants/_SUCCESS"):
+        root = refresh(spark, sf_dir)
+    read = {n: spark.read.schema(SCHEMAS[n]).parquet(f"{root}/{n}") for n in SCHEMAS}
+    return Season(**read, ref_items=ref_items(spark), ref_augments=ref_augments(spark), ref_champions=ref_champions(spark))
+
+
+#: Columns of the written relations.
+SCHEMAS = {
+    "matches": "match_id string, mn long, game_creation timestamp_ntz, patch string, ingested boolean, game_version string",
+    "participants": "match_id string, player_id int, game_creation timestamp_ntz, subteam_id int, placement int, champion string, items array<int>, item_order array<int>, augments array<int>, "
+                    "skill_bucket int, team_left boolean, patch string",
+    "players": "id int, puuid string, riot_id string, games long",
+    "ratings": "id int, puuid string, riot_id string, games long, top1_wins long, top3_wins long, placement_sum long, mu double, rank_position int, tier string",
+}

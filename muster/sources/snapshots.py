@@ -53,4 +53,5 @@ class SnapshotStore:
 
 
 def write_dimension(df: DataFrame, path: str) -> None:
+    """Replaces a reference table; it is one file, as it has hundreds of rows."""
     df.coalesce(1).write.mode("overwrite").parquet(path)
