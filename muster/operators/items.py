@@ -35,7 +35,7 @@ def acquisitions(rows: DataFrame, ref_items: DataFrame) -> DataFrame:
     )
 
 
-def _cell() -> list[F.Column]:
+def cell() -> list[F.Column]:
     p = F.col("placement")
     return [F.count(F.lit(1)).alias("n"), F.sum(p).cast("long").alias("placement_sum"), F.count_if(p == 1).alias("top1_wins"), F.count_if(p <= 3).alias("top3_wins")]
 
@@ -46,7 +46,7 @@ def _sums() -> list[F.Column]:
 
 def item_acquisitions(rows: DataFrame, ref_items: DataFrame) -> DataFrame:
     """The grid item x kind x landmark x skill; all item statistics are sums of its cells."""
-    return acquisitions(rows, ref_items).groupBy("item_id", "kind", "landmark", "skill_bucket").agg(*_cell())
+    return acquisitions(rows, ref_items).groupBy("item_id", "kind", "landmark", "skill_bucket").agg(*cell())
 
 
 def landmark_baselines(grid: DataFrame) -> DataFrame:
@@ -61,27 +61,30 @@ def landmark_levels(grid: DataFrame) -> DataFrame:
     return out.agg(F.grouping_id().cast("int").alias("level"), *_sums())
 
 
-def item_raw_stats(grid: DataFrame) -> DataFrame:
-    return grid.groupBy("item_id", "kind").agg(*_sums()).withColumnRenamed("n", "games")
+def item_raw_stats(grid: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return grid.groupBy(*by, "item_id", "kind").agg(*_sums()).withColumnRenamed("n", "games")
 
 
-def item_adjusted_stats(grid: DataFrame) -> DataFrame:
-    """Raw counters of each item, and its placement and rates with the landmarks' effect taken out."""
-    levels = landmark_levels(grid)
+def item_adjusted_stats(grid: DataFrame, levels: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Raw counters of each item, of each ``by``, and its placement and rates with the landmarks' effect taken out.
+
+    ``levels`` are the baselines to compare with, those of ``grid`` itself if not given.
+    """
+    levels = landmark_levels(grid) if levels is None else levels
     mean = lambda p: [(F.col(c) / F.col("n")).alias(f"{p}_{c}") for c in _SUMS[1:]]
     fine = levels.where("level = 0").where(F.col("n") >= CELL_MIN).select("kind", "landmark", "skill_bucket", *mean("fine"))
     coarse = levels.where("level = 1").select("kind", "landmark", *mean("coarse"))
     overall = levels.where("level = 3").select("kind", *mean("all"))
     known = grid.where("landmark IS NOT NULL").join(fine, ["kind", "landmark", "skill_bucket"], "left").join(coarse, ["kind", "landmark"])
     gap = lambda c: F.sum(F.col(c) - F.col("n") * F.coalesce(f"fine_{c}", f"coarse_{c}")).alias(f"gap_{c}")
-    gaps = known.groupBy("item_id", "kind").agg(F.sum("n").alias("known"), *[gap(c) for c in _SUMS[1:]])
-    out = item_raw_stats(grid).join(gaps, ["item_id", "kind"], "left").join(overall, "kind", "left")
+    gaps = known.groupBy(*by, "item_id", "kind").agg(F.sum("n").alias("known"), *[gap(c) for c in _SUMS[1:]])
+    out = item_raw_stats(grid, by).join(gaps, [*by, "item_id", "kind"], "left").join(overall, "kind", "left")
 
     def tier(c: str, low: int, high: int) -> F.Column:
         fixed = F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.col(f"all_{c}") + F.col(f"gap_{c}") / F.col("known")))
         return F.when((F.col("known") > 0) & F.col(f"all_{c}").isNotNull(), fixed).otherwise(F.col(c) / F.col("games"))
 
-    return out.select("item_id", "kind", "games", *_SUMS[1:], tier("placement_sum", 1, 6).alias("tier_placement"),
+    return out.select(*by, "item_id", "kind", "games", *_SUMS[1:], tier("placement_sum", 1, 6).alias("tier_placement"),
                       tier("top3_wins", 0, 1).alias("tier_top3"), tier("top1_wins", 0, 1).alias("tier_top1"))
 
 

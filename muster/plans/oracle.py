@@ -124,6 +124,30 @@ _ADJUSTED = f"""(SELECT raw.item_id, raw.kind, raw.games, raw.placement_sum, raw
         LEFT JOIN {_LEVELS} f ON f.level = 0 AND f.n >= 40 AND f.kind = g.kind AND f.landmark = g.landmark AND f.skill_bucket = g.skill_bucket
         GROUP BY 1) d ON d.item_id = raw.item_id
     LEFT JOIN {_LEVELS} z ON z.level = 3 AND z.kind = raw.kind)"""
+_OF_CHAMPION = f"""(SELECT raw.champion, raw.item_id, raw.kind, raw.games, raw.placement_sum, raw.top1_wins, raw.top3_wins,
+    coalesce(least(6.0, greatest(1.0, z.placement_sum / z.n + d0 / d.known)), raw.placement_sum / raw.games) AS tier_placement,
+    coalesce(least(1.0, greatest(0.0, z.top3_wins / z.n + d2 / d.known)), raw.top3_wins / raw.games) AS tier_top3,
+    coalesce(least(1.0, greatest(0.0, z.top1_wins / z.n + d1 / d.known)), raw.top1_wins / raw.games) AS tier_top1
+    FROM (SELECT champion, item_id, kind, {_C4} FROM %(acq)s GROUP BY 1, 2, 3) raw
+    LEFT JOIN (
+        SELECT g.champion, g.item_id, count(*) AS known, sum(g.placement - coalesce(f.placement_sum / f.n, c.placement_sum / c.n)) AS d0,
+               sum(CAST(g.placement = 1 AS INTEGER) - coalesce(f.top1_wins / f.n, c.top1_wins / c.n)) AS d1,
+               sum(CAST(g.placement <= 3 AS INTEGER) - coalesce(f.top3_wins / f.n, c.top3_wins / c.n)) AS d2
+        FROM %(acq)s g JOIN {_LEVELS} c ON c.level = 1 AND c.kind = g.kind AND c.landmark = g.landmark
+        LEFT JOIN {_LEVELS} f ON f.level = 0 AND f.n >= 40 AND f.kind = g.kind AND f.landmark = g.landmark AND f.skill_bucket = g.skill_bucket
+        GROUP BY 1, 2) d ON d.champion = raw.champion AND d.item_id = raw.item_id
+    LEFT JOIN {_LEVELS} z ON z.level = 3 AND z.kind = raw.kind)"""
+_ALL_ITEMS = _OF_CHAMPION % {"acq": "acq"}
+_ANVIL_ITEMS = _OF_CHAMPION % {"acq": "(SELECT * FROM acq_anvil WHERE kind = 'prismatic')"}
+_PACKED = """SELECT champion, CAST(row_number() OVER (PARTITION BY champion ORDER BY games DESC, item_id) - 1 AS INTEGER) AS pos, item_id, games, top1_wins, top3_wins, placement_sum,
+    floor(tier_placement * 10000 + 0.5) / 10000 AS tier_placement, floor(tier_top3 * 10000 + 0.5) / 10000 AS tier_top3, floor(tier_top1 * 10000 + 0.5) / 10000 AS tier_top1
+    FROM %s WHERE games >= %d"""
+_PRISMATIC = f"""(SELECT *, row_number() OVER (PARTITION BY champion ORDER BY round(score, 9) DESC, item_id) AS position FROM
+    {_scores(f"(SELECT * FROM {_ALL_ITEMS} WHERE kind = 'prismatic')", 'champion, item_id', 'champion', 'tier_placement', 'tier_top1', 'tier_top3')})"""
+_RARITY = "CASE augment_id % 3 WHEN 0 THEN 'silver' WHEN 1 THEN 'gold' ELSE 'prismatic' END"
+_SCORED = f"(SELECT *, top3_wins / games AS top3_rate, top1_wins / games AS top1_rate, placement_sum / games AS avg_placement FROM {_CHAMPIONS} JOIN {_scores(_CHAMPIONS, 'champion', '1')} USING (champion, games))"
+_SORTS = {"tier": ("score", "DESC"), "top3": ("top3_rate", "DESC"), "top1": ("top1_rate", "DESC"), "avg": ("avg_placement", "ASC"), "play_rate": ("games", "DESC"), "games": ("games", "DESC")}
+_TURNED = {"ASC": "DESC", "DESC": "ASC"}
 _SLOTS = f"""(SELECT champion, CAST(slot AS INTEGER) AS slot, item_id, {_C4} FROM (
     SELECT champion, placement, 1 AS slot, list_filter(usable, lambda x: x BETWEEN 1000 AND 1003)[1] AS item_id FROM usable
     UNION ALL SELECT champion, placement, 2, unnest(list_filter(items, lambda x: x BETWEEN 1004 AND 1015)) FROM usable
@@ -131,6 +155,11 @@ _SLOTS = f"""(SELECT champion, CAST(slot AS INTEGER) AS slot, item_id, {_C4} FRO
     WHERE item_id IS NOT NULL GROUP BY ALL)"""
 _USABLE = """, usable AS (SELECT champion, placement, items, list_filter(CASE WHEN len(item_order) > 0 THEN item_order ELSE items END,
     lambda x: NOT (x BETWEEN 1016 AND 1018 OR x BETWEEN 220008 AND 220011)) AS usable FROM cur)"""
+_ACQ_ANVIL = """, acq_anvil AS (
+    SELECT u.champion, r.base_id AS item_id, CASE WHEN c.category = 'prismatic' THEN 'prismatic' ELSE 'bought' END AS kind,
+           CAST(CASE WHEN c.category = 'prismatic' THEN u.held END AS INTEGER) AS landmark, u.skill_bucket, u.placement
+    FROM (SELECT *, len(list_filter(items, lambda x: x BETWEEN 1004 AND 1015)) AS held, unnest(items) AS raw FROM anvil WHERE run) u
+    LEFT JOIN ref_items r ON r.id = u.raw LEFT JOIN ref_items c ON c.id = r.base_id WHERE c.category IS DISTINCT FROM 'excluded')"""
 _QUEUE = """WITH q AS (
     SELECT 'Q' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS puuid, c_custkey %% 3 AS priority, c_custkey %% 7 AS error_count,
            CASE WHEN c_custkey %% 4 <> 0 THEN c_custkey * 7919 %% 86400 END AS last, c_custkey * 31 %% 5000 AS seen,
@@ -163,6 +192,36 @@ _BODIES = {
     "champion_movers": """SELECT champion, games, games_before, round(a, 6) AS avg_placement, round(b, 6) AS avg_before, round(a - b, 6) AS delta FROM (
         SELECT champion, count(*) FILTER (patch = '16.19') AS games, count(*) FILTER (patch = '16.18') AS games_before, avg(placement) FILTER (patch = '16.19') AS a, avg(placement) FILTER (patch = '16.18') AS b
         FROM clean GROUP BY 1) WHERE games > 0 AND games_before > 0 AND abs(a - b) > 3 * sqrt(35 / 12) * sqrt(1 / games + 1 / games_before)""",
+    "champion_item_grid": f"SELECT champion, item_id, kind, landmark, skill_bucket, count(*) AS n, {_C4.split(',', 1)[1]} FROM acq WHERE kind = 'prismatic' GROUP BY 1, 2, 3, 4, 5",
+    "champion_items": _PACKED % (_ALL_ITEMS, 5),
+    "champion_anvil_items": _PACKED % (_ANVIL_ITEMS, 1),
+    "champion_top_prismatics": f"SELECT champion, CAST(position AS INTEGER) AS position, item_id, games FROM {_PRISMATIC} WHERE position <= 6",
+    "champion_top_augments": f"""SELECT champion, rarity, CAST(position AS INTEGER) AS position, augment_id, games FROM (
+        SELECT *, row_number() OVER (PARTITION BY champion, rarity ORDER BY round(score, 9) DESC, augment_id) AS position FROM
+        {_scores(f"(SELECT champion, augment_id, {_RARITY} AS rarity, {_C4} FROM augs GROUP BY 1, 2 HAVING count(*) >= 3)", 'champion, augment_id, rarity', 'champion, rarity')}) WHERE position <= 5""",
+    "champion_documents": f"""SELECT c.champion, t.m AS total_matches, c.games, round(c.top3_wins / c.games, 6) AS top3_rate, round(c.games / (18 * t.m), 6) AS play_rate, i.all_items, u.all_augments, p.top_prismatic,
+            n.anvil_games, n.blade_rate, k.combos_shown
+        FROM {_CHAMPIONS} c CROSS JOIN (SELECT count(DISTINCT match_id) AS m FROM cur) t
+        LEFT JOIN (SELECT champion, string_agg(item_id, ',' ORDER BY games DESC, item_id) AS all_items FROM (SELECT champion, item_id, count(*) AS games FROM acq GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY 1) i USING (champion)
+        LEFT JOIN (SELECT champion, string_agg(augment_id, ',' ORDER BY games DESC, augment_id) AS all_augments FROM (SELECT champion, augment_id, count(*) AS games FROM augs GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY 1) u USING (champion)
+        LEFT JOIN (SELECT champion, string_agg(item_id, ',' ORDER BY position) AS top_prismatic FROM {_PRISMATIC} WHERE position <= 6 GROUP BY 1) p USING (champion)
+        LEFT JOIN (SELECT champion, count(*) AS anvil_games, round(count(*) FILTER (list_contains(items, 1007)) / count(*), 6) AS blade_rate FROM anvil WHERE run GROUP BY 1) n USING (champion)
+        LEFT JOIN (SELECT champion, CAST(sum(least(10, n)) AS INTEGER) AS combos_shown FROM (SELECT champion, category, count(*) AS n FROM (SELECT champion, a, b, category FROM combos GROUP BY ALL HAVING count(*) >= 10) GROUP BY 1, 2) GROUP BY 1) k USING (champion)""",
+    "champion_list_ranks": f"SELECT champion, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, champion) AS INTEGER) AS position, count(*) OVER () AS total FROM {_SCORED}",
+    "home_podium": f"""SELECT champion, position, position <= 3 AS on_podium FROM (
+        SELECT champion, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, champion) AS INTEGER) AS position FROM {_SCORED}) WHERE position <= 8""",
+    "placement_meters": f"""SELECT champion, round(CASE WHEN max(avg_placement) OVER () = min(avg_placement) OVER () THEN 50.0 ELSE
+        least(92, greatest(3, (max(avg_placement) OVER () - avg_placement) / (max(avg_placement) OVER () - min(avg_placement) OVER ()) * 92)) END, 6) AS meter FROM {_SCORED}""",
+    "list_sort_keys": "SELECT champion, " + ", ".join(
+        f"CAST(row_number() OVER (ORDER BY round({c}, 9) {d if side == 'best' else _TURNED[d]}, champion) AS INTEGER) AS {side}_{k}" for side in ("best", "worst") for k, (c, d) in _SORTS.items()) + f" FROM {_SCORED}",
+    "list_page": f"SELECT champion, games FROM {_CHAMPIONS} ORDER BY games DESC, champion LIMIT 20 OFFSET 20",
+    "ladder_band_starts": "SELECT puuid, rank_position, tier FROM (SELECT *, lag(tier) OVER (ORDER BY rank_position) AS above FROM ratings) WHERE tier IS DISTINCT FROM above",
+    "augment_swing_order": """SELECT augment_id, CAST(row_number() OVER (ORDER BY round(swing, 9) DESC NULLS LAST, augment_id) AS INTEGER) AS position FROM (SELECT DISTINCT augment_id FROM augs) LEFT JOIN (
+        SELECT augment_id, t3 / n3 - sum(t3) OVER () / sum(n3) OVER () - (t1 / n1 - sum(t1) OVER () / sum(n1) OVER ()) AS swing FROM (
+            SELECT augment_id, """ + ", ".join(f"count(*) FILTER (slot = {k}) AS n{k}, count(*) FILTER (slot = {k} AND placement <= 3) AS t{k}" for k in (1, 2, 3)) + """
+            FROM augs GROUP BY 1) WHERE least(n1, n2, n3) >= 30) USING (augment_id)""",
+    "list_tabs": f"""SELECT DISTINCT 'items' AS list, item_id AS id, CASE WHEN kind = 'prismatic' THEN 'prismatic' ELSE 'legendary' END AS tab FROM acq
+        UNION ALL SELECT DISTINCT 'augments', augment_id, {_RARITY} FROM augs""",
     "augment_stats": f"SELECT augment_id, {_C4} FROM augs GROUP BY 1",
     "champion_augment_stats": f"SELECT champion, augment_id, {_C4} FROM augs GROUP BY 1, 2 HAVING count(*) >= 5",
     "augment_timing": f"SELECT CAST(slot AS INTEGER) AS slot, augment_id, {_C4} FROM augs WHERE slot <= 3 GROUP BY 1, 2",
@@ -293,6 +352,6 @@ _TABLES = {
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, body in _BODIES.items():
-        base = _BASE.rstrip() + (_USABLE if "usable" in body else "")
+        base = _BASE.rstrip() + (_USABLE if "usable" in body else "") + (_ACQ_ANVIL if "acq_anvil" in body else "")
         out[name] = f"{base}{'' if body.startswith(',') else chr(10)}{body}"
     return out | _TABLES

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.functions import tiers
 from muster.functions.ladder import skill_bucket
 from muster.functions.text import folded, plain_text
-from muster.operators import anvil, builds, combos, comps, crawl, diff, items, players, ratings, stats, views
+from muster.operators import anvil, builds, champions, combos, comps, crawl, diff, items, lists, players, ratings, stats, views
 from muster.sources.fixtures import OPENERS, Season, load
 
 PATCH, BEFORE, OLD = "16.19", "16.18", ("16.8", "16.9")
@@ -264,6 +264,101 @@ def build_selection(s):
     return builds.build_selection(builds.build_slots(current(s), s.ref_items))
 
 
+def levels(s: Season) -> DataFrame:
+    return items.landmark_levels(grid(s))
+
+
+def free(s: Season) -> DataFrame:
+    return anvil.with_anvil(current(s), s.ref_items).where("anvil")
+
+
+def scored_champions(s: Season) -> DataFrame:
+    return tiers.tier_scores(stats.champion_rates(current(s)))
+
+
+@query
+def champion_item_grid(s):
+    return champions.champion_item_grid(current(s), s.ref_items, F.col("kind") == "prismatic")
+
+
+@query
+def champion_items(s):
+    packed_ = champions.packed_items(champions.champion_items(current(s), s.ref_items, levels(s)), champions.LIST_MIN)
+    return packed_.select("champion", F.posexplode("list").alias("pos", "i")).select("champion", "pos", "i.*")
+
+
+@query
+def champion_anvil_items(s):
+    packed_ = champions.packed_items(champions.champion_items(free(s), s.ref_items, levels(s), F.col("kind") == "prismatic"), 1)
+    return packed_.select("champion", F.posexplode("list").alias("pos", "i")).select("champion", "pos", "i.*")
+
+
+@query
+def champion_top_prismatics(s):
+    return champions.top_prismatic_items(champions.champion_items(current(s), s.ref_items, levels(s)), champions.TOP_PRISMATIC).select("champion", "position", "item_id", "games")
+
+
+@query
+def champion_top_augments(s):
+    return champions.top_augments(stats.champion_augment_stats(current(s), s.ref_augments, 3), s.ref_augments).select("champion", "rarity", "position", "augment_id", "games")
+
+
+@query
+def champion_documents(s):
+    docs = champions.champion_documents(current(s), s.ref_items, s.ref_augments, OPENERS, 1007)
+    ids = lambda c, f: joined(F.transform(c, lambda e: e[f])).alias(c)
+    return docs.select("champion", "total_matches", "games", "top3_rate", "play_rate", ids("all_items", "item_id"), ids("all_augments", "augment_id"), ids("top_prismatic", "item_id"),
+                       F.col("anvil.games").alias("anvil_games"), F.col("anvil.blade_rate").alias("blade_rate"), F.size("champion_combos").alias("combos_shown"))
+
+
+@query
+def champion_list_ranks(s):
+    return lists.ranked(scored_champions(s), "champion").select("champion", "position", "total")
+
+
+@query
+def home_podium(s):
+    return lists.podium(scored_champions(s), "champion").select("champion", "position", "on_podium")
+
+
+@query
+def placement_meters(s):
+    return lists.placement_meter(stats.champion_rates(current(s))).select("champion", "meter")
+
+
+@query
+def list_sort_keys(s):
+    rows = scored_champions(s)
+    every = Window.partitionBy(F.lit(0))  # one row for each champion
+    at = lambda k, best: F.row_number().over(every.orderBy(lists.order(k, best), "champion"))
+    keys = [k for k in lists.COLUMNS if k != "rank"]
+    return rows.select("champion", *[at(k, True).alias(f"best_{k}") for k in keys], *[at(k, False).alias(f"worst_{k}") for k in keys])
+
+
+@query
+def list_page(s):
+    return lists.page(lists.sorted_list(scored_champions(s), "champion", "games"), 20, 2).select("champion", "games")
+
+
+@query
+def ladder_band_starts(s):
+    return lists.band_starts(s.ratings.select("puuid", "rank_position", "tier"), "tier", "rank_position")
+
+
+@query
+def augment_swing_order(s):
+    rows = stats.augment_stats(current(s), s.ref_augments)
+    timing = stats.augment_timing_swing(stats.augment_timing(current(s), s.ref_augments))
+    out = lists.swing_order(rows.select("augment_id", "games"), timing, "augment_id")
+    return out.select("augment_id", F.row_number().over(Window.orderBy(F.round("swing", 9).desc_nulls_last(), "augment_id")).alias("position"))  # one row for each augment
+
+
+@query
+def list_tabs(s):
+    a = lists.item_tabs(items.item_raw_stats(grid(s))).select(F.lit("items").alias("list"), F.col("item_id").alias("id"), "tab")
+    return a.unionByName(lists.augment_tabs(stats.augment_stats(current(s), s.ref_augments), s.ref_augments).select(F.lit("augments").alias("list"), F.col("augment_id").alias("id"), "tab"))
+
+
 @query
 def tier_scores(s):
     return tiers.tier_scores(stats.champion_stats(current(s)).drop("placement_counts")).select("champion", "games", "score")
