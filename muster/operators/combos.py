@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.functions.arrays import pairs
-from muster.functions.counters import counters
+from muster.functions.counters import PLAYERS, counters, with_rates
 from muster.operators.stats import excluded_ids
 from muster.functions.tiers import tier_scores
 
@@ -51,3 +51,9 @@ def top_combos(found: DataFrame, per_category: int, by: tuple[str, ...] = ()) ->
     scored = tier_scores(found, [*by, "category"])
     best = Window.partitionBy(*by, "category").orderBy(F.desc(F.round("score", 9)), "a", "b")
     return scored.withColumn("position", F.row_number().over(best)).where(F.col("position") <= per_category)
+
+
+def combo_rates(found: DataFrame, matches: DataFrame, per_category: int = 200) -> DataFrame:
+    """The best pairs of each category with rates; a match has eighteen chances for a pair."""
+    best = top_combos(found, per_category).drop("score").crossJoin(F.broadcast(matches))  # one row
+    return with_rates(best, F.col("matches") * PLAYERS).drop("matches")

@@ -13,17 +13,10 @@ from pyspark.sql import functions as F
 PIECES = 256
 
 
-def match_participants(details: DataFrame) -> DataFrame:
-    """Participants of match documents (match_id, participants array<struct>), with
-    augment and item slots gathered into arrays; empty slots hold 0."""
-    p = details.select("match_id", F.explode("participants").alias("p"))
-    held = lambda name, ids: F.filter(F.array(*[F.col(f"p.{name}{i}") for i in ids]), lambda x: x > 0)
-    return p.select("match_id", "p.puuid", "p.championName", "p.playerSubteamId", "p.placement", held("playerAugment", range(1, 7)).alias("augments"), held("item", range(7)).alias("items"))
-
-
 def is_build_item(item: Column, excluded: tuple[int, ...] = ()) -> Column:
     """Not a shard, not a consumable, not excluded."""
-    return ~(item.between(220000, 220007) | item.between(2142, 2145) | item.isin(*excluded)) if excluded else ~(item.between(220000, 220007) | item.between(2142, 2145))
+    never = item.between(220000, 220007) | item.between(2142, 2145)
+    return ~(never | item.isin(*excluded)) if excluded else ~never
 
 
 def inventory(events: Column) -> Column:

@@ -44,6 +44,13 @@ def leaderboard_top(ratings: DataFrame, rows: int = 1000) -> DataFrame:
     return ratings.orderBy("rank_position").limit(rows)
 
 
+def leaderboard_rates(ratings: DataFrame, total_matches: DataFrame, rows: int = 1000) -> DataFrame:
+    """The top of the ladder with rates, where the play rate is of all matches, and the ladder's length."""
+    size = ratings.agg(F.count(F.lit(1)).alias("ranked_players"))
+    out = leaderboard_top(ratings, rows).crossJoin(F.broadcast(total_matches)).crossJoin(F.broadcast(size))  # one row each
+    return with_rates(out, F.col("total_matches"))
+
+
 def leaderboard_search(ratings: DataFrame, text: str, rows: int = 25) -> DataFrame:
     """Players whose name contains ``text`` in any case; all characters are literal."""
     found = ratings.where(F.contains(F.lower("riot_id"), F.lit(text.lower()))) if len(text) > 1 else ratings.limit(0)

@@ -49,13 +49,13 @@ def previous_patch_champion_totals(published: DataFrame, archive: DataFrame, pat
     return live.unionByName(old.join(live.select("patch").distinct(), "patch", "left_anti"))
 
 
-def champion_movers(now: DataFrame, before: DataFrame) -> DataFrame:
-    """Champions whose mean placement moved by more than chance explains, largest move first."""
+def champion_movers(now: DataFrame, before: DataFrame, errors: float = ERRORS) -> DataFrame:
+    """Champions whose mean placement moved by more than ``errors`` standard errors, largest move first."""
     b = before.select("champion", F.col("games").alias("games_before"), F.col("placement_sum").alias("sum_before"))
     out = now.select("champion", "games", "placement_sum").join(b, "champion").where("games > 0 AND games_before > 0")
     out = out.withColumn("avg_placement", F.col("placement_sum") / F.col("games")).withColumn("avg_before", F.col("sum_before") / F.col("games_before"))
     out = out.withColumn("delta", F.col("avg_placement") - F.col("avg_before"))
-    noise = ERRORS * SIGMA * F.sqrt(1 / F.col("games") + 1 / F.col("games_before"))
+    noise = errors * SIGMA * F.sqrt(1 / F.col("games") + 1 / F.col("games_before"))
     return out.where(F.abs("delta") > noise).select("champion", "games", "games_before", "avg_placement", "avg_before", "delta").orderBy(F.abs("delta").desc(), "champion")
 
 
@@ -74,6 +74,12 @@ def augment_stats(rows: DataFrame, ref_augments: DataFrame) -> DataFrame:
     return picked_augments(rows, ref_augments).groupBy("augment_id").agg(*counters())
 
 
+def augment_rates(rows: DataFrame, ref_augments: DataFrame) -> DataFrame:
+    """Augment counters with rates, best first."""
+    out = augment_stats(rows, ref_augments).crossJoin(F.broadcast(patch_match_count(rows)))  # one row
+    return with_rates(out, F.col("matches") * PLAYERS).drop("matches").orderBy(F.desc("top3_rate"), "augment_id")
+
+
 def champion_augment_stats(rows: DataFrame, ref_augments: DataFrame, min_games: int) -> DataFrame:
     return picked_augments(rows, ref_augments).groupBy("champion", "augment_id").agg(*counters()).where(F.col("games") >= min_games)
 

@@ -160,6 +160,20 @@ _ACQ_ANVIL = """, acq_anvil AS (
            CAST(CASE WHEN c.category = 'prismatic' THEN u.held END AS INTEGER) AS landmark, u.skill_bucket, u.placement
     FROM (SELECT *, len(list_filter(items, lambda x: x BETWEEN 1004 AND 1015)) AS held, unnest(items) AS raw FROM anvil WHERE run) u
     LEFT JOIN ref_items r ON r.id = u.raw LEFT JOIN ref_items c ON c.id = r.base_id WHERE c.category IS DISTINCT FROM 'excluded')"""
+_CHOSEN = """, chosen AS (
+    SELECT match_id, patch FROM matches WHERE ingested AND mn % 4 <> 1 AND mn % 3 <> 0 AND patch NOT IN ('16.18', '16.19') ORDER BY match_id LIMIT 100)"""
+#: Replay of each order's line items in order of time; selling and undoing take the last of that item away.
+_REPLAY = """WITH RECURSIVE e AS (
+    SELECT l_orderkey, l_returnflag AS f, CAST(1000 + l_partkey % 60 AS INTEGER) AS item,
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'ITEM_SOLD' WHEN 'A' THEN 'ITEM_UNDO' ELSE 'ITEM_PURCHASED' END, l_partkey % 60) AS i
+    FROM lineitem),
+r AS (
+    SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS i, CAST([] AS INTEGER[]) AS inv FROM e
+    UNION ALL
+    SELECT l_orderkey, i, CASE WHEN f NOT IN ('R', 'A') THEN list_append(inv, item) WHEN p > 0 THEN list_concat(inv[:len(inv) - p], inv[len(inv) - p + 2:]) ELSE inv END
+    FROM (SELECT e.*, r.inv, coalesce(list_position(list_reverse(r.inv), e.item), 0) AS p FROM r JOIN e ON e.l_orderkey = r.l_orderkey AND e.i = r.i + 1)),
+z AS (SELECT l_orderkey, max_by(inv, i) AS inv FROM r GROUP BY 1)
+SELECT l_orderkey, array_to_string(list_filter(inv, lambda x, i: list_position(inv, x) = i), ',') AS item_order FROM z"""
 _QUEUE = """WITH q AS (
     SELECT 'Q' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS puuid, c_custkey %% 3 AS priority, c_custkey %% 7 AS error_count,
            CASE WHEN c_custkey %% 4 <> 0 THEN c_custkey * 7919 %% 86400 END AS last, c_custkey * 31 %% 5000 AS seen,
@@ -191,7 +205,7 @@ _BODIES = {
     "previous_patch_champion_totals": "SELECT patch, champion, count(*) AS games, CAST(sum(placement) AS BIGINT) AS placement_sum FROM clean WHERE patch = '16.18' GROUP BY ALL",
     "champion_movers": """SELECT champion, games, games_before, round(a, 6) AS avg_placement, round(b, 6) AS avg_before, round(a - b, 6) AS delta FROM (
         SELECT champion, count(*) FILTER (patch = '16.19') AS games, count(*) FILTER (patch = '16.18') AS games_before, avg(placement) FILTER (patch = '16.19') AS a, avg(placement) FILTER (patch = '16.18') AS b
-        FROM clean GROUP BY 1) WHERE games > 0 AND games_before > 0 AND abs(a - b) > 3 * sqrt(35 / 12) * sqrt(1 / games + 1 / games_before)""",
+        FROM clean GROUP BY 1) WHERE games > 0 AND games_before > 0 AND abs(a - b) > 1 * sqrt(35 / 12) * sqrt(1 / games + 1 / games_before)""",
     "champion_item_grid": f"SELECT champion, item_id, kind, landmark, skill_bucket, count(*) AS n, {_C4.split(',', 1)[1]} FROM acq WHERE kind = 'prismatic' GROUP BY 1, 2, 3, 4, 5",
     "champion_items": _PACKED % (_ALL_ITEMS, 5),
     "champion_anvil_items": _PACKED % (_ANVIL_ITEMS, 1),
@@ -222,6 +236,27 @@ _BODIES = {
             FROM augs GROUP BY 1) WHERE least(n1, n2, n3) >= 30) USING (augment_id)""",
     "list_tabs": f"""SELECT DISTINCT 'items' AS list, item_id AS id, CASE WHEN kind = 'prismatic' THEN 'prismatic' ELSE 'legendary' END AS tab FROM acq
         UNION ALL SELECT DISTINCT 'augments', augment_id, {_RARITY} FROM augs""",
+    "augment_rates": f"SELECT *, {_rates('18 * (SELECT count(DISTINCT match_id) FROM cur)')} FROM (SELECT augment_id, {_C4} FROM augs GROUP BY 1)",
+    "combo_rates": f"""SELECT *, {_rates('18 * (SELECT count(DISTINCT match_id) FROM cur)')} FROM (
+        SELECT c.*, CAST(row_number() OVER (PARTITION BY category ORDER BY round(t.score, 9) DESC, a, b) AS INTEGER) AS position FROM {_COMBO} c
+        JOIN {_scores(_COMBO, 'a, b, category', 'category')} t USING (a, b, category)) WHERE position <= 20""",
+    "leaderboard_rates": f"""SELECT puuid, rank_position, count(*) OVER () AS ranked_players, {_rates('(SELECT count(*) FROM matches WHERE ingested)')} FROM ratings QUALIFY rank_position <= 50""",
+    "rating_matches_page": """SELECT match_id, string_agg(player_id, ',' ORDER BY player_id) AS players FROM clean
+        WHERE (game_creation, match_id) > (TIMESTAMP '1995-01-20 00:00:00', 'M_000010') GROUP BY match_id, game_creation ORDER BY game_creation, match_id LIMIT 30""",
+    "evolved_items": """SELECT match_id, player_id, array_to_string(CASE WHEN p IS NULL THEN items ELSE list_concat(items[:p - 1],
+            list_filter(tail, lambda x, i: NOT list_contains(items[:p - 1], x) AND list_position(tail, x) = i)) END, ',') AS items FROM (
+        SELECT *, list_transform(items[p:], lambda x: CASE WHEN x BETWEEN 1056 AND 1059 THEN x - 20 ELSE x END) AS tail FROM (
+            SELECT *, list_min(list_filter(list_transform([1056, 1057, 1058, 1059], lambda e: list_position(items, e)), lambda x: x > 0)) AS p FROM cur))""",
+    "deduced_patches": "SELECT match_id, CASE WHEN mn % 5 = 0 OR mn % 7 = 0 THEN '16.1' ELSE patch END AS patch FROM matches",
+    "archive_totals": f"""SELECT player_id, champion, patch, {_S4} FROM (SELECT * FROM archive UNION ALL SELECT player_id, champion, patch, {_C4} FROM clean SEMI JOIN chosen USING (match_id) GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""",
+    "archive_audit": f"""SELECT patch, CAST(sum(games) AS BIGINT) AS participations, count(*) AS rows_written FROM (SELECT *, 0 AS step FROM archive
+        UNION ALL SELECT player_id, champion, patch, {_C4}, 1 FROM clean SEMI JOIN chosen USING (match_id) GROUP BY 1, 2, 3) GROUP BY 1""",
+    "archive_stamps": """SELECT m.match_id, CASE WHEN c.match_id IS NOT NULL THEN '2026-01-02 00:00:00' WHEN mn % 4 = 1 THEN strftime(TIMESTAMP '2026-01-01 00:00:00' + to_seconds(mn * 2), '%Y-%m-%d %H:%M:%S') END AS archived_at,
+            CASE WHEN c.match_id IS NULL THEN coalesce(p.n, 0) ELSE 0 END AS rows_left
+        FROM matches m LEFT JOIN chosen c USING (match_id) LEFT JOIN (SELECT match_id, count(*) AS n FROM part GROUP BY 1) p USING (match_id)""",
+    "match_documents": """SELECT match_id, 'P' || lpad(CAST(player_id AS VARCHAR), 4, '0') AS puuid, CAST(NULL AS VARCHAR) AS riot_id, champion, subteam_id, placement,
+        array_to_string(augments, ',') AS augments, array_to_string(items[:7], ',') AS items FROM cur""",
+    "stored_documents": "SELECT 'champion:' || champion || '@16.19' AS key, count(*) AS games, CAST(sum(placement) AS BIGINT) AS placement_sum FROM cur GROUP BY champion",
     "augment_stats": f"SELECT augment_id, {_C4} FROM augs GROUP BY 1",
     "champion_augment_stats": f"SELECT champion, augment_id, {_C4} FROM augs GROUP BY 1, 2 HAVING count(*) >= 5",
     "augment_timing": f"SELECT CAST(slot AS INTEGER) AS slot, augment_id, {_C4} FROM augs WHERE slot <= 3 GROUP BY 1, 2",
@@ -331,6 +366,15 @@ _BODIES = {
 }
 
 _TABLES = {
+    "timeline_item_order": _REPLAY,
+    "timeline_documents": _REPLAY,
+    "admission_control": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        r AS (
+            SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS times, false AS admitted FROM e
+            UNION ALL
+            SELECT user_id, event_id, i, CASE WHEN ok THEN list_append(times, t)[-3:] ELSE times END, ok
+            FROM (SELECT e.*, r.times, len(r.times) < 3 OR r.times[1] <= e.t - 86400000000 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+        SELECT user_id, event_id, admitted FROM r WHERE i > 0""",
     "requested_players": _QUEUE % 25 + " SELECT puuid FROM req",
     "crawl_queue_pick": _QUEUE % 10 + """,
         due AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY last NULLS FIRST, seen DESC, puuid) AS n FROM q WHERE error_count < 5),
@@ -349,9 +393,20 @@ _TABLES = {
 }
 
 
+#: Greedy choice over a champion's slots: what is first in a slot is not shown in later ones.
+_SELECTION = f""", bs AS (SELECT champion, slot, list(item_id ORDER BY games DESC, item_id) AS ids, list(games ORDER BY games DESC, item_id) AS gs FROM {_SLOTS} GROUP BY 1, 2),
+g AS (
+    SELECT DISTINCT champion, 0 AS slot, CAST([] AS INTEGER[]) AS taken, CAST([] AS INTEGER[]) AS shown FROM bs
+    UNION ALL
+    SELECT champion, slot + 1, CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END, free[:3]
+    FROM (SELECT g.*, coalesce(list_filter(bs.ids, lambda x: NOT list_contains(g.taken, x)), []) AS free FROM g LEFT JOIN bs ON bs.champion = g.champion AND bs.slot = g.slot + 1) WHERE slot < 6)
+SELECT g.champion, CAST(g.slot AS INTEGER) AS slot, CAST(k AS INTEGER) AS choice, g.shown[k] AS item_id, bs.gs[list_position(bs.ids, g.shown[k])] AS games
+FROM g JOIN bs ON bs.champion = g.champion AND bs.slot = g.slot, range(1, 4) t(k) WHERE k <= len(g.shown)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {}
+    out = {"build_selection": _BASE.replace("WITH o AS", "WITH RECURSIVE o AS", 1).rstrip() + _USABLE + _SELECTION}
     for name, body in _BODIES.items():
-        base = _BASE.rstrip() + (_USABLE if "usable" in body else "") + (_ACQ_ANVIL if "acq_anvil" in body else "")
+        base = _BASE.rstrip() + (_USABLE if "usable" in body else "") + (_ACQ_ANVIL if "acq_anvil" in body else "") + (_CHOSEN if "chosen" in body else "")
         out[name] = f"{base}{'' if body.startswith(',') else chr(10)}{body}"
     return out | _TABLES

@@ -5,6 +5,7 @@ Doubles are rounded to six places: engines add in different orders.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 
 from muster.functions import tiers
 from muster.functions.ladder import skill_bucket
+from muster.functions.arrays import canonical
+from muster.functions.patches import patch_of
 from muster.functions.text import folded, plain_text
-from muster.operators import anvil, builds, champions, combos, comps, crawl, diff, items, lists, players, ratings, stats, views
+from muster.operators import anvil, archive as archiving, builds, champions, combos, comps, crawl, diff, items, lists, players, ratings, stats, views
+from muster.sources import documents
 from muster.sources.fixtures import OPENERS, Season, load
 
 PATCH, BEFORE, OLD = "16.19", "16.18", ("16.8", "16.9")
@@ -131,7 +135,7 @@ def previous_patch_champion_totals(s):
 @query
 def champion_movers(s):
     before = stats.champion_stats(views.patch_rows(s, BEFORE))
-    return stats.champion_movers(stats.champion_stats(current(s)), before)
+    return stats.champion_movers(stats.champion_stats(current(s)), before, 1.0)
 
 
 @query
@@ -523,6 +527,90 @@ def snapshot_diff(s):
     return diff.snapshot_diff(leaf(stats.champion_stats(views.patch_rows(s, BEFORE))), leaf(stats.champion_stats(current(s))))
 
 
+@query
+def augment_rates(s):
+    return stats.augment_rates(current(s), s.ref_augments)
+
+
+@query
+def combo_rates(s):
+    return combos.combo_rates(combos.combos(current(s), s.ref_items, s.ref_augments, 5), views.patch_match_count(current(s)), 20)
+
+
+@query
+def leaderboard_rates(s):
+    total = s.matches.where("ingested").agg(F.count(F.lit(1)).alias("total_matches"))
+    return players.leaderboard_rates(s.ratings, total, 50).select("puuid", "rank_position", "ranked_players", "top3_rate", "top1_rate", "avg_placement", "play_rate")
+
+
+@query
+def rating_matches_page(s):
+    after = (datetime.datetime(1995, 1, 20), "M_000010")
+    return ratings.rating_matches(packed(s), after, 30).select("match_id", joined("players").alias("players"))
+
+
+@query
+def evolved_items(s):
+    forms = {1056: 1036, 1057: 1037, 1058: 1038, 1059: 1039}
+    return current(s).select("match_id", "player_id", joined(canonical(F.col("items"), forms)).alias("items"))
+
+
+@query
+def deduced_patches(s):
+    version = F.when(F.col("mn") % 5 == 0, "").when(F.col("mn") % 7 != 0, F.col("game_version"))
+    return s.matches.select("match_id", patch_of(version, F.lit("16.1")).alias("patch"))
+
+
+def archive_matches(s: Season) -> tuple[DataFrame, DataFrame]:
+    """Matches as the archive step sees them, and when their rating rows were built: every third before the match was ingested."""
+    at = lambda x: F.expr("TIMESTAMP_NTZ'2026-01-01 00:00:00'") + F.make_dt_interval(secs=x)
+    mn = F.col("mn")
+    m = s.matches.select("match_id", "mn", "patch", F.when(F.col("ingested"), at(mn)).alias("ingested_at"), F.when(mn % 4 == 1, at(mn * 2)).alias("archived_at"))
+    return m.drop("mn"), m.select("match_id", F.when(mn % 3 == 0, at(mn - 1)).otherwise(at(mn + 1)).alias("built_at"))
+
+
+def archive_step(s: Season) -> archiving.Step:
+    matches, built = archive_matches(s)
+    chosen = archiving.choose(matches, built, views.published_patches(s), 100)
+    return archiving.archive_step(matches, s.participants, archive(s), players.rolled_patches(archive(s)), chosen, F.expr(f"TIMESTAMP_NTZ'{NOW}'"))
+
+
+@query
+def archive_totals(s):
+    return archive_step(s).totals
+
+
+@query
+def archive_audit(s):
+    return archive_step(s).audit
+
+
+@query
+def archive_stamps(s):
+    step = archive_step(s)
+    left = step.rows.groupBy("match_id").agg(F.count(F.lit(1)).alias("rows_left"))
+    return step.matches.join(left, "match_id", "left").select("match_id", stamp("archived_at").alias("archived_at"), F.coalesce("rows_left", F.lit(0)).alias("rows_left"))
+
+
+@query
+def match_documents(s):
+    """Match documents made of the season, parsed again."""
+    slot = lambda c, i: F.coalesce(F.get(c, i), F.lit(0))
+    p = F.struct(F.concat(F.lit("P"), F.lpad(F.col("player_id").cast("string"), 4, "0")).alias("puuid"), F.lit("").alias("riotIdGameName"), F.col("champion").alias("championName"), F.col("subteam_id").alias("playerSubteamId"), "placement",
+                 *[slot("augments", i - 1).alias(f"playerAugment{i}") for i in range(1, 7)], *[slot("items", i).alias(f"item{i}") for i in range(7)])
+    docs = current(s).groupBy("match_id").agg(F.collect_list(p).alias("participants")).select(F.to_json(F.struct(
+        F.struct(F.col("match_id").alias("matchId")).alias("metadata"), F.struct(F.lit(1_700_000_000_000).alias("gameCreation"), "participants").alias("info"))).alias("document"))
+    return documents.participants(docs).select("match_id", "puuid", "riot_id", "champion", "subteam_id", "placement", joined("augments").alias("augments"), joined("items").alias("items"))
+
+
+@query
+def stored_documents(s):
+    """Champion statistics as stored JSON documents, and two fields read back from those of one patch."""
+    rows = views.participants_published(s).groupBy("patch", "champion").agg(F.count(F.lit(1)).alias("games"), F.sum("placement").cast("long").alias("placement_sum"))
+    stored = rows.select(F.concat(F.lit("champion:"), "champion", F.lit("@"), "patch").alias("key"), F.to_json(F.struct(F.struct("games", "placement_sum").alias("stat"))).alias("payload"))
+    return documents.projected(stored, f"champion:%@{PATCH}", {"games": ("$.stat.games", "long"), "placement_sum": ("$.stat.placement_sum", "long")})
+
+
 def crawl_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     at = lambda x: F.expr("TIMESTAMP_NTZ'2026-01-01 00:00:00'") + F.make_dt_interval(secs=x)
@@ -550,6 +638,20 @@ def timeline_item_order(spark, sf_dir):
     return crawl.timeline_item_order(events, ["l_orderkey"], ["l_shipdate", "l_linenumber"]).withColumn("item_order", joined("item_order"))
 
 
+@table_query
+def timeline_documents(spark, sf_dir):
+    """Timeline documents made of line items, one frame for each, parsed and replayed."""
+    flag = F.col("l_returnflag")
+    kind = F.when(flag == "R", "ITEM_SOLD").when(flag == "A", "ITEM_UNDO").otherwise("ITEM_PURCHASED")
+    item = (F.col("l_partkey") % 60 + 1000).cast("int")
+    e = F.struct("l_shipdate", "l_linenumber", kind.alias("type"), F.when(flag != "A", item).alias("itemId"), F.when(flag == "A", item).alias("beforeId"), (F.col("l_orderkey") % 18).cast("int").alias("participantId"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("mn", F.expr("l_orderkey div 18"))
+    frames = lines.groupBy("mn").agg(F.transform(F.array_sort(F.collect_list(e)), lambda x: F.struct(F.array(x).alias("events"))).alias("frames"))
+    docs = frames.select(F.to_json(F.struct(F.struct(F.col("mn").cast("string").alias("matchId")).alias("metadata"), F.struct("frames").alias("info"))).alias("document"))
+    orders = crawl.timeline_item_order(documents.timeline_events(docs), ["match_id", "participant"], ["position"])
+    return orders.select((F.col("match_id").cast("long") * 18 + F.col("participant")).alias("l_orderkey"), joined("item_order").alias("item_order"))
+
+
 @table_query
 def admission_control(spark, sf_dir):
     return crawl.admitted(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", 3, 86_400)

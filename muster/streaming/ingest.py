@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from muster.functions.counters import counters
+from muster.operators.players import latest_name
 from muster.operators.ratings import packed_matches
 
 LATE = "2 hours"
@@ -56,12 +57,37 @@ class RatingRows:
         newest = F.max_by(F.struct(*fields), F.struct("built_at", F.size("players"), "batch"))
         return every.groupBy("match_id").agg(newest.alias("r")).select("match_id", "r.*")
 
-    def todo(self, matches: DataFrame) -> DataFrame:
-        """Ingested matches (match_id, ingested_at) without rating rows, or with older ones."""
+    def todo(self, matches: DataFrame, since: Column | None = None) -> DataFrame:
+        """Ingested matches (match_id, ingested_at) without rating rows, or with older ones.
+
+        With ``since``, the time of the last run, only matches ingested after two hours before it
+        are looked at; a full sweep (every six hours) finds what arrived later still.
+        """
+        if since is not None:
+            matches = matches.where(F.col("ingested_at") >= since - F.expr(f"INTERVAL {LATE}"))
         have = self.rows().select("match_id", "built_at")
         return matches.join(have, "match_id", "left").where(F.col("built_at").isNull() | (F.col("built_at") < F.col("ingested_at"))).select("match_id")
 
 
+def touched_counts(rows: DataFrame, changed: DataFrame, counts: DataFrame) -> DataFrame:
+    """``counts`` (player_id, games) with those of the players of ``changed`` matches counted anew from all rating ``rows``."""
+    players = changed.select(F.explode("players").alias("player_id")).distinct()
+    seen = rows.select(F.explode("players").alias("player_id")).join(players, "player_id", "left_semi")
+    new = seen.groupBy("player_id").agg(F.count(F.lit(1)).alias("games"))
+    return counts.join(players, "player_id", "left_anti").unionByName(new)
+
+
+def new_names(players: DataFrame, seen: DataFrame) -> DataFrame:
+    """``players`` (id, puuid, riot_id, ...) with the latest name that ``seen`` (puuid, riot_id, game_creation, match_id) has where it is another."""
+    latest = latest_name(seen.where("riot_id IS NOT NULL")).withColumnRenamed("riot_id", "_name")
+    return players.join(latest, "puuid", "left").withColumn("riot_id", F.coalesce("_name", "riot_id")).drop("_name").select(*players.columns)
+
+
+def unarchived(arriving: DataFrame, matches: DataFrame) -> DataFrame:
+    """Arriving participations without those of matches that are archived, whose rows must not come back."""
+    return arriving.join(matches.where("archived_at IS NOT NULL").select("match_id"), "match_id", "left_anti")
+
+
 def start_sync(stream: DataFrame, rows: RatingRows, checkpoint: str):
     """Starts the query that keeps ``rows`` up to date."""
     return stream.writeStream.foreachBatch(rows.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -239,3 +239,122 @@ def test_build_selection_is_greedy(spark):
             want += [(f"C{c}", slot, k + 1, i, -g) for k, (g, i) in enumerate(here)]
             taken |= {i for _, i in here[:1]}
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def letters_by_hand(scores):
+    """k-means on a sorted list, clusters that are near made one, and letters by the cluster's mean."""
+    xs = sorted(scores)
+    n, spread = len(xs), xs[-1] - xs[0]
+    if n == 1 or spread < 1e-9:
+        cluster = [0] * n
+    else:
+        k = min(5, n)
+        centres, cluster = [xs[int((c + 0.5) * n / k)] for c in range(k)], None
+        for _ in range(50):
+            new = [min(range(k), key=lambda c: (abs(x - centres[c]), c)) for x in xs]
+            if new == cluster:
+                break
+            cluster = new
+            centres = [sum(m) / len(m) if (m := [x for x, c in zip(xs, cluster) if c == j]) else centres[j] for j in range(k)]
+    groups = [[x for x, c in zip(xs, cluster) if c == j] for j in dict.fromkeys(cluster)]
+    mean = lambda g: sum(g) / len(g)
+    while True:
+        near = next((i for i in range(len(groups) - 1) if mean(groups[i + 1]) - mean(groups[i]) < 0.08 * spread), None)
+        if near is None:
+            break
+        groups[near : near + 2] = [groups[near] + groups[near + 1]]
+    middle = mean(xs)
+    deviation = math.sqrt(sum((x - middle) ** 2 for x in xs) / n)
+    of = {}
+    for g in groups:
+        z = 0.0 if deviation < 1e-9 else (mean(g) - middle) / deviation
+        of.update(dict.fromkeys(g, LETTERS[sum(z < c for c in (0.84, 0.25, -0.25, -0.84))]))
+    return [of[x] for x in scores]
+
+
+def test_letters_against_brute_force():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 6, 20, 48, 173):
+        for _ in range(20):
+            x = np.round(rng.choice([rng.normal(size=n), rng.random(n), np.repeat(0.5, n)]), 3)
+            assert list(letters(x)) == letters_by_hand(list(x))
+
+
+def test_number_and_text(spark):
+    from muster.functions.text import number
+
+    got = [one(spark, number(F.lit(x))) for x in (3.0, 12.5, 0.125, 0.1, 1e9, 123456789.256, -1.5, 0.0)]
+    assert got == ["3", "12.5", "0.13", "0.1", "1000000000", "123456789.26", "-1.5", "0"]
+    assert one(spark, plain_text(F.lit("a<br>\n\n<p>b</p>\n\n\n<div>c</div> &amp;lt; <RULES>d</RULES>"))) == "a\n\nb\n\nc\n&lt; d"
+    values = F.create_map(F.lit("a"), F.array(F.lit(2.0)), F.lit("b_1"), F.array(F.lit(0.333)))
+    assert one(spark, with_values(F.lit("@A@@b_1*100@ x @ @a@"), values)) == "233.3 x @ 2"
+    assert one(spark, resolved_lines(F.lit("@x@ a\nb\nc @y@"))) == "b" and one(spark, with_values(F.lit("none"), values)) == "none"
+
+
+def test_reference_documents(spark, tmp_path):
+    import json
+
+    from muster.sources import documents
+    from muster.sources.snapshots import write_dimension
+
+    doc = lambda x: spark.createDataFrame([(json.dumps(x),)], "document string")
+    curated = spark.createDataFrame([(1, "boots"), (7, "excluded")], "id int, category string")
+    shop = {"data": {"1": {"name": "Shoes", "maps": {"11": True, "30": True}}, "2": {"name": "Old", "maps": {"30": False}}, "3": {"name": "Other", "maps": {"11": True}}, "4": {"name": "Bare"}}}
+    assert sorted(map(tuple, documents.reference_items(doc(shop), curated).collect())) == [(1, "Shoes", "boots")]
+    heroes = {"data": {"A": {"id": "A", "name": "Aa", "tags": ["Mage", "Tank"]}, "B": {"id": "B", "name": "Bb", "tags": []}}}
+    assert sorted(map(tuple, documents.reference_champions(doc(heroes)).collect())) == [("A", "Aa", "Mage"), ("B", "Bb", None)]
+    icons = "/x/assets/%s/i.png"
+    list_ = [
+        {"id": 7, "nameTRA": "Seven", "rarity": "kBronze", "augmentSmallIconPath": icons % "Cherry"}, {"id": 8, "nameTRA": "Eight", "rarity": "kNew", "augmentSmallIconPath": icons % "KIWI"},
+        {"id": 9, "nameTRA": "", "rarity": "kGold", "augmentSmallIconPath": icons % "Kiwi"}, {"id": 10, "nameTRA": "Ten", "rarity": "kGold", "augmentSmallIconPath": icons % "Kiwi/Strawberry"},
+        {"id": 11, "nameTRA": "Eleven", "rarity": "kGold"}, {"id": 12, "nameTRA": "Twelve", "rarity": "kEventChoice", "augmentSmallIconPath": icons % "kiwi"},
+    ]
+    found = documents.reference_augments(doc(list_), curated)
+    assert sorted(map(tuple, found.collect())) == [(7, "Seven", "silver", "excluded"), (8, "Eight", "gold", None), (12, "Twelve", "prismatic", None)]
+    write_dimension(found, f"{tmp_path}/augments")
+    write_dimension(found.where("id = 7"), f"{tmp_path}/augments")
+    assert spark.read.parquet(f"{tmp_path}/augments").count() == 1
+
+
+def test_match_and_timeline_documents(spark):
+    import json
+
+    from muster.sources import documents
+
+    match = {"metadata": {"matchId": "M"}, "info": {"gameCreation": 1_700_000_000_000, "gameVersion": "16.18.1", "extra": 1, "participants": [
+        {"puuid": "p", "riotIdGameName": "Ann", "riotIdTagline": "EUW", "championName": "C", "playerSubteamId": 2, "placement": 1, "kills": 3, "deaths": 0, "assists": 1, "playerAugment1": 5, "playerAugment3": 9, "item0": 0, "item6": 1001},
+        {"puuid": "q", "riotIdGameName": "", "riotIdTagline": "X", "championName": "D", "playerSubteamId": 1, "placement": 2}]}}
+    docs = spark.createDataFrame([(json.dumps(match),), (None,), ("{broken",)], "document string")
+    got = {r["puuid"]: r for r in documents.participants(docs).collect()}
+    assert (got["p"]["augments"], got["p"]["items"], got["p"]["riot_id"], got["q"]["riot_id"], got["q"]["items"]) == ([5, 9], [1001], "Ann#EUW", None, [])
+    event = lambda t, **k: {"type": t, "timestamp": 5, "participantId": 1, **k}
+    line = {"metadata": {"matchId": "M"}, "info": {"frames": [
+        {"events": [event("ITEM_PURCHASED", itemId=1001), event("LEVEL_UP"), event("ITEM_PURCHASED", itemId=220_003)]}, {}, {"events": [event("ITEM_PURCHASED", itemId=2144), event("ITEM_PURCHASED", itemId=1002)]},
+        {"events": [event("ITEM_UNDO", beforeId=1002, afterId=0), event("ITEM_PURCHASED", itemId=1003), event("ITEM_DESTROYED", itemId=1001)]}]}}
+    events = documents.timeline_events(spark.createDataFrame([(json.dumps(line),)], "document string"))
+    assert events.count() == 7
+    assert crawl.timeline_item_order(events, ["match_id", "participant"], ["position"]).first()["item_order"] == [1001, 1003]
+
+
+def test_archive_needs_two_published_patches(spark):
+    from muster.operators import archive
+
+    m = spark.sql("SELECT * FROM VALUES ('a', '16.1', TIMESTAMP_NTZ'2026-01-01 00:00:00', CAST(NULL AS TIMESTAMP_NTZ)), ('b', NULL, TIMESTAMP_NTZ'2026-01-01 00:00:00', NULL), ('c', '16.3', TIMESTAMP_NTZ'2026-01-01 00:00:00', NULL) "
+                  "AS t(match_id, patch, ingested_at, archived_at)")
+    built = m.select("match_id", F.col("ingested_at").alias("built_at"))
+    patches = lambda *x: spark.createDataFrame([(p,) for p in x], "patch string")
+    assert [r["match_id"] for r in archive.choose(m, built, patches("16.3", "16.2"), 9).collect()] == ["a"]
+    assert archive.choose(m, built, patches("16.3"), 9).count() == 0 and archive.choose(m, built, patches("16.3", "16.2"), 0).count() == 0
+
+
+def test_lists(spark):
+    from muster.operators import lists
+
+    rows = spark.createDataFrame([("a", 3.0, 1.0), ("b", 3.0, 2.0), ("c", 3.0, None)], "k string, avg_placement double, score double")
+    assert {r["meter"] for r in lists.placement_meter(rows).collect()} == {50.0}
+    assert [r["k"] for r in lists.sorted_list(rows, "k").collect()] == ["b", "a", "c"]
+    assert [r["k"] for r in lists.page(lists.sorted_list(rows, "k", "avg"), 2, 2).collect()] == ["c"]
+    swing = spark.createDataFrame([("b", 0.5), ("a", 0.7)], "k string, swing double")
+    assert [[r["k"] for r in lists.swing_order(rows, swing, "k", later).collect()] for later in (True, False)] == [["a", "b", "c"], ["b", "a", "c"]]
+    spread = lists.placement_meter(spark.createDataFrame([(2.0,), (3.0,), (4.0,)], "avg_placement double")).collect()
+    assert [r["meter"] for r in spread] == [92.0, 46.0, 3.0]

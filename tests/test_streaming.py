@@ -57,3 +57,22 @@ def test_publish(spark, tmp_path):
     keys = publish(load(spark, "/root/testdata/sf0.001"), store)
     assert {"site", "leaderboard", "movers", "champions@16.19", "champions@16.18", "combos@16.19", "builds@16.19"} <= set(keys)
     assert store.read("champions@16.19", lambda: None).count() > 0
+
+
+def test_touched_players_and_late_matches(spark, tmp_path):
+    from muster.streaming import ingest
+
+    at = lambda h: dt.datetime(2026, 1, 1, h)
+    rows = spark.createDataFrame([("m1", [1, 2]), ("m2", [2, 3])], "match_id string, players array<int>")
+    counts = spark.createDataFrame([(1, 1), (2, 1), (9, 5)], "player_id int, games long")
+    got = ingest.touched_counts(rows, rows.where("match_id = 'm2'"), counts)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (3, 1), (9, 5)]
+    players = spark.createDataFrame([(1, "p", "old"), (2, "q", "same")], "id int, puuid string, riot_id string")
+    seen = spark.createDataFrame([("p", "new", at(2), "m"), ("p", "older", at(1), "m"), ("q", None, at(3), "m")], "puuid string, riot_id string, game_creation timestamp, match_id string")
+    assert sorted(map(tuple, ingest.new_names(players, seen).collect())) == [(1, "p", "new"), (2, "q", "same")]
+    matches = spark.createDataFrame([("m1", at(1)), ("m2", None)], "match_id string, archived_at timestamp")
+    assert [r["match_id"] for r in ingest.unarchived(rows, matches).collect()] == ["m2"]
+    store = ingest.RatingRows(spark, f"{tmp_path}/rows")
+    spark.createDataFrame([("m1", at(1), [1], [1], [1], at(1))], "match_id string, game_creation timestamp, players array<int>, subteams array<int>, placements array<int>, built_at timestamp").write.parquet(f"{tmp_path}/rows/batch=0")
+    late = spark.createDataFrame([("m1", at(9)), ("m2", at(9)), ("m3", at(2))], "match_id string, ingested_at timestamp")
+    assert {r["match_id"] for r in store.todo(late, F.lit(at(10))).collect()} == {"m1", "m2"} and store.todo(late).count() == 3
