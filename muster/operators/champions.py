@@ -65,11 +65,18 @@ def _listed(rows: DataFrame, order: tuple[str, ...], fields: tuple[str, ...], na
     return out.select("champion", F.transform("l", lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias(name))
 
 
+def combo_lists(best: DataFrame) -> DataFrame:
+    """One row for each champion: all its best pairs and those that are shown first."""
+    fields = ("category", "position", "a", "b", "games", "top1_wins", "top3_wins", "placement_sum")
+    kept = _listed(best, ("category", "position"), fields, "all_combos")
+    return kept.withColumn("champion_combos", F.filter("all_combos", lambda c: c["position"] <= COMBOS_SHOWN))
+
+
 def champion_documents(rows: DataFrame, ref_items: DataFrame, ref_augments: DataFrame, openers: tuple[int, ...], shardblade: int, stored_combos: DataFrame | None = None) -> DataFrame:
     """One document for each champion that was played.
 
-    Pairs cost the most and change slowly: ``stored_combos`` (as the last two
-    columns here) of an earlier document are taken as they are where given.
+    Pairs cost the most and change slowly: those of an earlier pass (``combo_lists``)
+    are taken as they are where given.
     """
     levels = items.landmark_levels(items.item_acquisitions(rows, ref_items))
     base = with_rates(stats.champion_stats(rows).crossJoin(F.broadcast(patch_match_count(rows))), F.col("matches") * PLAYERS)  # one row
@@ -90,10 +97,7 @@ def champion_documents(rows: DataFrame, ref_items: DataFrame, ref_augments: Data
             "games", "top1_wins", "top3_wins", "avg_placement", "blade_rate", "stat_games", "stat_top3_wins", "other_games", "other_top3_wins").alias("anvil")),
     ]
     if stored_combos is None:
-        best = combos.top_combos(combos.combos(rows, ref_items, ref_augments, COMBO_MIN, ("champion",)), COMBOS_KEPT, ("champion",))
-        fields = ("category", "position", "a", "b", "games", "top1_wins", "top3_wins", "placement_sum")
-        kept = _listed(best, ("category", "position"), fields, "all_combos")
-        stored_combos = kept.withColumn("champion_combos", F.filter("all_combos", lambda c: c["position"] <= COMBOS_SHOWN))
+        stored_combos = combo_lists(combos.top_combos(combos.combos(rows, ref_items, ref_augments, COMBO_MIN, ("champion",)), COMBOS_KEPT, ("champion",)))
     out = base
     for part in [*parts, stored_combos]:
         out = out.join(part, "champion", "left")

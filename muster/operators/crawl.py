@@ -108,6 +108,25 @@ def pick_players(queue: DataFrame, limit: int, now: Column, requested: int = 10,
     return queue.sparkSession.createDataFrame([(i + 1, *p) for i, p in enumerate(picked)], "pick int, puuid string, tracked boolean")
 
 
+def after_visits(queue: DataFrame, visits: DataFrame, now: Column) -> DataFrame:
+    """The queue after ``visits`` (puuid, ok): a failure counts, a success clears the count; five failures in a row end the picking."""
+    out = queue.join(visits.select("puuid", "ok"), "puuid", "left")
+    seen = F.col("ok").isNotNull()
+    return out.withColumns({
+        "error_count": F.when(F.col("ok"), 0).when(seen, F.col("error_count") + 1).otherwise(F.col("error_count")),
+        "last_crawled_at": F.when(seen, now).otherwise(F.col("last_crawled_at")),
+    }).select(*queue.columns)
+
+
+def waits(events: DataFrame, keys: list[str], limits: tuple[tuple[int, int], ...] = ((20, 1), (100, 120))) -> DataFrame:
+    """``events`` with the microseconds to wait until no limit (requests, seconds) is passed: the time until
+    the request that is ``requests`` before it leaves the window."""
+    order = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    t = lambda c: F.unix_micros(c.cast("timestamp"))
+    need = [F.coalesce(t(F.lag("ts", n).over(order)) + seconds * 1_000_000 - t(F.col("ts")), F.lit(0)) for n, seconds in limits]
+    return events.withColumn("wait_us", F.greatest(F.lit(0), *need))
+
+
 def promote_tracked(queue: DataFrame, players: DataFrame, min_games: int) -> DataFrame:
     """The queue with discovered players of enough games tracked."""
     ready = players.where(F.col("games") >= min_games).select("puuid", F.lit(True).alias("ready"))

@@ -8,21 +8,38 @@ from pyspark.sql import functions as F
 TOLERANCE = 1e-12
 
 
-def leaves(snapshot: DataFrame) -> DataFrame:
-    """key, path, value of every scalar of JSON documents (key, payload)."""
-    todo = snapshot.select("key", F.lit("").alias("path"), F.parse_json("payload").alias("v"))
+def _depth(snapshot: DataFrame) -> int:
+    """The deepest nesting of brackets in the documents, those inside strings left out."""
+    bare = F.regexp_replace("payload", r'"(?:[^"\\\\]|\\\\.)*"', "")
+    marks = F.filter(F.split(bare, ""), lambda c: c.isin("{", "[", "}", "]"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc, c):
+        now = acc["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return snapshot.agg(F.max(F.aggregate(marks, start, step, lambda acc: acc["most"]))).first()[0] or 0
+
+
+def leaves(snapshot: DataFrame, depth: int = 16) -> DataFrame:
+    """key, path, value of every scalar of JSON documents (key, payload).
+
+    Each level of nesting is one lateral explosion in a single plan; what is nested deeper than ``depth`` is one value.
+    """
+    explode = snapshot.sparkSession.tvf.variant_explode
+    deepest = min(depth, _depth(snapshot))
+    todo = snapshot.select(F.col("key").alias("doc"), F.lit("").alias("path"), F.parse_json("payload").alias("v"))
+    nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
     out = None
-    while True:
-        done = todo.where(~F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).select("key", "path", F.col("v").cast("string").alias("value"))
+    for level in range(deepest + 1):
+        last = level == deepest
+        done = todo if last else todo.where(~nested)
+        done = done.select(F.col("doc").alias("key"), "path", F.when(nested, F.to_json("v")).otherwise(F.col("v").try_cast("string")).alias("value"))
         out = done if out is None else out.unionByName(done)
-        # one level of nesting at a time: documents are a few levels deep
-        nested = todo.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-        if nested.isEmpty():
-            return out
-        nested.createOrReplaceTempView("_nested")
-        todo = snapshot.sparkSession.sql(
-            "SELECT n.key, n.path || CASE WHEN n.path = '' THEN '' ELSE '.' END || coalesce(c.key, CAST(c.pos AS STRING)) AS path, c.value AS v "
-            "FROM _nested n, LATERAL variant_explode(n.v) AS c")
+        if not last:
+            step = F.concat("path", F.when(F.col("path") == "", "").otherwise("."), F.coalesce("key", F.col("pos").cast("string")))
+            todo = todo.where(nested).lateralJoin(explode(F.col("v").outer())).select("doc", step.alias("path"), F.col("value").alias("v"))
+    return out
 
 
 def snapshot_diff(a: DataFrame, b: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import tiers
-from muster.operators import anvil, builds, combos, comps, items, players, stats, views
+from muster.operators import anvil, builds, champions, combos, comps, items, players, stats, views
 from muster.sources.fixtures import OPENERS, Season
 from muster.sources.snapshots import SnapshotStore
 
+SHARDBLADE = 1007
 #: Pairs change slowly and cost the most: those younger than this are kept.
 COMBO_HOURS = 24
 
 
-def patch_views(s: Season, rows: DataFrame, store: SnapshotStore, patch: str) -> dict[str, DataFrame]:
-    """Views of one patch by key; ``rows`` are its clean participations."""
+def combo_views(s: Season, rows: DataFrame, patch: str) -> dict[str, DataFrame]:
+    """The best pairs of one patch, of all champions and of each."""
+    every = combos.combos(rows, s.ref_items, s.ref_augments, 5)
+    own = combos.combos(rows, s.ref_items, s.ref_augments, champions.COMBO_MIN, ("champion",))
+    return {f"combos@{patch}": combos.top_combos(every, 200), f"champion_combos@{patch}": combos.top_combos(own, champions.COMBOS_KEPT, ("champion",))}
+
+
+def patch_views(s: Season, rows: DataFrame, pairs: DataFrame, patch: str) -> dict[str, DataFrame]:
+    """Views of one patch by key; ``rows`` are its clean participations, ``pairs`` the best pairs of each champion."""
     matches = views.patch_match_count(rows)
     grid = items.item_acquisitions(rows, s.ref_items)
     free = anvil.with_anvil(rows, s.ref_items)
@@ -32,31 +39,39 @@ def patch_views(s: Season, rows: DataFrame, store: SnapshotStore, patch: str) ->
         "anvil": anvil.anvil_champions(free),
         "anvil_openers": anvil.anvil_openers(free, OPENERS),
         "comps": comps.comp_rates(rows, s.ref_champions, 20),
+        "champion_documents": champions.champion_documents(rows, s.ref_items, s.ref_augments, OPENERS, SHARDBLADE, champions.combo_lists(pairs)),
         "builds": builds.build_selection(builds.build_slots(rows, s.ref_items)),
     }
-    if not store.is_fresh(f"combos@{patch}", COMBO_HOURS):
-        found["combos"] = combos.top_combos(combos.combos(rows, s.ref_items, s.ref_augments, 5), 200)
-        found["champion_combos"] = combos.top_combos(combos.combos(rows, s.ref_items, s.ref_augments, 10, ("champion",)), 60, ("champion",))
     return {f"{k}@{patch}": v for k, v in found.items()}
 
 
+def patch_participants(s: Season, store: SnapshotStore, patch: str) -> DataFrame:
+    """Clean rows of ``patch`` as published, else from the season."""
+    return store.read(f"participants@{patch}", lambda: views.patch_rows(s, patch))
+
+
 def publish(s: Season, store: SnapshotStore, min_matches: int = 5) -> list[str]:
     """Computes and stores all views; gives the keys that the store then has."""
     patches = [r["patch"] for r in views.published_patches(s, min_matches).collect()]  # two at most
-    published = views.participants_published(s, min_matches).persist(StorageLevel.MEMORY_AND_DISK)
-    kept = {"site", "leaderboard", "movers"}
-    try:
-        store.write("site", views.site_totals(s))
-        store.write("leaderboard", players.leaderboard_top(s.ratings))
-        for patch in patches:
-            for key, df in patch_views(s, published.where(F.col("patch") == patch), store, patch).items():
+    kept = {"site", "leaderboard", "ladder", "movers"}
+    store.write("site", views.site_totals(s))
+    store.write("leaderboard", players.leaderboard_top(s.ratings))
+    # all of the ladder: players who have left it go with the old version
+    store.write("ladder", s.ratings)
+    for patch in patches:
+        store.write(f"participants@{patch}", views.patch_rows(s, patch))
+        rows = patch_participants(s, store, patch)
+        pairs = combo_views(s, rows, patch)
+        if not store.is_fresh(f"combos@{patch}", COMBO_HOURS):
+            for key, df in pairs.items():
                 store.write(key, df)
-                kept.add(key)
-            kept |= {f"combos@{patch}", f"champion_combos@{patch}"}
-        if len(patches) == 2:
-            now, before = (stats.champion_stats(published.where(F.col("patch") == p)) for p in patches)
-            store.write("movers", stats.champion_movers(now, before))
-    finally:
-        published.unpersist()
+        own = f"champion_combos@{patch}"
+        found = patch_views(s, rows, store.read(own, lambda: pairs[own]), patch)
+        for key, df in found.items():
+            store.write(key, df)
+        kept |= {*found, *pairs, f"participants@{patch}"}
+    if len(patches) == 2:
+        now, before = (stats.champion_stats(patch_participants(s, store, p)) for p in patches)
+        store.write("movers", stats.champion_movers(now, before))
     store.prune(kept)
     return sorted(k for k in kept if store.has(k))

@@ -358,3 +358,24 @@ def test_lists(spark):
     assert [[r["k"] for r in lists.swing_order(rows, swing, "k", later).collect()] for later in (True, False)] == [["a", "b", "c"], ["b", "a", "c"]]
     spread = lists.placement_meter(spark.createDataFrame([(2.0,), (3.0,), (4.0,)], "avg_placement double")).collect()
     assert [r["meter"] for r in spread] == [92.0, 46.0, 3.0]
+
+
+def test_queue_after_visits_and_waits(spark):
+    q = spark.sql("SELECT * FROM VALUES ('a', 3, TIMESTAMP_NTZ'2026-01-01 00:00:00'), ('b', 4, NULL), ('c', 1, NULL) AS t(puuid, error_count, last_crawled_at)")
+    visits = spark.createDataFrame([("a", True), ("b", False)], "puuid string, ok boolean")
+    got = {r["puuid"]: (r["error_count"], str(r["last_crawled_at"])) for r in crawl.after_visits(q, visits, F.expr("TIMESTAMP_NTZ'2026-01-02 00:00:00'")).collect()}
+    assert got == {"a": (0, "2026-01-02 00:00:00"), "b": (5, "2026-01-02 00:00:00"), "c": (1, "None")}
+    e = spark.range(6).select(F.col("id").alias("event_id"), F.lit("k").alias("key"), F.timestamp_millis(F.col("id") * 100).alias("ts"))
+    assert [r["wait_us"] for r in crawl.waits(e, ["key"], ((2, 1), (4, 2))).orderBy("event_id").collect()] == [0, 0, 800_000, 800_000, 1_600_000, 1_600_000]
+
+
+def test_leaves_of_nested_documents(spark):
+    doc = {"k": {"a": [[1, {"b": "x]}"}], []], "c": None, "d": {"e": {"f": {"g": True}}}, 'q"{': 2}}
+    got = {(r["path"], r["value"]) for r in diff.leaves(snapshot_rows(spark, doc)).collect()}
+    assert {("a.0.0", "1"), ("a.0.1.b", "x]}"), ("d.e.f.g", "true"), ('q"{', "2")} <= got
+
+
+def snapshot_rows(spark, documents):
+    import json
+
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in documents.items()], "key string, payload string")
