@@ -250,8 +250,8 @@ def _live_regions(regions: DataFrame, labels: DataFrame) -> DataFrame:
     """Of regions (cell, key, core): boundary points that are not connected with their core, and the cores of
     regions that have some; with label, and the numbers of both."""
     named = stored(_labelled(regions, labels), "regions")
-    home = named.where("core").groupBy("cell").agg(F.min("label").alias("home"), F.count(F.lit(1)).alias("cores"))
-    border = named.where("NOT core").join(home, "cell").where("label != home")
+    home = stored(named.where("core").groupBy("cell").agg(F.min("label").alias("home"), F.count(F.lit(1)).alias("cores")), "home")
+    border = named.where("NOT core").join(if_small(home), "cell").where("label != home")
     border = stored(border.groupBy("cell", "key").agg(F.min("label").alias("label"), F.max("cores").alias("cores")), "border")
     sizes = stored(border.groupBy("cell").agg(F.max("cores").alias("cores"), F.count(F.lit(1)).alias("borders")), "sizes")
     cores = named.where("core").select("cell", "key", "label").join(if_small(sizes), "cell").withColumn("side", F.lit(0))
