@@ -79,8 +79,9 @@ class DigestIndex:
         self.spark.createDataFrame([(generation, folder, buckets)], _LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     def _write(self, rows: DataFrame) -> None:
-        """Appends ``rows``; one file for each bucket."""
-        (rows.select("digest", "keep_id", "keep_row", "group_size", "batch").repartition(self.buckets, "digest").write.mode("append").format("parquet")
+        """Appends ``rows``; one file for each bucket, as a bucket is in one partition whatever their number."""
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        (rows.select("digest", "keep_id", "keep_row", "group_size", "batch").repartition(4 * self.buckets, bucket).write.mode("append").format("parquet")
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
         self.spark.catalog.refreshTable(self.name)
 

@@ -52,6 +52,7 @@ def test_compacted_index_is_neither_shuffled_nor_sorted(spark, stored_docs):
     for i in range(3):
         exact_dedup.dedup(stored_docs([(10 * i + k, f"t{10 * i + k}", "", "") for k in range(10)]), own).count()
     own.compact()
+    assert len(own.rows().inputFiles()) == len({f.rsplit("_", 1)[1] for f in own.rows().inputFiles()}) <= 4
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         batch = spark.range(5).select(F.unhex(F.sha2(F.concat(F.lit("t"), "id").cast("string"), 256)).alias("digest"))
