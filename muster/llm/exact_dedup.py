@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm.store import free_name, shared_dir, stored, with_row_id
+from muster.llm.store import as_table, free_name, shared_dir, stored, with_row_id, with_rows
 
 _LEAST = -(2**63)
 #: Digests for which a bucket is made, and the fewest buckets.
@@ -143,11 +143,11 @@ def decisions(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` (a stored table) that stay, with their columns."""
-    spark = docs.sparkSession
+    """The rows of ``docs`` that stay, with their columns."""
+    spark, docs = docs.sparkSession, as_table(docs)
     own = index or DigestIndex(spark, f"{shared_dir(spark)}/index")
     row = free_name(docs, "row")
-    kept = decisions(docs, own).where("kept").select(F.col("row").alias(row))
+    out = with_rows(docs, row, decisions(docs, own).where("kept").select(F.col("row").alias(row)), "left_semi")
     if index is None:
         own.close()
-    return with_row_id(docs, row).join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -55,7 +55,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.graph import components
-from muster.llm.store import free_name, if_small, small_batches, stored, with_row_id
+from muster.llm.store import as_table, free_name, if_small, small_batches, stored, with_row_id, with_rows
 from muster.llm.textwords import hashed_docs, shingle_set
 
 #: Cells of the table of shingle counts: 2 ** CELL_BITS.
@@ -372,7 +372,9 @@ def _block_links(spread: DataFrame, signs: DataFrame, texts: DataFrame, n: int,
             yield pa.RecordBatch.from_arrays([pa.array(keys[found[:, k]]) for k in (0, 1)], ["a", "b"])
 
     columns = [*_PLACE, "mine", "key", "label"]
-    placed = lambda rows, more: rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE).select(*columns, *more)
+    # tasks by work, not by bytes
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = lambda rows, more: rows.repartition(tasks, *_PLACE).sortWithinPartitions(*_PLACE).select(*columns, *more)
     signed = placed(spread.select(*columns).join(signs, "key"), ["n", "signature"])
     may = stored(signed.mapInArrow(sieve, "cell long, b0 int, b1 int, mine int, key long, label long"), "may")
     return stored(placed(_with_texts(may, texts, "key"), ["text"]).mapInArrow(run, "a long, b long"), "links")
@@ -474,10 +476,11 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int =
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, **kw) -> DataFrame:
-    """The rows of ``docs`` (a stored table) that stay: of each component the row
+    """The rows of ``docs`` that stay: of each component the row
     with the smallest doc_id (null last; one of equals), and all without words."""
+    docs = as_table(docs)
     found = stored(join_components(docs, n, percent, **kw).select("row", "doc_id", "point"), "found")
     firsts = found.where("point IS NOT NULL").groupBy("point").agg(F.min_by("row", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("row")).select("row")
     row = free_name(docs, "row")
     kept = firsts.unionByName(found.where("point IS NULL").select("row")).withColumnRenamed("row", row)
-    return with_row_id(docs, row).join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_rows(docs, row, kept, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

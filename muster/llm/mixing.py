@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.store import free_name, stored, with_row_id
+from muster.llm.store import as_table, free_name, stored, with_row_id, with_rows
 
 #: Documents in a block of the first level, and blocks that meet in one of the next.
 BLOCK_ROWS, FAN_IN = 500, 32
@@ -163,8 +163,9 @@ def mix_report(docs: DataFrame, seed: int = 4) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 4) -> DataFrame:
-    """``docs`` (a stored table) with every row repeated as often as the mix takes it."""
+    """``docs`` with every row repeated as often as the mix takes it."""
+    docs = as_table(docs)
     row, times = free_name(docs, "row"), free_name(docs, "copies")
     taken = copies(sized(docs), seed).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(times))
-    out = with_row_id(docs, row).join(taken, row)
+    out = with_rows(docs, row, taken, "inner")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)

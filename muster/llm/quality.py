@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.store import free_name, small_batches, stored
+from muster.llm.store import as_table, free_name, small_batches, stored, with_row_id, with_rows
 from muster.llm.textwords import WHITE, hashed_docs, ngrams
 
 WINDOW = 5
@@ -167,9 +167,11 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay.  They are written once with their counts, so no text is measured twice or shuffled."""
+    """The rows of ``docs`` that stay.  Texts are measured once; the numbers of the others' rows take these away."""
     small_batches(docs.sparkSession)
-    m = free_name(docs, "m")
-    measured = stored(docs.withColumn(m, counts(F.col("text"))), "measured")
-    v = free_name(measured, "v")
-    return verdicts(measured, m, v).where(F.col(v)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs = as_table(docs)
+    row = free_name(docs, "row")
+    rows = with_row_id(docs.select("text", "lang", "source"), row)
+    measured = stored(rows.select(row, "lang", "source", counts(F.col("text")).alias("m")), "counts")
+    bad = verdicts(measured, "m", "v").where(~F.col("v.kept")).select(row)
+    return with_rows(docs, row, bad, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.store import stored, with_row_id
+from muster.llm.store import as_table, stored, with_row_id
 
 MAX_BLOCKS = 8192
 #: Rows that one block or one piece of a shard has on average.
@@ -72,7 +72,7 @@ def shuffle_to_shards(rows: DataFrame, row: str, shards: int = 40, seed: int = 2
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20) -> DataFrame:
     """For ``docs`` (a stored table): doc_id, size (UTF-8 bytes plus 16), text_crc32, law ``rows``, shard, slot, grown_shard (null)."""
     t = F.coalesce("text", F.lit(""))
-    rows = with_row_id(docs.select("doc_id", "text"), "row")
+    rows = with_row_id(as_table(docs).select("doc_id", "text"), "row")
     narrow = stored(rows.select("row", "doc_id", (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32")), "sizes")
     return shuffle_to_shards(narrow, "row", shards, seed).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -79,6 +79,23 @@ def if_small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
+def as_table(df: DataFrame) -> DataFrame:
+    """``df`` if its rows have places in files, else a copy that is written once."""
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"]).schema  # not every scan has a row index
+        return df
+    except AnalysisException:
+        return stored(df, "table")
+
+
+def with_rows(docs: DataFrame, row: str, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` (a stored table) joined with the narrow ``rows`` (``row`` and what goes with it).
+
+    Few rows go to the documents; else both are shuffled.
+    """
+    return with_row_id(docs, row).join(if_small(stored(rows, "rows")), row, how)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores where ``df`` has that column already."""
     taken = {c.lower() for c in df.columns}

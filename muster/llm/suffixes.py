@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.store import SMALL, free_name, small_batches, stored, with_row_id
+from muster.llm.store import SMALL, as_table, free_name, small_batches, stored, with_row_id
 from muster.llm.textwords import hashed_docs, mix, ngrams, split_docs
 
 GRAM = 8
@@ -291,7 +291,8 @@ def cut_words(text: Column, spans: Column) -> Column:
 
 
 def without_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
-    """``docs`` (a stored table) with all repeated passages cut out of the texts."""
+    """``docs`` with all repeated passages cut out of the texts."""
+    docs = as_table(docs)
     row, spans = free_name(docs, "row"), free_name(docs, "spans")
     found = repeated_spans(_rows(docs), least).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias(spans)).withColumnRenamed("row", row)
     out = with_row_id(docs, row).join(found, row, "left")

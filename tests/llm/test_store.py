@@ -1,7 +1,8 @@
 import pytest
 
 from muster.llm import exact_dedup, jaccard, mixing, suffixes
-from muster.llm.store import with_row_id
+from muster.llm import quality
+from muster.llm.store import as_table, with_row_id
 
 KEY = "spark.sql.leafNodeDefaultParallelism"
 
@@ -74,3 +75,12 @@ def test_operators_over_two_reads(spark, moving, monkeypatch):
                 covered[i].update(range(j, j + 50))
     cut = {r["doc_id"]: r["text"].split() for r in suffixes.without_repeats(moving).collect()}
     assert cut == {i: [x for j, x in enumerate(t.split()) if j not in covered[i]] for i, t in text.items()}
+
+
+def test_tables_that_are_not_files(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 20)
+    docs = spark.range(300, numPartitions=5).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 29), x -> concat('w', (id % 250 * 31 + x * 17) % 997))) AS text", "'en' AS lang", "'s' AS source")
+    assert docs.repartition(7).transform(exact_dedup.dedup).select("text").distinct().count() == 250
+    assert quality.keep_good(docs.repartition(3)).count() == 300 and as_table(docs).count() == 300
+    kept = jaccard.one_of_each(docs.repartition(4))
+    assert kept.count() == kept.select("text").distinct().count() <= 250
