@@ -203,6 +203,7 @@ _BODIES = {
     "champion_placement_shares": """SELECT champion, placement, round(share, 6) AS share, round(share / greatest(0.3, max(share) OVER (PARTITION BY champion)), 6) AS bar FROM (
         SELECT c.champion, CAST(i AS INTEGER) AS placement, count(*) FILTER (c.placement = i) / count(*) AS share FROM cur c, range(1, 7) t(i) GROUP BY ALL)""",
     "previous_patch_champion_totals": "SELECT patch, champion, count(*) AS games, CAST(sum(placement) AS BIGINT) AS placement_sum FROM clean WHERE patch = '16.18' GROUP BY ALL",
+    "previous_patch_archived": "SELECT patch, champion, count(*) AS games, CAST(sum(placement) AS BIGINT) AS placement_sum FROM clean WHERE patch = '16.9' GROUP BY ALL",
     "champion_movers": """SELECT champion, games, games_before, round(a, 6) AS avg_placement, round(b, 6) AS avg_before, round(a - b, 6) AS delta FROM (
         SELECT champion, count(*) FILTER (patch = '16.19') AS games, count(*) FILTER (patch = '16.18') AS games_before, avg(placement) FILTER (patch = '16.19') AS a, avg(placement) FILTER (patch = '16.18') AS b
         FROM clean GROUP BY 1) WHERE games > 0 AND games_before > 0 AND abs(a - b) > 1 * sqrt(35 / 12) * sqrt(1 / games + 1 / games_before)""",
@@ -366,6 +367,11 @@ _BODIES = {
 }
 
 _TABLES = {
+    "queue_after_visits": _QUEUE % 25 + """ SELECT puuid, CAST(CASE WHEN k % 5 = 0 THEN 0 WHEN k % 5 = 1 THEN error_count + 1 ELSE error_count END AS INTEGER) AS error_count,
+        CASE WHEN k % 5 < 2 THEN '2026-01-02 00:00:00' ELSE strftime(TIMESTAMP '2026-01-01 00:00:00' + to_seconds(last), '%Y-%m-%d %H:%M:%S') END AS last_crawled_at
+        FROM (SELECT *, CAST(substr(puuid, 2) AS INTEGER) AS k FROM q)""",
+    "rate_limit_waits": """SELECT event_id, user_id, greatest(0, coalesce(epoch_us(lag(ts, 2) OVER w) + 43200000000 - epoch_us(ts), 0), coalesce(epoch_us(lag(ts, 5) OVER w) + 432000000000 - epoch_us(ts), 0)) AS wait_us
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     "timeline_item_order": _REPLAY,
     "timeline_documents": _REPLAY,
     "admission_control": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

@@ -132,6 +132,11 @@ def previous_patch_champion_totals(s):
     return stats.previous_patch_champion_totals(views.participants_published(s), archive(s), PATCH)
 
 
+@query
+def previous_patch_archived(s):
+    return stats.previous_patch_champion_totals(views.participants_published(s), archive(s), BEFORE)
+
+
 @query
 def champion_movers(s):
     before = stats.champion_stats(views.patch_rows(s, BEFORE))
@@ -625,6 +630,20 @@ def crawl_queue_pick(spark, sf_dir):
     return crawl.pick_players(crawl_queue(spark, sf_dir), 60, F.expr(f"TIMESTAMP_NTZ'{NOW}'"))
 
 
+@table_query
+def queue_after_visits(spark, sf_dir):
+    queue = crawl_queue(spark, sf_dir)
+    visits = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 5 < 2").select(
+        F.concat(F.lit("Q"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("puuid"), (F.col("c_custkey") % 5 == 0).alias("ok"))
+    out = crawl.after_visits(queue, visits, F.expr(f"TIMESTAMP_NTZ'{NOW}'"))
+    return out.select("puuid", "error_count", stamp("last_crawled_at").alias("last_crawled_at"))
+
+
+@table_query
+def rate_limit_waits(spark, sf_dir):
+    return crawl.waits(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts"), ["user_id"], ((2, 43_200), (5, 432_000))).drop("ts")
+
+
 @table_query
 def requested_players(spark, sf_dir):
     return crawl.pick_requested(crawl_queue(spark, sf_dir), 25).select("puuid")

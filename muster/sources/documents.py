@@ -11,7 +11,8 @@ MATCH = ("metadata struct<matchId string>, info struct<gameCreation long, queueI
          "puuid string, riotIdGameName string, riotIdTagline string, championName string, playerSubteamId int, placement int, kills int, deaths int, assists int, "
          + ", ".join(x.replace(" ", ": ") for x in _SLOTS.split(", ")) + ">>>")
 TIMELINE = "metadata struct<matchId string>, info struct<frames array<struct<events array<struct<type string, timestamp long, participantId int, itemId int, beforeId int, afterId int>>>>>"
-#: The map whose items count, names of rarities in the source and here, and the one for any other.
+#: Icon folders of the mode and the name of another mode, the map whose items count, names of rarities in the source and here, and the one for any other.
+ICON_FOLDERS, OTHER_MODE = ("cherry", "kiwi"), "strawberry"
 ITEM_MAP, TIERS, OTHER_TIER = "30", {"kSilver": "silver", "kGold": "gold", "kPrismatic": "prismatic", "kBronze": "silver", "kEventChoice": "prismatic"}, "gold"
 
 
@@ -66,7 +67,7 @@ def reference_augments(document: DataFrame, curated: DataFrame) -> DataFrame:
     """Augments with a name whose icon is of one of the mode's folders; other modes use the same ids."""
     d = document.select(F.explode(F.from_json("document", "array<struct<id: int, nameTRA: string, rarity: string, augmentSmallIconPath: string>>")).alias("a"))
     path = F.coalesce("a.augmentSmallIconPath", F.lit(""))
-    ours = path.rlike("(?i)/(cherry|kiwi)/") & ~path.rlike("(?i)strawberry") & (F.length(F.coalesce("a.nameTRA", F.lit(""))) > 0)
+    ours = path.rlike(f"(?i)/({'|'.join(ICON_FOLDERS)})/") & ~F.contains(F.lower(path), F.lit(OTHER_MODE)) & (F.length(F.coalesce("a.nameTRA", F.lit(""))) > 0)
     names = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])
     rows = d.where(ours).select("a.id", F.col("a.nameTRA").alias("name"), F.coalesce(F.try_element_at(names, F.col("a.rarity")), F.lit(OTHER_TIER)).alias("tier"))
     return with_curated(rows, curated)
