@@ -399,6 +399,65 @@ _TABLES = {
 }
 
 
+#: Tier letters: k-means on the sorted scores, near clusters made one from the left, letters by their means.
+_LETTERS = f""", scored AS (SELECT champion, score, row_number() OVER (ORDER BY score) AS pos FROM {_scores(_CHAMPIONS, 'champion', '1')}),
+sx AS (SELECT list(score ORDER BY score) AS xs, count(*) AS n, least(5, count(*)) AS k, max(score) - min(score) AS spread, avg(score) AS middle, stddev_pop(score) AS deviation FROM scored),
+km AS (
+    SELECT 0 AS it, list_transform(range(k), lambda c: xs[CAST(floor((c + 0.5) * n / k) AS INTEGER) + 1]) AS centres, CAST([] AS BIGINT[]) AS mine, false AS done FROM sx
+    UNION ALL
+    SELECT it + 1, list_transform(range(1, k + 1), lambda j: coalesce(list_avg(list_filter(xs, lambda x, i: new[i] = j)), centres[j])), new, new = mine
+    FROM (SELECT *, list_transform(xs, lambda x: CAST(list_position(list_transform(centres, lambda c: abs(x - c)), list_min(list_transform(centres, lambda c: abs(x - c)))) AS BIGINT)) AS new
+          FROM km, sx WHERE NOT done AND it < 50)),
+cuts AS (SELECT CASE WHEN spread < 1e-9 THEN [1] ELSE list_filter(range(1, n + 1), lambda i: i = 1 OR mine[i] <> mine[i - 1]) END AS starts FROM sx, (SELECT mine FROM km ORDER BY it DESC LIMIT 1)),
+merged AS (
+    SELECT CAST(1 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS stack, CAST(NULL AS BIGINT) AS cs, CAST(NULL AS BIGINT) AS ce, 0 AS step
+    UNION ALL
+    SELECT CASE WHEN cs IS NULL THEN r + 1 ELSE r END, CASE WHEN cs IS NULL THEN stack WHEN near THEN stack[:len(stack) - 1] ELSE list_append(stack, cs) END,
+           CASE WHEN cs IS NULL THEN starts[r] WHEN near THEN stack[len(stack)] END, CASE WHEN cs IS NULL THEN coalesce(starts[r + 1] - 1, n) WHEN near THEN ce END, step + 1
+    FROM (SELECT *, len(stack) > 0 AND list_avg(xs[cs:ce]) - list_avg(xs[stack[len(stack)]:cs - 1]) < 0.08 * spread AS near FROM merged, cuts, sx WHERE cs IS NOT NULL OR r <= len(starts))),
+runs AS (SELECT unnest(stack) AS a, unnest(list_append(stack[2:], n + 1)) - 1 AS b FROM (SELECT stack FROM merged ORDER BY step DESC LIMIT 1), sx)
+SELECT 'champions' AS view, champion, round(score, 6) AS score, ['S', 'A', 'B', 'C', 'D'][1 + len(list_filter([0.84, 0.25, -0.25, -0.84], lambda c: (list_avg(xs[a:b]) - middle) / deviation < c))] AS tier
+FROM scored JOIN runs ON pos BETWEEN a AND b, sx"""
+#: The replay as a recursion over matches in order of time, three times; the state is lists by player.
+_SEASON = """, pm AS (
+    SELECT row_number() OVER (ORDER BY game_creation, match_id) AS k, list(player_id ORDER BY player_id) AS p, list(subteam_id ORDER BY player_id) AS t, list(placement ORDER BY player_id) AS pl
+    FROM clean GROUP BY match_id, game_creation HAVING count(DISTINCT subteam_id) > 1),
+size AS (SELECT count(*) AS n, (SELECT max(player_id) + 1 FROM clean) AS players FROM pm),
+rp AS (
+    SELECT CAST(0 AS BIGINT) AS i, list_transform(range(players), lambda x: CAST(25 AS DOUBLE)) AS mu, list_transform(range(players), lambda x: CAST(25 AS DOUBLE) / 3) AS sg FROM size
+    UNION ALL
+    SELECT i, list_transform(mu, lambda x, j: CASE WHEN list_contains(p, j - 1) THEN x + v[list_position(p, j - 1)] / tv[u[list_position(p, j - 1)]] * om[u[list_position(p, j - 1)]] ELSE x END),
+           list_transform(sg, lambda x, j: CASE WHEN list_contains(p, j - 1) THEN
+               sqrt(v[list_position(p, j - 1)] * greatest(1 - v[list_position(p, j - 1)] / tv[u[list_position(p, j - 1)]] * de[u[list_position(p, j - 1)]], 1e-4)) ELSE x END)
+    FROM (
+        SELECT *, list_transform(st, lambda s, a: tv[a] / c * list_sum(list_transform(rem, lambda r, q: CASE WHEN tp[q] <= tp[a] THEN ((CASE WHEN q = a THEN 1 ELSE 0 END) - s / r) / tied[q] ELSE 0 END))) AS om,
+               list_transform(st, lambda s, a: tv[a] / (c * c) * sqrt(tv[a]) / c * list_sum(list_transform(rem, lambda r, q: CASE WHEN tp[q] <= tp[a] THEN s / r * (1 - s / r) / tied[q] ELSE 0 END))) AS de
+        FROM (
+            SELECT *, list_transform(tp, lambda z: list_sum(list_filter(st, lambda s, b: tp[b] >= z))) AS rem, list_transform(tp, lambda z: len(list_filter(tp, lambda y: y = z))) AS tied
+            FROM (
+                SELECT *, list_transform(tm, lambda x: exp(x / c)) AS st
+                FROM (
+                    SELECT *, sqrt(list_sum(tv) + len(tv) * (25.0 / 6) * (25.0 / 6)) AS c
+                    FROM (
+                        SELECT *, list_transform(ts, lambda z: list_sum(list_transform(list_filter(p, lambda x, j: t[j] = z), lambda x: mu[x + 1]))) AS tm,
+                               list_transform(ts, lambda z: list_sum(list_filter(v, lambda x, j: t[j] = z))) AS tv, list_transform(ts, lambda z: pl[list_position(t, z)]) AS tp,
+                               list_transform(t, lambda z: list_position(ts, z)) AS u
+                        FROM (
+                            SELECT *, list_transform(p, lambda x: least(sg[x + 1] * sg[x + 1] + (25.0 / 300) * (25.0 / 300), (25.0 / 3) * (25.0 / 3))) AS v, list_sort(list_distinct(t)) AS ts
+                            FROM (
+                                SELECT rp.i + 1 AS i, rp.mu, CASE WHEN rp.i % n = 0 THEN list_transform(rp.sg, lambda x: CAST(25 AS DOUBLE) / 3) ELSE rp.sg END AS sg, pm.p, pm.t, pm.pl
+                                FROM rp, size JOIN pm ON pm.k = rp.i % n + 1 WHERE rp.i < 3 * n)))))))),
+final AS (SELECT mu, sg FROM rp ORDER BY i DESC LIMIT 1),
+played AS (SELECT player_id, count(*) AS games, count(*) FILTER (placement = 1) AS top1_wins, count(*) FILTER (placement <= 3) AS top3_wins, CAST(sum(placement) AS BIGINT) AS placement_sum
+    FROM (SELECT unnest(p) AS player_id, unnest(pl) AS placement FROM pm) GROUP BY 1),
+replay AS (SELECT player_id, final.mu[player_id + 1] AS mu, final.sg[player_id + 1] AS sigma, games, top1_wins, top3_wins, placement_sum FROM played, final)"""
+_REPLAYED = "SELECT player_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, games, top1_wins, top3_wins, placement_sum FROM replay"
+_LADDER = """SELECT player_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, games, top1_wins, top3_wins, placement_sum, CAST(pos AS INTEGER) AS rank_position,
+    CASE WHEN pos <= c THEN 'Challenger' WHEN pos <= c + g THEN 'Grandmaster' WHEN pos <= c + g + m THEN 'Master'
+         ELSE coalesce(['Diamond', 'Emerald', 'Platinum', 'Gold', 'Silver', 'Bronze', 'Iron'][
+             1 + len(list_filter([4.0, 17.0, 35.0, 59.0, 80.0, 96.0], lambda x: pos - c - g - m > floor((size - c - g - m) * x / 99.4 + 0.5)))], 'Iron') END AS tier
+    FROM (SELECT *, least(10, greatest(1, floor(size * 0.01 + 0.5))) AS c, least(15, greatest(1, floor(size * 0.015 + 0.5))) AS g, greatest(1, floor(size * 0.01 + 0.5)) AS m FROM (
+        SELECT *, row_number() OVER (ORDER BY mu DESC, games DESC, player_id) AS pos, count(*) OVER () AS size FROM replay WHERE games >= 5))"""
 #: Greedy choice over a champion's slots: what is first in a slot is not shown in later ones.
 _SELECTION = f""", bs AS (SELECT champion, slot, list(item_id ORDER BY games DESC, item_id) AS ids, list(games ORDER BY games DESC, item_id) AS gs FROM {_SLOTS} GROUP BY 1, 2),
 g AS (
@@ -411,7 +470,8 @@ FROM g JOIN bs ON bs.champion = g.champion AND bs.slot = g.slot, range(1, 4) t(k
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"build_selection": _BASE.replace("WITH o AS", "WITH RECURSIVE o AS", 1).rstrip() + _USABLE + _SELECTION}
+    again = _BASE.replace("WITH o AS", "WITH RECURSIVE o AS", 1).rstrip()
+    out = {"build_selection": again + _USABLE + _SELECTION, "tier_letters": again + _LETTERS, "rating_replay": f"{again}{_SEASON}\n{_REPLAYED}", "rating_ladder": f"{again}{_SEASON}\n{_LADDER}"}
     for name, body in _BODIES.items():
         base = _BASE.rstrip() + (_USABLE if "usable" in body else "") + (_ACQ_ANVIL if "acq_anvil" in body else "") + (_CHOSEN if "chosen" in body else "")
         out[name] = f"{base}{'' if body.startswith(',') else chr(10)}{body}"
