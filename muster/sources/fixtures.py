@@ -102,8 +102,8 @@ def derive(spark: SparkSession, sf_dir: str) -> Season:
     base = lambda i: F.when(i >= 1056, i - 20).otherwise(i)
     bought = F.filter("ls", lambda x: ~x["item"].between(1004, 1018))
     items = F.array_sort(F.array_distinct(F.coalesce(F.transform("ls", lambda x: x["item"]), F.array().cast("array<int>"))))
-    part = o.join(teams, ["mn", "subteam_id"]).join(got, key == F.col("l_orderkey"), "left").join(matches, "mn").where("ingested")
-    participants = part.select(
+    part = o.join(teams, ["mn", "subteam_id"]).join(matches, "mn").where("ingested")
+    participants = part.join(got, key == F.col("l_orderkey"), "left").select(
         "match_id", "patch", "game_creation", (F.col("slot") * 20 + cust % 20).cast("int").alias("player_id"), "subteam_id", "placement",
         F.concat(F.lit("C"), F.lpad(((cust + 7 * (key % 11)) % 48).cast("string"), 2, "0")).alias("champion"),
         F.when(key % 211 == 0, F.concat(items, F.array(F.lit(AFK_ITEMS[0])))).otherwise(items).alias("items"),
