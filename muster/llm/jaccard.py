@@ -46,7 +46,7 @@ that is not null.  An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +71,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), _I64)
 
 
-def _key(s: np.ndarray) -> np.int64:
+def set_key(s: np.ndarray) -> np.int64:
     return np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)
 
 
@@ -84,7 +84,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
             sizes, keys = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, words in hashed_docs(batch.column("text"), lower=True):
                 s = shingle_set(words, n)
-                sizes[i], keys[i] = len(s), _key(s)
+                sizes[i], keys[i] = len(s), set_key(s)
                 np.add.at(counts, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows, _I64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(sizes), pa.array(keys), none, none], names)
@@ -106,7 +106,7 @@ def _postings(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
             parts, keys, sizes, lengths, signs = [], [], [], [], []
             for _, words in hashed_docs(batch.column("text"), lower=True):
                 s = shingle_set(words, n)
-                if not len(s) or (k := int(_key(s))) in seen:
+                if not len(s) or (k := int(set_key(s))) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(k)
@@ -192,17 +192,17 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
-def _with_texts(rows: DataFrame, texts: DataFrame, by: str) -> DataFrame:
+def with_texts(rows: DataFrame, texts: DataFrame, by: str) -> DataFrame:
     return texts.join(if_small(rows), by)
 
 
-def _distances(assign: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+def measured(assign: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """key, pivot, common, union, distance for the pairs of ``assign`` (key, pivot)."""
     assign = stored(assign.distinct(), "assign")
     salts = assign.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     points = assign.join(salts, "pivot").select("pivot", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), "key", F.lit(1).alias("role"))
     heads = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("pivot").alias("key"), F.lit(0).alias("role"))
-    rows = _with_texts(stored(points.unionByName(heads), "heads"), texts, "key")
+    rows = with_texts(stored(points.unionByName(heads), "heads"), texts, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, at = np.zeros(0, np.uint64), None
@@ -227,7 +227,7 @@ def _distances(assign: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return stored(out.select("key", "pivot", "common", union.alias("union"), (1 - F.col("common") / union).alias("distance")), "distances")
 
 
-def _close(percent: int) -> F.Column:
+def is_close(percent: int) -> F.Column:
     return 100 * F.col("common") >= percent * F.col("union")
 
 
@@ -235,7 +235,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(if_small(labels), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def _live(cells: DataFrame, labels: DataFrame) -> DataFrame:
+def live_cells(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Cells (cell, key, parent) with points of two components at least, one of cells with equal points; with label and size."""
     named = _labelled(cells, labels)
     seen = named.groupBy("cell").agg(
@@ -259,13 +259,13 @@ def _live_regions(regions: DataFrame, labels: DataFrame) -> DataFrame:
     return cores.unionByName(borders)
 
 
-def _pairs(live: DataFrame) -> DataFrame:
+def open_pairs(live: DataFrame) -> DataFrame:
     """The pairs of small cells that are not connected yet."""
     other = live.select("cell", F.col("key").alias("pivot"), F.col("label").alias("other"))
     return live.join(other, "cell").where("key < pivot AND label != other").select("key", "pivot")
 
 
-def _elect(live: DataFrame, pivots: int, level: int) -> DataFrame:
+def elect(live: DataFrame, pivots: int, level: int) -> DataFrame:
     """cell, pivot: the least points of a cell in an order that changes with the level, one in each of ``pivots`` classes."""
     k = F.xxhash64(F.lit(level), "key")
     return live.groupBy("cell", F.pmod(k, F.lit(pivots)).alias("class")).agg(F.min_by("key", k).alias("pivot")).select("cell", "pivot")
@@ -274,7 +274,7 @@ def _elect(live: DataFrame, pivots: int, level: int) -> DataFrame:
 def _split(cells: DataFrame, elected: DataFrame, distances: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Cells (cell, key, size) by their pivots: what no pivot links (cell, key, parent),
     and the pivots' regions (cell, key, core).  Distances beyond 2 eps may be missing."""
-    known = distances.select("key", "pivot", "distance", _close(percent).alias("close"))
+    known = distances.select("key", "pivot", "distance", is_close(percent).alias("close"))
     seen = cells.select("cell", "key", "size").join(elected, "cell").join(if_small(known), ["key", "pivot"], "left")
     self_ = F.col("key") == F.col("pivot")
     seen = stored(seen.select("cell", "key", "size", "pivot", F.when(self_, 0.0).otherwise(F.col("distance")).alias("d"), (self_ | F.coalesce("close", F.lit(False))).alias("close")), "seen")
@@ -350,16 +350,17 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _block_links(spread: DataFrame, signs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def block_links(spread: DataFrame, signs: DataFrame, texts: DataFrame, n: int, percent: int, may_link: Callable[..., np.ndarray] = _may_link) -> DataFrame:
     """a, b: links that connect the points of ``spread`` (cell, b0, b1, mine, key, label), block against block.
 
-    A group of one (cell, b0, b1) has at most two blocks.
+    A group of one (cell, b0, b1) has at most two blocks.  ``may_link`` tells by the
+    signatures which of its points need their texts.
     """
     column = lambda t, c: t.column(c).to_numpy()
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            keep = np.flatnonzero(_may_link(t.column("signature").to_pylist(), column(t, "n"), column(t, "label"), column(t, "mine"), percent))
+            keep = np.flatnonzero(may_link(t.column("signature").to_pylist(), column(t, "n"), column(t, "label"), column(t, "mine"), percent))
             yield from t.select(columns).take(pa.array(keep)).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,10 +378,10 @@ def _block_links(spread: DataFrame, signs: DataFrame, texts: DataFrame, n: int,
     placed = lambda rows, more: rows.repartition(tasks, *_PLACE).sortWithinPartitions(*_PLACE).select(*columns, *more)
     signed = placed(spread.select(*columns).join(signs, "key"), ["n", "signature"])
     may = stored(signed.mapInArrow(sieve, "cell long, b0 int, b1 int, mine int, key long, label long"), "may")
-    return stored(placed(_with_texts(may, texts, "key"), ["text"]).mapInArrow(run, "a long, b long"), "links")
+    return stored(placed(with_texts(may, texts, "key"), ["text"]).mapInArrow(run, "a long, b long"), "links")
 
 
-def _cell_blocks(live: DataFrame) -> DataFrame:
+def cell_blocks(live: DataFrame) -> DataFrame:
     """Whole cells, each block against each."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
@@ -398,7 +399,7 @@ def _region_blocks(regions: DataFrame) -> DataFrame:
     return spread.select("cell", pick("block", "other").alias("b0"), pick("other", "block").alias("b1"), F.col("side").cast("int").alias("mine"), "key", "label")
 
 
-def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def relabelled(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """key, label of all points with links, after new ``edges`` (a, b)."""
     if labels is None:
         return stored(components(edges).select(F.col("v").alias("key"), F.col("component").alias("label")), "labels")
@@ -429,43 +430,49 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int =
     members = _members(posted.where("shingle IS NOT NULL").select("shingle", "key", "n"), percent)
     signs = stored(signs.join(members.select("key").distinct(), "key", "left_semi"), "signs")
     chosen = rows.where("n > 0").groupBy("key").agg(F.min("row").alias("row")).join(members.select("key").distinct(), "key", "left_semi")
-    texts = stored(_with_texts(stored(chosen, "chosen"), texts_of.select("row", "text"), "row").select("key", "text"), "texts")
+    texts = stored(with_texts(stored(chosen, "chosen"), texts_of.select("row", "text"), "row").select("key", "text"), "texts")
 
-    pairs = lambda d: d.where(_close(percent)).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-    distances = _distances(_within(members.where("key != pivot").select("key", "pivot"), signs, 2 * eps), texts, n)
-    labels = _relabel(None, pairs(distances))
+    pairs = lambda d: d.where(is_close(percent)).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    distances = measured(_within(members.where("key != pivot").select("key", "pivot"), signs, 2 * eps), texts, n)
+    labels = relabelled(None, pairs(distances))
     # in a cell of one pivot every point within eps of it is in its core, and all cells of a pivot have one region
-    within = distances.where(F.col("distance") <= 2 * eps + 1e-9).select(F.col("pivot").alias("cell"), "key", _close(percent).alias("core"))
+    within = distances.where(F.col("distance") <= 2 * eps + 1e-9).select(F.col("pivot").alias("cell"), "key", is_close(percent).alias("core"))
     heads = within.select("cell", F.col("cell").alias("key"), F.lit(True).alias("core")).distinct()
     regions = within.unionByName(heads)
-    linked = distances.where(_close(percent)).select("key", "pivot")
+    linked = distances.where(is_close(percent)).select("key", "pivot")
     cells = members.where("key != pivot").join(if_small(linked), ["key", "pivot"], "left_anti").select("cell", "key", F.lit(0).alias("parent"))
     level = 0
     while True:
         close_by = stored(_live_regions(regions, labels), "close")
-        live = _live(cells, labels)
+        live = live_cells(cells, labels)
         todo, links = [not x.isEmpty() for x in (close_by, live)], []
         if not any(todo):
             break
         if todo[0]:
-            links.append(_block_links(_region_blocks(close_by), signs, texts, n, percent))
+            links.append(block_links(_region_blocks(close_by), signs, texts, n, percent))
         small, rest = live.where(F.col("size") <= leaf), live.where(F.col("size") > leaf)
         again = ((2 * F.col("size") <= F.col("parent")) | F.lit(level == 0)) & F.lit(level < rounds)
         whole, large = rest.where(~again), rest.where(again)
         if not whole.isEmpty():
-            links.append(_block_links(_cell_blocks(whole), signs, texts, n, percent))
-        elected = stored(_elect(large, pivots, level), "elected")
+            links.append(block_links(cell_blocks(whole), signs, texts, n, percent))
+        elected = stored(elect(large, pivots, level), "elected")
         if todo[1]:
             trial = large.select("cell", "key").join(elected, "cell").where("key != pivot").select("key", "pivot")
-            distances = _distances(_within(_pairs(small), signs, eps).unionByName(_within(trial, signs, 2 * eps)), texts, n)
+            distances = measured(_within(open_pairs(small), signs, eps).unionByName(_within(trial, signs, 2 * eps)), texts, n)
             links.append(pairs(distances))
         every = links[0]
         for e in links[1:]:
             every = every.unionByName(e)
-        labels = _relabel(labels, every)
+        labels = relabelled(labels, every)
         cells, regions = _split(large, elected, distances, percent)
         level += 1
 
+    return component_rows(rows, labels)
+
+
+def component_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, component_id and point (the component's least point) of ``rows`` (row, doc_id, n, key),
+    whose points have ``labels`` (key, label) if they have links."""
     named = rows.join(labels, "key", "left").withColumn("point", F.when(F.col("n") > 0, F.coalesce("label", "key")))
     named = stored(named.select("row", "doc_id", "n", "point"), "named")
     least = named.where("point IS NOT NULL").groupBy("point").agg(F.min("doc_id").alias("least"))
@@ -475,11 +482,11 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int =
     )
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, **kw) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, join: Callable[..., DataFrame] = join_components, **kw) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component that ``join`` finds the row
     with the smallest doc_id (null last; one of equals), and all without words."""
     docs = as_table(docs)
-    found = stored(join_components(docs, n, percent, **kw).select("row", "doc_id", "point"), "found")
+    found = stored(join(docs, n, percent, **kw).select("row", "doc_id", "point"), "found")
     firsts = found.where("point IS NOT NULL").groupBy("point").agg(F.min_by("row", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("row")).select("row")
     row = free_name(docs, "row")
     kept = firsts.unionByName(found.where("point IS NULL").select("row")).withColumnRenamed("row", row)

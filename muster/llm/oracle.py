@@ -110,3 +110,48 @@ WARC = r"""
                        'cache-control: max-age=600' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
                        || 'etag: ' || CASE WHEN etag IS NULL THEN tag ELSE 'W/' || etag END || chr(10) || 'last-modified: ' || date || chr(10) || 'x-cache: hit' END AS headers
             FROM j"""
+
+
+#: Linked documents share one of their first n - ceil(0.8 n) + 1 shingles, rare ones first.
+NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ALPHABET}), {_WORDS}) AS ws FROM documents),
+s AS (
+    SELECT doc_id, CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: hash(ws[i] || ' ' || ws[i + 1])))
+                        WHEN len(ws) > 0 THEN [hash(ws[1])] ELSE [] END AS g
+    FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+f AS (SELECT *, count(*) OVER (PARTITION BY x) AS df FROM e),
+p AS (SELECT doc_id, n, x FROM f WHERE df > 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, x) <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+k AS (SELECT c.a, c.b, len(list_intersect(x.g, y.g)) AS n, len(x.g) + len(y.g) AS total FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b),
+half AS (SELECT a, b FROM k WHERE 100 * n >= 80 * (total - n)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id,
+       s.doc_id = least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS kept
+FROM s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.g"""
+
+#: A run's words but its last period, six at least, stand again one period on: equal runs of six words at the same distance.
+RUNS = f"""
+WITH crc AS (
+    SELECT doc_id, xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+        lambda h, x: list_reduce([xor(h, x)] || list_transform(range(8), lambda z: CAST(0 AS BIGINT)), lambda y, z: xor(y >> 1, (y & 1) * 3988292384)))) AS h
+    FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws, h, h // 10 AS g FROM documents JOIN crc USING (doc_id)),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN g % len(ws) END AS a FROM w),
+p AS (SELECT *, 1 + (len(ws) - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, CASE WHEN a IS NULL THEN ws ELSE ws[:a] || list_transform(range(0, len(ws) - a), lambda i: ws[1 + a + i % p]) END AS ws FROM p),
+x AS (SELECT doc_id, i, hash(ws[i + 1:i + 6]) AS x FROM d, unnest(range(0, len(ws) - 5)) u(i)),
+y AS (SELECT doc_id, i, x FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+e AS (SELECT b.doc_id, b.i, c.i - b.i AS p FROM y b JOIN y c ON b.doc_id = c.doc_id AND b.x = c.x AND b.i < c.i),
+k AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM e),
+m AS (SELECT doc_id, p, min(i) AS s, max(i) - min(i) + 6 + p AS l FROM k GROUP BY doc_id, p, island),
+r AS (SELECT doc_id, s, l, min(p) AS p FROM m WHERE l >= 12 AND l >= 2 * p GROUP BY doc_id, s, l),
+n AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS runs, list({{'l': -l, 's': s, 'p': p}} ORDER BY l DESC, s, p)[1] AS top
+    FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM r, unnest(range(s + p, s + l)) u(i)),
+away AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, -top.l AS length, top.p AS period, -1000 * top.l // top.p AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(0, len(ws)), lambda i: NOT list_contains(gone, i)), lambda i: ws[i + 1]) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN away USING (doc_id)"""

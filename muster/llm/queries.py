@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import bpe, exact_dedup, html_text, jaccard, mixing, oracle, quality, sharding, suffixes, token_counts, warc
-from muster.llm.store import shared_dir, stored, table
+from muster.llm import alignment, bpe, exact_dedup, html_text, jaccard, minhash, mixing, oracle, quality, runs, sharding, suffixes, token_counts, warc
+from muster.llm.store import shared_dir, stored, table, with_row_id
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,31 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"), least=50)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_row_id(table(spark, sf_dir, "documents").select("doc_id", "text"), "row")
+    found = alignment.with_alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    found = stored(found.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "pairs", "times"), "aligned")
+    scores = alignment.link_scores(found.select("row", "pairs", "times"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return found.join(scores, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+
+
+def op12_b_bit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_components(table(spark, sf_dir, "documents"), n=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = runs.with_runs(docs.select("doc_id", runs.planted(F.col("text"), F.col("doc_id")).alias("text")), keep=["doc_id"]).withColumn("top", runs.longest_run(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -98,4 +123,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": oracle.DEDUP, "op3_warc_revisits": oracle.WARC, "op5_quality_rules": oracle.QUALITY,
         "op9_jaccard_join": oracle.JACCARD, "op10_suffix_array": oracle.SUFFIXES,
+        "op12_b_bit_minhash": oracle.NEAR, "op13_periodic_runs": oracle.RUNS,
     }
