@@ -61,8 +61,8 @@ def resolved_lines(text: Column) -> Column:
 
 
 def riot_id(text: Column, tag: str = "EUW") -> Column:
-    """struct(name, tag) of ``name#tag``, with a default tag."""
-    t = F.trim(text)
-    at = F.instr(t, "#")
-    return F.struct(F.when(at > 0, F.trim(F.substring(t, F.lit(1), at - 1))).otherwise(t).alias("name"),
-                    F.when(at > 0, F.trim(F.substring(t, at + 1, F.length(t)))).otherwise(F.lit(tag)).alias("tag"))
+    """struct(name, tag) of ``name#tag``: the first # parts them, an empty tag is the default one, without a name it is null."""
+    t = F.btrim(text, F.lit(_BLANK))
+    name = F.btrim(F.substring_index(t, "#", 1), F.lit(_BLANK))
+    rest = F.btrim(F.when(F.instr(t, "#") > 0, F.substring(t, F.instr(t, "#") + 1, F.length(t))), F.lit(_BLANK))
+    return F.when(F.length(name) > 0, F.struct(name.alias("name"), F.when(F.length(rest) > 0, rest).otherwise(F.lit(tag)).alias("tag")))

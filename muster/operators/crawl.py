@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pieces of time into which a key's events fall, so that no key is one task's work.
-PIECES = 256
+from muster.operators.pieces import with_pieces
 
 
 def is_build_item(item: Column, excluded: tuple[int, ...] = ()) -> Column:
@@ -87,25 +86,29 @@ def pick_players(queue: DataFrame, limit: int, now: Column, requested: int = 10,
     """Whom to visit next: half tracked (asked for, top of the ladder, tracked), the rest
     discovered; if too few were discovered, more tracked ones.
 
-    Each class is a distributed top-k; only those ``limit`` names at most meet on
-    the driver, where the quotas are a few list operations.
+    Each class is a distributed top-k of ``limit`` names at most, in one array; the
+    quotas are stretches of these arrays, in the same plan.
     """
     half = limit // 2
+    by = (F.col("last_crawled_at").asc_nulls_first(), F.desc("discovered_at"), "puuid")
+    due = queue.where(F.col("error_count") < 5)
     old = F.col("last_crawled_at").isNull() | (F.col("last_crawled_at") < now - F.make_interval(hours=F.lit(revisit_hours)))
 
-    def pick(priority: int, n: int, where: Column | None = None) -> list[str]:
-        due = queue.where((F.col("error_count") < 5) & (F.col("priority") == priority))
-        due = due.where(where) if where is not None else due
-        rows = due.orderBy(F.col("last_crawled_at").asc_nulls_first(), F.desc("discovered_at"), "puuid").limit(max(0, n)).select("puuid")
-        return [r[0] for r in rows.collect()]
+    def first(name: str, rows: DataFrame, *order: Column | str) -> DataFrame:
+        """One row: the first names in order."""
+        top = rows.orderBy(*order).limit(limit).select("puuid", F.row_number().over(Window.orderBy(*order)).alias("place"))  # ``limit`` rows
+        return top.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "puuid"))), lambda x: x["puuid"]).alias(name))
 
-    tracked = [r[0] for r in pick_requested(queue, min(requested, half)).select("puuid").collect()]
-    tracked += [p for p in pick(2, half - len(tracked), old) if p not in tracked]
-    tracked += [p for p in pick(1, half - len(tracked)) if p not in tracked]
-    picked = [(p, True) for p in tracked] + [(p, False) for p in pick(0, limit - len(tracked))]
-    have = {p for p, _ in picked}
-    picked += [(p, True) for p in pick(1, limit - len(picked)) if p not in have]
-    return queue.sparkSession.createDataFrame([(i + 1, *p) for i, p in enumerate(picked)], "pick int, puuid string, tracked boolean")
+    lists = first("asked", pick_requested(queue, min(requested, half)), "requested_at", "puuid")
+    for name, rows in (("top", due.where((F.col("priority") == 2) & old)), ("tracked", due.where("priority = 1")), ("found", due.where("priority = 0"))):
+        lists = lists.crossJoin(first(name, rows, *by))  # one row each
+    take = lambda a, n: F.slice(a, F.lit(1), F.greatest(F.lit(0), n))
+    lists = lists.withColumn("seen", F.concat("asked", F.array_except(take("top", half - F.size("asked")), "asked")))
+    lists = lists.withColumn("seen", F.concat("seen", F.array_except(take("tracked", half - F.size("seen")), "seen")))
+    lists = lists.withColumn("fresh", take("found", limit - F.size("seen")))
+    lists = lists.withColumn("more", F.array_except(take("tracked", limit - F.size("seen") - F.size("fresh")), F.concat("seen", "fresh")))
+    marked = [F.transform(c, lambda p, is_tracked=is_tracked: F.struct(p.alias("puuid"), F.lit(is_tracked).alias("tracked"))) for c, is_tracked in (("seen", True), ("fresh", False), ("more", True))]
+    return lists.select(F.posexplode(F.concat(*marked)).alias("pick", "p")).select((F.col("pick") + 1).alias("pick"), "p.puuid", "p.tracked")
 
 
 def after_visits(queue: DataFrame, visits: DataFrame, now: Column) -> DataFrame:
@@ -118,15 +121,6 @@ def after_visits(queue: DataFrame, visits: DataFrame, now: Column) -> DataFrame:
     }).select(*queue.columns)
 
 
-def waits(events: DataFrame, keys: list[str], limits: tuple[tuple[int, int], ...] = ((20, 1), (100, 120))) -> DataFrame:
-    """``events`` with the microseconds to wait until no limit (requests, seconds) is passed: the time until
-    the request that is ``requests`` before it leaves the window."""
-    order = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    t = lambda c: F.unix_micros(c.cast("timestamp"))
-    need = [F.coalesce(t(F.lag("ts", n).over(order)) + seconds * 1_000_000 - t(F.col("ts")), F.lit(0)) for n, seconds in limits]
-    return events.withColumn("wait_us", F.greatest(F.lit(0), *need))
-
-
 def promote_tracked(queue: DataFrame, players: DataFrame, min_games: int) -> DataFrame:
     """The queue with discovered players of enough games tracked."""
     ready = players.where(F.col("games") >= min_games).select("puuid", F.lit(True).alias("ready"))
@@ -159,9 +153,7 @@ def admitted(events: DataFrame, key: str, most: int = 5, seconds: int = 120) ->
     """
     micros = seconds * 1_000_000
     e = events.select(F.col(key).alias("k"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    lo, hi = e.agg(F.min("t"), F.max("t")).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // PIECES))
-    e = e.withColumn("piece", F.floor((F.col("t") - F.lit(lo or 0)) / width).cast("int"))
+    e = with_pieces(e, "k", "t")
     inside = Window.partitionBy("k", "piece").orderBy("t", "event_id")
     earlier = Window.partitionBy("k").orderBy("piece")  # a row for each piece of a key
 

@@ -9,8 +9,6 @@ patch, so that a query about one patch reads that patch and the columns it needs
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from muster.functions.arrays import ordered_by_first
 from muster.functions.ladder import ladder_tier, positions, skill_bucket
+from muster.sources.shared import exists, new_folder
 
 PATCHES = ("16.8", "16.9", "16.18", "16.19")
 AFK_ITEMS = (220008, 220009, 220010, 220011)
@@ -146,20 +145,9 @@ def _times(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def refresh(spark: SparkSession, sf_dir: str) -> str:
     """Derives the season of ``sf_dir`` and writes it to a new shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    root = f"{base.rstrip('/')}/season-{uuid.uuid4().hex}"
+    root = new_folder(spark, "season")
     s = derive(spark, sf_dir)
     for name in ("players", "ratings", "matches"):
         getattr(s, name).write.parquet(f"{root}/{name}")
@@ -175,7 +163,7 @@ def load(spark: SparkSession, sf_dir: str) -> Season:
     """The written season of ``sf_dir``; it is derived first unless this application has done so since the tables changed."""
     key = (spark.sparkContext.applicationId, sf_dir, _times(spark, sf_dir))
     root = _written.get(key)
-    if root is None or not _exists(spark, f"{root}/participants/_SUCCESS"):
+    if root is None or not exists(spark, f"{root}/participants/_SUCCESS"):
         root = refresh(spark, sf_dir)
     read = {n: spark.read.schema(SCHEMAS[n]).parquet(f"{root}/{n}") for n in SCHEMAS}
     return Season(**read, ref_items=ref_items(spark), ref_augments=ref_augments(spark), ref_champions=ref_champions(spark))

@@ -7,24 +7,27 @@ of several versions of a match the last one built counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from muster.functions.counters import counters
 from muster.operators.players import latest_name
 from muster.operators.ratings import packed_matches
+from muster.sources.shared import written
 
 LATE = "2 hours"
 PARTICIPATION = "match_id string, patch string, game_creation timestamp, ingested_at timestamp, player_id int, subteam_id int, placement int, champion string"
 
+PACKED = "match_id string, game_creation timestamp, players array<int>, subteams array<int>, placements array<int>, built_at timestamp"
 
-def participations(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of participations from the Parquet files that arrive at ``path``."""
-    return spark.readStream.schema(PARTICIPATION).parquet(path)
+
+def participations(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """A stream of participations from the Parquet files that arrive at ``path``, so many files at a time."""
+    return spark.readStream.schema(PARTICIPATION).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def once(stream: DataFrame) -> DataFrame:
@@ -39,34 +42,125 @@ def champion_counts(stream: DataFrame, width: str = "1 hour") -> DataFrame:
 
 
 class RatingRows:
-    """Packed matches as batches of Parquet; a batch that is written again replaces itself."""
+    """Packed matches (rating rows), kept up to date from participations that arrive in any order.
+
+    ``parts`` keeps all participations that ever came, by bucket of matches and
+    batch: a batch that is written again replaces its own files.  ``rows`` keeps one
+    row for each match, by bucket.  A batch packs the matches that it touches anew from
+    all their stored participations, so it does not matter how a match is cut into
+    batches, and overwrites the buckets of those matches only (dynamic partition
+    overwrite).  ``state`` remembers the watermark and the last full sweep, as a log.
+
+    Rows can always be made from parts.  If a job dies while it replaces buckets, the
+    stream runs that batch again, and a full sweep packs whatever rows are missing.
+    """
+
+    SWEEP, MARGIN = "6 hours", LATE
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, clean: Callable[[DataFrame], DataFrame] = lambda rows: rows):
+        self.spark, self.path, self.buckets, self.clean = spark, path.rstrip("/"), buckets, clean
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("match_id"), F.lit(self.buckets)).cast("int")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def _read(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        except AnalysisException:  # nothing there yet
+            return None
+
+    def _replace(self, df: DataFrame, name: str, *by: str) -> None:
+        """Writes ``df`` in place of the partitions that it has rows of."""
+        df.repartition(*by).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{name}")
+
+    def _touched(self, matches: DataFrame) -> list[int]:
+        return sorted(r[0] for r in matches.select(self._bucket().alias("b")).distinct().collect())  # ``buckets`` numbers at most
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` sink for participations."""
-        built = batch.groupBy("match_id").agg(F.max("ingested_at").alias("built_at"))
-        packed = packed_matches(batch.dropDuplicates(["match_id", "player_id"])).join(built, "match_id")
-        packed.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        self._replace(batch.withColumns({"bucket": self._bucket(), "batch": F.lit(batch_id).cast("long")}), "parts", "bucket", "batch")
+        parts = self._read("parts")
+        if parts is not None:
+            self._pack(parts.where(F.col("batch") == batch_id).select("match_id").distinct())
+
+    def participations(self, buckets: list[int] | None = None) -> DataFrame:
+        """The newest version of each player's participation in each match."""
+        parts = self._read("parts")
+        if buckets is not None:
+            parts = parts.where(F.col("bucket").isin(buckets))
+        fields = [c for c in parts.columns if c not in ("match_id", "player_id", "bucket", "batch")]
+        newest = F.max_by(F.struct(*fields), F.struct("ingested_at", "batch"))
+        return parts.groupBy("match_id", "player_id").agg(newest.alias("r")).select("match_id", "player_id", "r.*")
+
+    def _pack(self, matches: DataFrame) -> int:
+        """Packs ``matches`` (match_id, distinct) anew and gives their number."""
+        touched = self._touched(matches)
+        if not touched:
+            return 0
+        rows = self.clean(self.participations(touched).join(matches, "match_id", "left_semi"))
+        built = rows.groupBy("match_id").agg(F.max("ingested_at").alias("built_at"))
+        fresh = packed_matches(rows.withColumn("game_creation", F.max("game_creation").over(Window.partitionBy("match_id")))).join(built, "match_id")
+        fresh = written(fresh, "packed")
+        have = self._read("rows")
+        every = fresh.withColumn("bucket", self._bucket())
+        if have is not None:
+            # a match of which nothing is left after cleaning has no row
+            every = every.unionByName(have.where(F.col("bucket").isin(touched)).join(matches, "match_id", "left_anti").select(*every.columns))
+        self._replace(every, "rows", "bucket")
+        return fresh.count()
 
     def rows(self) -> DataFrame:
-        """The last version of every match; of equally new ones the one with more players."""
-        every = self.spark.read.parquet(self.path)
-        fields = [c for c in every.columns if c not in ("batch", "match_id")]
-        newest = F.max_by(F.struct(*fields), F.struct("built_at", F.size("players"), "batch"))
-        return every.groupBy("match_id").agg(newest.alias("r")).select("match_id", "r.*")
+        """match_id, game_creation, players, subteams, placements, built_at of every match."""
+        have = self._read("rows")
+        return have.drop("bucket") if have is not None else self.spark.createDataFrame([], PACKED)
 
     def todo(self, matches: DataFrame, since: Column | None = None) -> DataFrame:
         """Ingested matches (match_id, ingested_at) without rating rows, or with older ones.
 
-        With ``since``, the time of the last run, only matches ingested after two hours before it
-        are looked at; a full sweep (every six hours) finds what arrived later still.
+        With ``since``, a watermark, only matches ingested after it are looked at.
         """
         if since is not None:
-            matches = matches.where(F.col("ingested_at") >= since - F.expr(f"INTERVAL {LATE}"))
-        have = self.rows().select("match_id", "built_at")
-        return matches.join(have, "match_id", "left").where(F.col("built_at").isNull() | (F.col("built_at") < F.col("ingested_at"))).select("match_id")
+            matches = matches.where(F.col("ingested_at") > since)
+        matches, have = matches.where("ingested_at IS NOT NULL"), self._read("rows")
+        if have is None:
+            return matches.select("match_id")
+        out = matches.join(have.select("match_id", "built_at"), "match_id", "left")
+        return out.where(F.col("built_at").isNull() | (F.col("built_at") < F.col("ingested_at"))).select("match_id")
+
+    def state(self) -> tuple[datetime | None, datetime | None]:
+        """(watermark, time of the last full sweep), null before the first run."""
+        log = self._read("state")
+        last = log.agg(F.max("watermark"), F.max("swept")).first() if log is not None else (None, None)
+        return last[0], last[1]
+
+    def sync(self, matches: DataFrame, started: datetime) -> int:
+        """The periodic job over ``matches`` (match_id, ingested_at): packs what has no row or an
+        older one.  It looks at what was ingested after the watermark, two hours before the
+        last run, and every six hours at everything.  Gives the number of matches packed.
+        """
+        watermark, swept = self.state()
+        full = swept is None or started - swept > timedelta(hours=int(self.SWEEP.split()[0]))
+        todo = self.todo(matches, None if full or watermark is None else F.lit(watermark))
+        packed = self._pack(written(todo.distinct(), "todo"))
+        log = [(started - timedelta(hours=int(self.MARGIN.split()[0])), started if full else swept)]
+        self.spark.createDataFrame(log, "watermark timestamp, swept timestamp").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+        return packed
+
+    def compact(self, batch_id: int) -> None:
+        """Puts the parts of batches up to ``batch_id`` together, under that number.  A job that
+        dies midway leaves some rows twice, which count once; run it again."""
+        parts = self._read("parts")
+        old = [r[0] for r in parts.where(F.col("batch") < batch_id).select("batch").distinct().collect()]
+        fields = [c for c in parts.columns if c not in ("match_id", "player_id", "bucket", "batch")]
+        newest = F.max_by(F.struct(*fields), F.struct("ingested_at", "batch"))
+        merged = parts.where(F.col("batch") <= batch_id).groupBy("bucket", "match_id", "player_id").agg(newest.alias("r"))
+        merged = written(merged.select("match_id", "player_id", "r.*", "bucket", F.lit(batch_id).cast("long").alias("batch")), "merged")
+        self._replace(merged, "parts", "bucket", "batch")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/parts")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for b in range(self.buckets):
+            for k in old:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(at, f"bucket={b}/batch={k}"), True)
 
 
 def touched_counts(rows: DataFrame, changed: DataFrame, counts: DataFrame) -> DataFrame:
@@ -91,33 +185,3 @@ def unarchived(arriving: DataFrame, matches: DataFrame) -> DataFrame:
 def start_sync(stream: DataFrame, rows: RatingRows, checkpoint: str):
     """Starts the query that keeps ``rows`` up to date."""
     return stream.writeStream.foreachBatch(rows.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def admitted_stream(events: DataFrame, most: int = 5, seconds: int = 120) -> DataFrame:
-    """A stream of (user_id, event_id, ts) with whether each is let in.
-
-    State is the times of a user's last admissions, ``most`` at most; it goes
-    when the watermark is past them.
-    """
-    micros = seconds * 1_000_000
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            out = []
-            for event, ts in frame.sort_values(["ts", "event_id"])[["event_id", "ts"]].itertuples(index=False):
-                t = int(ts.value // 1000)
-                recent = [x for x in recent if x > t - micros]
-                ok = len(recent) < most
-                if ok:
-                    recent.append(t)
-                out.append((key[0], event, ok))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "admitted"])
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), recent[-1] // 1000) + seconds * 1000)
-
-    return events.withWatermark("ts", f"{seconds} seconds").groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, admitted boolean", "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
