@@ -107,8 +107,8 @@ def pick_players(queue: DataFrame, limit: int, now: Column, requested: int = 10,
     lists = lists.withColumn("seen", F.concat("seen", F.array_except(take("tracked", half - F.size("seen")), "seen")))
     lists = lists.withColumn("fresh", take("found", limit - F.size("seen")))
     lists = lists.withColumn("more", F.array_except(take("tracked", limit - F.size("seen") - F.size("fresh")), F.concat("seen", "fresh")))
-    marked = [F.transform(c, lambda p, is_tracked=is_tracked: F.struct(p.alias("puuid"), F.lit(is_tracked).alias("tracked"))) for c, is_tracked in (("seen", True), ("fresh", False), ("more", True))]
-    return lists.select(F.posexplode(F.concat(*marked)).alias("pick", "p")).select((F.col("pick") + 1).alias("pick"), "p.puuid", "p.tracked")
+    marked = lambda c, tracked: F.transform(c, lambda p: F.struct(p.alias("puuid"), F.lit(tracked).alias("tracked")))
+    return lists.select(F.posexplode(F.concat(marked("seen", True), marked("fresh", False), marked("more", True))).alias("pick", "p")).select((F.col("pick") + 1).alias("pick"), "p.puuid", "p.tracked")
 
 
 def after_visits(queue: DataFrame, visits: DataFrame, now: Column) -> DataFrame:

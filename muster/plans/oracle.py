@@ -302,6 +302,8 @@ _BODIES = {
     "item_tiers": f"SELECT item_id, kind, games, round(score, 6) AS score FROM {_scores(_ADJUSTED, 'item_id, kind', 'kind', 'tier_placement', 'tier_top1', 'tier_top3')}",
     "rating_matches_packed": """SELECT match_id, string_agg(CAST(player_id AS VARCHAR), ',' ORDER BY player_id) AS players, string_agg(CAST(subteam_id AS VARCHAR), ',' ORDER BY player_id) AS subteams,
         string_agg(CAST(placement AS VARCHAR), ',' ORDER BY player_id) AS placements FROM clean GROUP BY 1""",
+    "rating_rows_incremental": """SELECT match_id, string_agg(CAST(player_id AS VARCHAR), ',' ORDER BY player_id) AS players, string_agg(CAST(subteam_id AS VARCHAR), ',' ORDER BY player_id) AS subteams,
+        string_agg(CAST(placement AS VARCHAR), ',' ORDER BY player_id) AS placements FROM clean GROUP BY 1""",
     "rating_entourage": """SELECT a.player_id, round(avg(r.mu) FILTER (b.subteam_id = a.subteam_id), 6) AS teammate_mu, round(avg(r.mu) FILTER (b.subteam_id <> a.subteam_id), 6) AS opponent_mu
         FROM clean a JOIN clean b ON a.match_id = b.match_id AND a.player_id <> b.player_id JOIN ratings r ON r.id = b.player_id GROUP BY 1""",
     "ladder_positions": """SELECT id AS player_id, games, round(mu, 6) AS mu, CAST(row_number() OVER (ORDER BY ratings.mu DESC, games DESC, id) AS INTEGER) AS rank_position FROM ratings WHERE games >= 5""",
@@ -366,21 +368,44 @@ _BODIES = {
         FROM p JOIN d ON d.match_id = p.match_id AND d.subteam_id = p.subteam_id""",
 }
 
+#: The queue of requests in order: a full window (two in half a day, five in five days) is waited for, and a wait beyond the limit is refused.
+_TURNS = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        r AS (
+            SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS times, CAST(NULL AS BIGINT) AS wait_us FROM e
+            UNION ALL
+            SELECT user_id, event_id, i, CASE WHEN ok THEN list_append(times, go)[-5:] ELSE times END, CASE WHEN ok THEN go - t END
+            FROM (SELECT *, coalesce(go <= turn + CAST(%(wait)s AS BIGINT), true) AS ok
+                  FROM (SELECT *, coalesce(greatest(CASE WHEN len(times) >= 2 AND turn < times[-2] + 43200000000 THEN times[-2] + 43200000000 END,
+                                                    CASE WHEN len(times) = 5 AND turn < times[1] + 432000000000 THEN times[1] + 432000000000 END) + 1000, turn) AS go
+                        FROM (SELECT e.*, r.times, greatest(e.t, coalesce(r.times[-1], e.t)) AS turn FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))))
+        SELECT event_id, user_id, wait_us FROM r WHERE i > 0"""
+
+_ADMITTED = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r AS (
+        SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS times, false AS admitted FROM e
+        UNION ALL
+        SELECT user_id, event_id, i, CASE WHEN ok THEN list_append(times, t)[-3:] ELSE times END, ok
+        FROM (SELECT e.*, r.times, len(r.times) < 3 OR r.times[1] <= e.t - 86400000000 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+    SELECT user_id, event_id, admitted FROM r WHERE i > 0"""
+
 _TABLES = {
     "queue_after_visits": _QUEUE % 25 + """ SELECT puuid, CAST(CASE WHEN k % 5 = 0 THEN 0 WHEN k % 5 = 1 THEN error_count + 1 ELSE error_count END AS INTEGER) AS error_count,
         CASE WHEN k % 5 < 2 THEN '2026-01-02 00:00:00' ELSE strftime(TIMESTAMP '2026-01-01 00:00:00' + to_seconds(last), '%Y-%m-%d %H:%M:%S') END AS last_crawled_at
         FROM (SELECT *, CAST(substr(puuid, 2) AS INTEGER) AS k FROM q)""",
-    "rate_limit_waits": """SELECT event_id, user_id, greatest(0, coalesce(epoch_us(lag(ts, 2) OVER w) + 43200000000 - epoch_us(ts), 0), coalesce(epoch_us(lag(ts, 5) OVER w) + 432000000000 - epoch_us(ts), 0)) AS wait_us
-        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
-    "timeline_item_order": _REPLAY,
-    "timeline_documents": _REPLAY,
-    "admission_control": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    "rate_limit_waits": _TURNS % {"wait": "NULL"},
+    "rate_limit_refusals": _TURNS % {"wait": "86400000000"},
+    "rate_limit_paced": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
         r AS (
-            SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS times, false AS admitted FROM e
+            SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS times, CAST(NULL AS BIGINT) AS t FROM e
             UNION ALL
-            SELECT user_id, event_id, i, CASE WHEN ok THEN list_append(times, t)[-3:] ELSE times END, ok
-            FROM (SELECT e.*, r.times, len(r.times) < 3 OR r.times[1] <= e.t - 86400000000 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
-        SELECT user_id, event_id, admitted FROM r WHERE i > 0""",
+            SELECT user_id, event_id, i, list_append(times, go)[-5:], t
+            FROM (SELECT e.*, r.times, greatest(e.t, coalesce(r.times[-1], 0), coalesce(r.times[-2], 0) + 43200001000, CASE WHEN len(r.times) = 5 THEN r.times[1] ELSE -432000001000 END + 432000001000) AS go
+                  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+        SELECT event_id, user_id, times[-1] - t AS wait_us FROM r WHERE i > 0""",
+    "timeline_item_order": _REPLAY,
+    "timeline_documents": _REPLAY,
+    "admission_control": _ADMITTED,
+    "admission_stream": _ADMITTED,
     "requested_players": _QUEUE % 25 + " SELECT puuid FROM req",
     "crawl_queue_pick": _QUEUE % 10 + """,
         due AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY last NULLS FIRST, seen DESC, puuid) AS n FROM q WHERE error_count < 5),
@@ -469,10 +494,16 @@ SELECT g.champion, CAST(g.slot AS INTEGER) AS slot, CAST(k AS INTEGER) AS choice
 FROM g JOIN bs ON bs.champion = g.champion AND bs.slot = g.slot, range(1, 4) t(k) WHERE k <= len(g.shown)"""
 
 
+#: Statistics that are SQL functions as well.
+_CALLED = ("champion_stats", "champion_rates", "champion_placement_counts", "augment_stats", "champion_augment_stats", "augment_timing", "comp_archetypes",
+           "patch_match_count", "patch_options", "site_totals", "leaderboard_top", "player_rank", "find_player")
+
+
 def oracle_sql() -> dict[str, str]:
     again = _BASE.replace("WITH o AS", "WITH RECURSIVE o AS", 1).rstrip()
     out = {"build_selection": again + _USABLE + _SELECTION, "tier_letters": again + _LETTERS, "rating_replay": f"{again}{_SEASON}\n{_REPLAYED}", "rating_ladder": f"{again}{_SEASON}\n{_LADDER}"}
     for name, body in _BODIES.items():
         base = _BASE.rstrip() + (_USABLE if "usable" in body else "") + (_ACQ_ANVIL if "acq_anvil" in body else "") + (_CHOSEN if "chosen" in body else "")
         out[name] = f"{base}{'' if body.startswith(',') else chr(10)}{body}"
-    return out | _TABLES
+    out |= _TABLES
+    return out | {f"sql_{name}": out[name] for name in _CALLED}

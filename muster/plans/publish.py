@@ -62,8 +62,8 @@ def publish(s: Season, store: SnapshotStore, min_matches: int = 5) -> list[str]:
         store.write(f"participants@{patch}", views.patch_rows(s, patch))
         rows = patch_participants(s, store, patch)
         pairs = combo_views(s, rows, patch)
-        if not store.is_fresh(f"combos@{patch}", COMBO_HOURS):
-            for key, df in pairs.items():
+        for key, df in pairs.items():
+            if not store.is_fresh(key, COMBO_HOURS):
                 store.write(key, df)
         own = f"champion_combos@{patch}"
         found = patch_views(s, rows, store.read(own, lambda: pairs[own]), patch)

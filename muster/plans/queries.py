@@ -16,9 +16,12 @@ from muster.functions.ladder import skill_bucket
 from muster.functions.arrays import canonical
 from muster.functions.patches import patch_of
 from muster.functions.text import folded, plain_text
-from muster.operators import anvil, archive as archiving, builds, champions, combos, comps, crawl, diff, items, lists, players, ratings, stats, views
+from muster.operators import anvil, archive as archiving, builds, champions, combos, comps, crawl, diff, items, limiter, lists, players, ratings, stats, views
+from muster.plans import sqlfunctions
 from muster.sources import documents
 from muster.sources.fixtures import OPENERS, Season, load
+from muster.sources.shared import new_folder
+from muster.streaming import ingest, ordered
 
 PATCH, BEFORE, OLD = "16.19", "16.18", ("16.8", "16.9")
 NOW = "2026-01-02 00:00:00"
@@ -639,9 +642,27 @@ def queue_after_visits(spark, sf_dir):
     return out.select("puuid", "error_count", stamp("last_crawled_at").alias("last_crawled_at"))
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+
+
+#: Two requests in half a day, five in five days.
+REQUEST_LIMITS = ((2, 43_200), (5, 432_000))
+
+
 @table_query
 def rate_limit_waits(spark, sf_dir):
-    return crawl.waits(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts"), ["user_id"], ((2, 43_200), (5, 432_000))).drop("ts")
+    return limiter.limited(requests(spark, sf_dir), "user_id", REQUEST_LIMITS)
+
+
+@table_query
+def rate_limit_refusals(spark, sf_dir):
+    return limiter.limited(requests(spark, sf_dir), "user_id", REQUEST_LIMITS, 86_400)
+
+
+@table_query
+def rate_limit_paced(spark, sf_dir):
+    return limiter.paced(requests(spark, sf_dir), "user_id", REQUEST_LIMITS).select("event_id", "user_id", (F.col("go") - F.col("t")).alias("wait_us"))
 
 
 @table_query
@@ -676,6 +697,31 @@ def admission_control(spark, sf_dir):
     return crawl.admitted(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", 3, 86_400)
 
 
+@table_query
+def admission_stream(spark, sf_dir):
+    """Events as a stream of files that each hold all times, and a last one that lets the watermark pass them."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    root = new_folder(spark, "admission")
+    events.repartition(3, "event_id").write.parquet(f"{root}/in")
+    closing = events.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), "ts")
+    closing.write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    out = ordered.admitted_stream(stream, 3, 86_400, "90 days")
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out").where("event_id >= 0")
+
+
+@query
+def rating_rows_incremental(s):
+    """Rating rows after four batches, which cut every match in three and come out of order, one of them twice."""
+    rows = s.participants.select("match_id", "patch", "game_creation", F.to_timestamp(F.lit(NOW)).alias("ingested_at"), "player_id", "subteam_id", "placement", "champion", "team_left")
+    store = ingest.RatingRows(rows.sparkSession, new_folder(rows.sparkSession, "rating"), 16, lambda r: r.where("NOT team_left"))
+    third = F.pmod(F.xxhash64("match_id", "player_id"), F.lit(3))
+    for k in (2, 0, 2, 1):
+        store.merge(rows.where(third == k), k)
+    return store.rows().select("match_id", *[joined(c).alias(c) for c in ("players", "subteams", "placements")])
+
+
 @table_query
 def sliding_rate_window(spark, sf_dir):
     return crawl.sliding_counts(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts"), ["user_id"], 86_400).drop("ts")
@@ -687,6 +733,26 @@ def accent_fold_search(spark, sf_dir):
     return docs.where(F.contains(folded(F.col("text")), F.lit("ecole")) | F.contains(folded(F.col("text")), F.lit("elle"))).groupBy("lang").agg(F.count(F.lit(1)).alias("documents"))
 
 
+#: Queries that call the SQL functions; each gives what the query of the same name without ``sql_`` gives.
+SQL_CALLS = {
+    "champion_stats": f"SELECT * FROM champion_stats('{PATCH}')",
+    "champion_rates": f"SELECT * FROM champion_rates('{PATCH}')",
+    "champion_placement_counts": f"SELECT champion, array_join(placement_counts, ',') AS placement_counts FROM champion_placement_counts('{PATCH}')",
+    "augment_stats": f"SELECT * FROM augment_stats('{PATCH}')",
+    "champion_augment_stats": f"SELECT * FROM champion_augment_stats('{PATCH}')",
+    "augment_timing": f"SELECT * FROM augment_timing('{PATCH}')",
+    "comp_archetypes": f"SELECT array_join(roles, ',') AS roles, * EXCEPT (roles) FROM comp_archetypes('{PATCH}', 5)",
+    "patch_match_count": f"SELECT * FROM patch_match_count('{PATCH}')",
+    "patch_options": "SELECT patch, matches, date_format(newest, 'yyyy-MM-dd HH:mm:ss') AS newest FROM patch_options()",
+    "site_totals": "SELECT * FROM site_totals()",
+    "leaderboard_top": "SELECT * FROM leaderboard_top(100)",
+    "player_rank": "SELECT * FROM player_rank('P0061')",
+    "find_player": "SELECT * FROM find_player('player 61#euw')",
+}
+for _name, _call in SQL_CALLS.items():
+    _QUERIES[f"sql_{_name}"] = lambda spark, sf_dir, call=_call: rounded(sqlfunctions.call(load(spark, sf_dir), call))
+
+
 @table_query
 def html_to_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", plain_text(F.col("html")).alias("text"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from muster.functions.arrays import ordered_by_first
 from muster.functions.ladder import ladder_tier, positions, skill_bucket
-from muster.sources.shared import exists, new_folder
+from muster.sources.shared import Versions, exists, new_folder
 
 PATCHES = ("16.8", "16.9", "16.18", "16.19")
 AFK_ITEMS = (220008, 220009, 220010, 220011)
@@ -69,8 +69,13 @@ def ref_champions(spark: SparkSession) -> DataFrame:
     return spark.range(48).select(F.when(F.col("id") % 2 == 0, F.lower(name)).otherwise(name).alias("id"), name.alias("name"), role.alias("role"))
 
 
-def derive(spark: SparkSession, sf_dir: str) -> Season:
-    """The season as lazy relations over the driver's tables."""
+def _patch(mn: str) -> F.Column:
+    """The patch of match number ``mn``: the season, up to ``last``, falls into equal parts."""
+    return F.element_at(F.array(*map(F.lit, PATCHES)), F.expr(f"1 + (({mn}) * 4) div (1 + last)").cast("int"))
+
+
+def derive(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> Season:
+    """The season as lazy relations over the driver's tables; participants of the patches ``only``, if given."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -80,12 +85,11 @@ def derive(spark: SparkSession, sf_dir: str) -> Season:
     )
     o = o.withColumn("subteam_id", F.expr("1 + ((slot * 5 + mn) % 18) div 3").cast("int"))
     last = o.agg(F.max("mn").alias("last"))
-    n = F.expr("1 + (mn * 4) div (1 + last)").cast("int")
     matches = (
         o.groupBy("mn").agg(F.min("o_orderdate").alias("game_creation"), F.count(F.lit(1)).alias("members")).crossJoin(F.broadcast(last))
         .select(
             F.concat(F.lit("M_"), F.lpad(F.col("mn").cast("string"), 6, "0")).alias("match_id"), "mn", "game_creation",
-            F.element_at(F.array(*map(F.lit, PATCHES)), n).alias("patch"), (F.col("members") == 18).alias("ingested"),
+            _patch("mn").alias("patch"), (F.col("members") == 18).alias("ingested"),
         )
         .withColumn("game_version", F.concat("patch", F.lit(".817.5716")))
     )
@@ -93,6 +97,8 @@ def derive(spark: SparkSession, sf_dir: str) -> Season:
     order = Window.partitionBy("mn").orderBy(F.desc("cents"), "subteam_id")
     teams = teams.select("mn", "subteam_id", F.row_number().over(order).alias("placement"))
 
+    if only is not None:
+        lines = lines.crossJoin(F.broadcast(last)).where(_patch("l_orderkey div 18").isin(only))
     got = lines.groupBy("l_orderkey").agg(
         F.collect_list(F.struct((F.col("l_partkey") % 60 + 1000).cast("int").alias("item"), F.col("l_shipdate").alias("shipped"),
                                 (F.col("l_suppkey") % 30 + 1).cast("int").alias("augment"),
@@ -102,7 +108,8 @@ def derive(spark: SparkSession, sf_dir: str) -> Season:
     bought = F.filter("ls", lambda x: ~x["item"].between(1004, 1018))
     items = F.array_sort(F.array_distinct(F.coalesce(F.transform("ls", lambda x: x["item"]), F.array().cast("array<int>"))))
     part = o.join(teams, ["mn", "subteam_id"]).join(matches, "mn").where("ingested")
-    participants = part.join(got, key == F.col("l_orderkey"), "left").select(
+    chosen = part if only is None else part.where(F.col("patch").isin(only))
+    participants = chosen.join(got, key == F.col("l_orderkey"), "left").select(
         "match_id", "patch", "game_creation", (F.col("slot") * 20 + cust % 20).cast("int").alias("player_id"), "subteam_id", "placement",
         F.concat(F.lit("C"), F.lpad(((cust + 7 * (key % 11)) % 48).cast("string"), 2, "0")).alias("champion"),
         F.when(key % 211 == 0, F.concat(items, F.array(F.lit(AFK_ITEMS[0])))).otherwise(items).alias("items"),
@@ -131,8 +138,8 @@ def with_skill(participants: DataFrame, ratings: DataFrame) -> DataFrame:
     return rows.withColumn("team_left", F.coalesce(F.max(gone).over(Window.partitionBy("match_id", "subteam_id")), F.lit(False)))
 
 
-#: Where seasons have been written: (application, folder, its files' times) -> folder.
-_written: dict[tuple, str] = {}
+#: Seasons that have been written: (application, folder) -> (its files' times, where, the relations).
+_written: dict[tuple[str, str], tuple[tuple, str, Season]] = {}
 
 
 def _times(spark: SparkSession, sf_dir: str) -> tuple:
@@ -145,30 +152,90 @@ def _times(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(out)
 
 
-def refresh(spark: SparkSession, sf_dir: str) -> str:
-    """Derives the season of ``sf_dir`` and writes it to a new shared folder."""
-    root = new_folder(spark, "season")
+def fingerprints(spark: SparkSession, sf_dir: str, ratings: DataFrame) -> DataFrame:
+    """patch, print: what the participations of each patch depend on, as sums of row hashes.
+
+    That is the rows of orders and line items whose keys fall into the patch, and the
+    skill of its players; each is one scan with a partial sum, joined with nothing but ratings.
+    """
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem"))
+    last = F.broadcast(orders.agg(F.max(F.expr("o_orderkey div 18")).alias("last")))  # one row
+    of = lambda key: _patch(f"{key} div 18").alias("patch")
+    skill = ratings.select("id", skill_bucket(F.col("tier")).alias("skill"))
+    player = ((F.col("o_orderkey") % 18) * 20 + F.col("o_custkey") % 20).alias("id")
+    parts = [
+        orders.crossJoin(last).select(of("o_orderkey"), F.xxhash64("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").alias("h")),
+        lines.crossJoin(last).select(of("l_orderkey"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("h")),
+        orders.crossJoin(last).select(of("o_orderkey"), player).distinct().join(skill, "id").select("patch", F.xxhash64("id", "skill").alias("h")),
+    ]
+    sums = [p.groupBy("patch").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(k)) for k, p in enumerate(parts)]
+    every = sums[0].unionByName(sums[1]).unionByName(sums[2]).where("patch IS NOT NULL")
+    return every.groupBy("patch").agg(F.xxhash64(F.to_json(F.array_sort(F.collect_list(F.struct("part", "n", F.col("h").cast("string").alias("h")))))).alias("print"))
+
+
+_MANIFEST = "name string, patch string, print long, version int"
+
+
+def refresh(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
+    """Derives the season of ``sf_dir`` into a new shared folder, or what has changed of it since it
+    was written to ``root``.
+
+    Players, ratings and matches are small and written anew; participations of those
+    patches only whose fingerprint is another.  Everything goes to folders of this
+    version, and a manifest, a few rows that are written last, says which version of
+    each part is the current one.  So readers see the season before or after, and those
+    of the version before read on.
+    """
+    root = root or new_folder(spark, "season")
+    manifests = Versions(spark, root)
+    before = manifest(spark, root)
+    version = 1 + max((r["version"] for r in before), default=0)
     s = derive(spark, sf_dir)
     for name in ("players", "ratings", "matches"):
-        getattr(s, name).write.parquet(f"{root}/{name}")
-    ratings = spark.read.parquet(f"{root}/ratings")
-    rows = with_skill(s.participants, ratings)
-    # stretches of match ids of one patch to a file
-    rows.repartitionByRange("patch", "match_id").write.partitionBy("patch").parquet(f"{root}/participants")
-    _written[spark.sparkContext.applicationId, sf_dir, _times(spark, sf_dir)] = root
+        getattr(s, name).write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
+    ratings = spark.read.schema(SCHEMAS["ratings"]).parquet(f"{root}/ratings/version={version}")
+    now = fingerprints(spark, sf_dir, ratings).collect()  # a row for each patch
+    old = {r["patch"]: r for r in before if r["name"] == "participants"}
+    changed = [r["patch"] for r in now if r["patch"] not in old or old[r["patch"]]["print"] != r["print"]]
+    if changed:
+        rows = with_skill((s if len(changed) == len(now) else derive(spark, sf_dir, changed)).participants, ratings)
+        # stretches of match ids of one patch to a file
+        rows.repartitionByRange("patch", "match_id").withColumn("version", F.lit(version)).write.mode("append").partitionBy("patch", "version").parquet(f"{root}/participants")
+    entries = [("participants", r["patch"], r["print"], version if r["patch"] in changed else old[r["patch"]]["version"]) for r in now]
+    entries += [(name, None, None, version) for name in ("players", "ratings", "matches")]
+    manifests.write("manifest", spark.createDataFrame(entries, _MANIFEST).coalesce(1))
+    _written[spark.sparkContext.applicationId, sf_dir] = (_times(spark, sf_dir), root, opened(spark, root))
     return root
 
 
-def load(spark: SparkSession, sf_dir: str) -> Season:
-    """The written season of ``sf_dir``; it is derived first unless this application has done so since the tables changed."""
-    key = (spark.sparkContext.applicationId, sf_dir, _times(spark, sf_dir))
-    root = _written.get(key)
-    if root is None or not exists(spark, f"{root}/participants/_SUCCESS"):
-        root = refresh(spark, sf_dir)
-    read = {n: spark.read.schema(SCHEMAS[n]).parquet(f"{root}/{n}") for n in SCHEMAS}
+def manifest(spark: SparkSession, root: str) -> list:
+    """Which version of each part of the season at ``root`` is the current one."""
+    found = Versions(spark, root).read("manifest")
+    return found.collect() if found is not None else []  # a row for each patch and relation
+
+
+def opened(spark: SparkSession, root: str) -> Season:
+    """The current version of the season at ``root``."""
+    parts, read = manifest(spark, root), {}
+    for name in SCHEMAS:
+        folders = [f"{root}/{name}/" + (f"patch={r['patch']}/" if r["patch"] else "") + f"version={r['version']}" for r in parts if r["name"] == name]
+        found = [f for f in folders if exists(spark, f)]  # a patch of incomplete matches only has none
+        rows = spark.read.schema(SCHEMAS[name]).option("basePath", f"{root}/{name}").parquet(*found) if found else spark.createDataFrame([], SCHEMAS[name])
+        read[name] = rows.drop("version")
     return Season(**read, ref_items=ref_items(spark), ref_augments=ref_augments(spark), ref_champions=ref_champions(spark))
 
 
+def load(spark: SparkSession, sf_dir: str) -> Season:
+    """The written season of ``sf_dir``; it is brought up to date first if the tables have changed since."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    times, root, _ = _written.get(key, (None, None, None))
+    if root is None or not exists(spark, f"{root}/manifest"):
+        refresh(spark, sf_dir)
+    elif times != _times(spark, sf_dir):
+        refresh(spark, sf_dir, root)
+    return _written[key][2]
+
+
 #: Columns of the written relations.
 SCHEMAS = {
     "matches": "match_id string, mn long, game_creation timestamp_ntz, patch string, ingested boolean, game_version string",

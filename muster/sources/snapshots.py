@@ -7,47 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muster.sources.shared import Versions
+
 
 class SnapshotStore:
-    """Views by key such as ``champions`` or ``champions@16.19``."""
+    """Views by key such as ``champions`` or ``champions@16.19``, in versions: readers see a
+    whole view at any time, and go on reading one that is replaced meanwhile."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        self.spark, self.versions = spark, Versions(spark, path, keep)
 
-    def _folder(self, key: str) -> str:
+    @staticmethod
+    def _folder(key: str) -> str:
         view, _, patch = key.partition("@")
-        return f"{self.path}/view={view}/patch={patch or 'none'}"
+        return f"view={view}/patch={patch or 'none'}"
 
     def write(self, key: str, df: DataFrame) -> None:
         """Replaces the view; it also notes when it was computed."""
-        df.withColumn("computed_at", F.current_timestamp()).write.mode("overwrite").parquet(self._folder(key))
+        self.versions.write(self._folder(key), df.withColumn("computed_at", F.current_timestamp()))
 
     def has(self, key: str) -> bool:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder(key)}/_SUCCESS")
-        return fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path)
+        return self.versions.current(self._folder(key)) is not None
 
     def read(self, key: str, compute: Callable[[], DataFrame]) -> DataFrame:
         """The stored view, or what ``compute`` gives where there is none."""
-        return self.spark.read.parquet(self._folder(key)).drop("computed_at") if self.has(key) else compute()
+        found = self.versions.read(self._folder(key))
+        return found.drop("computed_at") if found is not None else compute()
 
     def is_fresh(self, key: str, hours: float) -> bool:
         """Whether the view was computed less than ``hours`` ago."""
-        if not self.has(key):
+        found = self.versions.read(self._folder(key))
+        if found is None:
             return False
-        age = self.spark.read.parquet(self._folder(key)).agg((F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.max("computed_at"))).alias("s")).first()["s"]
+        age = found.agg((F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.max("computed_at"))).alias("s")).first()["s"]
         return age is not None and age < hours * 3600
 
     def prune(self, keep: set[str]) -> list[str]:
         """Deletes views whose key is not in ``keep``; gives their keys."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         gone = []
-        for view in fs.listStatus(root):
-            for patch in fs.listStatus(view.getPath()):
-                name, p = view.getPath().getName().split("=", 1)[1], patch.getPath().getName().split("=", 1)[1]
+        for view in self.versions.names(self.versions.path):
+            for patch in self.versions.names(f"{self.versions.path}/{view}"):
+                name, p = view.split("=", 1)[1], patch.split("=", 1)[1]
                 key = name if p == "none" else f"{name}@{p}"
                 if key not in keep:
-                    fs.delete(patch.getPath(), True)
+                    self.versions.drop(f"{view}/{patch}")
                     gone.append(key)
         return gone
 
