@@ -47,13 +47,16 @@ from muster.llm.store import small_batches, stored
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 #: Parts in each of the two generations that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 100_000, 64
+#: New parts that are aligned at once.
+TOGETHER = 4096
 #: Pairs of ids that are broadcast: those that more than one in so many of all rows of pairs hold, so fewer than that.
 HOT = 1 << 17
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Labels of a byte: tokens of A and of B that end after it.
-_END_A, _END_B = 1, 2
-_GROUP = re.compile(rb"[\x00-\x02]*\x03")
-_B_BITS = 32
+END_A, END_B = 1, 2
+#: A group: up to the next byte after which both end.
+GROUP = re.compile(rb"[\x00-\x02]*\x03")
+B_BITS = 32
 
 
 def _byte_letters() -> dict[str, int]:
@@ -63,13 +66,21 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def _names(n: int, end: str) -> np.ndarray:
+    return np.array([f"{i}{end}" for i in range(n)], object)
+
+
 class Aligner:
-    """Tokens of parts of texts by both tokenizers, their groups and links; lately used parts are remembered."""
+    """Tokens of parts of texts by both tokenizers, their groups and links; lately used parts are remembered.
+
+    What is known of a part is (tokens of A, groups as text, links as bytes of 64-bit
+    integers a << 32 | b), or None where tokens do not spell the part.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         self.a = Tokenizer.from_file(path_a)
-        if "ByteLevel" not in repr(self.a.pre_tokenizer):
-            raise ValueError(f"{path_a} has no byte-level pre-tokenizer, for which the places of cuts are proven")
+        if self.a.normalizer is not None or "ByteLevel" not in repr(self.a.pre_tokenizer):
+            raise ValueError(f"{path_a} is no plain byte-level tokenizer, for which the places of cuts are proven")
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
@@ -80,58 +91,79 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError(f"{path_b} has pieces with a space after another character, for which the places of cuts are not proven")
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.bytes_b = dict(enumerate(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)))
+        most = 1 + max(self.bytes_a)
+        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(most)])
+        self.size_b = np.array([len(self.bytes_b[i]) for i in range(len(pieces))])
+        # ids as they are written inside a group, at the end of its tokens of A, of the group, and of the part
+        self.names_a = {end: _names(most, end) for end in ",|"}
+        self.names_b = {end: _names(len(pieces), end) for end in ",;\n"}
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
 
     def learn(self, texts: list[list[str]]) -> None:
         """Aligns the parts of ``texts`` that are not remembered."""
         young, old, fresh = self.young, self.old, []
         for p in set().union(*texts):
             if p not in young:
-                if (known := old.get(p)) is not None:
-                    young[p] = known
+                if p in old:
+                    young[p] = old[p]
                 else:
                     fresh.append(p)
-        for k in range(0, len(fresh), 1024):
-            part = fresh[k : k + 1024]
-            of_a = [e.ids for e in self.a.encode_batch(part, add_special_tokens=False)]
-            of_b = self.b.encode([p[1:] for p in part], num_threads=1)
-            young.update(zip(part, map(self.aligned, part, of_a, of_b)))
+        # a part at the end of a text may end in white space, where the next one is not proven to start a token
+        inner = [p for p in fresh if not p[-1].isspace()]
+        for k in range(0, len(inner), TOGETHER):
+            self._learn(inner[k : k + TOGETHER])
+        for p in fresh:
+            if p[-1].isspace():
+                self._learn([p])
+
+    def _learn(self, parts: list[str]) -> None:
+        """Aligns ``parts`` as one text; if its tokens do not spell it, in halves."""
+        found = self.aligned(parts)
+        if found is not None:
+            self.young.update(zip(parts, found))
+        elif len(parts) == 1:
+            self.young[parts[0]] = None
+        else:
+            half = len(parts) // 2
+            self._learn(parts[:half])
+            self._learn(parts[half:])
 
     def forget(self) -> None:
         if len(self.young) > REMEMBERED:
             self.old, self.young = {p: x for p, x in self.young.items() if len(p) <= LONGEST}, {}
 
-    def aligned(self, part: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, list[int]] | None:
-        """Tokens of A, of B, groups, the groups as text, and links as a << 32 | b; None where tokens do not spell the part."""
-        raw = part.encode()
-        words_a, words_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(words_a) != raw or b"".join(words_b) != raw:
+    def aligned(self, parts: list[str]) -> list[tuple[int, str, bytes]] | None:
+        """What is to be known of each of ``parts``, which make up one text; None if its tokens do not spell it."""
+        text = "".join(parts)
+        a, b = np.array(self.a.encode(text, add_special_tokens=False).ids), np.array(self.b.encode(text[1:], num_threads=1))
+        raw = text.encode()
+        if not len(b) or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != raw:
             return None
-        labels = label_string(len(raw), words_a, words_b)
-        groups, links, i, j = [], [], 0, 0
-        for m in _GROUP.finditer(labels):
-            ends = m.group().replace(b"\x00", b"")
-            both = ends.count(_END_A), ends.count(_END_B)
-            ni, nj = i + both[0] + 1, j + both[1] + 1
-            groups.append(f"{','.join(map(str, a[i:ni]))}|{','.join(map(str, b[j:nj]))}")
-            for end in ends:  # after an end, the next token of that side meets the other side's current one
-                links.append(a[i] << _B_BITS | b[j])
-                i += end & _END_A
-                j += end >> 1
-        return len(a), len(b), len(groups), ";".join(groups), links
-
-
-def label_string(n: int, words_a: list[bytes], words_b: list[bytes]) -> bytes:
-    """For each of ``n`` bytes 0, or 1 if a token of A ends after it, 2 if one of B does, 3 if both do."""
-    labels = bytearray(n)
-    for words, label in ((words_a, _END_A), (words_b, _END_B)):
-        at = -1
-        for w in words:
-            at += len(w)
-            labels[at] |= label
-    return bytes(labels)
+        end_a, end_b = np.cumsum(self.size_a[a]) - 1, np.cumsum(self.size_b[b]) - 1
+        part_end = np.cumsum([len(p.encode()) for p in parts]) - 1
+        labels = np.zeros(len(raw), np.uint8)
+        labels[end_a] = END_A
+        labels[end_b] |= END_B
+        group_end = np.array([m.end() for m in GROUP.finditer(labels.tobytes())]) - 1
+        # after each end the token of that side is over: pairs are those of the tokens that end there or go on
+        ends = np.flatnonzero(labels)
+        seen_a, seen_b = (np.cumsum((labels[ends] & side) > 0) - ((labels[ends] & side) > 0) for side in (END_A, END_B))
+        links = ((a[seen_a] << B_BITS) | b[seen_b]).tobytes()
+        link_cut = np.searchsorted(ends, part_end, "right") * 8
+        token_cut = np.searchsorted(end_a, part_end, "right")
+        # ids in the order of groups, those of A first in each
+        of_a, of_b = np.searchsorted(group_end, end_a), np.searchsorted(group_end, end_b)
+        last_b, closes = group_end[of_b] == end_b, np.isin(end_b, part_end)
+        written = np.concatenate([
+            np.where(group_end[of_a] == end_a, self.names_a["|"][a], self.names_a[","][a]),
+            np.where(closes, self.names_b["\n"][b], np.where(last_b, self.names_b[";"][b], self.names_b[","][b])),
+        ])
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        groups = "".join(written[order].tolist()).split("\n")
+        counts, cuts = np.diff(token_cut, prepend=0).tolist(), [0, *link_cut.tolist()]
+        return [(n, g, links[x:y]) for n, g, x, y in zip(counts, groups, cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -159,24 +191,26 @@ def aligned(text: Column, path_a: str, path_b: str) -> Column:
                 aligner.learn(texts)
                 for parts in texts:
                     found = list(map(aligner.young.__getitem__, parts))
-                    out.append(_joined(found) if None not in found else _joined([]))
+                    out.append(joined(found) if None not in found else joined([]))
                 aligner.forget()
-            counts, groups, pairs, times = [np.array(x, np.int64) for x in zip(*(x[0] for x in out))], *([x[k] for x in out] for k in (1, 2, 3))
-            if not out:
-                counts = [np.zeros(0, np.int64)] * 4
+            counts, groups, pairs, times = ([x[k] for x in out] for k in range(4))
             ends = pa.array(np.cumsum([0, *map(len, pairs)], dtype=np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t))) for x, t in ((pairs, np.int64), (times, np.int32))]
-            yield pa.StructArray.from_arrays([*map(pa.array, counts), pa.array(groups, pa.string()), *lists], ["n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
+            columns = np.array(counts, np.int64).reshape(-1, 4).T
+            yield pa.StructArray.from_arrays([*map(pa.array, np.ascontiguousarray(columns)), pa.array(groups, pa.string()), *lists],
+                                             ["n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
     return align(text)
 
 
-def _joined(parts: list[tuple]) -> tuple[tuple, str, np.ndarray, np.ndarray]:
+def joined(parts: list[tuple[int, str, bytes]]) -> tuple[tuple, str, np.ndarray, np.ndarray]:
+    """Numbers of tokens, groups and links, the groups as text, distinct links and how often they stand, of a text's parts."""
     if not parts:
         return (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b, n, groups, links = zip(*parts)
-    every = np.array([x for link in links for x in link], np.int64)
-    return (sum(a), sum(b), sum(n), len(every)), ";".join(groups), *np.unique(every, return_counts=True)
+    tokens, groups, links = zip(*parts)
+    text, every = ";".join(groups), np.frombuffer(b"".join(links), np.int64)
+    n_a, n_groups = sum(tokens), text.count(";") + 1
+    return (n_a, len(every) + n_groups - n_a, n_groups, len(every)), text, *np.unique(every, return_counts=True)
 
 
 def with_alignment(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -190,7 +224,7 @@ def with_alignment(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 def pair_counts(found: DataFrame) -> DataFrame:
     """pair, n (rows that hold it), best (whether no pair of the same id of A has more) of rows with ``pairs``."""
     counts = found.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    most = F.max("n").over(Window.partitionBy(F.shiftright("pair", _B_BITS)))  # an id of A meets B's vocabulary at most
+    most = F.max("n").over(Window.partitionBy(F.shiftright("pair", B_BITS)))  # an id of A meets B's vocabulary at most
     return counts.select("pair", "n", (F.col("n") == most).alias("best"))
 
 
