@@ -84,3 +84,21 @@ def test_tables_that_are_not_files(spark, monkeypatch):
     assert quality.keep_good(docs.repartition(3)).count() == 300 and as_table(docs).count() == 300
     kept = jaccard.one_of_each(docs.repartition(4))
     assert kept.count() == kept.select("text").distinct().count() <= 250
+
+
+def test_row_ids_need_no_join(spark, moving, monkeypatch):
+    from muster.llm import store
+
+    monkeypatch.setattr(store, "SMALL", 0)
+    plan = with_row_id(moving, "row")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_row_ids_where_every_hash_clashes(spark, moving, monkeypatch):
+    from muster.llm import store
+
+    monkeypatch.setattr(store, "SEEDS", 0)
+    for small in (0, 200_000):
+        monkeypatch.setattr(store, "SMALL", small)
+        rows = with_row_id(moving, "row").select("row").collect()
+        assert len({r["row"] for r in rows}) == len(rows) == 240
