@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.operators.pieces import with_pieces
+from muster.operators.surrogate import numbered
+from muster.sources.shared import written
 
 
 def is_build_item(item: Column, excluded: tuple[int, ...] = ()) -> Column:
@@ -44,6 +46,34 @@ def patch_windows(dated: DataFrame) -> DataFrame:
     return starts.withColumn("ends_at", F.lead("starts_at").over(Window.orderBy("starts_at")))  # a row for each patch
 
 
+def patch_boundaries(matches: DataFrame, targets: list[str], by: str = "game_creation") -> DataFrame:
+    """patch, position, starts_at, previous_at, minutes: where each of ``targets`` begins among ``matches``
+    (match_id, game_creation, patch; patch null where it is not known) in order of time.
+
+    Each boundary is the first match of the target or a later patch by bisection, where a
+    match of unknown patch counts as before.  All boundaries are searched at once: matches
+    are numbered in order of time and stored sorted, so a round is one read of as many rows
+    as there are targets, and there are as many rounds as the number of matches has bits.
+    """
+    spark = matches.sparkSession
+    placed = numbered(matches.select(F.struct(by, "match_id").alias("at"), "patch"), "at", "i")
+    placed = written(placed.select("i", f"at.{by}", "patch").repartitionByRange("i").sortWithinPartitions("i"), "timeline")
+    n = placed.count()
+    key = lambda patch: tuple(map(int, patch.split(".")))
+    reach = {t: (0, n) for t in targets}
+    while open_ := {t: (lo + hi) // 2 for t, (lo, hi) in reach.items() if lo < hi}:
+        seen = {r["i"]: r["patch"] for r in placed.where(F.col("i").isin(sorted(set(open_.values())))).collect()}  # a row for each target
+        for t, mid in open_.items():
+            lo, hi = reach[t]
+            reach[t] = (lo, mid) if seen[mid] is not None and key(seen[mid]) >= key(t) else (mid + 1, hi)
+    found = spark.createDataFrame([(t, lo) for t, (lo, _) in reach.items() if lo < n], "patch string, position long")
+    at = placed.select("i", F.col(by).alias("at")).where(F.col("i").isin(sorted({p for lo, _ in reach.values() for p in (lo, lo - 1)})))
+    out = found.join(F.broadcast(at.select(F.col("i").alias("position"), F.col("at").alias("starts_at"))), "position")
+    before = at.select((F.col("i") + 1).alias("position"), F.col("at").alias("previous_at"))
+    minutes = F.round((F.unix_micros(F.col("starts_at").cast("timestamp")) - F.unix_micros(F.col("previous_at").cast("timestamp"))) / 60_000_000).cast("long")
+    return out.join(F.broadcast(before), "position", "left").select("patch", "position", "starts_at", "previous_at", minutes.alias("minutes"))
+
+
 def deduce_patches(undated: DataFrame, windows: DataFrame) -> DataFrame:
     """``undated`` with the patch whose window holds its game_creation; null before the first.
 

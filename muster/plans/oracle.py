@@ -329,9 +329,14 @@ _BODIES = {
     "patch_interval_join": """, w AS (SELECT patch, min(game_creation) AS s FROM matches WHERE mn % 3 <> 0 GROUP BY 1)
         SELECT match_id, (SELECT max_by(w.patch, struct_pack(s := w.s, p := w.patch)) FROM w WHERE w.s <= m.game_creation) AS patch_deduced FROM matches m WHERE mn % 3 = 0""",
     "new_match_ids": "SELECT match_id FROM matches WHERE NOT (ingested AND mn % 2 = 0)",
-    "refdata_canonical_items": "SELECT id, base_id, category FROM ref_items",
-    "entity_search": """SELECT * FROM (SELECT 'champion' AS kind, 'C' || lpad(CAST(n AS VARCHAR), 2, '0') AS name FROM range(48) t(n) UNION SELECT 'item', name FROM ref_items
-        UNION SELECT 'augment', 'Augment ' || n FROM range(1, 31) t(n)) WHERE contains(lower(name), 'm 1') ORDER BY kind, name LIMIT 8""",
+    "refdata_canonical_items": """, h AS (SELECT id, count(*) AS held FROM (SELECT unnest(items) AS id FROM cur) GROUP BY 1)
+        SELECT h.id, coalesce(base_id, h.id) AS base_id, category, held FROM h LEFT JOIN ref_items r ON r.id = h.id""",
+    "point_lookup": "SELECT p.puuid, c.match_id, c.champion, c.placement FROM players p JOIN clean c ON c.player_id = p.id WHERE lower(p.riot_id) = 'player 61#euw' AND p.id = 61",
+    "surrogate_ids": """, l AS (SELECT player_id, CAST(substr(match_id, 3) AS INTEGER) AS mn FROM part),
+        f AS (SELECT 'P' || lpad(CAST(player_id AS VARCHAR), 4, '0') AS puuid, CAST(min(CASE WHEN mn % 40 = 0 THEN 0 WHEN mn % 4 = 0 THEN 1 ELSE 2 END) AS INTEGER) AS load FROM l GROUP BY player_id)
+        SELECT puuid, row_number() OVER (ORDER BY load, puuid) - 1 AS id, load FROM f""",
+    "match_persist": """SELECT 'P' || lpad(CAST(player_id AS VARCHAR), 4, '0') AS puuid, CASE WHEN player_id % 4 <> 0 THEN 'n' || player_id || '#' || max_by(patch, struct_pack(a := game_creation, b := match_id)) END AS riot_id,
+        count(*) AS games, CAST(sum(placement) AS BIGINT) AS placement_sum FROM part WHERE CAST(substr(match_id, 3) AS INTEGER) % 9 <> 4 GROUP BY player_id""",
     "ladder_tiers": """, r AS (SELECT id, row_number() OVER (ORDER BY mu DESC, games DESC, id) AS pos, count(*) OVER () AS size FROM ratings WHERE games >= 5),
         b AS (SELECT *, least(10, greatest(1, floor(size * 0.01 + 0.5))) AS c, least(15, greatest(1, floor(size * 0.015 + 0.5))) AS g, greatest(1, floor(size * 0.01 + 0.5)) AS m FROM r)
         SELECT CASE WHEN pos <= c THEN 'Challenger' WHEN pos <= c + g THEN 'Grandmaster' WHEN pos <= c + g + m THEN 'Master'
@@ -405,6 +410,15 @@ _TABLES = {
     "timeline_item_order": _REPLAY,
     "timeline_documents": _REPLAY,
     "admission_control": _ADMITTED,
+    "entity_search": """SELECT DISTINCT kind, name FROM (SELECT 'part' AS kind, p_name AS name FROM part UNION ALL SELECT 'customer', c_name FROM customer)
+        WHERE contains(lower(name), '01') ORDER BY kind DESC, name LIMIT 8""",
+    "name_index_search": r"""WITH n AS (
+            SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Élan' || substr(c_name, 9) WHEN 1 THEN '50% ' || c_name WHEN 2 THEN 'a_' || c_name WHEN 3 THEN 'b\' || c_name ELSE 'ÉN ' || c_name END AS name
+            FROM customer),
+        s AS (SELECT unnest(['ELAN#0000001', '0% c', '_c', '\', 'é', 'mer#00000013', 'no such name', 'én', '1']) AS sought)
+        SELECT sought, c_custkey, name FROM s JOIN n ON length(sought) > 1 AND contains(lower(name), lower(sought))""",
+    "history_pages": """SELECT CAST(o_custkey % 16 AS INTEGER) AS list, count(*) AS read, max('M_' || o_orderkey) AS read_last, CAST(sum(epoch(o_orderdate)) AS BIGINT) AS read_sum,
+        count(*) AS streamed, max('M_' || o_orderkey) AS streamed_last, CAST(sum(epoch(o_orderdate)) AS BIGINT) AS streamed_sum FROM orders GROUP BY 1""",
     "admission_stream": _ADMITTED,
     "requested_players": _QUEUE % 25 + " SELECT puuid FROM req",
     "crawl_queue_pick": _QUEUE % 10 + """,
@@ -499,9 +513,23 @@ _CALLED = ("champion_stats", "champion_rates", "champion_placement_counts", "aug
            "patch_match_count", "patch_options", "site_totals", "leaderboard_top", "player_rank", "find_player")
 
 
+#: Bisection of all boundaries: an unknown version counts as before.
+_BISECTED = """,
+m AS (SELECT row_number() OVER (ORDER BY mn) - 1 AS i, mn, CASE WHEN mn % 3 <> 1 THEN patch END AS patch FROM matches),
+k AS (SELECT *, TIMESTAMP '2026-01-01 00:00:00' + to_minutes(CAST(7 * mn AS BIGINT)) AS at, coalesce(CAST(split_part(patch, '.', 1) AS INTEGER) * 1000 + CAST(split_part(patch, '.', 2) AS INTEGER), 0) AS p FROM m),
+b AS (
+    SELECT target, CAST(16000 + minor AS BIGINT) AS want, CAST(0 AS BIGINT) AS lo, (SELECT count(*) FROM k) AS hi FROM (VALUES ('16.9', 9), ('16.18', 18), ('16.19', 19), ('16.20', 20)) t(target, minor)
+    UNION ALL
+    SELECT target, want, CASE WHEN k.p >= want THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN k.p >= want THEN (lo + hi) // 2 ELSE hi END
+    FROM b JOIN k ON k.i = (lo + hi) // 2 WHERE lo < hi)
+SELECT target AS patch, lo AS position, strftime(x.at, '%Y-%m-%d %H:%M:%S') AS starts_at, strftime(y.at, '%Y-%m-%d %H:%M:%S') AS previous_at, CAST(round(epoch(x.at - y.at) / 60) AS BIGINT) AS minutes
+FROM b JOIN k x ON x.i = lo LEFT JOIN k y ON y.i = lo - 1 WHERE lo = hi"""
+
+
 def oracle_sql() -> dict[str, str]:
     again = _BASE.replace("WITH o AS", "WITH RECURSIVE o AS", 1).rstrip()
-    out = {"build_selection": again + _USABLE + _SELECTION, "tier_letters": again + _LETTERS, "rating_replay": f"{again}{_SEASON}\n{_REPLAYED}", "rating_ladder": f"{again}{_SEASON}\n{_LADDER}"}
+    out = {"build_selection": again + _USABLE + _SELECTION, "tier_letters": again + _LETTERS, "rating_replay": f"{again}{_SEASON}\n{_REPLAYED}", "rating_ladder": f"{again}{_SEASON}\n{_LADDER}",
+           "patch_boundary_search": again + _BISECTED}
     for name, body in _BODIES.items():
         base = _BASE.rstrip() + (_USABLE if "usable" in body else "") + (_ACQ_ANVIL if "acq_anvil" in body else "") + (_CHOSEN if "chosen" in body else "")
         out[name] = f"{base}{'' if body.startswith(',') else chr(10)}{body}"

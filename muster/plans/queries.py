@@ -6,8 +6,11 @@ Doubles are rounded to six places: engines add in different orders.
 from __future__ import annotations
 
 import datetime
+import functools
 from collections.abc import Callable
 
+from pyarrow import fs
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +19,12 @@ from muster.functions.ladder import skill_bucket
 from muster.functions.arrays import canonical
 from muster.functions.patches import patch_of
 from muster.functions.text import folded, plain_text
-from muster.operators import anvil, archive as archiving, builds, champions, combos, comps, crawl, diff, items, limiter, lists, players, ratings, stats, views
+from muster.operators import anvil, archive as archiving, builds, champions, combos, comps, crawl, diff, items, limiter, lists, players, ratings, stats, surrogate, views
 from muster.plans import sqlfunctions
-from muster.sources import documents
+from muster.sources import documents, lookup, paged
 from muster.sources.fixtures import OPENERS, Season, load
 from muster.sources.shared import new_folder
-from muster.streaming import ingest, ordered
+from muster.streaming import ingest, ordered, persist
 
 PATCH, BEFORE, OLD = "16.19", "16.18", ("16.8", "16.9")
 NOW = "2026-01-02 00:00:00"
@@ -519,14 +522,116 @@ def new_match_ids(s):
 
 @query
 def refdata_canonical_items(s):
-    return s.ref_items.select("id", F.coalesce("canonical_id", "id").alias("base_id"), "category")
+    """Games of each item that was held, under its base form and with its category."""
+    held = current(s).select(F.explode("items").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("held"))
+    return held.join(F.broadcast(s.ref_items), "id", "left").select("id", F.coalesce("canonical_id", "id").alias("base_id"), "category", "held")  # a dimension
+
+
+@table_query
+def entity_search(spark, sf_dir):
+    """The first names of parts and customers that contain a text, parts first."""
+    read = lambda t, c: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.lit(t).alias("kind"), F.col(c).alias("name"))
+    every = read("part", "p_name").unionByName(read("customer", "c_name"))
+    return every.where(F.contains(folded(F.col("name")), F.lit("01"))).distinct().orderBy(F.col("kind").desc(), "name").limit(8)
+
+
+#: Searches over names with accents, signs that are wildcards elsewhere, and two letters.
+SEARCHES = ("ELAN#0000001", "0% c", "_c", "\\", "é", "mer#00000013", "no such name", "én", "1")
+
+
+def odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    before = F.element_at(F.array(*map(F.lit, ("Élan", "50% ", "a_", "b\\", "ÉN "))), (k % 5).cast("int") + 1)
+    name = F.when(k % 5 == 0, F.concat(before, F.substring("c_name", 9, 99))).otherwise(F.concat(before, F.col("c_name")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", name.alias("name"))
+
+
+@table_query
+def name_index_search(spark, sf_dir):
+    """All customers whose name contains one of several texts, by the index."""
+    index = lookup.NameIndex(spark, new_folder(spark, "names"), "c_custkey", "name")
+    index.build(odd_names(spark, sf_dir))
+    found = [index.search(text).select(F.lit(text).alias("sought"), "c_custkey", "name") for text in SEARCHES]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 @query
-def entity_search(s):
-    every = (s.ref_champions.select(F.lit("champion").alias("kind"), "name").unionByName(s.ref_items.select(F.lit("item").alias("kind"), "name").distinct())
-             .unionByName(s.ref_augments.select(F.lit("augment").alias("kind"), "name")))
-    return every.where(F.contains(folded(F.col("name")), F.lit("m 1"))).orderBy("kind", "name").limit(8)
+def point_lookup(s):
+    """A player by name, and their matches, from tables laid out for lookups."""
+    spark = s.players.sparkSession
+    root = new_folder(spark, "points")
+    lookup.write_points(s.players.withColumn("name_key", F.lower("riot_id")), f"{root}/players", "name_key", ("puuid",))
+    lookup.write_points(views.participants_clean(s).select("player_id", "match_id", "champion", "placement"), f"{root}/participations", "player_id", ("match_id",))
+    player = lookup.point(spark, f"{root}/players", "name_key", "player 61#euw").select("id", "puuid")
+    return player.join(lookup.point(spark, f"{root}/participations", "player_id", 61), F.col("id") == F.col("player_id")).select("puuid", "match_id", "champion", "placement")
+
+
+@query
+def surrogate_ids(s):
+    """Ids of players after three loads of matches, the second run twice: how many each load brings, and that they have no gaps."""
+    spark = s.participants.sparkSession
+    seen = s.participants.select(F.concat(F.lit("P"), F.lpad(F.col("player_id").cast("string"), 4, "0")).alias("puuid"), "match_id")
+    ids = surrogate.Dictionary(spark, new_folder(spark, "ids"))
+    loads = [seen.where(F.substring_index("match_id", "_", -1).cast("int") % 40 == 0), seen.where(F.substring_index("match_id", "_", -1).cast("int") % 4 == 0), seen]
+    for k in (0, 1, 1, 2):
+        ids.add(loads[k], "puuid", k)
+    return ids.rows().select(F.col("key").alias("puuid"), "id", F.col("batch").cast("int").alias("load"))
+
+
+@query
+def match_persist(s):
+    """Players with their latest names and matches with their stamps after two overlapping loads, without archived matches."""
+    spark = s.participants.sparkSession
+    mn = F.substring_index("match_id", "_", -1).cast("int")
+    at = F.expr("TIMESTAMP'2026-01-01 00:00:00'")
+    name = F.when(F.col("player_id") % 4 != 0, F.concat(F.lit("n"), F.col("player_id"), F.lit("#"), F.col("patch")))
+    rows = s.participants.select("match_id", F.col("game_creation").cast("timestamp").alias("game_creation"), F.concat(F.lit("P"), F.lpad(F.col("player_id").cast("string"), 4, "0")).alias("puuid"),
+                                 name.alias("riot_id"), "subteam_id", "placement", "champion", (at + F.make_dt_interval(secs=mn)).alias("arrived_at"))
+    archived = s.matches.select("match_id", F.when(F.col("mn") % 9 == 4, at).alias("archived_at"))
+    store = persist.MatchStore(spark, new_folder(spark, "store"), 8)
+    loads = [rows.where(mn % 3 != 0), rows.where(mn % 3 != 1)]
+    for k in (0, 1, 1):
+        store.persist(loads[k], k, archived)
+    kept = store.participations.rows().groupBy("player_id").agg(F.count(F.lit(1)).alias("games"), F.sum("placement").cast("long").alias("placement_sum"))
+    return store.players().join(kept, F.col("id") == F.col("player_id")).select("puuid", "riot_id", "games", "placement_sum")
+
+
+@query
+def patch_boundary_search(s):
+    """Where patches begin by bisection, with a third of the versions unknown."""
+    m = s.matches.select("match_id", "game_creation", F.when(F.col("mn") % 3 != 1, F.col("patch")).alias("patch"), "mn")
+    # the fixture's dates are in no order of patches, so a match's number is its time
+    timed = m.select("match_id", (F.expr("TIMESTAMP_NTZ'2026-01-01 00:00:00'") + F.make_dt_interval(mins=7 * F.col("mn"))).alias("game_creation"), "patch")
+    found = crawl.patch_boundaries(timed, ["16.9", "16.18", "16.19", "16.20"])
+    return found.select("patch", "position", stamp("starts_at").alias("starts_at"), stamp("previous_at").alias("previous_at"), "minutes")
+
+
+@table_query
+def history_pages(spark, sf_dir):
+    """Match histories of customers, newest first, read from a paged service in batch and as a stream: rows of each list by both."""
+    paged.register(spark)
+    root = new_folder(spark, "history")
+    history = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 16).cast("int").alias("list"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"),
+                                                                    F.concat(F.lit("M_"), F.col("o_orderkey")).alias("match_id"))
+    last = history.agg(F.max("at")).first()[0] or 0
+    cut = last // 2
+    options = {"service": "muster.sources.paged.HistoryFiles", "path": root, "page_size": "200", "max_pages": "100000", "partitions": "4"}
+
+    def add(rows: DataFrame, until: int) -> None:
+        rows.repartition("list").write.mode("append").partitionBy("list").parquet(root)
+        files, path = fs.FileSystem.from_uri(root)
+        with files.open_output_stream(f"{path}/latest") as f:
+            f.write(str(until).encode())
+
+    out = new_folder(spark, "streamed")
+    for rows, until in ((history.where(F.col("at") < cut), cut), (history.where(F.col("at") >= cut), last + 1)):
+        add(rows, until)
+        stream = spark.readStream.format("pages").options(**options).load()
+        stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    batch = spark.read.format("pages").options(**options).load()
+    streamed = spark.read.schema(batch.schema).parquet(f"{out}/rows")
+    count = lambda df, name: df.groupBy("list").agg(F.count(F.lit(1)).alias(name), F.max("match_id").alias(f"{name}_last"), F.sum("at").alias(f"{name}_sum"))
+    return count(batch, "read").join(count(streamed, "streamed"), "list", "full")
 
 
 @query

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from muster.functions.counters import counters
 from muster.operators.players import latest_name
 from muster.operators.ratings import packed_matches
-from muster.sources.shared import written
+from muster.sources.shared import remove, written
 
 LATE = "2 hours"
 PARTICIPATION = "match_id string, patch string, game_creation timestamp, ingested_at timestamp, player_id int, subteam_id int, placement int, champion string"
@@ -41,6 +41,66 @@ def champion_counts(stream: DataFrame, width: str = "1 hour") -> DataFrame:
     return rows.select("window.start", "window.end", "patch", "champion", "games", "top1_wins", "top3_wins", "placement_sum")
 
 
+class Upserts:
+    """A table of which the newest version of each key counts.
+
+    Rows are kept by bucket of the first key column and by batch: a batch that is
+    written again replaces its own files (dynamic partition overwrite) and nothing
+    else, and no job overwrites what another has written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], version: list[str], buckets: int = 64):
+        self.spark, self.path, self.keys, self.version, self.buckets = spark, path.rstrip("/"), keys, version, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.keys[0]), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect())  # ``buckets`` numbers at most
+
+    def stored(self) -> DataFrame | None:
+        """All rows that ever came, with bucket and batch."""
+        return read_or_none(self.spark, self.path)
+
+    def put(self, rows: DataFrame, batch_id: int) -> None:
+        replace(rows.withColumns({"bucket": self.bucket(), "batch": F.lit(batch_id).cast("long")}), self.path, "bucket", "batch")
+
+    def _newest(self, rows: DataFrame, *keep: str) -> DataFrame:
+        fields = [c for c in rows.columns if c not in (*self.keys, "bucket", "batch")]
+        newest = F.max_by(F.struct(*fields), F.struct(*self.version, "batch"))
+        return rows.groupBy(*keep, *self.keys).agg(newest.alias("r")).select(*self.keys, "r.*", *keep)
+
+    def rows(self, buckets: list[int] | None = None) -> DataFrame | None:
+        """The newest version of each key, of some ``buckets`` only if given."""
+        every = self.stored()
+        if every is None:
+            return None
+        return self._newest(every if buckets is None else every.where(F.col("bucket").isin(buckets)))
+
+    def compact(self, batch_id: int) -> None:
+        """Puts the batches up to ``batch_id`` together, under that number.  A job that dies midway
+        leaves some rows twice, which count once; run it again."""
+        every = self.stored()
+        old = [r[0] for r in every.where(F.col("batch") < batch_id).select("batch").distinct().collect()]
+        merged = written(self._newest(every.where(F.col("batch") <= batch_id), "bucket").withColumn("batch", F.lit(batch_id).cast("long")), "merged")
+        replace(merged, self.path, "bucket", "batch")
+        for b in range(self.buckets):
+            for k in old:
+                remove(self.spark, f"{self.path}/bucket={b}/batch={k}")
+
+
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing there yet
+        return None
+
+
+def replace(df: DataFrame, path: str, *by: str) -> None:
+    """Writes ``df`` in place of the partitions that it has rows of."""
+    df.repartition(*by).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(path)
+
+
 class RatingRows:
     """Packed matches (rating rows), kept up to date from participations that arrive in any order.
 
@@ -58,60 +118,44 @@ class RatingRows:
     SWEEP, MARGIN = "6 hours", LATE
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, clean: Callable[[DataFrame], DataFrame] = lambda rows: rows):
-        self.spark, self.path, self.buckets, self.clean = spark, path.rstrip("/"), buckets, clean
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("match_id"), F.lit(self.buckets)).cast("int")
-
-    def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except AnalysisException:  # nothing there yet
-            return None
-
-    def _replace(self, df: DataFrame, name: str, *by: str) -> None:
-        """Writes ``df`` in place of the partitions that it has rows of."""
-        df.repartition(*by).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{name}")
-
-    def _touched(self, matches: DataFrame) -> list[int]:
-        return sorted(r[0] for r in matches.select(self._bucket().alias("b")).distinct().collect())  # ``buckets`` numbers at most
+        self.spark, self.path, self.clean = spark, path.rstrip("/"), clean
+        self.parts = Upserts(spark, f"{self.path}/parts", ["match_id", "player_id"], ["ingested_at"], buckets)
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` sink for participations."""
-        self._replace(batch.withColumns({"bucket": self._bucket(), "batch": F.lit(batch_id).cast("long")}), "parts", "bucket", "batch")
-        parts = self._read("parts")
-        if parts is not None:
-            self._pack(parts.where(F.col("batch") == batch_id).select("match_id").distinct())
+        self.parts.put(batch, batch_id)
+        every = self.parts.stored()
+        if every is not None:
+            self._pack(every.where(F.col("batch") == batch_id).select("match_id").distinct())
 
     def participations(self, buckets: list[int] | None = None) -> DataFrame:
         """The newest version of each player's participation in each match."""
-        parts = self._read("parts")
-        if buckets is not None:
-            parts = parts.where(F.col("bucket").isin(buckets))
-        fields = [c for c in parts.columns if c not in ("match_id", "player_id", "bucket", "batch")]
-        newest = F.max_by(F.struct(*fields), F.struct("ingested_at", "batch"))
-        return parts.groupBy("match_id", "player_id").agg(newest.alias("r")).select("match_id", "player_id", "r.*")
+        return self.parts.rows(buckets)
 
     def _pack(self, matches: DataFrame) -> int:
         """Packs ``matches`` (match_id, distinct) anew and gives their number."""
-        touched = self._touched(matches)
+        touched = self.parts.touched(matches)
         if not touched:
             return 0
         rows = self.clean(self.participations(touched).join(matches, "match_id", "left_semi"))
         built = rows.groupBy("match_id").agg(F.max("ingested_at").alias("built_at"))
         fresh = packed_matches(rows.withColumn("game_creation", F.max("game_creation").over(Window.partitionBy("match_id")))).join(built, "match_id")
         fresh = written(fresh, "packed")
-        have = self._read("rows")
-        every = fresh.withColumn("bucket", self._bucket())
+        have = read_or_none(self.spark, f"{self.path}/rows")
+        every = fresh.withColumn("bucket", self.parts.bucket())
         if have is not None:
             # a match of which nothing is left after cleaning has no row
             every = every.unionByName(have.where(F.col("bucket").isin(touched)).join(matches, "match_id", "left_anti").select(*every.columns))
-        self._replace(every, "rows", "bucket")
+        every = written(every, "buckets")
+        left = {r[0] for r in every.select("bucket").distinct().collect()}
+        replace(every, f"{self.path}/rows", "bucket")
+        for b in set(touched) - left:  # cleaning took the last match of this bucket
+            remove(self.spark, f"{self.path}/rows/bucket={b}")
         return fresh.count()
 
     def rows(self) -> DataFrame:
         """match_id, game_creation, players, subteams, placements, built_at of every match."""
-        have = self._read("rows")
+        have = read_or_none(self.spark, f"{self.path}/rows")
         return have.drop("bucket") if have is not None else self.spark.createDataFrame([], PACKED)
 
     def todo(self, matches: DataFrame, since: Column | None = None) -> DataFrame:
@@ -121,7 +165,7 @@ class RatingRows:
         """
         if since is not None:
             matches = matches.where(F.col("ingested_at") > since)
-        matches, have = matches.where("ingested_at IS NOT NULL"), self._read("rows")
+        matches, have = matches.where("ingested_at IS NOT NULL"), read_or_none(self.spark, f"{self.path}/rows")
         if have is None:
             return matches.select("match_id")
         out = matches.join(have.select("match_id", "built_at"), "match_id", "left")
@@ -129,7 +173,7 @@ class RatingRows:
 
     def state(self) -> tuple[datetime | None, datetime | None]:
         """(watermark, time of the last full sweep), null before the first run."""
-        log = self._read("state")
+        log = read_or_none(self.spark, f"{self.path}/state")
         last = log.agg(F.max("watermark"), F.max("swept")).first() if log is not None else (None, None)
         return last[0], last[1]
 
@@ -147,20 +191,8 @@ class RatingRows:
         return packed
 
     def compact(self, batch_id: int) -> None:
-        """Puts the parts of batches up to ``batch_id`` together, under that number.  A job that
-        dies midway leaves some rows twice, which count once; run it again."""
-        parts = self._read("parts")
-        old = [r[0] for r in parts.where(F.col("batch") < batch_id).select("batch").distinct().collect()]
-        fields = [c for c in parts.columns if c not in ("match_id", "player_id", "bucket", "batch")]
-        newest = F.max_by(F.struct(*fields), F.struct("ingested_at", "batch"))
-        merged = parts.where(F.col("batch") <= batch_id).groupBy("bucket", "match_id", "player_id").agg(newest.alias("r"))
-        merged = written(merged.select("match_id", "player_id", "r.*", "bucket", F.lit(batch_id).cast("long").alias("batch")), "merged")
-        self._replace(merged, "parts", "bucket", "batch")
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/parts")
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for b in range(self.buckets):
-            for k in old:
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(at, f"bucket={b}/batch={k}"), True)
+        """Puts the stored participations of batches up to ``batch_id`` together."""
+        self.parts.compact(batch_id)
 
 
 def touched_counts(rows: DataFrame, changed: DataFrame, counts: DataFrame) -> DataFrame:
