@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.llm.store import free_name, stored, with_row_id
+from muster.operators.pieces import with_pieces
 
 #: Headers of a 304 that never replace stored ones (RFC 9110, RFC 9111).
 NOT_MERGED = (
@@ -39,8 +40,6 @@ NOT_MERGED = (
 )
 #: Query parameters that do not select content.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)"
-#: Pieces of time into which a URL's captures fall, so that no URL is one task's work.
-PIECES = 256
 _URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -76,9 +75,7 @@ def timed(records: DataFrame) -> DataFrame:
 
 def _answers(told: DataFrame) -> DataFrame:
     """row, response_row of the revisits in ``told`` (row, kind, id, at, key) that a response precedes."""
-    lo, hi = told.agg(F.min("at"), F.max("at")).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // PIECES))
-    told = stored(told.withColumn("piece", F.floor((F.col("at") - F.lit(lo or 0)) / width).cast("int")), "told")
+    told = stored(with_pieces(told, "key", "at"), "told")
     mark = F.when(F.col("kind") == "response", F.struct("at", "id", "row"))
     inside = Window.partitionBy("key", "piece").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     here = told.withColumn("near", F.max(mark).over(inside)).where("kind = 'revisit'")

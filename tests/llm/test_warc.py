@@ -102,3 +102,19 @@ def test_files_round_trip(spark, tmp_path):
     got = sorted(warc.read_warc(spark, f"{tmp_path}/*.warc.gz").collect(), key=lambda r: r["record_id"])
     assert [(r["record_id"], r["kind"], r["headers"], r["body"] and bytes(r["body"])) for r in got] == [("urn:1", "response", {"etag": '"1"'}, records[0]["body"]), ("urn:2", "revisit", {"etag": '"1"'}, None)]
     assert got[0]["status"] == "200 OK" and got[1]["status"] == "304 Not Modified" and list(warc.parse_warc(b"")) == []
+
+
+def test_one_wrong_date_leaves_pieces_even(spark):
+    from muster.llm import warc
+
+    seen = []
+    real = warc.stored
+    warc.stored = lambda df, name="t": (out := real(df, name), seen.append((name, out)))[0]
+    try:
+        rows = [(i, "response" if i % 3 else "revisit", f"id{i}", 1_750_000_000_000_000 + i, "http://hot/") for i in range(4000)] + [(9999, "response", "old", 0, "http://other/")]
+        found = warc._answers(spark.createDataFrame(rows, "row long, kind string, id string, at long, key string")).collect()
+    finally:
+        warc.stored = real
+    assert all(r["response_row"] == r["row"] - 1 for r in found) and len(found) == len([i for i in range(1, 4000) if i % 3 == 0])
+    sizes = sorted(r["count"] for r in dict(seen)["told"].groupBy("key", "piece").count().where("key = 'http://hot/'").collect())
+    assert len(sizes) > 200 and sizes[-1] < 5 * sizes[len(sizes) // 2]
