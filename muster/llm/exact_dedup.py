@@ -9,8 +9,10 @@ used.
 Defined results: a null text counts as empty, and empty texts are equal to one
 another.  Of equal texts in a batch the row with the largest doc_id stays
 (null is smallest); of rows that also share the doc_id exactly one stays.  A
-text that an earlier batch brought in is dropped whatever its doc_id.  Other
-columns are never looked at.  An empty batch gives an empty result.
+text that an earlier batch brought in is dropped whatever its doc_id, and its
+keep_id is that batch's; group_size counts the rows of this batch.  A batch that is
+run again under its own name finds its own digests and gives the same result.
+Other columns are never looked at.  An empty batch gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from muster.llm.store import as_table, free_name, shared_dir, stored, with_row_i
 
 _LEAST = -(2**63)
 #: Digests for which a bucket is made, and the fewest buckets.
-BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 64
+BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 16
 
 
 def normalised(text) -> F.Column:
@@ -105,10 +107,14 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame, batch: str) -> None:
-        """Adds the digests that the index lacks."""
-        fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        self._write(fresh.withColumn("batch", F.lit(batch)))
+    def append(self, groups: DataFrame, batch: str) -> DataFrame:
+        """Adds the digests of ``groups`` (digest, keep_id, keep_row, group_size; a row for each) that the
+        index lacks, and gives all of them with the keep_id, keep_row and batch that the index has."""
+        fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
+        known = self.rows().select("digest", "keep_id", "keep_row", "batch").hint("merge").join(groups.select("digest", "group_size"), "digest")
+        found = stored(fresh.withColumn("fresh", F.lit(True)).unionByName(known.withColumn("fresh", F.lit(False))), "groups")
+        self._write(found.where("fresh"))
+        return found.drop("fresh")
 
     def unbucketed(self) -> DataFrame:
         """The same rows as plain files, so that a join may split hot digests."""
@@ -121,33 +127,34 @@ class DigestIndex:
             self.name = None
 
 
-def decisions(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def decisions(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, keep_id, group_size, kept, digest.
 
-    ``row`` is the row id that ``with_row_id`` gives the stored table ``docs``.
+    ``row`` is the row id that ``with_row_id`` gives the stored table ``docs``.  ``batch``
+    names the batch: what may run again, as a job whose driver died does, needs a name
+    of its own.  The index meets one row for each digest of the batch; the rows then meet these.
     """
     rows = stored(
         with_row_id(docs.select("doc_id", "text"), "row").select("row", "doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")),
         "digests",
     )
-    batch = uuid.uuid4().hex
+    batch = batch or uuid.uuid4().hex
     index.ready(rows.count())
     groups = rows.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"), F.max_by("row", F.coalesce("doc_id", F.lit(_LEAST))).alias("keep_row"), F.count(F.lit(1)).alias("group_size")
     )
-    index.append(groups, batch)
-    known = index.unbucketed().hint("merge")
-    return rows.join(known, "digest").select(
+    found = index.append(stored(groups, "batch"), batch)
+    return rows.join(found.hint("merge"), "digest").select(
         "row", "doc_id", "keep_id", "group_size", ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"), "digest"
     )
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     spark, docs = docs.sparkSession, as_table(docs)
     own = index or DigestIndex(spark, f"{shared_dir(spark)}/index")
     row = free_name(docs, "row")
-    out = with_rows(docs, row, decisions(docs, own).where("kept").select(F.col("row").alias(row)), "left_semi")
+    out = with_rows(docs, row, decisions(docs, own, batch).where("kept").select(F.col("row").alias(row)), "left_semi")
     if index is None:
         own.close()
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

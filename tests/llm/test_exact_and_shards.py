@@ -64,6 +64,36 @@ def test_compacted_index_is_neither_shuffled_nor_sorted(spark, stored_docs):
     own.close()
 
 
+def test_a_batch_that_runs_again(spark, stored_docs):
+    own = index(spark)
+    first, later = stored_docs([(i, f"t{i % 7}", "", "") for i in range(20)]), stored_docs([(100 + i, f"t{i}", "", "") for i in range(9)])
+    rows = lambda docs, name: sorted(map(tuple, exact_dedup.decisions(docs, own, name).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    want, after = rows(first, "monday"), rows(later, "tuesday")
+    assert sum(k for *_, k in want) == 7 and [d for d, *_, k in after if k] == [107, 108] and after[0] == (100, 14, 1, False)
+    # as a job whose driver died after the append would do it
+    assert rows(first, "monday") == want and rows(later, "tuesday") == after and own.rows().count() == 9
+    own.close()
+
+
+def test_the_index_is_joined_with_groups_only(spark, stored_docs, monkeypatch):
+    own = index(spark)
+    exact_dedup.dedup(stored_docs([(i, f"t{i}", "", "") for i in range(50)]), own).count()
+    own.compact()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plans, real = [], exact_dedup.stored
+    monkeypatch.setattr(exact_dedup, "stored", lambda df, name="t": (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), real(df, name))[1])
+    try:
+        out = exact_dedup.decisions(stored_docs([(i, f"t{i % 60}", "", "") for i in range(300)]), own)
+        plan = dict(plans)["groups"]
+        index_scans = [x for x in plan.split("\n") if "Bucketed: true" in x]
+        # two exchanges and sorts, of the batch's groups for each join; none of the index
+        assert len(index_scans) == 2 and plan.count("Exchange") == plan.count("Sort [") == 2
+        assert "Bucketed: true" not in out._jdf.queryExecution().executedPlan().toString() and out.where("kept").count() == 10
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    own.close()
+
+
 def test_hot_rows_are_spread(spark, stored_docs, monkeypatch):
     docs = stored_docs([(None, "same words here", "en", "a")] * 4000 + [(i, "x y", "en", "b") for i in range(50)])
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 100)
