@@ -258,6 +258,7 @@ _BODIES = {
     "match_documents": """SELECT match_id, 'P' || lpad(CAST(player_id AS VARCHAR), 4, '0') AS puuid, CAST(NULL AS VARCHAR) AS riot_id, champion, subteam_id, placement,
         array_to_string(augments, ',') AS augments, array_to_string(items[:7], ',') AS items FROM cur""",
     "stored_documents": "SELECT 'champion:' || champion || '@16.19' AS key, count(*) AS games, CAST(sum(placement) AS BIGINT) AS placement_sum FROM cur GROUP BY champion",
+    "shredded_documents": "SELECT 'champion:' || champion || '@16.19' AS key, count(*) AS games, CAST(sum(placement) AS BIGINT) AS placement_sum FROM cur GROUP BY champion",
     "augment_stats": f"SELECT augment_id, {_C4} FROM augs GROUP BY 1",
     "champion_augment_stats": f"SELECT champion, augment_id, {_C4} FROM augs GROUP BY 1, 2 HAVING count(*) >= 5",
     "augment_timing": f"SELECT CAST(slot AS INTEGER) AS slot, augment_id, {_C4} FROM augs WHERE slot <= 3 GROUP BY 1, 2",
@@ -420,6 +421,15 @@ _TABLES = {
     "history_pages": """SELECT CAST(o_custkey % 16 AS INTEGER) AS list, count(*) AS read, max('M_' || o_orderkey) AS read_last, CAST(sum(epoch(o_orderdate)) AS BIGINT) AS read_sum,
         count(*) AS streamed, max('M_' || o_orderkey) AS streamed_last, CAST(sum(epoch(o_orderdate)) AS BIGINT) AS streamed_sum FROM orders GROUP BY 1""",
     "admission_stream": _ADMITTED,
+    "queue_promoted": _QUEUE % 25 + """, p AS (SELECT CASE WHEN c_custkey % 12 = 1 THEN 'Z' ELSE 'Q' END || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS puuid, c_custkey * 13 % 50 AS games FROM customer WHERE c_custkey % 3 <> 2)
+        SELECT q.puuid, CAST(CASE WHEN priority = 0 AND games >= 20 THEN 1 ELSE priority END AS INTEGER) AS priority, CAST(error_count AS INTEGER) AS error_count FROM q LEFT JOIN p ON p.puuid = q.puuid""",
+    "queue_ladder_top": _QUEUE % 25 + """, p AS (SELECT CASE WHEN c_custkey % 12 = 1 THEN 'Z' ELSE 'Q' END || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS puuid, c_custkey * 7 % 1009 AS pos FROM customer WHERE c_custkey % 3 <> 2),
+        t AS (SELECT puuid FROM p WHERE pos <= 300)
+        SELECT puuid, CAST(CASE WHEN puuid IN (SELECT puuid FROM t) THEN 2 WHEN priority = 2 THEN 1 ELSE priority END AS INTEGER) AS priority, CAST(error_count AS INTEGER) AS error_count FROM q
+        UNION ALL SELECT puuid, 2, NULL FROM t WHERE puuid NOT IN (SELECT puuid FROM q)""",
+    "reference_etl": """SELECT 'item' AS kind, CAST(p_partkey AS INTEGER) AS id, p_name AS name, CAST(NULL AS VARCHAR) AS tier, CASE WHEN p_partkey % 10 = 3 THEN 'boots' END AS category FROM part WHERE p_partkey % 3 <> 0
+        UNION ALL SELECT 'augment', CAST(p_partkey AS INTEGER), p_name, CASE p_partkey % 5 WHEN 0 THEN 'silver' WHEN 1 THEN 'gold' WHEN 2 THEN 'prismatic' WHEN 3 THEN 'silver' ELSE 'gold' END, CASE WHEN p_partkey % 10 = 3 THEN 'boots' END
+        FROM part WHERE p_partkey % 4 < 2 AND p_partkey % 7 <> 0 AND p_name <> ''""",
     "requested_players": _QUEUE % 25 + " SELECT puuid FROM req",
     "crawl_queue_pick": _QUEUE % 10 + """,
         due AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY last NULLS FIRST, seen DESC, puuid) AS n FROM q WHERE error_count < 5),

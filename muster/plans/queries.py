@@ -716,12 +716,42 @@ def match_documents(s):
     return documents.participants(docs).select("match_id", "puuid", "riot_id", "champion", "subteam_id", "placement", joined("augments").alias("augments"), joined("items").alias("items"))
 
 
+def champion_payloads(s: Season) -> DataFrame:
+    rows = views.participants_published(s).groupBy("patch", "champion").agg(F.count(F.lit(1)).alias("games"), F.sum("placement").cast("long").alias("placement_sum"))
+    return rows.select(F.concat(F.lit("champion:"), "champion", F.lit("@"), "patch").alias("key"), F.to_json(F.struct(F.struct("games", "placement_sum").alias("stat"))).alias("payload"))
+
+
+DOCUMENT_PATHS = {"games": ("$.stat.games", "long"), "placement_sum": ("$.stat.placement_sum", "long")}
+
+
 @query
 def stored_documents(s):
     """Champion statistics as stored JSON documents, and two fields read back from those of one patch."""
-    rows = views.participants_published(s).groupBy("patch", "champion").agg(F.count(F.lit(1)).alias("games"), F.sum("placement").cast("long").alias("placement_sum"))
-    stored = rows.select(F.concat(F.lit("champion:"), "champion", F.lit("@"), "patch").alias("key"), F.to_json(F.struct(F.struct("games", "placement_sum").alias("stat"))).alias("payload"))
-    return documents.projected(stored, f"champion:%@{PATCH}", {"games": ("$.stat.games", "long"), "placement_sum": ("$.stat.placement_sum", "long")})
+    return documents.projected(champion_payloads(s), f"champion:%@{PATCH}", DOCUMENT_PATHS)
+
+
+@query
+def shredded_documents(s):
+    """The same from documents that are stored as variants, whose fields are columns in the files."""
+    spark = s.participants.sparkSession
+    root = new_folder(spark, "documents")
+    documents.write_shredded(champion_payloads(s), root)
+    return documents.shredded(spark, root, f"champion:%@{PATCH}", DOCUMENT_PATHS)
+
+
+@table_query
+def reference_etl(spark, sf_dir):
+    """Items and augments from documents made of parts, a document for each size of part; a tenth of the items has a category by hand."""
+    part, k = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    curated = part.where(k % 10 == 3).select(k.cast("int").alias("id"), F.lit("boots").alias("category"))
+    item = F.struct(F.col("p_name").alias("name"), F.create_map(F.lit("30"), k % 3 != 0, F.lit("11"), F.lit(True)).alias("maps"))
+    shop = part.groupBy("p_size").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(k.cast("string"), item))).alias("data"))).alias("document"))
+    rarity = F.element_at(F.array(*map(F.lit, ("kSilver", "kGold", "kPrismatic", "kBronze", "kOther"))), (k % 5).cast("int") + 1)
+    folder = F.element_at(F.array(*map(F.lit, ("/x/Cherry/a.png", "/x/kiwi/b.png", "/x/strawberry/cherry/c.png", "/x/other/d.png"))), (k % 4).cast("int") + 1)
+    augment = F.struct(k.alias("id"), F.when(k % 7 != 0, F.col("p_name")).otherwise("").alias("nameTRA"), rarity.alias("rarity"), folder.alias("augmentSmallIconPath"))
+    picks = part.groupBy("p_size").agg(F.to_json(F.collect_list(augment)).alias("document"))
+    shown = lambda df, kind, tier: df.select(F.lit(kind).alias("kind"), "id", "name", tier.alias("tier"), "category")
+    return shown(documents.reference_items(shop, curated), "item", F.lit(None).cast("string")).unionByName(shown(documents.reference_augments(picks, curated), "augment", F.col("tier")))
 
 
 def crawl_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -770,6 +800,23 @@ def rate_limit_paced(spark, sf_dir):
     return limiter.paced(requests(spark, sf_dir), "user_id", REQUEST_LIMITS).select("event_id", "user_id", (F.col("go") - F.col("t")).alias("wait_us"))
 
 
+def queue_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games and ladder positions of two thirds of the queue and of some who are not in it."""
+    k = F.col("c_custkey")
+    name = F.concat(F.when(k % 12 == 1, F.lit("Z")).otherwise(F.lit("Q")), F.lpad(k.cast("string"), 7, "0"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").where(k % 3 != 2).select(name.alias("puuid"), (k * 13 % 50).alias("games"), (k * 7 % 1009).cast("int").alias("rank_position"))
+
+
+@table_query
+def queue_promoted(spark, sf_dir):
+    return crawl.promote_tracked(crawl_queue(spark, sf_dir), queue_players(spark, sf_dir), 20).select("puuid", "priority", "error_count")
+
+
+@table_query
+def queue_ladder_top(spark, sf_dir):
+    return crawl.mark_ladder_top(crawl_queue(spark, sf_dir), queue_players(spark, sf_dir), 300).select("puuid", "priority", "error_count")
+
+
 @table_query
 def requested_players(spark, sf_dir):
     return crawl.pick_requested(crawl_queue(spark, sf_dir), 25).select("puuid")

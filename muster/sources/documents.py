@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SLOTS = ", ".join([*(f"playerAugment{i} int" for i in range(1, 7)), *(f"item{i} int" for i in range(7))])
@@ -16,6 +16,25 @@ ICON_FOLDERS, OTHER_MODE = ("cherry", "kiwi"), "strawberry"
 ITEM_MAP, TIERS, OTHER_TIER = "30", {"kSilver": "silver", "kGold": "gold", "kPrismatic": "prismatic", "kBronze": "silver", "kEventChoice": "prismatic"}, "gold"
 
 
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``document`` and ``file`` of JSON files, one document a file, or one a line with ``lines``."""
+    return spark.read.text(path, wholetext=not lines).select(F.col("value").alias("document"), F.col("_metadata.file_path").alias("file"))
+
+
+def sorted_out(documents: DataFrame, schema: str, needed: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Documents that can be read, and the others with a ``reason``, for quarantine: those that are no
+    JSON of the ``schema`` and those that lack a ``needed`` field."""
+    d = F.from_json("document", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    lacking = [F.when(F.col(f"_d.{c}").isNull(), F.lit(f"no {c}")) for c in needed]
+    reason = F.coalesce(F.when(F.col("_d").isNull() | F.col("_d._corrupt").isNotNull(), F.lit("malformed")), *lacking)
+    marked = documents.withColumn("_d", d).withColumn("reason", reason).drop("_d")
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
+#: Fields without which a match or a timeline document is of no use.
+MATCH_NEEDS, TIMELINE_NEEDS = ("metadata.matchId", "info.gameCreation", "info.participants"), ("metadata.matchId", "info.frames")
+
+
 def held(prefix: str, slots: range, of: str) -> Column:
     """The ids in numbered slots; an empty slot holds 0."""
     return F.filter(F.array(*[F.col(f"{of}.{prefix}{i}") for i in slots]), lambda x: x > 0)
@@ -73,7 +92,24 @@ def reference_augments(document: DataFrame, curated: DataFrame) -> DataFrame:
     return with_curated(rows, curated)
 
 
+def write_shredded(stored: DataFrame, path: str) -> None:
+    """Writes documents (key, payload in JSON) as variants, sorted by key: the fields that
+    documents have in common become columns of their own in the files.  A payload that is
+    no JSON stays as text in ``malformed``."""
+    v = F.try_parse_json("payload")
+    rows = stored.select("key", v.alias("v"), F.when(v.isNull(), F.col("payload")).alias("malformed"))
+    rows.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+
+
+def shredded(spark: SparkSession, path: str, pattern: str, paths: dict[str, tuple[str, str]]) -> DataFrame:
+    """As ``projected``, of documents that ``write_shredded`` wrote; only the columns of the paths are read."""
+    return _values(spark.read.parquet(path).where(F.col("key").like(pattern)), paths)
+
+
+def _values(rows: DataFrame, paths: dict[str, tuple[str, str]]) -> DataFrame:
+    return rows.select("key", *[F.try_variant_get("v", path, kind).alias(name) for name, (path, kind) in paths.items()])
+
+
 def projected(stored: DataFrame, pattern: str, paths: dict[str, tuple[str, str]]) -> DataFrame:
     """Parts of stored documents (key, payload in JSON) whose key is like ``pattern``: column: (path, type)."""
-    v = stored.where(F.col("key").like(pattern)).select("key", F.try_parse_json("payload").alias("v"))
-    return v.select("key", *[F.try_variant_get("v", path, kind).alias(name) for name, (path, kind) in paths.items()])
+    return _values(stored.where(F.col("key").like(pattern)).select("key", F.try_parse_json("payload").alias("v")), paths)

@@ -10,7 +10,7 @@ from muster.functions.ladder import SHARES, ladder_tier
 from muster.functions.patches import patch_key, patch_of
 from muster.functions.text import plain_text, resolved_lines, riot_id, with_values
 from muster.functions.tiers import LETTERS, letters
-from muster.operators import crawl, diff, ratings
+from muster.operators import crawl, diff, pieces, ratings
 from muster.sources.snapshots import SnapshotStore
 
 
@@ -53,6 +53,8 @@ def test_text(spark):
     assert one(spark, resolved_lines(F.lit("a\n@x@ b\nc"))) == "a\nc"
     assert tuple(one(spark, riot_id(F.lit(" Ann #X1 ")))) == ("Ann", "X1")
     assert tuple(one(spark, riot_id(F.lit("Ann")))) == ("Ann", "EUW")
+    assert tuple(one(spark, riot_id(F.lit("Ann# ")))) == ("Ann", "EUW") and tuple(one(spark, riot_id(F.lit("\tA n#x#y\n")))) == ("A n", "x#y")
+    assert one(spark, riot_id(F.lit(" "))) is None and one(spark, riot_id(F.lit(" #EUW"))) is None and one(spark, riot_id(F.lit(None).cast("string"))) is None
 
 
 def test_letters_are_monotone():
@@ -97,8 +99,8 @@ def test_admission(spark):
 
 def test_admission_in_sessions_and_pieces(spark, monkeypatch):
     rng = random.Random(16)
-    for pieces, most, spread in ((1, 3, 9000), (7, 2, 60_000), (400, 3, 9000)):
-        monkeypatch.setattr(crawl, "PIECES", pieces)
+    for n, most, spread in ((2, 3, 9000), (7, 2, 60_000), (400, 3, 9000)):
+        monkeypatch.setattr(pieces, "PIECES", n)
         rows = [(i, rng.choice([1, 1, 1, 1, 2, None]), rng.randrange(spread) if i % 60 else None) for i in range(600)] + [(1000 + i, 3, 120 * i) for i in range(9)]
         df = spark.createDataFrame(rows, "event_id long, user_id long, t long").select("event_id", "user_id", F.timestamp_seconds("t").alias("ts"))
         out = crawl.admitted(df, "user_id", most)
@@ -360,13 +362,11 @@ def test_lists(spark):
     assert [r["meter"] for r in spread] == [92.0, 46.0, 3.0]
 
 
-def test_queue_after_visits_and_waits(spark):
+def test_queue_after_visits(spark):
     q = spark.sql("SELECT * FROM VALUES ('a', 3, TIMESTAMP_NTZ'2026-01-01 00:00:00'), ('b', 4, NULL), ('c', 1, NULL) AS t(puuid, error_count, last_crawled_at)")
     visits = spark.createDataFrame([("a", True), ("b", False)], "puuid string, ok boolean")
     got = {r["puuid"]: (r["error_count"], str(r["last_crawled_at"])) for r in crawl.after_visits(q, visits, F.expr("TIMESTAMP_NTZ'2026-01-02 00:00:00'")).collect()}
     assert got == {"a": (0, "2026-01-02 00:00:00"), "b": (5, "2026-01-02 00:00:00"), "c": (1, "None")}
-    e = spark.range(6).select(F.col("id").alias("event_id"), F.lit("k").alias("key"), F.timestamp_millis(F.col("id") * 100).alias("ts"))
-    assert [r["wait_us"] for r in crawl.waits(e, ["key"], ((2, 1), (4, 2))).orderBy("event_id").collect()] == [0, 0, 800_000, 800_000, 1_600_000, 1_600_000]
 
 
 def test_leaves_of_nested_documents(spark):
