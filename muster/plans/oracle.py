@@ -518,6 +518,33 @@ SELECT g.champion, CAST(g.slot AS INTEGER) AS slot, CAST(k AS INTEGER) AS choice
 FROM g JOIN bs ON bs.champion = g.champion AND bs.slot = g.slot, range(1, 4) t(k) WHERE k <= len(g.shown)"""
 
 
+_PAIRS = "(SELECT champion, a, b, category, " + _C4 + " FROM combos GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10)"
+_PICKED = f"(SELECT champion, augment_id, {_RARITY} AS rarity, {_C4} FROM augs GROUP BY 1, 2 HAVING count(*) >= 5)"
+_NOT_STAT = "NOT coalesce(opener IN (3, 7, 11, 19), false)"
+#: Each part of a champion document: name, fields, rows.
+_PARTS = [
+    ("totals", "games, top1_wins, top3_wins, placement_sum, m", f"{_CHAMPIONS} CROSS JOIN (SELECT count(DISTINCT match_id) AS m FROM cur)"),
+    ("all_items", "item_id, games", f"{_ALL_ITEMS} WHERE games >= 5"),
+    ("anvil_items", "item_id, games", f"{_ANVIL_ITEMS} WHERE games >= 3"),
+    ("all_augments", "augment_id, games", _PICKED),
+    ("anvil_augments", "augment_id, games", "(SELECT champion, augment_id, count(*) AS games FROM (SELECT champion, unnest(augments) AS augment_id FROM anvil WHERE run) WHERE augment_id NOT IN (5, 13) GROUP BY 1, 2 HAVING count(*) >= 3)"),
+    ("top_augments", "rarity, position, augment_id, games", f"""(SELECT *, row_number() OVER (PARTITION BY champion, rarity ORDER BY round(score, 9) DESC, augment_id) AS position
+        FROM {_scores(_PICKED, 'champion, augment_id, rarity', 'champion, rarity')}) WHERE position <= 5"""),
+    ("top_prismatic", "position, item_id, games", f"{_PRISMATIC} WHERE position <= 6"),
+    ("anvil_top_prismatic", "position, item_id, games", f"""(SELECT *, row_number() OVER (PARTITION BY champion ORDER BY round(score, 9) DESC, item_id) AS position FROM
+        {_scores(_ANVIL_ITEMS, 'champion, item_id', 'champion', 'tier_placement', 'tier_top1', 'tier_top3')}) WHERE position <= 3"""),
+    ("item_build", "slot, choice, item_id, games", "selection"),
+    ("anvil", "games, top1_wins, top3_wins, stat_games, stat_top3_wins, other_games, other_top3_wins",
+     f"(SELECT champion, {_C4}, {_if(f'NOT ({_NOT_STAT})', 'stat_')}, {_if(_NOT_STAT, 'other_')} FROM anvil WHERE run GROUP BY 1)"),
+    ("all_combos", "category, position, a, b, games, top1_wins, top3_wins, placement_sum", "pairs WHERE position <= 60"),
+    ("champion_combos", "category, position, a, b, games", "pairs WHERE position <= 10"),
+]
+_DOCUMENTED = f""", selection AS ({_SELECTION[_SELECTION.index('SELECT g.champion'):]}),
+pairs AS (SELECT c.*, row_number() OVER (PARTITION BY c.champion, c.category ORDER BY round(s.score, 9) DESC, c.a, c.b) AS position
+    FROM {_PAIRS} c JOIN {_scores(_PAIRS, 'champion, a, b, category', 'champion, category')} s USING (champion, a, b))
+""" + "\nUNION ALL ".join(f"SELECT champion, concat_ws(',', '{name}', {fields}) AS line FROM {rows}" for name, fields, rows in _PARTS)
+
+
 #: Statistics that are SQL functions as well.
 _CALLED = ("champion_stats", "champion_rates", "champion_placement_counts", "augment_stats", "champion_augment_stats", "augment_timing", "comp_archetypes",
            "patch_match_count", "patch_options", "site_totals", "leaderboard_top", "player_rank", "find_player")
@@ -539,7 +566,8 @@ FROM b JOIN k x ON x.i = lo LEFT JOIN k y ON y.i = lo - 1 WHERE lo = hi"""
 def oracle_sql() -> dict[str, str]:
     again = _BASE.replace("WITH o AS", "WITH RECURSIVE o AS", 1).rstrip()
     out = {"build_selection": again + _USABLE + _SELECTION, "tier_letters": again + _LETTERS, "rating_replay": f"{again}{_SEASON}\n{_REPLAYED}", "rating_ladder": f"{again}{_SEASON}\n{_LADDER}",
-           "patch_boundary_search": again + _BISECTED}
+           "patch_boundary_search": again + _BISECTED,
+           "champion_document_parts": again + _USABLE + _ACQ_ANVIL + _SELECTION[: _SELECTION.index("SELECT g.champion")].rstrip() + _DOCUMENTED}
     for name, body in _BODIES.items():
         base = _BASE.rstrip() + (_USABLE if "usable" in body else "") + (_ACQ_ANVIL if "acq_anvil" in body else "") + (_CHOSEN if "chosen" in body else "")
         out[name] = f"{base}{'' if body.startswith(',') else chr(10)}{body}"

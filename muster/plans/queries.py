@@ -326,6 +326,27 @@ def champion_documents(s):
                        F.col("anvil.games").alias("anvil_games"), F.col("anvil.blade_rate").alias("blade_rate"), F.size("champion_combos").alias("combos_shown"))
 
 
+def _part_lines(part: str, fields: tuple[str, ...]) -> F.Column:
+    entry = lambda e: F.concat_ws(",", F.lit(part), *[e[f].cast("string") for f in fields])
+    return F.coalesce(F.transform(part, entry), F.array().cast("array<string>"))
+
+
+@query
+def champion_document_parts(s):
+    """Every list and number of the champion documents, an entry to a line."""
+    docs = champions.champion_documents(current(s), s.ref_items, s.ref_augments, OPENERS, 1007)
+    docs = docs.withColumn("totals", F.array(F.struct("total_matches", "games", "top1_wins", "top3_wins", "placement_sum", *[F.round(c, 6).alias(c) for c in ("top3_rate", "top1_rate", "avg_placement", "play_rate")])))
+    docs = docs.withColumn("anvil", F.array("anvil"))
+    parts = {
+        "totals": ("games", "top1_wins", "top3_wins", "placement_sum", "total_matches"), "all_items": ("item_id", "games"), "anvil_items": ("item_id", "games"), "all_augments": ("augment_id", "games"),
+        "anvil_augments": ("augment_id", "games"), "top_augments": ("rarity", "position", "augment_id", "games"), "top_prismatic": ("position", "item_id", "games"),
+        "anvil_top_prismatic": ("position", "item_id", "games"), "item_build": ("slot", "choice", "item_id", "games"), "anvil": ("games", "top1_wins", "top3_wins", "stat_games", "stat_top3_wins", "other_games", "other_top3_wins"),
+        "all_combos": ("category", "position", "a", "b", "games", "top1_wins", "top3_wins", "placement_sum"), "champion_combos": ("category", "position", "a", "b", "games"),
+    }
+    lines = [_part_lines(c, fields) for c, fields in parts.items()]
+    return docs.select("champion", F.explode(F.concat(*lines)).alias("line"))
+
+
 @query
 def champion_list_ranks(s):
     return lists.ranked(scored_champions(s), "champion").select("champion", "position", "total")
