@@ -336,7 +336,7 @@ def champion_document_parts(s):
     """Every list and number of the champion documents, an entry to a line."""
     docs = champions.champion_documents(current(s), s.ref_items, s.ref_augments, OPENERS, 1007)
     docs = docs.withColumn("totals", F.array(F.struct("total_matches", "games", "top1_wins", "top3_wins", "placement_sum", *[F.round(c, 6).alias(c) for c in ("top3_rate", "top1_rate", "avg_placement", "play_rate")])))
-    docs = docs.withColumn("anvil", F.array("anvil"))
+    docs = docs.withColumn("anvil", F.filter(F.array("anvil"), lambda x: x.isNotNull()))
     parts = {
         "totals": ("games", "top1_wins", "top3_wins", "placement_sum", "total_matches"), "all_items": ("item_id", "games"), "anvil_items": ("item_id", "games"), "all_augments": ("augment_id", "games"),
         "anvil_augments": ("augment_id", "games"), "top_augments": ("rarity", "position", "augment_id", "games"), "top_prismatic": ("position", "item_id", "games"),
