@@ -389,7 +389,7 @@ def cell_blocks(live: DataFrame) -> DataFrame:
     return spread.select("cell", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "mine", "key", "label")
 
 
-def _region_blocks(regions: DataFrame) -> DataFrame:
+def region_blocks(regions: DataFrame) -> DataFrame:
     """Regions, each block of the core against each of the boundary."""
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     core = F.col("side") == 0
@@ -449,7 +449,7 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int =
         if not any(todo):
             break
         if todo[0]:
-            links.append(block_links(_region_blocks(close_by), signs, texts, n, percent))
+            links.append(block_links(region_blocks(close_by), signs, texts, n, percent))
         small, rest = live.where(F.col("size") <= leaf), live.where(F.col("size") > leaf)
         again = ((2 * F.col("size") <= F.col("parent")) | F.lit(level == 0)) & F.lit(level < rounds)
         whole, large = rest.where(~again), rest.where(again)

@@ -14,14 +14,15 @@
 
 Equal sets are one point.  The points of a band key form a cell.  Each cell's least
 point is compared with all others first, which connects most groups of near
-copies; then all pairs of small cells that are not connected yet, and eight more
-points of large ones; what is still open in large cells is compared block against
-block, where signatures tell which points need their texts.
+copies; then all pairs of small cells that are not connected yet, and two more
+points of large ones; of what is still open in large cells, points outside the
+largest component are compared with all others, block against block, where
+signatures tell which points need their texts.
 
 A link of the similarity 0.8 is missed with the probability (1 - 0.8 ** ROWS) **
 BANDS = 7e-10, or where the estimate is SLACK too low (3e-11); links of higher
 similarity less often.  Nothing is capped: the last step is quadratic in points
-of one cell that stay apart, with 40 bytes read for each.
+of one cell that stay apart, with a few numbers and 40 bytes read for each.
 
 Defined results: null or empty texts and texts of white space have an empty set,
 n_shingles 0, and are linked with nothing; their component is their own doc_id.
@@ -164,7 +165,18 @@ def _promising(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     return both.where(_estimate(F.col("s0"), F.col("s1")) >= percent / 100 - SLACK).select("key", "pivot")
 
 
-def near_components(docs: DataFrame, n: int = 5, percent: int = 80, leaf: int = 16, pivots: int = 8) -> DataFrame:
+def _open_blocks(live: DataFrame) -> DataFrame:
+    """Blocks of cells in which most points are connected: those of the largest component
+    against the others, and these among themselves."""
+    sizes = live.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("n"))
+    home = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.max("n").alias("cores"), F.sum("n").alias("size"))
+    home = stored(home.select("cell", "home", "cores", (F.col("size") - F.col("cores")).alias("borders")), "home")
+    rows = stored(live.select("cell", "key", "label").join(if_small(home), "cell").withColumn("side", (F.col("label") != F.col("home")).cast("int")), "sides")
+    others = rows.where("side = 1 AND borders > 1").select(F.xxhash64("cell", F.lit(1)).alias("cell"), "key", "label", F.col("borders").alias("size"))
+    return jaccard.region_blocks(rows).unionByName(jaccard.cell_blocks(others))
+
+
+def near_components(docs: DataFrame, n: int = 5, percent: int = 80, leaf: int = 16, pivots: int = 2) -> DataFrame:
     """row, doc_id, n_shingles, component_id, point of every row of ``docs`` (a stored table).
 
     ``row`` is the row id that ``with_row_id`` gives ``docs``; rows of a component
@@ -199,7 +211,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, leaf: int =
         labels = jaccard.relabelled(labels, linked(jaccard.open_pairs(live.where(F.col("size") <= leaf)).unionByName(trial)))
         open_ = jaccard.live_cells(large.select("cell", "key", "parent"), labels)
         if not open_.isEmpty():
-            labels = jaccard.relabelled(labels, jaccard.block_links(jaccard.cell_blocks(open_), signs, texts, n, percent, may_link))
+            labels = jaccard.relabelled(labels, jaccard.block_links(_open_blocks(open_), signs, texts, n, percent, may_link))
     return jaccard.component_rows(rows, labels)
 
 
