@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from muster.sources.shared import written
+
 TOLERANCE = 1e-12
 
 
 def _depth(snapshot: DataFrame) -> int:
     """The deepest nesting of brackets in the documents, those inside strings left out."""
-    bare = F.regexp_replace("payload", r'"(?:[^"\\\\]|\\\\.)*"', "")
+    bare = F.regexp_replace(F.regexp_replace("payload", r"\\.", ""), '"[^"]*"', "")
     marks = F.filter(F.split(bare, ""), lambda c: c.isin("{", "[", "}", "]"))
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
@@ -21,13 +23,14 @@ def _depth(snapshot: DataFrame) -> int:
     return snapshot.agg(F.max(F.aggregate(marks, start, step, lambda acc: acc["most"]))).first()[0] or 0
 
 
-def leaves(snapshot: DataFrame, depth: int = 16) -> DataFrame:
-    """key, path, value of every scalar of JSON documents (key, payload).
+def leaves(snapshot: DataFrame, levels: int = 16) -> DataFrame:
+    """key, path, value of every scalar of JSON documents (key, payload), however deep it is.
 
-    Each level of nesting is one lateral explosion in a single plan; what is nested deeper than ``depth`` is one value.
+    Each level of nesting is one lateral explosion; what is nested deeper than ``levels``
+    is written once, and the next levels go on from there.
     """
     explode = snapshot.sparkSession.tvf.variant_explode
-    deepest = min(depth, _depth(snapshot))
+    deepest = _depth(snapshot)
     todo = snapshot.select(F.col("key").alias("doc"), F.lit("").alias("path"), F.parse_json("payload").alias("v"))
     nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
     out = None
@@ -39,6 +42,8 @@ def leaves(snapshot: DataFrame, depth: int = 16) -> DataFrame:
         if not last:
             step = F.concat("path", F.when(F.col("path") == "", "").otherwise("."), F.coalesce("key", F.col("pos").cast("string")))
             todo = todo.where(nested).lateralJoin(explode(F.col("v").outer())).select("doc", step.alias("path"), F.col("value").alias("v"))
+            if (level + 1) % levels == 0:
+                todo = written(todo, "leaves")
     return out
 
 

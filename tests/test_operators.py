@@ -375,6 +375,18 @@ def test_leaves_of_nested_documents(spark):
     assert {("a.0.0", "1"), ("a.0.1.b", "x]}"), ("d.e.f.g", "true"), ('q"{', "2")} <= got
 
 
+def test_leaves_at_any_depth(spark):
+    import json
+
+    deep, path = {"x": 1, "\\\\": "\\"}, []
+    for i in range(21):  # more than one plan's levels, with brackets and backslashes in texts and names
+        deep, path = ({"n": deep, "\\": '{"[\\'} if i % 2 else [deep, "}\\"]), [("n" if i % 2 else "0"), *path]
+    rows = spark.createDataFrame([("k", json.dumps(deep))], "key string, payload string")
+    got = {(r["path"], r["value"]) for r in diff.leaves(rows, levels=6).collect()}
+    assert (".".join([*path, "x"]), "1") in got and not any(v and v.startswith(("{\"n", "[[", "[{")) for _, v in got)
+    assert len(got) == 23 and got == {(r["path"], r["value"]) for r in diff.leaves(rows, levels=40).collect()}
+
+
 def snapshot_rows(spark, documents):
     import json
 
