@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.store import SMALL, as_table, free_name, small_batches, stored, with_row_id
+from muster.llm.store import as_table, free_name, small_batches, stored, with_row_id
 from muster.llm.textwords import hashed_docs, mix, ngrams, split_docs
 
 GRAM = 8
 #: Suffixes of one gram that are compared in one task.
 GROUP = 2048
-#: Places from which on a gram's are not shuffled to find out that it is shared.
-HOT = 1000
+#: A gram with more than one in HOT of all places meets them by broadcast; there are fewer than HOT such grams.
+HOT = 1 << 17
 #: Sorted suffixes that are compared at once: whole grams, up to this many where one gram has no more.
 BATCH = 2048
 _U = np.uint64
@@ -237,13 +237,11 @@ def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
     places = stored(_suffixes(docs, least), "suffixes")
     shared = places.groupBy("gram").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     shared = stored(shared.select("gram", F.ceil(F.col("n") / GROUP).alias("salts"), "n"), "shared")
-    # grams of many places go to where these are, if they are few; the others meet their places in a shuffle
-    hot = shared.where(F.col("n") > HOT)
-    if hot.count() <= SMALL:
-        hot = F.broadcast(hot.select("gram", "salts"))
-        wanted = places.join(hot, "gram").unionByName(places.join(hot, "gram", "left_anti").join(shared.select("gram", "salts"), "gram"))
-    else:
-        wanted = places.join(shared.select("gram", "salts"), "gram")
+    # frequent grams go to where their places are; in the shuffle of the others no gram has more than one HOT-th of all places
+    frequent = F.col("n") * HOT > places.count()
+    hot = F.broadcast(shared.where(frequent).select("gram", "salts"))
+    rest = shared.where(~frequent).select("gram", "salts")
+    wanted = places.join(hot, "gram").unionByName(places.join(hot, "gram", "left_anti").join(rest, "gram"))
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "gram", "salts")).alias("places"))
     around = _with_context(docs.select("row", "text").join(wanted, "row").select("row", "text", "places"), least)
     # equal surroundings go together, unless they are so many themselves

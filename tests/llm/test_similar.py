@@ -148,9 +148,10 @@ def passages(seed):
     return texts
 
 
-@pytest.mark.parametrize("least,group,batch", [(12, 8192, 2048), (15, 7, 16), (8, 40, 64)])
-def test_repeated_passages(stored_docs, monkeypatch, least, group, batch):
+@pytest.mark.parametrize("least,group,batch,hot", [(12, 8192, 2048, 1 << 17), (15, 7, 16, 30), (8, 40, 64, 1)])
+def test_repeated_passages(stored_docs, monkeypatch, least, group, batch, hot):
     monkeypatch.setattr(suffixes, "GROUP", group)
+    monkeypatch.setattr(suffixes, "HOT", hot)  # all grams by broadcast, some, or none
     monkeypatch.setattr(suffixes, "BATCH", batch)
     texts = passages(least) + [None, "", " ", "a b"]
     got = suffixes.repeated_passages(stored_docs([(i, t, "en", "s") for i, t in enumerate(texts)]), least).collect()
