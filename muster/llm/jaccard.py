@@ -9,8 +9,10 @@ component.
     no pivot can tell them apart.  So the space is first cut into cells by
     shingle: a point belongs to the cells of its n - ceil(t n) + 1 first
     shingles in one global order, rare ones first.  Two linked points always
-    share a cell.  (The order comes from counts of all shingles in a table of
-    fixed size; whatever its counts, any order is exact.)  Cells are cut again
+    share a cell.  (The order comes from counts of all shingles in a table that
+    grows with the documents up to a bound; whatever its counts, any order is
+    exact.  In a table that stays small, the many rare shingles of an entry hide a
+    common one, and cells grow faster than the input.)  Cells are cut again
     by the size of the sets, into classes so wide that linked sets are in one or
     in neighbouring classes; a point is in its own and the next.
 3.  Each cell elects a pivot, a plain minimum that needs no cell gathered, and
@@ -58,8 +60,10 @@ from muster.llm.graph import components
 from muster.llm.store import as_table, free_name, if_small, small_batches, stored, with_row_id, with_rows
 from muster.llm.textwords import hashed_docs, shingle_set
 
-#: Cells of the table of shingle counts: 2 ** CELL_BITS.
-CELL_BITS = 16
+#: Entries of the table of shingle counts: four a document at least, but 2 ** 16 to 2 ** 22.
+TABLE_BITS = (16, 22)
+#: Entries whose counts travel in one row.
+PART = 1 << 12
 #: Points that are compared with one pivot in one task.
 GROUP = 200
 #: Points of a block of what is joined block against block.
@@ -75,30 +79,61 @@ def set_key(s: np.ndarray) -> np.int64:
     return np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)
 
 
-def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """row, doc_id, n, key of every document, and rows with cell and count."""
+def table_bits(documents: int) -> int:
+    """Bits of a shingle's hash that name its entry in the table of counts."""
+    return min(max(TABLE_BITS[0], (4 * documents - 1).bit_length()), TABLE_BITS[1])
+
+
+def _entry(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """row, doc_id, n, key of every document, and rows with part and counts: a task's counts
+    of PART entries, 65535 at most, all low bytes before all high ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             sizes, keys = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, words in hashed_docs(batch.column("text"), lower=True):
                 s = shingle_set(words, n)
                 sizes[i], keys[i] = len(s), set_key(s)
-                np.add.at(counts, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                np.add.at(counts, _entry(s, bits), np.uint32(1))
             none = pa.nulls(batch.num_rows, _I64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(sizes), pa.array(keys), none, none], names)
-        at = np.flatnonzero(counts)
-        none = pa.nulls(len(at), _I64)
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at, _I64), pa.array(counts[at])], names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(sizes), pa.array(keys), none, pa.nulls(batch.num_rows, pa.binary())], names)
+        parts = counts.reshape(-1, PART)
+        for at in np.array_split(np.flatnonzero(parts.any(1)), max(1, len(parts) // 64)):
+            if len(at):
+                planes = np.minimum(parts[at], 65535).astype("<u2").view(np.uint8).reshape(len(at), PART, 2).transpose(0, 2, 1)
+                none = pa.nulls(len(at), _I64)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at, _I64), pa.array([x.tobytes() for x in planes], pa.binary())], names)
+
+    names = ["row", "doc_id", "n", "key", "part", "counts"]
+    return docs.mapInArrow(run, "row long, doc_id long, n long, key long, part long, counts binary")
+
+
+def _counts(profile: DataFrame, bits: int) -> np.ndarray:
+    """The table of counts, 2 ** bits entries; tasks' counts are added up part by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+                low, high = np.frombuffer(counts, np.uint8).reshape(2, PART).astype(np.uint32)
+                sums[part] = np.minimum(sums.get(part, 0) + low + (high << 8), np.uint32(1 << 31))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), _I64), pa.array([x.astype("<u4").tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
-    names = ["row", "doc_id", "n", "key", "cell", "count"]
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    table = np.zeros(((1 << bits) // PART, PART), np.uint32)
+    told = profile.where("part IS NOT NULL").select("part", "counts").repartition("part")
+    for part, counts in told.mapInArrow(run, "part long, counts binary").collect():  # 4 bytes an entry, 16 MB at most
+        table[part] = np.frombuffer(counts, "<u4")
+    return table.ravel()
 
 
 def _postings(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
     """shingle, key, n for the first shingles of every point, and its key, n and signature; equal points once a task."""
-    table = docs.sparkSession.sparkContext.broadcast(counts)
+    table, bits = docs.sparkSession.sparkContext.broadcast(counts), len(counts).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = table.value, set()
@@ -111,7 +146,7 @@ def _postings(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
                 if len(seen) < 1_000_000:
                     seen.add(k)
                 first = len(s) + 1 - -(-percent * len(s) // 100)
-                parts.append(s[np.lexsort((s, rank[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[:first]])
+                parts.append(s[np.lexsort((s, rank[_entry(s, bits)]))[:first]])
                 keys.append(k)
                 sizes.append(len(s))
                 lengths.append(first)
@@ -419,13 +454,11 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, leaf: int =
     eps = 1 - percent / 100
     small_batches(docs.sparkSession)
     texts_of = with_row_id(docs.select("doc_id", "text"), "row").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    profile = stored(_profile(texts_of, n), "profile")
-    rows = profile.where("cell IS NULL").select("row", "doc_id", "n", "key")
-    counts = np.zeros(1 << CELL_BITS, np.int64)
-    for c, k in profile.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("count")).collect():  # 2 ** CELL_BITS rows at most
-        counts[c] = k
+    bits = table_bits(docs.count())
+    profile = stored(_profile(texts_of, n, bits), "profile")
+    rows = profile.where("part IS NULL").select("row", "doc_id", "n", "key")
 
-    posted = stored(_postings(texts_of, n, percent, counts), "postings")
+    posted = stored(_postings(texts_of, n, percent, _counts(profile, bits)), "postings")
     signs = posted.where("shingle IS NULL").groupBy("key").agg(F.max("n").alias("n"), F.max("signature").alias("signature"))
     members = _members(posted.where("shingle IS NOT NULL").select("shingle", "key", "n"), percent)
     signs = stored(signs.join(members.select("key").distinct(), "key", "left_semi"), "signs")

@@ -74,6 +74,37 @@ def test_dense_and_far_cells(stored_docs, monkeypatch, leaf, rounds):
     assert got == dict(enumerate(brute(texts, 3, 90)))
 
 
+def test_rare_shingles_do_not_hide_common_ones(stored_docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL_BITS", 10, raising=False)
+    monkeypatch.setattr(jaccard, "TABLE_BITS", (10, 22), raising=False)
+    monkeypatch.setattr(jaccard, "PART", 256, raising=False)
+    rows, real = [], jaccard.stored
+
+    def seen(df, name="t"):
+        out = real(df, name)
+        if name == "members":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", seen)
+    # twelve documents share a passage of eight words, all else is in one document only
+    texts = [" ".join([*(f"p{i // 12}_{j}" for j in range(8)), *(f"u{i}_{j}" for j in range(100))]) for i in range(4000)]
+    got = jaccard.join_components(stored_docs([(i, t, "en", "s") for i, t in enumerate(texts)]), 3, 90).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, 106, i) for i in range(4000)} and rows[0] < 200
+
+
+def test_table_of_counts(stored_docs):
+    texts = [f"a b c d{i % 400} e{i}" for i in range(1500)] + [None, "a b c"]
+    docs = stored_docs([(i, t, "en", "s") for i, t in enumerate(texts)]).withColumn("row", F.col("doc_id")).select("row", "doc_id", F.col("text").cast("binary").alias("text"))
+    bits = jaccard.table_bits(docs.count())
+    want = np.zeros(1 << bits, np.int64)
+    for _, words in jaccard.hashed_docs(docs.select("text").toArrow().column(0).combine_chunks(), lower=True):
+        np.add.at(want, jaccard._entry(jaccard.shingle_set(words, 3), bits), 1)
+    got = jaccard._counts(jaccard._profile(docs, 3, bits), bits)
+    assert (got == want).all() and got.max() >= 1501 and got.sum() == 3 * 1500 + 1
+    assert [jaccard.table_bits(n) for n in (0, 1 << 14, (1 << 14) + 1, 256_410, 1 << 30)] == [16, 16, 17, 20, 22]
+
+
 def test_sieve_keeps_all_partners():
     rng = np.random.default_rng(8)
     pool = rng.integers(0, 1 << 63, 90).astype(np.uint64) * np.uint64(2)
