@@ -31,13 +31,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.llm.store import free_name, stored, with_row_id
-from muster.operators.pieces import with_pieces
+from muster.operators import pieces
 
 #: Headers of a 304 that never replace stored ones (RFC 9110, RFC 9111).
 NOT_MERGED = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
     "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade",
 )
+#: Pieces of a URL with very many captures.
+PIECES = pieces.PIECES
 #: Query parameters that do not select content.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)"
 _URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
@@ -75,7 +77,7 @@ def timed(records: DataFrame) -> DataFrame:
 
 def _answers(told: DataFrame) -> DataFrame:
     """row, response_row of the revisits in ``told`` (row, kind, id, at, key) that a response precedes."""
-    told = stored(with_pieces(told, "key", "at"), "told")
+    told = stored(pieces.with_pieces(told, "key", "at", PIECES), "told")
     mark = F.when(F.col("kind") == "response", F.struct("at", "id", "row"))
     inside = Window.partitionBy("key", "piece").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     here = told.withColumn("near", F.max(mark).over(inside)).where("kind = 'revisit'")
