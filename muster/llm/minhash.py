@@ -78,7 +78,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def signatures(least: np.ndarray) -> np.ndarray:
     """The lowest BITS bits of all minima, mixed, packed into words: (sets, words)."""
-    fields = (mix(least) & _U((1 << BITS) - 1)).reshape(len(least), -1, 64 // BITS)
+    fields = (mix(least) & _U((1 << BITS) - 1)).reshape(len(least), _SIZE * BITS // 64, 64 // BITS)
     return (fields << (np.arange(64 // BITS, dtype=np.uint64) * _U(BITS))).sum(2, dtype=np.uint64)
 
 

@@ -95,6 +95,14 @@ def test_query_on_edges(spark, tmp_path, edge):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_documents_without_words_alone_in_what_is_profiled_at_once(stored_docs):
+    assert minhash.signatures(minhash.minima([])).shape == (0, minhash._SIZE * minhash.BITS // 64)
+    last = " ".join(f"w{i}" for i in range(16 * minhash.STEP + 2))  # more shingles than are held: nothing, or no words, follow it in its batch
+    for rows in ([(0, last)], [(0, last), (1, None)], [(0, None), (1, " ")]):
+        got = minhash.near_components(stored_docs([(i, t, "en", "a") for i, t in rows]).coalesce(1), 2, 80).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == [(i, len(shingles(t, 2)), i) for i, t in rows]
+
+
 def test_empty_tables_clashing_names_and_copies(stored_docs, edge):
     docs = stored_docs(edge, [("row", F.lit("kept")), ("key", F.lit(1)), ("point", F.lit(2))])
     out = minhash.one_of_each(docs)
