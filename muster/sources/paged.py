@@ -20,11 +20,14 @@ from __future__ import annotations
 import importlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+_ROWS = pa.schema([("at", pa.int64()), ("match_id", pa.string())])
+
 
 def service_of(options: dict):
     module, _, name = options["service"].rpartition(".")
@@ -123,14 +126,16 @@ class HistoryFiles:
     """Match histories in the shared folder, newest first: option ``path`` holds a folder
     ``list=<n>`` of Parquet files with columns at (seconds) and match_id for each player.
 
-    It stands for the service that gives a player's match ids in pages.
+    It stands for the service that gives a player's match ids in pages.  The rows of one list
+    and stretch of time are read and sorted once (some 20 bytes each stay in memory), so
+    a page's work is that of its own rows.
     """
 
     SCHEMA = "list int, at long, match_id string"
 
     def __init__(self, options: dict):
         self.files, self.path = fs.FileSystem.from_uri(options["path"])
-        self.known: tuple[int, list] = (-1, [])
+        self.known: tuple[tuple | None, pa.Table | None] = (None, None)
 
     def _names(self, path: str) -> list[str]:
         return [f.base_name for f in self.files.get_file_info(fs.FileSelector(path, allow_not_found=True))]
@@ -138,13 +143,19 @@ class HistoryFiles:
     def lists(self) -> int:
         return 1 + max((int(n.split("=")[1]) for n in self._names(self.path) if n.startswith("list=")), default=-1)
 
-    def page(self, number: int, start: int, count: int, since: int | None, until: int | None) -> list[tuple]:
-        if self.known[0] != number:
+    def _newest_first(self, number: int, since: int | None, until: int | None) -> pa.Table:
+        """The rows of a list and of a stretch of time in order, kept until others are asked for."""
+        if self.known[0] != (number, since, until):
             folder = f"{self.path}/list={number}"
-            tables = [pq.read_table(f"{folder}/{n}", filesystem=self.files, columns=["at", "match_id"], partitioning=None) for n in self._names(folder) if n.endswith(".parquet")]
-            self.known = number, sorted(((number, a, m) for t in tables for a, m in zip(t.column("at").to_pylist(), t.column("match_id").to_pylist())), reverse=True)
-        rows = [r for r in self.known[1] if (since is None or r[1] >= since) and (until is None or r[1] < until)]
-        return rows[start : start + count]
+            bounds = [("at", op, time) for op, time in ((">=", since), ("<", until)) if time is not None] or None
+            tables = [pq.read_table(f"{folder}/{n}", filesystem=self.files, columns=["at", "match_id"], filters=bounds, partitioning=None) for n in self._names(folder) if n.endswith(".parquet")]
+            rows = pa.concat_tables([_ROWS.empty_table(), *(t.cast(_ROWS) for t in tables)])
+            self.known = (number, since, until), rows.sort_by([("at", "descending"), ("match_id", "descending")]).combine_chunks()
+        return self.known[1]
+
+    def page(self, number: int, start: int, count: int, since: int | None, until: int | None) -> list[tuple]:
+        page = self._newest_first(number, since, until).slice(start, count)
+        return [(number, a, m) for a, m in zip(page.column("at").to_pylist(), page.column("match_id").to_pylist())]
 
     def latest(self) -> int:
         """The time in the file ``latest``, which whoever adds rows writes after them."""

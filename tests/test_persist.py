@@ -1,6 +1,9 @@
 import datetime as dt
 import random
+import tracemalloc
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from muster.operators import crawl
@@ -133,3 +136,20 @@ def test_pages_as_a_stream(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     assert got == [(k, i) for k in range(4) for i in range(5, min(25, 10 * (k + 1)))]
+
+
+def test_a_page_of_a_history_costs_its_own_rows(tmp_path):
+    rng = random.Random(3)
+    rows = [(3, rng.randrange(20_000), f"M_{i}") for i in range(50_000)]
+    (tmp_path / "list=3").mkdir()
+    for k in (0, 1):  # two files, times and ids in any order, many equal times
+        pq.write_table(pa.table({"at": [r[1] for r in rows[k::2]], "match_id": [r[2] for r in rows[k::2]]}), tmp_path / "list=3" / f"{k}.parquet")
+    service = paged.HistoryFiles({"path": f"file://{tmp_path}"})
+    for since, until in ((None, None), (5000, None), (None, 5000), (4000, 19_000), (20_000, None)):
+        want = sorted((r for r in rows if (since is None or r[1] >= since) and (until is None or r[1] < until)), reverse=True)
+        assert service.page(3, 0, 7, since, until) == want[:7] and service.page(3, max(0, len(want) - 3), 7, since, until) == want[-3:] and service.page(3, 0, 60_000, since, until) == want
+        tracemalloc.start()
+        assert service.page(3, 1200, 20, since, until) == want[1200:1220]
+        assert tracemalloc.get_traced_memory()[1] < 50_000  # a list of all rows takes 400,000 bytes
+        tracemalloc.stop()
+    assert service.lists() == 4 and service.page(2, 0, 7, None, None) == []
